@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, quality
+from . import ann, bpe, licences, mixing, neardup, quality, toxicity, urls
 from .shared import table, written
 
 
@@ -18,10 +18,33 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The rules that op7 is asked for: verdict, host and path.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    lexicon, coefficients = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out))
+    return toxicity.with_scores(docs.withColumn("held_out", held_out), lexicon, coefficients)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES).drop("block_odds")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = written(quality.with_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False))
     out = quality.judged(counted, quality.host_rates(counted))
@@ -41,7 +64,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_near_duplicates": op2_near_duplicates,
+    "op4_licence_scan": op4_licence_scan,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op7_url_filter": op7_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
