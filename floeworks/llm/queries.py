@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licences, mixing, neardup, quality, substrings, toxicity, urls
+from . import ann, bpe, licences, lines, mixing, neardup, quality, substrings, toxicity, urls
 from .shared import table, written
 
 
@@ -33,6 +33,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.without_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
 
@@ -70,6 +75,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_line_dedup": op3_line_dedup,
     "op4_licence_scan": op4_licence_scan,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_substring_dedup": op6_substring_dedup,
