@@ -16,6 +16,7 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for k, v in conf.items():
