@@ -271,3 +271,22 @@ def test_op10(spark, folder):
     for s in names:
         largest = max(size[d[0]] for d in docs if d[3] == s)
         assert abs(taken[s] - goal[s]) <= largest / 2 + 1
+
+
+def test_op6_crowded_anchors(spark, folder, monkeypatch):
+    """Anchors with more segments than one task takes give the same spans."""
+    from floeworks.llm import substrings
+
+    plain = sorted(map(str, rows(spark, folder, "op6_substring_dedup")))
+    monkeypatch.setattr(substrings, "BLOCK", 1)
+    assert sorted(map(str, rows(spark, folder, "op6_substring_dedup"))) == plain
+
+
+def test_op2_blocks(spark, folder, monkeypatch):
+    """Without leader rounds every pair is found by blocks alone."""
+    from floeworks.llm import neardup
+
+    plain = sorted(map(str, rows(spark, folder, "op2_near_duplicates")))
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    assert sorted(map(str, rows(spark, folder, "op2_near_duplicates"))) == plain
