@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with digests of the ids and of the bytes they decode to."""
     prepare(spark)
-    out = bpe.digests(bpe.encode(docs.select(*COLUMNS), tokenizer_path()), tokenizer_path())
+    out = bpe.encode(docs.select(*COLUMNS), tokenizer_path(), digest=True)
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

@@ -121,8 +121,11 @@ def _mapped(df: DataFrame, column: str, made: list[tuple[str, T.DataType]], rows
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, tokenizer: str, column: str = "text", into: str = "ids", offsets: bool = False) -> DataFrame:
-    """df with the token ids of column (array<int>); with offsets, also `<into>_offsets` (array of character spans)."""
+def encode(df: DataFrame, tokenizer: str, column: str = "text", into: str = "ids", offsets: bool = False, digest: bool = False) -> DataFrame:
+    """df with the token ids of column (array<int>).
+
+    With offsets, also `<into>_offsets` (array of character spans); with digest, also the columns of digests().
+    """
 
     def rows(texts: pa.Array) -> list[pa.Array]:
         c, texts = codec(tokenizer), [t or "" for t in texts.to_pylist()]
@@ -130,12 +133,15 @@ def encode(df: DataFrame, tokenizer: str, column: str = "text", into: str = "ids
             both = [c.offsets(t) for t in texts]
             spans = [[{"start": a, "end": b} for a, b in o] for _, o in both]
             return [pa.array([i for i, _ in both], pa.list_(pa.int32())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-        return [_lists(c.encode(texts))]
+        ids = c.encode(texts)
+        return [_lists(ids), *(_digested(c, ids) if digest else [])]
 
     made: list[tuple[str, T.DataType]] = [(into, T.ArrayType(T.IntegerType()))]
     if offsets:
         span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
         made.append((f"{into}_offsets", T.ArrayType(span)))
+    elif digest:
+        made += DIGESTS
     return _mapped(df, column, made, rows)
 
 
@@ -155,6 +161,18 @@ def decode(df: DataFrame, tokenizer: str, column: str = "ids", into: str = "deco
     return _mapped(df, column, [(into, T.StringType() if as_text else T.BinaryType())], rows)
 
 
+DIGESTS: list[tuple[str, T.DataType]] = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+
+
+def _digested(c: Codec, ids: list[bytes]) -> list[pa.Array]:
+    """Number of ids, SHA-256 of the ids, and SHA-256 of the bytes they decode to."""
+    return [
+        pa.array([len(x) // 4 for x in ids], pa.int64()),
+        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+        pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()),
+    ]
+
+
 def digests(df: DataFrame, tokenizer: str, column: str = "text") -> DataFrame:
     """df's ids encoded and decoded in one pass: n_tokens, ids_sha256 (of little-endian uint32) and decoded_sha256.
 
@@ -163,11 +181,6 @@ def digests(df: DataFrame, tokenizer: str, column: str = "text") -> DataFrame:
 
     def rows(texts: pa.Array) -> list[pa.Array]:
         c = codec(tokenizer)
-        ids = c.encode([t or "" for t in texts.to_pylist()])
-        return [
-            pa.array([len(x) // 4 for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-            pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids]),
-        ]
-
-    return _mapped(df, column, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], rows)
+        return _digested(c, c.encode([t or "" for t in texts.to_pylist()]))
+
+    return _mapped(df, column, DIGESTS, rows)
