@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 EARTH_RADIUS_KM = 6371.0088
 KM_PER_DEGREE = 111.32
@@ -69,3 +70,23 @@ def bbox_filter(df: DataFrame, bbox: str, lat: str = "lat", lon: str = "lon") ->
     if len(parts) != 4 or parts[0] >= parts[2] or parts[1] >= parts[3]:
         raise ValueError(f"bad bbox: {bbox}")
     return df.where(F.col(lon).between(parts[0], parts[2]) & F.col(lat).between(parts[1], parts[3]))
+
+
+def axis_index(points: DataFrame, axis: DataFrame, value: str, into: str) -> DataFrame:
+    """points with the nearest index (half to even, clipped) of value on an irregular axis (idx, value), rising or falling, and whether it is inside.
+
+    The axis becomes intervals between neighbours; a point meets exactly one of them.
+    """
+    w = Window.orderBy("idx")
+    part = axis.select("idx", "value", F.lead("value").over(w).alias("next"), F.lag("idx").over(w).alias("before")).where("next IS NOT NULL")
+    last = F.max("idx").over(Window.partitionBy())
+    part = part.select("idx", "value", "next", (F.col("idx") == last).alias("is_last"), F.col("before").isNull().alias("is_first"))
+    v = F.col(value)
+    low, high = F.least("value", "next"), F.greatest("value", "next")
+    rising = F.col("next") > F.col("value")
+    under, over = (F.when(rising, v < F.col("value")).otherwise(v > F.col("value"))), (F.when(rising, v >= F.col("next")).otherwise(v <= F.col("next")))
+    within = ~under & ~over
+    hit = within | (F.col("is_first") & under) | (F.col("is_last") & over)
+    out = points.join(F.broadcast(part), hit)  # one axis: at most a few thousand nodes
+    share = F.least(F.greatest((v - F.col("value")) / (F.col("next") - F.col("value")), F.lit(0.0)), F.lit(1.0))
+    return out.select(*points.columns, F.rint(F.col("idx") + share).cast("int").alias(into), v.between(low, high).alias(f"{into}_inside"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAMP = r"^\d{4}-\d{2}-\d{2}_\d{2}$"
@@ -25,6 +25,11 @@ def month_key(c: Column) -> Column:
     return F.substring(c, 1, 7)
 
 
+def filter_month(df: DataFrame, month: str | None, column: str = "timestamp") -> DataFrame:
+    """Rows of one month (`yyyy-MM`); `all`, `*` or none keep everything."""
+    return df if not month or month.lower() in ("all", "*") else df.where(F.col(column).startswith(month))
+
+
 def stamp(c: Column) -> Column:
     """The text form of a timestamp."""
     return F.date_format(c, "yyyy-MM-dd_HH")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.grid import Grid, bbox_filter, haversine_km, latlon_to_rc, rc_to_latlon, to_cell, wrap_longitude
+from ..functions.grid import Grid, axis_index, bbox_filter, haversine_km, latlon_to_rc, rc_to_latlon, to_cell, wrap_longitude
 from ..operators import catalog as C
 from ..operators import heatmap as H
 from .adapters import adapt, ctes
@@ -366,3 +366,20 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
     wanted = spark.read.parquet(f"{d}/events.parquet").select(F.date_trunc("hour", "ts").cast(hours.schema["ts"].dataType).alias("ts")).distinct()
     kinds = F.when(F.hour("ts") % 6 == 1, "primary").when(F.hour("ts") % 6 == 3, "snapshot")
     return C.resolve_sources(wanted, hours, wanted.withColumn("kind", kinds).where("kind IS NOT NULL"))
+
+
+@query("filter_month", "SELECT event_id FROM events WHERE strftime(ts, '%Y-%m-%d') = '2024-01-15'")
+def one_month(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", S.stamp(F.col("ts").cast("timestamp")).alias("timestamp"))
+    return S.filter_month(S.filter_month(e, "all"), "2024-01-15").select("event_id")
+
+
+@query(
+    "axis_index",
+    ctes("ais")
+    + """, a AS (SELECT i AS idx, 85e0 - i * i / 10e0 AS v FROM range(0, 16) r(i)), p AS (SELECT a.idx, a.v, b.v AS n, a.idx = 0 AS f, a.idx = 14 AS l FROM a JOIN a b ON b.idx = a.idx + 1)
+    SELECT event_id, CAST(round_even(idx + least(greatest((lat - v) / (n - v), 0e0), 1e0), 0) AS INTEGER) AS row, lat BETWEEN n AND v AS row_inside FROM ais JOIN p ON (lat <= v AND lat > n) OR (f AND lat > v) OR (l AND lat <= n)""",
+)
+def irregular(spark: SparkSession, d: str) -> DataFrame:
+    axis = spark.range(16).select(F.col("id").cast("int").alias("idx"), (85 - F.col("id") * F.col("id") / 10).alias("value"))
+    return axis_index(adapt(spark, d, "ais").select("event_id", "lat"), axis, "lat", "row").select("event_id", "row", "row_inside")

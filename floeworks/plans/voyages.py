@@ -325,3 +325,19 @@ def triggers(spark: SparkSession, d: str) -> DataFrame:
     s = adapt(spark, d, "steps")
     steps = s.select("sequence_id", "step_index", (F.col("moved_distance_km") / 20000).alias("blocked_change"), (F.col("step_index") % 11 == 5).cast("int").alias("path_blocked"), (1 - F.col("moved_distance_km") / 500).alias("corridor"), (F.col("risk_extra_km") / 8).alias("risk"))
     return T.replan_triggers(steps).select("sequence_id", "step_index", F.array_join("reasons", ",").alias("reasons"), "replan")
+
+
+@query("replay_slice", ctes("steps") + "SELECT sequence_id, step_index, next_step FROM (SELECT *, lead(step_index) OVER (PARTITION BY sequence_id ORDER BY step_index) AS next_step FROM steps) WHERE step_index BETWEEN 10 AND 20")
+def replayed(spark: SparkSession, d: str) -> DataFrame:
+    return T.replay_slice(adapt(spark, d, "steps"), 10, 20).select("sequence_id", "step_index", "next_step")
+
+
+@query(
+    "sequence_issues",
+    ctes("steps")
+    + """, s AS (SELECT * FROM steps WHERE NOT (sequence_id % 3 = 0 AND step_index = 2) AND NOT (sequence_id % 5 = 0 AND step_index = 0)), g AS (SELECT sequence_id, count(*) AS steps, min(step_index) AS a, max(step_index) AS b FROM s GROUP BY 1)
+    SELECT sequence_id, steps, concat_ws(',', CASE WHEN a <> 0 THEN 'first_step_not_zero' END, CASE WHEN b - a + 1 <> steps THEN 'step_gap_or_repeat' END) AS issues FROM g""",
+)
+def issues(spark: SparkSession, d: str) -> DataFrame:
+    steps = adapt(spark, d, "steps").where("NOT (sequence_id % 3 = 0 AND step_index = 2) AND NOT (sequence_id % 5 = 0 AND step_index = 0)")
+    return T.sequence_issues(steps).select("sequence_id", "steps", F.array_join("issues", ",").alias("issues"))

@@ -161,3 +161,35 @@ def stream_heatmap(ais: DataFrame, grid: Grid, window_hours: int = 168, step_hou
     cells = ais.select(F.col("postime").cast("timestamp").alias("t"), row.alias("row"), col.alias("col")).where("row IS NOT NULL").withWatermark("t", f"{late_hours} hours")
     w = F.window("t", f"{window_hours} hours", f"{step_hours} hours")
     return cells.groupBy(w, "row", "col").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.end").alias("center"), "row", "col", "n")
+
+
+def replay_slice(steps: DataFrame, from_step: int, to_step: int) -> DataFrame:
+    """The steps of each sequence between two indices, with next_step (null at the end of the sequence)."""
+    w = W.partitionBy("sequence_id").orderBy("step_index")
+    return steps.withColumn("next_step", F.lead("step_index").over(w)).where(F.col("step_index").between(from_step, to_step))
+
+
+def sequence_issues(steps: DataFrame) -> DataFrame:
+    """Per sequence: steps, and issues (gaps in the index, a first step other than 0, negative distances)."""
+    by = steps.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("steps"), F.min("step_index").alias("a"), F.max("step_index").alias("b"), F.count_distinct("step_index").alias("kinds"), F.min("moved_distance_km").alias("least"))
+    issues = F.array_compact(F.array(F.when(F.col("a") != 0, "first_step_not_zero"), F.when((F.col("kinds") != F.col("steps")) | (F.col("b") - F.col("a") + 1 != F.col("kinds")), "step_gap_or_repeat"), F.when(F.col("least") < 0, "negative_distance")))
+    return by.select("sequence_id", "steps", issues.alias("issues"))
+
+
+def stream_latest(events: DataFrame, key: str, path: str, checkpoint: str):  # noqa: ANN201
+    """Start a query that keeps the latest event (ts, event_id) of each key of a stream as a table under path/<batch>.
+
+    Each batch merges its own latest rows into the table before it and writes the next version; a batch that is repeated
+    after a failure writes the same version again, so the result is exact.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch
+        if number:
+            new = spark.read.parquet(f"{path}/{number - 1}").unionByName(batch)
+        rest = [c for c in batch.columns if c not in (key, "ts", "event_id")]
+        last = new.groupBy(key).agg(F.max(F.struct("ts", "event_id", *rest)).alias("x")).select(key, "x.*")
+        last.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).start()
