@@ -45,3 +45,17 @@ def test_stream_source_health(spark, tmp_path):
             last[r["source"]] = (max(k), r["failure_count"], r["last_success_at"])
     want = {r["source"]: (r["failure_count"], r["last_success_at"]) for r in state.source_health(events, F.lit("2024-07-02").cast("timestamp")).collect()}
     assert {s: v[1:] for s, v in last.items()} == want
+
+
+def test_stream_latest(spark, tmp_path):
+    rows = [(i % 4, dt.datetime(2024, 7, 1) + dt.timedelta(minutes=(i * 7) % 40), i, f"a{i}") for i in range(40)]
+    events = spark.createDataFrame(rows, "run_id long, ts timestamp, event_id long, action string")
+    path = str(tmp_path / "in")
+    events.where("event_id < 20").coalesce(1).write.parquet(path)
+    events.where("event_id >= 20").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = state.stream_latest(stream, "run_id", str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    got = {r["run_id"]: r["action"] for r in spark.read.parquet(str(tmp_path / "out" / "1")).collect()}
+    assert got == {k: max((t, i, a) for r, t, i, a in rows if r == k)[2] for k in range(4)}
