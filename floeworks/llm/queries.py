@@ -85,4 +85,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+#: op8 in DuckDB: the counts, the base rule, and the shrunk failure rate of each source. The other queries have no SQL: their
+#: models, sketches, orders and merges are tested against plain versions.
+ORACLES: dict[str, str] = {
+    "op8_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+        lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{WORD}') GROUP BY 1),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest(range(0, 8)) AS j) GROUP BY 1),
+        c AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+              FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN covered ON covered.doc_id = d.doc_id),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+        h AS (SELECT source, count(*) AS n, CAST(count(*) FILTER (WHERE base_failed) AS DOUBLE) AS k FROM f GROUP BY 1),
+        m AS (SELECT sum(n) AS docs, count(*) AS hosts, sum(k) / sum(n) AS mean, sum(k * k / n) AS kk, CAST(sum(n * n) AS DOUBLE) AS nn FROM h),
+        b AS (SELECT *, (kk - docs * mean * mean - (hosts - 1) * mean * (1 - mean)) / nullif(docs - nn / docs, 0) AS spread FROM m),
+        p AS (SELECT mean, CASE WHEN spread > 0 THEN least(1e6, greatest(1e0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS strength FROM b),
+        r AS (SELECT source, (k + mean * strength) / (n + strength) AS rate FROM h, p)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.5 AS kept FROM f LEFT JOIN r ON r.source IS NOT DISTINCT FROM f.source""",
+}
