@@ -32,7 +32,25 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/t{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by written() that nothing will read again."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table bucketed by key in the shared folder: later joins on key move only their other side."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"t{uuid.uuid4().hex}"
+    df.repartition(n, key).write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
 
 
 def release(spark: SparkSession) -> None:

@@ -9,9 +9,10 @@ judged on the texts as given. The suffix order of shared text is found in parts
    segment (at most 2 * length - 24 bytes). Anchor strings that occur once are done.
 2. Equal segments of one anchor are pre-aggregated: one string, with its first place. So thousands of
    copies are one row.
-3. The different segments of an anchor are joined and their suffixes put in order by linear grouping (suffixes.py).
-   Neighbours in that order that share `length` bytes are equal windows; the one with the smallest place is
-   kept, the others are marked. An anchor with one segment needs no order.
+3. The different segments of an anchor are read as blocks of SYMBOL bytes, laid out from the anchor, joined, and
+   their suffixes put in order by linear grouping (suffixes.py). Neighbours in that order that share a
+   window's blocks, and the few bytes around them, are equal windows; the one with the smallest place is kept,
+   the others are marked. An anchor with one segment needs no order.
 4. Anchors with more than BLOCK different segments (a frequent phrase in many surroundings) are not one task:
    their windows are compared as whole strings of `length` bytes, by a sum over a key that can be split.
 5. Marks go back to all places of each segment, are joined to spans per document, and cut out.
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, written
+from .shared import bucketed, discard, release, written
 from .suffixes import suffix_array
 from .textbytes import _power, buffers, mix, pieces, prefix_hash, span_hash
 
-GRAM, BLOCK, BATCH = 24, 200, 1 << 17
+GRAM, BLOCK, SYMBOL, BATCH = 24, 20_000, 8, 1 << 18
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -50,10 +51,10 @@ def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, first window (from the row's start), number of windows and anchor hash of each run."""
+    """Row, first window (from the row's start), number of windows, anchor (from the first window) and its hash, of each run."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64)
     h = prefix_hash(data)
     m = len(data) - gram + 1
     grams = mix((h[gram:] - h[:m]) * _power("down", m))
@@ -61,7 +62,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int =
     rooms = np.maximum(0, np.diff(offsets) - length + 1)
     rows = np.flatnonzero(rooms)
     if not len(rows):
-        return none, none, none, none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64)
     counts = rooms[rows]
     first = np.cumsum(counts) - counts
     at = np.arange(counts.sum()) - np.repeat(first - offsets[rows], counts)
@@ -71,19 +72,19 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int =
     new[first] = True
     where = np.flatnonzero(new)
     row = rows[np.searchsorted(first, where, "right") - 1]
-    return row, at[where] - offsets[row], np.diff(np.append(where, len(at))), grams[anchor[where]]
+    return row, at[where] - offsets[row], np.diff(np.append(where, len(at))), anchor[where] - at[where], grams[anchor[where]]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = buffers(b.column(1))
         for i, _, part, o in pieces(data, offsets):
-            row, low, n, anchor = anchor_runs(part, o, length)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), b.column(0).take(pa.array(row + i)), pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "doc_id", "low", "n"])
+            row, low, n, at, anchor = anchor_runs(part, o, length)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), b.column(0).take(pa.array(row + i)), pa.array(low.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(at.astype(np.int16))], ["anchor", "doc_id", "low", "n", "at"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, runs -> a row for each run, with its segment and the segment's hash."""
+def _segments(batches: Iterator[pa.RecordBatch], length: int, with_bytes: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, runs -> a row for each run, with its segment's hash, or (for chosen runs) its bytes."""
     for b in batches:
         for i in range(0, b.num_rows, 256):
             part = b.slice(i, 256)
@@ -94,149 +95,189 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             low, n = (flat.field(f).to_numpy().astype(np.int64) for f in ("low", "n"))
             start = offsets[row] + low
             end = start + n - 1 + length
-            h = span_hash(prefix_hash(data), start, end)
-            lengths = end - start
-            ends = np.cumsum(lengths)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - lengths), lengths)
-            seg = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[at])])
-            yield pa.RecordBatch.from_arrays([flat.field("anchor"), pa.array(h.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32)), seg], ["anchor", "segment", "doc_id", "low", "n", "bytes"])
-
-
-def equal_windows(segments: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """The sets of two or more windows (segment, start) of `length` equal bytes, by the suffixes' order."""
-    where: list[int] = []
-    text: list[int] = []
-    for s in segments:
-        where.append(len(text))
-        text += s
-        text.append(256)
-    order = suffix_array(text)
-    whole = b"".join(s.ljust(len(s) + 1, b"\0") for s in segments)
-    owner = np.repeat(np.arange(len(segments)), [len(s) + 1 for s in segments])
-    room = np.concatenate([np.arange(len(s), -1, -1) for s in segments]) >= length
-    out: list[list[tuple[int, int]]] = []
-    last, now = b"", []
-    owners = owner.tolist()
-    for p in np.array(order)[room[order]].tolist():
-        w = whole[p : p + length]
-        if w != last:
-            if len(now) > 1:
-                out.append(now)
-            last, now = w, []
-        now.append((owners[p], p - where[owners[p]]))
-    if len(now) > 1:
-        out.append(now)
-    return out
-
-
-def _marks(group: list[tuple], length: int) -> list[list[dict]]:
-    """For each segment (doc_id, low, n, bytes) of one anchor: spans of windows to mark. first: in its first place too."""
-    state = [np.zeros(n, np.int8) for _, _, n, _ in group]  # 0: marked in all places but the first; 1: in all
-    if len(group) > 1:
-        for same in equal_windows([s for *_, s in group], length):
-            best = min(same, key=lambda x: (group[x[0]][0], group[x[0]][1] + x[1]))
-            for k, at in same:
-                if (k, at) != best:
-                    state[k][at] = 1
-    return [_spans(s) for s in state]
-
-
-def _spans(state: np.ndarray) -> list[dict]:
-    cut = np.flatnonzero(np.diff(state)) + 1
-    return [{"a": int(a), "b": int(b) - 1, "first": bool(state[a])} for a, b in zip(np.append(0, cut), np.append(cut, len(state)), strict=True)]
+            out = [flat.field("anchor"), part.column(0).take(pa.array(row)), *(flat.field(f) for f in ("low", "n", "at"))]
+            names = ["anchor", "doc_id", "low", "n", "at"]
+            if with_bytes:
+                lengths = end - start
+                ends = np.cumsum(lengths)
+                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - lengths), lengths)
+                seg = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[at])])
+                yield pa.RecordBatch.from_arrays([*out, flat.field("segment"), seg], [*names, "segment", "bytes"])
+            else:
+                h = span_hash(prefix_hash(data), start, end)
+                yield pa.RecordBatch.from_arrays([*out, pa.array(h.view(np.int64))], [*names, "segment"])
+
+
+def equal_windows(segments: list[bytes], counts: list[int], places: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window's segment, start in it, and the number of its class: windows of `length` equal bytes get one number.
+
+    places are the anchors' offsets: bytes are read as blocks of SYMBOL bytes from there, so equal windows hold equal
+    blocks. The suffixes of the block sequences are put in order; neighbours that share a window's whole blocks are one
+    class, then the fewer than SYMBOL bytes before and after them decide.
+    """
+    q = SYMBOL
+    rows, lengths = [], []
+    for s, at in zip(segments, places, strict=True):
+        f = at % q
+        blocks = np.frombuffer(s, "<u8", (len(s) - f) // q, f)
+        rows += [blocks, np.zeros(1, np.uint64)]
+        lengths.append(len(blocks) + 1)
+    text = np.concatenate(rows)
+    ends = np.cumsum(lengths)
+    first = ends - lengths
+    symbols = np.unique(text, return_inverse=True)[1] + 1
+    symbols[ends - 1] = 0  # a separator is below every block
+    order = np.array(suffix_array(symbols.tolist()))
+    room = np.repeat(ends - 1, lengths) - np.arange(len(text))
+    padded = np.append(symbols, np.zeros(length // q + 1, symbols.dtype))
+    classes: dict[int, np.ndarray] = {}
+
+    def ranks(c: int) -> np.ndarray:
+        """For each position with c blocks: the number of its class of suffixes that share c blocks."""
+        if c not in classes:
+            some = order[room[order] >= c]
+            new = np.zeros(len(some), bool)
+            for k in range(c):
+                new[1:] |= padded[some[1:] + k] != padded[some[:-1] + k]
+            found = np.full(len(text), -1, np.int64)
+            found[some] = np.cumsum(new)
+            classes[c] = found
+        return classes[c]
+
+    owner = np.repeat(np.arange(len(segments)), counts)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    f = (np.array(places) % q)[owner]
+    head = (f - start) % q
+    c = (length - head) // q
+    tail = length - head - c * q
+    whole = np.frombuffer(b"".join(segments) + bytes(q), np.uint8)
+    base = (np.cumsum([len(s) for s in segments]) - [len(s) for s in segments])[owner] + start
+    packed = []
+    for at, size in ((base, head), (base + head + c * q, tail)):
+        value = np.zeros(len(owner), np.uint64)
+        for k in range(q - 1):
+            value |= np.where(k < size, whole[np.minimum(at + k, len(whole) - 1)], 0).astype(np.uint64) << np.uint64(8 * k)
+        packed.append(value)
+    position = first[owner] + (start + head - f) // q
+    rank = np.zeros(len(owner), np.int64)
+    for x in np.unique(c):
+        rank[c == x] = ranks(int(x))[position[c == x]]
+    key = np.zeros(len(owner), np.uint64)
+    for part in (rank.view(np.uint64), head.astype(np.uint64), *packed):
+        key = mix(key * np.uint64(0xD6E8FEB86659FD93) + part)
+    return owner, start, np.unique(key, return_inverse=True)[1]
+
+
+def _marks(rows: list[tuple], length: int) -> pa.Array:
+    """For each row (anchor, segment, doc_id, low, n, at, bytes) of several anchors: spans of windows to mark. first: in the segment's first place too."""
+    owner, start, number = equal_windows([r[6] for r in rows], [r[4] for r in rows], [r[5] for r in rows], length)
+    doc = np.unique(np.array([r[2] for r in rows]), return_inverse=True)[1]
+    order = np.lexsort((start + np.array([r[3] for r in rows])[owner], doc[owner], number))
+    leads = np.ones(len(order), bool)
+    leads[1:] = number[order][1:] != number[order][:-1]
+    everywhere = np.ones(len(order), bool)
+    everywhere[order[leads]] = False  # the window in the smallest place stays there
+    new = np.ones(len(order), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (everywhere[1:] != everywhere[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(order)) - 1
+    spans = pa.StructArray.from_arrays([pa.array(start[at].astype(np.int32)), pa.array(start[last].astype(np.int32)), pa.array(everywhere[at])], ["a", "b", "first"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[at], np.arange(len(rows) + 1)).astype(np.int32)), spans)
 
 
 def _ordered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor -> anchor, segment, spans. Anchors are put in order several at once."""
-    names = ["anchor", "segment", "spans"]
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("first", pa.bool_())]))
+    """Rows sorted by anchor -> anchor, segment, spans. Several anchors are put in order at once: windows of different anchors never agree."""
     held: list[tuple] = []
     size = 0
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        spans: list[list[dict]] = []
-        i = 0
-        while i < len(rows):
-            # anchors of one segment alone need no order; the others share one text: their windows never agree
-            j, total = i, 0
-            while j < len(rows) and total < BATCH:
-                total += len(rows[j][5])
-                j += 1
-            while j < len(rows) and rows[j][0] == rows[j - 1][0]:
-                j += 1
-            part = rows[i:j]
-            lone = [(k == 0 or part[k - 1][0] != r[0]) and (k + 1 == len(part) or part[k + 1][0] != r[0]) for k, r in enumerate(part)]
-            shared = iter(_marks([r[2:] for r, x in zip(part, lone, strict=True) if not x], length))
-            spans += [[{"a": 0, "b": r[4] - 1, "first": False}] if x else next(shared) for r, x in zip(part, lone, strict=True)]
-            i = j
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(spans, kind)], names)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), _marks(rows, length)], ["anchor", "segment", "spans"])
 
     for b in batches:
-        rows = list(zip(*(b.column(i).to_pylist() for i in range(6)), strict=True))
-        held += rows
-        size += len(rows)
-        if held and size > 5000:
-            keep = len(held)
-            while keep and held[keep - 1][0] == held[-1][0]:
-                keep -= 1
-            if keep:
-                yield done(held[:keep])
-                held = held[keep:]
-                size = len(held)
+        for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            if size > BATCH and row[0] != held[-1][0]:
+                yield done(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[6])
     if held:
         yield done(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, spans (bytes start to end, unordered) -> what is left of each text."""
-    for b in batches:
-        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            raw = (text or "").encode()
-            kept, at, removed, count = [], 0, 0, 0
-            low = high = -1
-            for s in [*sorted((s["start"], s["end"]) for s in spans or []), (len(raw) + 1, len(raw) + 1)]:
-                if s[0] > high:
-                    if high > low:
-                        kept.append(raw[at:low])
-                        at, removed, count = high, removed + high - low, count + 1
-                    low, high = s
-                else:
-                    high = max(high, s[1])
-            kept.append(raw[at:])
-            left = b"".join(kept)
-            for k, v in zip(out, (len(raw), removed, count, hashlib.sha256(left).hexdigest() if digest else left), strict=True):
-                out[k].append(v)
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.string() if digest else pa.binary())], ["doc_id", *out])
+    """doc_id, text, spans (bytes start to end, in any order, overlapping) -> what is left of each text."""
+    wide = np.int64(1) << np.int64(32)
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1000):
+            b = whole.slice(i, 1000)
+            n = b.num_rows
+            data, offsets = buffers(b.column(1))
+            lists = b.column(2)
+            sizes = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(n), sizes)
+            start, end = (flat.field(f).to_numpy().astype(np.int64) for f in ("start", "end"))
+            order = np.lexsort((start, row))
+            row, low, high = row[order], (row * wide)[order] + start[order], (row * wide)[order] + end[order]
+            reach = np.maximum.accumulate(high) if len(high) else high
+            new = np.ones(len(low), bool)
+            new[1:] = low[1:] > reach[:-1]
+            at = np.flatnonzero(new)
+            upto = np.append(at[1:], len(low)) - 1
+            who, first, last = row[at], low[at] - row[at] * wide, (reach[upto] - row[at] * wide) if len(at) else low[at]
+            removed = np.zeros(n, np.int64)
+            np.add.at(removed, who, last - first)
+            keep = np.zeros(len(data) + 1, np.int8)
+            np.add.at(keep, offsets[who] + first, 1)
+            np.add.at(keep, offsets[who] + last, -1)
+            left = data[np.cumsum(keep[:-1]) == 0]
+            ends = offsets - np.append(0, np.cumsum(removed))
+            parts = [left[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            kept = pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()) if digest else pa.array(parts, pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.bincount(who, minlength=n).astype(np.int64)), kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def removed_spans(docs: DataFrame, length: int = 100, column: str = "text") -> DataFrame:
     """doc_id and spans (array of start, end in bytes; they may overlap) of every document that loses something."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.col(column).alias("text"))
-    runs = written(texts.mapInArrow(lambda b: _anchors(b, length), f"anchor long, doc_id {kind}, low int, n int"))
-    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
-    again = written(runs.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "low", "n")).alias("runs")))
+    texts = docs if column == "text" and docs.columns == ["doc_id", "text"] else docs.select("doc_id", F.col(column).alias("text"))
+    runs = written(texts.mapInArrow(lambda b: _anchors(b, length), f"anchor long, doc_id {kind}, low int, n short, at short"))
+    twice = written(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"))
+    release(spark)
+    hits = written(runs.join(twice, "anchor"))
+    discard(runs)
+    release(spark)
+    again = written(hits.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "low", "n", "at")).alias("runs")))
+    discard(hits)
     release(spark)
-    segment = f"anchor long, segment long, doc_id {kind}, low int, n int, bytes binary"
-    found = written(texts.join(again, "doc_id").select("doc_id", "text", "runs").mapInArrow(lambda b: _segments(b, length), segment))
+    row = f"anchor long, doc_id {kind}, low int, n short, at short, segment long"
+    found = written(texts.join(again, "doc_id").select("doc_id", "text", "runs").mapInArrow(lambda b: _segments(b, length, False), row))
+    discard(again)
     release(spark)
-    distinct = written(found.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "low", "n", "bytes")).alias("f")).select("anchor", "segment", "f.*"))
+    distinct = written(found.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "low", "n", "at")).alias("f")).select("anchor", "segment", "f.*"))
+    kinds = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     release(spark)
-    crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > BLOCK).select("anchor")
-    crowded = written(crowded)
-    few = distinct.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "low")
+    # the bytes of the segments whose anchor has several
+    asked = distinct.join(kinds, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "segment", "low", "n", "at")).alias("runs"))
+    rivals = texts.join(asked, "doc_id").select("doc_id", "text", "runs").dropDuplicates(["doc_id"]).mapInArrow(lambda b: _segments(b, length, True), f"{row}, bytes binary")
+    rivals = written(rivals.select("anchor", "segment", "doc_id", "low", "n", "at", "bytes"))
+    release(spark)
+    crowded = kinds.where(F.col("kinds") > BLOCK).select("anchor")
+    few = rivals.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "low")
     spans = "array<struct<a:int, b:int, first:boolean>>"
     marks = few.mapInArrow(lambda b: _ordered(b, length), f"anchor long, segment long, spans {spans}")
-    many = distinct.join(crowded, "anchor").select("anchor", "segment", "doc_id", "low", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> substring(bytes, i + 1, {length}))")).alias("at", "window"))
+    many = rivals.join(crowded, "anchor").select("anchor", "segment", "doc_id", "low", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> substring(bytes, i + 1, {length}))")).alias("at", "window"))
     many = written(many.select("anchor", "segment", "doc_id", "low", "at", F.xxhash64("window").alias("w1"), F.xxhash64(F.lit(1), "window").alias("w2")))
     least = many.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", (F.col("low") + F.col("at")).alias("start"))).alias("best"))
     best = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("low") + F.col("at") == F.col("best.start"))
     single = many.join(least, ["w1", "w2"]).select("anchor", "segment", "at", (~best).alias("first"))
     single = single.groupBy("anchor", "segment").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"), "first")).alias("spans"))
-    marks = written(marks.unionByName(single).join(distinct.select("anchor", "segment", F.col("doc_id").alias("first_doc"), F.col("low").alias("first_low")), ["anchor", "segment"]))
+    marks = written(marks.unionByName(single))
     release(spark)
+    # a segment without rivals is marked in all places but its first
+    alone = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).cast("int").alias("b"), F.lit(False).alias("first"))).cast(spans)
+    marks = written(distinct.select("anchor", "segment", F.col("doc_id").alias("first_doc"), F.col("low").alias("first_low"), "n").join(marks, ["anchor", "segment"], "left").select("anchor", "segment", "first_doc", "first_low", F.coalesce("spans", alone).alias("spans")))
     places = found.select("anchor", "segment", "doc_id", "low").join(marks, ["anchor", "segment"])
     is_first = "(doc_id = first_doc AND low = first_low)"
     cut = places.select("doc_id", F.expr(f"transform(filter(spans, s -> s.first OR NOT {is_first}), s -> struct(low + s.a AS start, low + s.b + {length} AS end))").alias("spans")).where("size(spans) > 0")
@@ -244,9 +285,14 @@ def removed_spans(docs: DataFrame, length: int = 100, column: str = "text") -> D
 
 
 def deduplicated(docs: DataFrame, length: int = 100, column: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept: the remaining bytes, or with digest their SHA-256 in hex."""
+    """doc_id, n_bytes, n_removed, n_spans and kept: the remaining bytes, or with digest their SHA-256 in hex.
+
+    The texts are bucketed by doc_id once, so the three joins by doc_id move only small rows.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = removed_spans(docs, length, column)
+    texts = bucketed(docs.select("doc_id", F.col(column).alias("text")), "doc_id")
+    release(docs.sparkSession)
+    spans = removed_spans(texts, length)
     release(docs.sparkSession)
-    both = docs.select("doc_id", F.col(column).alias("text")).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    both = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(lambda b: _cut(b, digest), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
