@@ -27,11 +27,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         new = written(small.where("u <> v").distinct())
-        # done when the edges are stars: no node is both a leaf and a centre, and no leaf has two centres
-        n = new.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("leaves")).first()
-        chained = new.select("u").distinct().join(new.select(F.col("v").alias("u")).distinct(), "u").limit(1).count()
+        # done when the edges are stars, each leaf with one centre that is no leaf itself
+        ends = new.groupBy("u").agg(F.count(F.lit(1)).alias("centres"), F.lit(0).alias("centre")).unionByName(new.select(F.col("v").alias("u")).distinct().select("u", F.lit(0).cast("long").alias("centres"), F.lit(1).alias("centre")))
+        stars = ends.groupBy("u").agg(F.sum("centres").alias("centres"), F.max("centre").alias("centre")).where("centres > 1 OR centres = 1 AND centre = 1").isEmpty()
         e = new
-        if n["n"] == n["leaves"] and not chained:
+        if stars:
             break
         release(edges.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

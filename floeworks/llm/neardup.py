@@ -4,18 +4,21 @@ A text's set is its distinct shingles of `width` words (A-Z lower-cased; fewer w
 no words: the empty set, linked with nothing). Two documents are linked if the Jaccard similarity of their
 sets is at least `percent` / 100, and a class is what links reach.
 
-1. Each document gets, in one pass over its text, its set's size and a 128-bit key, and a sketch of 128
+1. Each document gets, in one pass over its text, its set's size and a 128-bit key, and a sketch of 256
    coordinates. Rounds hash every shingle into one bin with a value that grows with the round; a bin keeps
-   its least value; rounds go on until every bin is full. After 128 rounds, round 128 + i fills bin i from
+   its least value; rounds go on until every bin is full. After 256 rounds, round 256 + i fills bin i from
    all shingles, so every coordinate fills. Two sketches agree in a coordinate with a probability equal to
    the similarity, and the share of agreeing coordinates is concentrated around it.
 2. Documents of equal sets are one representative (the smallest doc_id): copies add no pairs.
 3. Representatives share a bucket if 4 neighbouring coordinates agree; 32 buckets each (at 0.8 the chance
-   to miss is 5e-8). Each bucket's members are verified on their full sets against its smallest member.
-4. Buckets whose members are then in more than one component are compared again, in blocks of BLOCK
-   members: pairs from different components whose sketches agree in at least `percent` - 25 points (over
-   6 standard deviations) are verified on full sets. So no link between classes is lost, and groups
-   that are already joined add no pairs.
+   to miss is 5e-8). In up to ROUNDS rounds one member of each bucket (first the smallest, then by a new hash
+   each time) leads: members of other components than the leader's are compared with it, first by size and
+   sketch (agreement of at least `percent` - 10 points, 4 standard deviations), then on full sets,
+   and components are merged. So each round compares at most one pair a member. Rounds end early when the
+   open buckets hold no more than PAIRS pairs for each member of a bucket.
+4. Buckets whose members are then still in more than one component are compared whole, in blocks of BLOCK
+   members: pairs from different components that sizes and sketches allow are verified on full sets. So
+   no link between classes is lost, and groups that are already joined add no pairs.
 
 Null and empty texts have the empty set. Repeated rows of one doc_id count as copies of each other.
 """
@@ -33,9 +36,9 @@ from .components import components
 from .shared import release, written
 from .textbytes import LOWER, buffers, mix, pieces, prefix_hash, shingle_hashes, shingle_set, span_hash, words
 
-BINS, BANDS, BLOCK, MARGIN = 128, 32, 256, 25
+BINS, BANDS, ROWS, BLOCK, MARGIN, ROUNDS, PAIRS = 256, 32, 4, 256, 10, 4, 20
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_LOW = np.uint64((1 << 56) - 1)
+_LOW = np.uint64((1 << 55) - 1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -49,10 +52,10 @@ def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
     while done < bins and (s == _EMPTY).any():
         rounds = np.arange(done, min(bins, done + max(1, 1024 // len(elements))))
         u = mix(elements[None, :] ^ _SEEDS[rounds][:, None])
-        np.minimum.at(s, (u >> shift).astype(np.int64).ravel(), ((u & _LOW) | (rounds.astype(np.uint64) << np.uint64(56))[:, None]).ravel())
+        np.minimum.at(s, (u >> shift).astype(np.int64).ravel(), ((u & _LOW) | (rounds.astype(np.uint64) << np.uint64(55))[:, None]).ravel())
         done = int(rounds[-1]) + 1
     for b in np.flatnonzero(s == _EMPTY):
-        s[b] = (mix(elements ^ _SEEDS[bins + b]) & _LOW).min() | np.uint64((128 + b // 2) << 56)
+        s[b] = (mix(elements ^ _SEEDS[bins + b]) & _LOW).min() | np.uint64((bins + int(b)) << 55)
     return s
 
 
@@ -71,10 +74,9 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 if len(e):
                     keys[k] = mix(e).sum(dtype=np.uint64), mix(e ^ _SEEDS[0]).sum(dtype=np.uint64)
                     all_s[k] = sketch(e)
-            rows = BINS // BANDS
             bands = np.broadcast_to(salt, (j - i, BANDS)).copy()
-            for r in range(rows):
-                bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + all_s[:, r::rows])
+            for r in range(ROWS):
+                bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + all_s[:, r : ROWS * BANDS : ROWS])
             marks = (mix(all_s) >> np.uint64(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -112,33 +114,71 @@ def _alike(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, column: str = "text") -> DataFrame:
-    """The pairs (a, b) that are alike on full sets. Texts of the documents concerned are fetched once."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    pairs = written(pairs.select("a", "b").distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.select("doc_id", F.col(column).alias("text")).join(ids, "doc_id", "left_semi"))
-    release(docs.sparkSession)
+def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """a, b, sizes and marks of both -> the pairs that sizes and sketches allow to be alike."""
+    for batch in batches:
+        m1, m2 = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (3, 5))
+        n1, n2 = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+        mask = pa.array(((m1 == m2).sum(axis=1) >= _least(percent)) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+
+def _least(percent: int) -> int:
+    return int(BINS * (percent - MARGIN) / 100)
+
+
+def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) that sizes and sketches allow to be alike."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    side = lambda c: marks.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("marks").alias(f"m_{c}"))
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "m_a", "n_b", "m_b")
+    return written(both.mapInArrow(lambda x: _plausible(x, percent), f"a {kind}, b {kind}"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are alike on the full sets of their texts."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: _alike(x, width, percent), f"a {kind}, b {kind}"))
 
 
-def _close(members: list[dict], other: list[dict], same: bool, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two blocks whose components differ and whose sketches agree in at least `least` coordinates."""
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (doc_id, component) after the links (a, b) join components."""
+    ends = links.join(comp.select(F.col("doc_id").alias("a"), F.col("component").alias("u")), "a").join(comp.select(F.col("doc_id").alias("b"), F.col("component").alias("v")), "b")
+    roots = components(ends.select("u", "v"), "u", "v").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return written(comp.join(roots, "component", "left").select("doc_id", F.coalesce("root", "component").alias("component")))
+
+
+def _close(members: list[dict], other: list[dict], same: bool, percent: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two blocks of different components that sizes and sketches allow to be alike.
+
+    A pair that shares several buckets is given in the least of them only.
+    """
+    least = _least(percent)
     m1 = np.frombuffer(b"".join(x["marks"] for x in members), np.uint8).reshape(-1, BINS)
     m2 = np.frombuffer(b"".join(x["marks"] for x in other), np.uint8).reshape(-1, BINS)
     c1, c2 = np.array([x["component"] for x in members]), np.array([x["component"] for x in other])
+    n1, n2 = np.array([x["n_shingles"] for x in members]), np.array([x["n_shingles"] for x in other])
+    b1, b2 = (np.array([x["bands"] for x in some], np.int64) for some in (members, other))
+    most = np.iinfo(np.int64).max
     left, right = [], []
     for i in range(len(m1)):
-        hit = ((m1[i] == m2).sum(axis=1) >= least) & (c1[i] != c2)
+        hit = ((m1[i] == m2).sum(axis=1) >= least) & (c1[i] != c2) & (100 * np.minimum(n1[i], n2) >= percent * np.maximum(n1[i], n2))
         if same:
             hit[: i + 1] = False
         at = np.flatnonzero(hit)
+        at = at[np.where(b2[at] == b1[i], b2[at], most).min(axis=1) == bucket]
         left.append(np.full(len(at), i))
         right.append(at)
     return np.concatenate(left), np.concatenate(right)
 
 
+def _open(member: DataFrame) -> DataFrame:
+    """member (bucket, doc_id, component) of the buckets that hold several components."""
+    several = member.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
+    return written(member.join(several, "bucket").select("bucket", "doc_id", "component"))
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id)."""
     spark = docs.sparkSession
@@ -149,20 +189,30 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, column: str = "t
     reps = sk.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     buckets = written(reps.select("doc_id", F.explode("bands").alias("bucket")))
     firsts = buckets.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(buckets.join(firsts, "bucket").select("bucket", "doc_id", "first"))
-    links = verified(shared.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")), docs, width, percent, column)
+    shared = written(buckets.join(firsts.select("bucket"), "bucket"))
+    marks = written(sk.select("doc_id", "n_shingles", "marks", "bands").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = written(docs.select("doc_id", F.col(column).alias("text")).join(marks.select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     release(spark)
-    comp = components(links)
+    comp = marks.select("doc_id", F.col("doc_id").alias("component"))
+    rows = shared.count()
+    member = _open(shared.withColumn("component", F.col("doc_id")))
+    for turn in range(ROUNDS):
+        # pairs of different components that the open buckets hold
+        sizes = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        if (sizes.agg(F.sum(F.col("n") * F.col("n") - F.col("own")).alias("pairs")).first()["pairs"] or 0) <= PAIRS * rows:
+            break
+        place = F.col("doc_id") if turn == 0 else F.xxhash64(F.lit(turn), "doc_id")
+        lead = member.groupBy("bucket").agg(F.min(F.struct(place.alias("place"), "doc_id", "component")).alias("lead")).select("bucket", F.col("lead.doc_id").alias("lead"), F.col("lead.component").alias("lead_component"))
+        stars = member.join(lead, "bucket").where("component <> lead_component").select(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b"))
+        comp = merged(comp, verified(plausible(stars, marks, percent), texts, width, percent))
+        member = _open(member.select("bucket", "doc_id").join(comp, "doc_id"))
+        release(spark)
     # buckets that still hold several components
-    member = shared.select("bucket", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    member = written(member)
-    open_ = member.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 <> c2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    several = member.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    several = several.join(sk.select("doc_id", "marks").dropDuplicates(["doc_id"]), "doc_id")
+    blocks = member.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    several = member.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(marks, "doc_id")
     # each block meets itself and every other block of its bucket once
     several = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    several = several.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "component", "marks")
-    least = int(BINS * (percent - MARGIN) / 100)
+    several = several.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "component", "n_shingles", "marks", "bands")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ("bucket", "x", "y")):
@@ -170,16 +220,17 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, column: str = "t
             one = [r for r in group if r["block"] == x]
             two = one if x == y else [r for r in group if r["block"] == y]
             if one and two:
-                i, j = _close(one, two, x == y, least)
+                i, j = _close(one, two, x == y, percent, group[0]["bucket"])
                 ids1, ids2 = [one[k]["doc_id"] for k in i], [two[k]["doc_id"] for k in j]
                 if ids1:
                     yield pa.RecordBatch.from_pydict({"a": ids1, "b": ids2})
 
     more = several.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(pairs, f"a {kind}, b {kind}")
     more = written(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if not more.isEmpty():
-        comp = components(links.unionByName(verified(more, docs, width, percent, column)))
-    by_set = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component"))
+    links = verified(more, texts, width, percent)
+    if not links.isEmpty():
+        comp = merged(comp, links)
+    by_set = sets.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("component"))
     by_set = written(by_set)
     out = sk.select("doc_id", *keys).join(by_set, keys, "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -202,4 +253,4 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[l
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, column: str = "text") -> DataFrame:
     """The rows of docs whose document is the smallest of its class; the columns of docs."""
     keep = classes(docs, width, percent, column).where("kept").select("doc_id")
-    return docs.join(keep.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(keep.distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
