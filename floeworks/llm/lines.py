@@ -1,13 +1,15 @@
 """Line dedup by a log-template tree.
 
 Lines (cut at \\n) become tokens at white space; tokens with digits are variable from the start. A tree of fixed
-depth leads each line by its token count and its first DEPTHS[0] tokens to a leaf. Within a leaf, lines join the
+depth leads each line by its token count and its first LEADING tokens to a leaf. Within a leaf, lines join the
 template they agree with in the largest share of positions, at least `agree`; positions that differ become
 variable. A template found in at least `min_docs` different documents recurs, and its lines are dropped.
 
-A leaf with more than LEAF different lines is routed on by more leading tokens (DEPTHS), at last by the whole
-line, so no leaf is more than one small task however many rows lead to it. Equal lines are one row with
-a count before they reach a leaf.
+A leaf with more than LEAF different lines is cut into the connected components of its lines, two of which are
+linked where they share one of the stretches (`Stretches`) that lines of one template must share. A line's template
+depends on lines of its own component only, so the templates are those of the whole leaf, whatever LEAF is. A
+component is one task, which holds its templates but not its lines. Equal lines are one row with a count before
+they reach a leaf.
 
 A document all of whose lines recur is a copy as a whole; it keeps its text and is left to document dedup, so no
 document is emptied. Blank lines are never dropped and never counted. Null and empty texts stay as they are.
@@ -17,6 +19,7 @@ table has it.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import runs
+from .components import components
 from .shared import release, written
 
-DEPTHS = (3, 8, 16)
+LEADING = 3
 LEAF = 1000
 VARIABLE = "<*>"
 _DIGITS = re.compile(r"\S*\d\S*")
@@ -45,8 +48,8 @@ def _number(key: str) -> int:
 
 
 def keys(parts: list[str]) -> list[int]:
-    """Hashes of the whole line and of its path to each depth."""
-    return [_number("\0".join(parts)), *(_number(f"{len(parts)}\0" + "\0".join(parts[:d])) for d in DEPTHS)]
+    """Hashes of the whole line and of its path to a leaf."""
+    return [_number("\0".join(parts)), _number(f"{len(parts)}\0" + "\0".join(parts[:LEADING]))]
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,57 +68,107 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row.append(k)
                     made.append(keys(joined.split("\0")))
                     places.append(p)
-            columns = [pa.array([m[j] for m in made], pa.int64()) for j in range(4)]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *columns, pa.array(places, pa.list_(pa.int32()))], ["doc_id", "line", "k0", "k1", "k2", "places"])
+            columns = [pa.array([m[j] for m in made], pa.int64()) for j in range(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *columns, pa.array(places, pa.list_(pa.int32()))], ["doc_id", "line", "leaf", "places"])
 
 
-def templates(lines: list[list[str]], agree: float) -> list[int]:
-    """For each line of one leaf (equal token counts), the index of the first line of its template."""
-    made: list[tuple[int, list[str]]] = []
-    out = []
-    for i, line in enumerate(lines):
+class Stretches:
+    """The stretches of a line of which two lines that agree must share one whole.
+
+    A line may differ from a template of its leaf in so many places behind the leading tokens; cut there into one
+    stretch more than that, one of them agrees in full. A template only loses tokens of its first line, so a line
+    joins none whose first line it shares no stretch with. A variable token agrees with nothing.
+    """
+
+    def __init__(self, agree: float, leading: int = LEADING):
+        self.agree, self.leading = agree, leading
+
+    def of(self, parts: list[str]) -> list[tuple[int, str]]:
+        size = len(parts)
+        least = next(n for n in range(1, size + 2) if n / size >= self.agree or n > size)
+        free = size - least - parts[: self.leading].count(VARIABLE)
+        rest = max(0, size - self.leading)
+        if free < 0:
+            return []  # no line agrees with it
+        if free >= rest:
+            return [(0, "")]  # all lines agree with it
+        ends = [self.leading + rest * i // (free + 1) for i in range(free + 2)]
+        return [(i, "\0".join(parts[a:b])) for i, (a, b) in enumerate(itertools.pairwise(ends)) if VARIABLE not in parts[a:b]]
+
+
+class Templates:
+    """The templates of lines with equal token counts and leading tokens, in the order the lines come."""
+
+    def __init__(self, agree: float, leading: int = LEADING):
+        self.agree, self.stretches = agree, Stretches(agree, leading)
+        self.made: list[tuple[int, list[str]]] = []
+        self.at: dict[tuple[int, str], list[int]] = {}
+
+    def of(self, name: int, line: list[str]) -> int:
+        """The name of the first line of the template that the line joins or makes."""
+        found = self.stretches.of(line)
         best, share = -1, 0.0
-        for k, (_, template) in enumerate(made):
-            s = sum(a == b and a != VARIABLE for a, b in zip(template, line, strict=True)) / len(line)
+        for k in sorted({k for x in found for k in self.at.get(x, ())}):
+            s = sum(a == b and a != VARIABLE for a, b in zip(self.made[k][1], line, strict=True)) / len(line)
             if s > share:
                 best, share = k, s
-        if best >= 0 and share >= agree:
-            first, template = made[best]
-            made[best] = (first, [a if a == b else VARIABLE for a, b in zip(template, line, strict=True)])
-            out.append(first)
-        else:
-            made.append((i, line))
-            out.append(i)
-    return out
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, asked (leaf, line, n, place) -> leaf, line, n and the line's tokens."""
+        if best >= 0 and share >= self.agree:
+            first, template = self.made[best]
+            self.made[best] = (first, [a if a == b else VARIABLE for a, b in zip(template, line, strict=True)])
+            return first
+        for x in found:
+            self.at.setdefault(x, []).append(len(self.made))
+        self.made.append((name, line))
+        return name
+
+
+def templates(lines: list[list[str]], agree: float) -> list[int]:
+    """For each line (equal token counts), the index of the first line of its template."""
+    made = Templates(agree, 0)
+    return [made.of(i, line) for i, line in enumerate(lines)]
+
+
+def _texts(batches: Iterator[pa.RecordBatch], agree: float) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, asked (leaf, line, n, place, large) -> leaf, line, n, the line's tokens and, in large leaves, its stretches (hashes)."""
+    stretches = Stretches(agree)
     for b in batches:
-        out: dict[str, list] = {"leaf": [], "line": [], "n": [], "tokens": []}
+        out: dict[str, list] = {"leaf": [], "line": [], "n": [], "tokens": [], "stretches": []}
         for text, asked in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             lines = (text or "").split("\n")
             for a in asked:
-                for k, v in zip(out, (a["leaf"], a["line"], a["n"], "\0".join(tokens(lines[a["place"]]))), strict=True):
+                parts = tokens(lines[a["place"]])
+                shared = [_number(f"{a['leaf']}\0{i}\0{x}") for i, x in stretches.of(parts)] if a["large"] else None
+                for k, v in zip(out, (a["leaf"], a["line"], a["n"], "\0".join(parts), shared), strict=True):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("leaf", "line", "n")), pa.array(out["tokens"], pa.string())], list(out))
+        yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("leaf", "line", "n")), pa.array(out["tokens"], pa.string()), pa.array(out["stretches"], pa.list_(pa.int64()))], list(out))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], agree: float) -> Iterator[pa.RecordBatch]:
     """Lines sorted by leaf -> line, template (the hash of its first line)."""
-    found: list[tuple[int, int]] = []
-    for group in runs(batches, ("leaf",)):
-        # equal paths may come from different token counts only by a clash of hashes
-        by_size: dict[int, list[dict]] = {}
-        for r in group:
-            r["tokens"] = r["tokens"].split("\0")
-            by_size.setdefault(len(r["tokens"]), []).append(r)
-        for some in by_size.values():
-            found += [(r["line"], some[i]["line"]) for r, i in zip(some, templates([r["tokens"] for r in some], agree), strict=True)]
-        if len(found) > 5000:
-            yield pa.RecordBatch.from_pydict({"line": pa.array([x for x, _ in found], pa.int64()), "template": pa.array([x for _, x in found], pa.int64())})
-            found = []
-    yield pa.RecordBatch.from_pydict({"line": pa.array([x for x, _ in found], pa.int64()), "template": pa.array([x for _, x in found], pa.int64())})
+    now, made = None, {}
+    for b in batches:
+        found = []
+        for leaf, line, text in zip(*(b.column(k).to_pylist() for k in ("leaf", "line", "tokens")), strict=True):
+            if leaf != now:
+                now, made = leaf, {}
+            parts = text.split("\0")
+            # a leaf holds several paths only by a clash of hashes
+            path = (len(parts), *parts[:LEADING])
+            if path not in made:
+                made[path] = Templates(agree)
+            found.append(made[path].of(line, parts))
+        yield pa.RecordBatch.from_arrays([b.column("line"), pa.array(found, pa.int64())], ["line", "template"])
+
+
+def _cut(fetched: DataFrame) -> DataFrame:
+    """fetched with the component in place of the leaf where the leaf is large."""
+    large = fetched.where("stretches IS NOT NULL")
+    if large.isEmpty():
+        return fetched
+    # lines and stretches are the nodes; a line without stretches is its own component
+    parts = written(components(large.select("line", F.explode("stretches").alias("stretch")), "line", "stretch"))
+    cut = large.join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("leaf", F.coalesce("component", "line"))
+    return fetched.where("stretches IS NULL").unionByName(cut.select(*fetched.columns))
 
 
 def recurring(docs: DataFrame, min_docs: int = 10, agree: float = 0.7, column: str = "text") -> DataFrame:
@@ -123,26 +176,20 @@ def recurring(docs: DataFrame, min_docs: int = 10, agree: float = 0.7, column: s
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col(column).alias("text"))
-    found = written(texts.mapInArrow(_found, f"doc_id {kind}, line long, k0 long, k1 long, k2 long, places array<int>"))
-    kinds = found.groupBy("line", "k0", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("places")[0].alias("place"))).alias("e"))
-    kinds = written(kinds.selectExpr("line", "k0", "k1", "k2", "n", "e.doc_id", "e.place"))
+    found = written(texts.mapInArrow(_found, f"doc_id {kind}, line long, leaf long, places array<int>"))
+    kinds = found.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("places")[0].alias("place"))).alias("e"))
+    kinds = written(kinds.selectExpr("line", "leaf", "n", "e.doc_id", "e.place"))
     release(spark)
-    for k in ("k0", "k1", "k2"):
-        sizes = kinds.groupBy(k).agg(F.count(F.lit(1)).alias(f"kinds_{k}"), F.sum("n").alias(f"docs_{k}"))
-        # a path that too few documents take has no recurring template
-        kinds = kinds.join(sizes.where(f"docs_{k} >= {min_docs}") if k == "k0" else sizes, k)
-    leaf = F.col("line")
-    count, total = F.lit(1), F.col("n")
-    for k in ("k2", "k1", "k0"):
-        fits = F.col(f"kinds_{k}") <= LEAF
-        leaf, count, total = (F.when(fits, F.col(f"{x}{k}")).otherwise(y) for x, y in (("", leaf), ("kinds_", count), ("docs_", total)))
-    routed = written(kinds.select("line", "n", "doc_id", "place", leaf.alias("leaf"), count.alias("kinds"), total.alias("docs")).where(F.col("docs") >= min_docs))
+    sizes = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("docs"))
+    # a leaf that too few documents reach has no recurring template
+    routed = written(kinds.join(sizes.where(F.col("docs") >= min_docs), "leaf").select("line", "n", "doc_id", "place", "leaf", "kinds"))
     release(spark)
-    asked = routed.where("kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("leaf", "line", "n", "place")).alias("asked"))
-    fetched = texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(_texts, "leaf long, line long, n long, tokens string")
+    asked = routed.where("kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("leaf", "line", "n", "place", (F.col("kinds") > LEAF).alias("large"))).alias("asked"))
+    fetched = texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(lambda b: _texts(b, agree), "leaf long, line long, n long, tokens string, stretches array<long>")
     fetched = written(fetched.dropDuplicates(["leaf", "line"]))
     release(spark)
-    grouped = fetched.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").mapInArrow(lambda b: _grouped(b, agree), "line long, template long")
+    cut = _cut(fetched).select("leaf", "line", "n", "tokens")
+    grouped = cut.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").mapInArrow(lambda b: _grouped(b, agree), "line long, template long")
     grouped = written(grouped.unionByName(routed.where("kinds = 1").select("line", F.col("line").alias("template"))))
     counts = found.join(grouped, "line").select("template", "doc_id").groupBy("template").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
     drop = written(grouped.join(counts, "template").select("line"))

@@ -77,3 +77,41 @@ def test_deep_leaves_are_split(spark, monkeypatch):
     rows = [(i, f"a b c d e {w} x y z w v u t s r q p o n m\nown line {'xyz'[i % 3] * (i + 1)} here") for i, w in enumerate("klmnopqrstuvw" * 2)]
     got = lines.without_recurring(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2).collect()
     assert len(got) == len(rows)
+
+
+def test_large_leaves_keep_their_templates(spark, monkeypatch):
+    rng = random.Random(7)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    rows = []
+    for i, name in enumerate(names):
+        made = [f"this article was written by {name} for our site", f"this article was {' '.join(rng.choice('pq') for _ in range(6))}", f"see user {i % 3} {name} now", f"see {i} user {name} now"]
+        rows.append((i, "\n".join([*made, prose(rng, 9), prose(rng, 5)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for leaf in (5, 10**9):
+        monkeypatch.setattr(lines, "LEAF", leaf)
+        got.append(sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in lines.without_recurring(df, min_docs=4).collect()))
+    assert got[0] == got[1]
+    assert all("written by" not in text for _, text, _ in got[0])
+
+
+def test_stretches_find_all_templates():
+    def greedy(some, agree):
+        made, out = [], []
+        for i, line in enumerate(some):
+            shares = [sum(a == b != lines.VARIABLE for a, b in zip(t, line, strict=True)) / len(line) for _, t in made]
+            k = max(range(len(made)), key=lambda j: (shares[j], -j), default=-1)
+            if k >= 0 and shares[k] >= agree:
+                made[k] = (made[k][0], [a if a == b else lines.VARIABLE for a, b in zip(made[k][1], line, strict=True)])
+            else:
+                made.append((i, line))
+                k = -1
+            out.append(made[k][0])
+        return out
+
+    rng = random.Random(5)
+    for size in range(1, 24):
+        for head in (["a", "b", "c"], ["a", lines.VARIABLE, "c"], [lines.VARIABLE] * 3):
+            some = [(head + [rng.choice(["x", "x", "x", "y", "z", lines.VARIABLE]) for _ in range(size)])[:size] for _ in range(60)]
+            made = lines.Templates(0.7)
+            assert [made.of(i, x) for i, x in enumerate(some)] == greedy(some, 0.7) == lines.templates(some, 0.7)
