@@ -71,7 +71,7 @@ TEXTS = (
     ("proprietary", "proprietary", "proprietary and confidential", 3, 0.9),
     ("reserved", "reserved", "all rights reserved", 1, 0.6),
 )
-GATE = r"(?i)licen[cs]e|reserved|copyright|spdx|permission|redistribution|warrant|proprietary|public.{1,3}domain|(?<![a-z0-9])cc(?:0|[^a-z0-9]{1,9}(?:by|zero))|(?<![a-z0-9])creative"
+GATE = r"(?i)licen[cs]e|reserved|copyright|spdx|permission|redistribution|warrant|proprietary|public[^a-z0-9]+domain|(?<![a-z0-9])cc(?:0|[^a-z0-9]+(?:by|zero))|(?<![a-z0-9])creative"
 
 
 def signatures() -> list[tuple[int, str, str, str, int, float]]:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from floeworks.llm import ann, bpe, lines, mixing, neardup, suffixes, toxicity, urls
+from floeworks.llm import ann, bpe, licences, lines, mixing, neardup, suffixes, toxicity, urls
 from floeworks.llm.components import components
 from floeworks.llm.queries import tokenizer_path
 
@@ -99,3 +99,15 @@ def test_pool_keeps_smallest_ids():
     b = pa.RecordBatch.from_pydict({"id": [5, 3, 9, 1], "v": pa.array([[1.0, 0.0]] * 3 + [[0.0, 1.0]], pa.list_(pa.float64()))})
     out = pa.Table.from_batches(list(ann._pool(iter([b]), 2))).to_pydict()
     assert sorted(map(tuple, out["ids"])) == [(1,), (3, 5)]
+
+
+def test_licence_gate_passes_any_gap(spark):
+    gaps = (" ", " " * 12, "-" * 15, "\n" + "\t" * 11, "\u00a0 ", ".\r\n\r\n      ")
+    texts = [x.format(g) for g in gaps for x in ("CC{0}BY", "a CC{0}Zero work", "placed in the public{0}domain", "placed in{0}the public{0}domain")]
+    got = {r["doc_id"]: r for r in licences.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    for i, t in enumerate(texts):
+        if "\u00a0" in t:
+            continue  # a letter of a word, so no gap
+        assert got[i]["labels"] == ("cc-by", "cc0", "public-domain", "public-domain")[i % 4], t
+        if i % 4 == 0:
+            assert (got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["base_labels"]) == (1, 0, 0, "cc-by")
