@@ -11,8 +11,9 @@ pages. The classes are learnt from the URLs that a rule decides, whose tokens ar
 and from a short list of words with fixed counts. The last host label (com, net) is no token, and tokens
 that the rules themselves name are none either: they would only repeat the rules.
 
-The driver and each worker hold at most `vocabulary` words and tokens (the most frequent ones), a
-documented bound of the model. Null and malformed URLs have no tokens and are judged by the prior alone.
+The driver and each worker hold the `vocabulary` most frequent words and tokens and the fixed ones. The counts of
+all others stay in Spark tables and are joined to the words and tokens that URLs ask for, so every count is used at
+every size and `vocabulary` changes no result. Null and malformed URLs have no tokens and are judged by the prior alone.
 Repeated rows are judged alike. Ties are allowed.
 """
 
@@ -21,12 +22,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from .shared import written
+
 VOCABULARY = 50_000
 LONGEST_WORD = 20
 
@@ -61,12 +64,15 @@ def by_rules(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataF
 class Segmenter:
     """Unigram Viterbi: the split of a string into words of the largest product of probabilities."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = total or sum(counts.values()) or 1
         self.logs = {w: math.log(c / self.total) for w, c in counts.items()}
         self.known: dict[str, list[str]] = {}
+        self.rare: dict[str, int] = {}  # counts of words outside counts that the texts to split contain
 
     def cost(self, word: str) -> float:
+        if word in self.rare:
+            return math.log(self.rare[word] / self.total)
         # an unknown word is as likely as a tenth of one occurrence, less for each letter
         return self.logs.get(word) or -math.log(10 * self.total) - len(word) * math.log(10)
 
@@ -90,21 +96,55 @@ class Segmenter:
         return words[::-1]
 
 
+def parts(host: str) -> list[str]:
+    """The runs of letters of a host's labels but the last."""
+    return [part for label in host.split(".")[:-1] for part in re.split(r"[^a-z]+", label) if part]
+
+
 def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
     """Host words as `h:word` (labels but the last, segmented) and path words as `p:word` (numbers as `p:0`)."""
-    out = [f"h:{w}" for label in host.split(".")[:-1] for part in re.split(r"[^a-z]+", label) if part for w in segmenter.split(part)]
+    out = [f"h:{w}" for part in parts(host) for w in segmenter.split(part)]
     return out + [f"p:{'0' if t.isdigit() else t}" for t in re.split(r"[^a-z0-9]+", path.translate(str.maketrans(UPPER, LOWER))) if t]
 
 
-def word_counts(pages: DataFrame, html: str = "html", vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """Frequencies of the words in all pages' titles, the most frequent ones, and of the fixed words."""
+def word_counts(pages: DataFrame, html: str = "html", vocabulary: int = VOCABULARY) -> tuple[dict[str, int], int, DataFrame | None]:
+    """Frequencies of the words in all pages' titles and of the fixed words: the most frequent ones, the sum of all, and a table of the others (None: there are none)."""
     title = F.lower(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
     words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"[a-z]{1,20}"), F.lit(0))).alias("word"))
-    rows = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(vocabulary).collect()
-    found = Counter({r["word"]: r["count"] for r in rows})
-    for w in (*BLOCK_WORDS, *ALLOW_WORDS, "www", "blog", "example"):
+    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    fixed = (*BLOCK_WORDS, *ALLOW_WORDS, "www", "blog", "example")
+    top, total, rest = most_frequent(counts, "word", F.col("n"), fixed, vocabulary)
+    found = Counter({r["word"]: r["n"] for r in top})
+    for w in fixed:
         found[w] += SEED_COUNT
-    return dict(found)
+    return dict(found), (total or 0) + SEED_COUNT * len(fixed), rest
+
+
+def most_frequent(counts: DataFrame, key: str, n: Column, fixed: Iterable[str], vocabulary: int) -> tuple[list[Row], int | None, DataFrame | None]:
+    """The `vocabulary` rows of the largest n and those of fixed keys, the sum of n, and the other rows (None: there are none)."""
+    size = counts.agg(F.count(F.lit(1)).alias("kinds"), F.sum(n).alias("total")).first()
+    top = counts.orderBy(n.desc(), key).limit(vocabulary)
+    if size["kinds"] <= vocabulary:
+        return top.collect(), size["total"], None
+    top = written(top.unionByName(counts.where(F.col(key).isin(list(fixed)))).distinct())
+    return top.collect(), size["total"], counts.join(F.broadcast(top.select(key)), key, "left_anti")  # vocabulary rows
+
+
+def with_rare(decided: DataFrame, counts: dict[str, int], rest: DataFrame | None) -> DataFrame:
+    """decided with rare: the counts of the words of rest that its host's parts contain."""
+    if rest is None:
+        return decided.withColumn("rare", F.lit(None).cast("map<string,bigint>"))
+    shared = decided.sparkSession.sparkContext.broadcast(frozenset(counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                asked = [(h, w) for h in b.column(0).slice(k, 500).to_pylist() for w in {p[i:j] for p in parts(h) for i in range(len(p)) for j in range(i + 1, min(len(p), i + LONGEST_WORD) + 1)} - shared.value]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in asked], pa.string()), pa.array([w for _, w in asked], pa.string())], ["host", "word"])
+
+    asked = decided.select("host").distinct().mapInArrow(run, "host string, word string").join(rest, "word")
+    rare = written(asked.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("rare")))
+    return decided.join(rare, "host", "left")
 
 
 def named_tokens(rules: Sequence[Rule]) -> frozenset[str]:
@@ -114,58 +154,73 @@ def named_tokens(rules: Sequence[Rule]) -> frozenset[str]:
     return frozenset(t for _, text in rules for t in tokens(text[: text.index("/")], text[text.index("/") :], whole))
 
 
-def learn(decided: DataFrame, segmenter_counts: dict[str, int], rules: Sequence[Rule] = (), vocabulary: int = VOCABULARY) -> dict:
-    """Token weights (log block minus log allow) from the pages with a rule_verdict, counted over all of them."""
+def learn(decided: DataFrame, words: dict[str, int], total_words: int, rules: Sequence[Rule] = (), vocabulary: int = VOCABULARY) -> tuple[dict, DataFrame | None]:
+    """Token weights (log block minus log allow) from the pages with a rule_verdict, counted over all of them, and a table of the weights of rarer tokens."""
     named = named_tokens(rules)
-    shared = decided.sparkSession.sparkContext.broadcast(segmenter_counts)
+    shared = decided.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Segmenter(shared.value)
+        s = Segmenter(shared.value, total_words)
         for b in batches:
             found: Counter[tuple[str, str]] = Counter()
-            for host, path, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for host, path, v, rare in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                s.rare = dict(rare or ())
                 found.update((t, v) for t in tokens(host, path, s) if t not in named)
                 found["", v] += 1
             yield pa.RecordBatch.from_pydict({"token": pa.array([t for t, _ in found], pa.string()), "verdict": pa.array([v for _, v in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    rows = decided.where("rule_verdict IS NOT NULL").select("host", "path", "rule_verdict").mapInArrow(run, "token string, verdict string, n long")
-    counts = rows.groupBy("token").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("block", "allow")))
+    rows = decided.where("rule_verdict IS NOT NULL").select("host", "path", "rule_verdict", "rare").mapInArrow(run, "token string, verdict string, n long")
+    counts = written(rows.groupBy("token").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("block", "allow"))))
     total = counts.where("token <> ''").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("kinds")).first()
     pages = counts.where("token = ''").first()
-    top = {r["token"]: [r["block"], r["allow"]] for r in counts.where("token <> ''").orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(vocabulary).collect()}
+    fixed = [f"h:{w}" for w in (*BLOCK_WORDS, *ALLOW_WORDS)]
+    found, _, rest = most_frequent(counts.where("token <> ''"), "token", F.col("block") + F.col("allow"), fixed, vocabulary)
+    top = {r["token"]: [r["block"], r["allow"]] for r in found}
+    kinds = (total["kinds"] or 0) + len(set(fixed) - set(top)) + 1
     sums = [total["block"] or 0, total["allow"] or 0]
     for k, some in enumerate((BLOCK_WORDS, ALLOW_WORDS)):
         for w in some:
             top.setdefault(f"h:{w}", [0, 0])[k] += SEED_COUNT
             sums[k] += SEED_COUNT
-    kinds = max(total["kinds"] or 0, len(top)) + 1
     unseen = math.log(1 / (sums[0] + kinds)) - math.log(1 / (sums[1] + kinds))
     weights = {t: math.log((b + 1) / (sums[0] + kinds)) - math.log((a + 1) / (sums[1] + kinds)) for t, (b, a) in top.items()}
     prior = math.log(((pages["block"] if pages else 0) + 1) / ((pages["allow"] if pages else 0) + 1))
-    return {"words": segmenter_counts, "weights": weights, "unseen": unseen, "prior": prior, "named": named}
-
+    model = {"words": words, "total_words": total_words, "weights": weights, "unseen": unseen, "prior": prior, "named": named}
+    # what a rarer token weighs more than an unseen one
+    return model, None if rest is None else rest.select("token", (F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0)).alias("more"))
 
-def log_odds(host: str, path: str, model: dict, segmenter: Segmenter) -> float:
-    return model["prior"] + sum(model["weights"].get(t, model["unseen"]) for t in tokens(host, path, segmenter) if t not in model["named"])
 
-
-def judged(decided: DataFrame, model: dict, key: str = "page_id") -> DataFrame:
+def judged(decided: DataFrame, model: dict, rest: DataFrame | None = None, key: str = "page_id") -> DataFrame:
     """key, host, path, rule, verdict and block_odds (log odds of block by the model, for every page)."""
     shared = decided.sparkSession.sparkContext.broadcast(model)
     kind = decided.schema[key].dataType.simpleString()
+    ask = rest is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        s = Segmenter(m["words"])
+        s = Segmenter(m["words"], m["total_words"])
         for b in batches:
-            odds = [log_odds(h, p, m, s) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            verdict = [r or ("block" if o > 0 else "allow") for r, o in zip(b.column(4).to_pylist(), odds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(verdict, pa.string()), pa.array(odds, pa.float64())], [key, "host", "path", "rule", "verdict", "block_odds"])
-
-    return decided.select(key, "host", "path", "rule", "rule_verdict").mapInArrow(run, f"{key} {kind}, host string, path string, rule string, verdict string, block_odds double")
-
-
-def filtered(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
+            odds, others = [], []
+            for host, path, rare in zip(*(b.column(i).to_pylist() for i in (1, 2, 5)), strict=True):
+                s.rare = dict(rare or ())
+                found = [t for t in tokens(host, path, s) if t not in m["named"]]
+                odds.append(m["prior"] + sum(m["weights"].get(t, m["unseen"]) for t in found))
+                others.append([t for t in found if t not in m["weights"]] if ask else None)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(odds, pa.float64()), pa.array(others, pa.list_(pa.string()))], [key, "host", "path", "rule", "rule_verdict", "block_odds", "others"])
+
+    out = decided.select(key, "host", "path", "rule", "rule_verdict", "rare").mapInArrow(run, f"{key} {kind}, host string, path string, rule string, rule_verdict string, block_odds double, others array<string>")
+    if ask:
+        out = written(out)
+        asked = out.where("size(others) > 0").select("host", "path", "others").distinct().select("host", "path", F.explode("others").alias("token"))
+        more = written(asked.join(rest, "token").groupBy("host", "path").agg(F.sum("more").alias("more")))
+        out = out.join(more, ["host", "path"], "left").withColumn("block_odds", F.col("block_odds") + F.coalesce("more", F.lit(0.0)))
+    verdict = F.coalesce("rule_verdict", F.when(F.col("block_odds") > 0, "block").otherwise("allow"))
+    return out.select(key, "host", "path", "rule", verdict.alias("verdict"), "block_odds")
+
+
+def filtered(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html", key: str = "page_id", vocabulary: int = VOCABULARY) -> DataFrame:
     """Learn from pages and judge each of them."""
-    decided = by_rules(pages.select(key, F.col(url).alias("url")), rules)
-    return judged(decided, learn(decided, word_counts(pages, html), rules), key)
+    words, total, rare = word_counts(pages, html, vocabulary)
+    decided = with_rare(by_rules(pages.select(key, F.col(url).alias("url")), rules), words, rare)
+    model, rest = learn(decided, words, total, rules, vocabulary)
+    return judged(decided, model, rest, key)

@@ -111,3 +111,18 @@ def test_licence_gate_passes_any_gap(spark):
         assert got[i]["labels"] == ("cc-by", "cc0", "public-domain", "public-domain")[i % 4], t
         if i % 4 == 0:
             assert (got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["base_labels"]) == (1, 0, 0, "cc-by")
+
+
+def test_rare_words_and_tokens_count(spark):
+    rules = (("block", "bad.com/"), ("allow", "good.org/"))
+    rng = random.Random(2)
+    words = ["river", "stone", "cloud", "green", "apple", "night"]
+    urls_ = [f"http://{rng.choice(words)}{rng.choice(words)}.{site}/{rng.choice(words)}/{rng.choice('xyz')}{i % 7}" for i, site in enumerate(["bad.com", "good.org", "other.net"] * 20)]
+    pages = spark.createDataFrame([(i, u, f"<title>{rng.choice(words)} {rng.choice(words)}</title>") for i, u in enumerate(urls_)], "page_id int, url string, html string")
+    many, few = ({r["page_id"]: r for r in urls.filtered(pages, rules, vocabulary=n).collect()} for n in (50_000, 2))
+    assert len(many) == len(few) == 60
+    for i, r in many.items():
+        assert few[i]["verdict"] == r["verdict"] and abs(few[i]["block_odds"] - r["block_odds"]) < 1e-9
+    old = urls.Segmenter({"river": 3})
+    old.rare = {"stone": 2}
+    assert old.split("riverstone") == ["river", "stone"]
