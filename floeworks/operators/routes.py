@@ -143,32 +143,39 @@ def risk_constraint(values: DataFrame, mode: str, budget: float, confidence: flo
     return out.withColumn("usage", F.col("metric") / max(1e-6, budget)).withColumn("satisfied", F.col("metric") <= budget + 1e-12)
 
 
-def edge_costs(cells: DataFrame, grid: Grid, caution_penalty: float = 0.22, corridor_reward: float = 0.02, near_penalty: float = 0.06) -> DataFrame:
+def edge_costs(cells: DataFrame, grid: Grid, caution_penalty: float = 0.22, corridor_reward: float = 0.02, near_penalty: float = 0.06, key: str | None = None) -> DataFrame:
     """row, col, to_row, to_col, cost of every directed neighbour edge: km times at least 0.15 of the target's multiplier.
 
-    cells has row, col, caution, near_blocked, corridor, penalty. Eight shifted keys are joined to the cells.
+    cells has row, col, caution, near_blocked, corridor, penalty, and key (the map's id) where there are several maps.
+    Eight shifted keys are joined to the cells.
     """
-    spread = cells.select("row", "col", F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in OFFSETS))).alias("o")).select("row", "col", (F.col("row") + F.col("o.dr")).alias("to_row"), (F.col("col") + F.col("o.dc")).alias("to_col"))
-    to = cells.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), "caution", "near_blocked", "corridor", "penalty")
-    both = spread.join(to, ["to_row", "to_col"])
+    keys = [key] if key else []
+    spread = cells.select(*keys, "row", "col", F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in OFFSETS))).alias("o")).select(*keys, "row", "col", (F.col("row") + F.col("o.dr")).alias("to_row"), (F.col("col") + F.col("o.dc")).alias("to_col"))
+    to = cells.select(*keys, F.col("row").alias("to_row"), F.col("col").alias("to_col"), "caution", "near_blocked", "corridor", "penalty")
+    both = spread.join(to, [*keys, "to_row", "to_col"])
     a, b = rc_to_latlon(F.col("row"), F.col("col"), grid), rc_to_latlon(F.col("to_row"), F.col("to_col"), grid)
     extra = F.when(F.col("caution") > 0, caution_penalty).when(F.col("near_blocked") > 0, near_penalty).otherwise(0.0)
     factor = F.greatest(F.lit(0.15), 1 + extra + F.col("penalty") - corridor_reward * F.col("corridor"))
-    return both.select("row", "col", "to_row", "to_col", (haversine_km(a[0], a[1], b[0], b[1]) * factor).alias("cost"))
+    return both.select(*keys, "row", "col", "to_row", "to_col", (haversine_km(a[0], a[1], b[0], b[1]) * factor).alias("cost"))
 
 
-def nearest_free_cell(points: DataFrame, cells: DataFrame, ring: int = 3) -> DataFrame:
-    """points (id, row, col) with free_row, free_col: the nearest cell that is not blocked, row-major on ties.
+def nearest_free_cell(points: DataFrame, cells: DataFrame, ring: int = 3, key: str | None = None) -> DataFrame:
+    """points (id, row, col) with free_row, free_col: the nearest cell that is not blocked, row-major on ties; of the point's map where key is given.
 
     The rings up to `ring` are looked up by key; only points that find nothing there are compared with all free cells.
     """
-    free = cells.where("blocked = 0").select(F.col("row").alias("fr"), F.col("col").alias("fc"))
+    keys = [key] if key else []
+    free = cells.where("blocked = 0").select(*keys, F.col("row").alias("fr"), F.col("col").alias("fc"))
     spread = points.withColumn("fr", F.explode(F.expr(f"sequence(row - {ring}, row + {ring})"))).withColumn("fc", F.explode(F.expr(f"sequence(col - {ring}, col + {ring})")))
     d2 = F.pow(F.col("fr") - F.col("row"), 2) + F.pow(F.col("fc") - F.col("col"), 2)
-    best = lambda df: df.groupBy("id", "row", "col").agg(F.min(F.struct(d2.alias("d"), "fr", "fc")).alias("b")).select("id", "row", "col", F.col("b.fr").alias("free_row"), F.col("b.fc").alias("free_col"))
+    best = lambda df: df.groupBy(*keys, "id", "row", "col").agg(F.min(F.struct(d2.alias("d"), "fr", "fc")).alias("b")).select(*keys, "id", "row", "col", F.col("b.fr").alias("free_row"), F.col("b.fc").alias("free_col"))
     # beyond the ring a corner may be farther than an edge of the next ring: only hits within the ring's radius count
-    close = best(spread.join(free, ["fr", "fc"]).where(d2 <= ring * ring))
-    rest = points.join(close.select("id"), "id", "left_anti")
+    close = best(spread.join(free, [*keys, "fr", "fc"]).where(d2 <= ring * ring))
+    rest = points.join(close.select(*keys, "id"), [*keys, "id"], "left_anti")
+    if key:
+        # the rest of a map by place: a place is compared once, however many points stand on it
+        places = best(rest.select(key, F.lit(0).alias("id"), "row", "col").distinct().join(free, key)).drop("id")
+        return close.unionByName(rest.join(places, [key, "row", "col"]).select(close.columns))
     return close.unionByName(best(rest.join(F.broadcast(free), F.lit(True))))  # one grid's free cells
 
 

@@ -213,6 +213,47 @@ def free(spark: SparkSession, d: str) -> DataFrame:
     return R.nearest_free_cell(points, adapt(spark, d, "cells").where("sample_id = 1").select("row", "col", "blocked"), 1)
 
 
+#: The queries above with SQL cover an id subset, as their SQL does; those of the same name with `all_` take every route, map
+#: and point, and have no SQL.
+
+
+@query("all_trace_cells")
+def traced_all(spark: SparkSession, d: str) -> DataFrame:
+    return R.trace_cells(R.route_segments(adapt(spark, d, "route_points"), GRID)).select("route_id", "seq", "row", "col")
+
+
+@query("all_route_metrics")
+def metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.route_metrics(adapt(spark, d, "route_points"), field(spark), GRID), *METRICS, digits=3)
+
+
+@query("all_route_overlap")
+def overlap_all(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.route_overlap(traced_all(spark, d).select((F.col("route_id") % 10).alias("request"), "route_id", "row", "col"), "request"), "ratio")
+
+
+@query("all_diversity_penalty")
+def diversity_all(spark: SparkSession, d: str) -> DataFrame:
+    row, col, _ = latlon_to_rc(F.col("lat"), F.col("lon"), GRID)
+    return rounded(R.diversity_penalty(adapt(spark, d, "route_points").select("route_id", row.alias("row"), col.alias("col")), 52, 360), "penalty")
+
+
+@query("all_edge_costs")
+def edges_all(spark: SparkSession, d: str) -> DataFrame:
+    c = adapt(spark, d, "cells").select("sample_id", "row", "col", "caution", (F.col("row") == 3).cast("int").alias("near_blocked"), F.col("ais_heatmap").alias("corridor"), F.col("unc").alias("penalty"))
+    return rounded(R.edge_costs(c, SMALL, key="sample_id"), "cost", digits=4)
+
+
+@query("all_nearest_free_cell")
+def free_all(spark: SparkSession, d: str) -> DataFrame:
+    """Points are dealt to the maps by their number, so every point and every map has its part."""
+    cells = adapt(spark, d, "cells").select("sample_id", "row", "col", "blocked")
+    maps = cells.agg((F.max("sample_id") + 1).alias("maps"))
+    points = spark.read.parquet(f"{d}/events.parquet").crossJoin(F.broadcast(maps))  # one row
+    points = points.select((F.col("event_id") % F.col("maps")).alias("sample_id"), F.col("event_id").alias("id"), (F.col("event_id") % 8).cast("int").alias("row"), (F.col("user_id") % 8).cast("int").alias("col"))
+    return R.nearest_free_cell(points, cells, 1, key="sample_id")
+
+
 PROFILE = "(CASE v WHEN 'ice_class_bulk' THEN 0.8e0 WHEN 'open_water_cargo' THEN 0.5e0 WHEN 'icebreaker' THEN 1.2e0 ELSE 1e0 END)"
 
 

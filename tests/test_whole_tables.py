@@ -1,0 +1,37 @@
+"""Queries over all routes, maps and points against DuckDB, on the SQL of their subsets without the filter."""
+
+import pytest
+
+from floeworks.plans.adapters import ctes
+from floeworks.plans.all import ORACLES, QUERIES
+
+from .test_oracles import duck, plain  # noqa: F401
+
+ROUTES, FEW = " WHERE route_id % 4 = 0", " WHERE route_id < 5"
+WHOLE = {
+    **{n: [(ROUTES, "")] for n in ("trace_cells", "route_metrics", "route_overlap")},
+    "diversity_penalty": [(FEW, "")],
+    "edge_costs": [("SELECT row, col, caution", "SELECT sample_id, row, col, caution"), (" WHERE sample_id = 0", ""), ("SELECT a.row, a.col", "SELECT a.sample_id, a.row, a.col"), (" c b ON ", " c b ON a.sample_id = b.sample_id AND ")],
+}
+NEAREST = (
+    ctes("cells")
+    + """, f AS (SELECT sample_id, row AS fr, col AS fc FROM cells WHERE blocked = 0), m AS (SELECT max(sample_id) + 1 AS n FROM cells),
+    p AS (SELECT event_id % n AS sample_id, event_id AS id, event_id % 8 AS row, user_id % 8 AS col FROM events, m),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pow(fr - row, 2) + pow(fc - col, 2), fr, fc) AS i FROM p JOIN f USING (sample_id))
+    SELECT sample_id, id, row, col, fr AS free_row, fc AS free_col FROM r WHERE i = 1"""
+)
+
+
+@pytest.mark.parametrize("name", [*WHOLE, "nearest_free_cell"])
+def test_whole(spark, sf_dir, duck, name):  # noqa: F811
+    sql = ORACLES[name] if name in WHOLE else NEAREST
+    for a, b in WHOLE.get(name, ()):
+        assert sql.count(a) == 1
+        sql = sql.replace(a, b)
+    df = QUERIES[f"all_{name}"](spark, sf_dir)
+    found = duck.sql(sql)
+    columns = sorted(df.columns)
+    assert sorted(found.columns) == columns
+    at = [found.columns.index(c) for c in columns]
+    want = sorted(tuple(plain(x[k]) for k in at) for x in found.fetchall())
+    assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == want and want
