@@ -13,12 +13,12 @@ sets is at least `percent` / 100, and a class is what links reach.
 3. Representatives share a bucket if 4 neighbouring coordinates agree; 32 buckets each (at 0.8 the chance
    to miss is 5e-8). In up to ROUNDS rounds one member of each bucket (first the smallest, then by a new hash
    each time) leads: members of other components than the leader's are compared with it, first by size and
-   sketch (agreement of at least `percent` - 10 points, 4 standard deviations), then on full sets,
+   sketch (agreement of at least `percent` - MARGIN points; at 0.8 the chance to miss is 4e-10), then on full sets,
    and components are merged. So each round compares at most one pair a member. Rounds end early when the
    open buckets hold no more than PAIRS pairs for each member of a bucket.
 4. Buckets whose members are then still in more than one component are compared whole, in blocks of BLOCK
    members: pairs from different components that sizes and sketches allow are verified on full sets. So
-   no link between classes is lost, and groups that are already joined add no pairs.
+   no link between classes is lost but by those chances, and groups that are already joined add no pairs.
 
 Null and empty texts have the empty set. Repeated rows of one doc_id count as copies of each other.
 """
@@ -36,7 +36,7 @@ from .components import components
 from .shared import release, written
 from .textbytes import LOWER, buffers, mix, pieces, prefix_hash, shingle_hashes, shingle_set, span_hash, words
 
-BINS, BANDS, ROWS, BLOCK, MARGIN, ROUNDS, PAIRS = 256, 32, 4, 256, 10, 4, 20
+BINS, BANDS, ROWS, BLOCK, MARGIN, ROUNDS, PAIRS = 256, 32, 4, 256, 16, 4, 20
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64((1 << 55) - 1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -1,5 +1,6 @@
 """Parts of the operators on their own."""
 
+import math
 import random
 
 import numpy as np
@@ -126,3 +127,9 @@ def test_rare_words_and_tokens_count(spark):
     old = urls.Segmenter({"river": 3})
     old.rare = {"stone": 2}
     assert old.split("riverstone") == ["river", "stone"]
+
+
+def test_sketches_lose_no_more_than_banding():
+    n, q = neardup.BINS, 0.8
+    lost = sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(neardup._least(80)))
+    assert lost <= (1 - q**neardup.ROWS) ** neardup.BANDS
