@@ -20,16 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import runs
-from .shared import written
+from .shared import groups, written
 
 SAMPLE, PARTS, PROBES, BLOCK = 4096, 16, 13, 2048
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of x times the power of two that brings their largest component to 0.5..1: exact, and squares can't overflow or vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -213,9 +219,10 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 5, probes: int = PRO
     both = vs.select("part", "bv", "bq", F.lit(None).cast("long").alias("id"), "v", "ids").unionByName(qs.select("part", "bv", "bq", "id", "v", F.lit(None).cast("array<long>").alias("ids")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ("part", "bv", "bq")):
-            q, v = [r for r in group if r["ids"] is None], [r for r in group if r["ids"] is not None]
-            if q and v:
+        for t in groups(batches, ("part", "bv", "bq")):
+            asks = t.column("ids").is_null()
+            q, v = t.filter(asks), t.filter(pc.invert(asks))
+            if q.num_rows and v.num_rows:
                 yield _ranked(q, v, k)
 
     found = both.repartition("part", "bv", "bq").sortWithinPartitions("part", "bv", "bq").mapInArrow(search, "query_id long, vec_id long, score double")
@@ -225,20 +232,22 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 5, probes: int = PRO
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise cosine in double precision, the same for equal pairs wherever they are computed."""
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
 
 
-def _ranked(queries: list[dict], vectors: list[dict], k: int) -> pa.RecordBatch:
-    q, v = np.array([r["v"] for r in queries]), np.array([r["v"] for r in vectors])
+def _ranked(queries: pa.RecordBatch, vectors: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    q, v = matrix(queries.column("v")), matrix(vectors.column("v"))
+    ids, asked = vectors.column("ids").to_pylist(), queries.column("id").to_pylist()
     s = unit(q) @ unit(v).T
     out: tuple[list, list, list] = ([], [], [])
-    for i, r in enumerate(queries):
-        m = min(len(v), 2 * k + 8)
+    m = min(len(v), 2 * k + 8)
+    for i, own in enumerate(asked):
         at = np.argpartition(-s[i], m - 1)[:m]
         at = np.flatnonzero(s[i] >= s[i][at].min() - 1e-12)  # ties at the edge stay in
         exact = cosine(q[i][None, :], v[at])
-        some = sorted((-e, x) for e, j in zip(exact.tolist(), at.tolist(), strict=True) for x in vectors[j]["ids"] if x != r["id"])[:k]
-        out[0].extend([r["id"]] * len(some))
+        some = sorted((-e, x) for e, j in zip(exact.tolist(), at.tolist(), strict=True) for x in ids[j] if x != own)[:k]
+        out[0].extend([own] * len(some))
         out[1].extend(x for _, x in some)
         out[2].extend(-e for e, _ in some)
     return pa.RecordBatch.from_pydict({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})

@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -61,3 +64,31 @@ def release(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches as one batch for each run of equal keys (numbers); a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        values = [b.column(k).to_numpy() for k in keys]
+        new = np.zeros(b.num_rows - 1, bool)
+        for v in values:
+            new |= v[1:] != v[:-1]
+        ends = [*(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        start = 0
+        for end in ends:
+            key = tuple(v[start] for v in values)
+            if held and key != now:
+                yield whole()
+                held = []
+            held.append(b.slice(start, end - start))
+            now, start = key, end
+    if held:
+        yield whole()

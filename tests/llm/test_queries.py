@@ -282,11 +282,48 @@ def test_op6_crowded_anchors(spark, folder, monkeypatch):
     assert sorted(map(str, rows(spark, folder, "op6_substring_dedup"))) == plain
 
 
-def test_op2_blocks(spark, folder, monkeypatch):
-    """Without leader rounds every pair is found by blocks alone."""
+@pytest.mark.parametrize("settings", [{"CROWD": 1}, {"CROWD": 1, "LIMIT": 20_000}, {"CROWD": 1, "LIMIT": 20_000, "PAIRS": 0}, {"CROWD": 1, "PAIRS": 0, "LEADERS": 0}])
+def test_op2_crowds(spark, folder, monkeypatch, settings):
+    """Buckets of every size, whole or in blocks, with and without leader rounds, give the same classes."""
     from floeworks.llm import neardup
 
     plain = sorted(map(str, rows(spark, folder, "op2_near_duplicates")))
-    monkeypatch.setattr(neardup, "ROUNDS", 0)
-    monkeypatch.setattr(neardup, "BLOCK", 2)
+    for k, v in settings.items():
+        monkeypatch.setattr(neardup, k, v)
     assert sorted(map(str, rows(spark, folder, "op2_near_duplicates"))) == plain
+
+
+def test_op2_one_crowded_bucket(spark, monkeypatch):
+    """Many texts around one, half of the pairs below the similarity asked for; rows without ids and with one id for two texts."""
+    from floeworks.llm import neardup
+
+    rng = random.Random(11)
+    base = prose(rng, 60).split(" ")
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(60)] = f"own{i}x{rng.randrange(99)}"
+        docs.append((i, " ".join(w)))
+    docs += [(None, " ".join(base)), (None, "no id and nothing like it here"), (3, "a second text of the third document " + prose(rng, 20)), (200, "a second text of the third document " + docs[-1][1])]
+    schema = "doc_id long, text string, node string, component_id long, marks string"
+    df = spark.createDataFrame([(i, t, "x", 7, "y") for i, t in docs], schema)
+    sets = [shingles(t, 2) for _, t in docs]
+    root = {k: k for k in range(len(docs))}
+    for a in root:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(root, a), find(root, b)))
+                root[y] = x
+    names = {}
+    for k, (i, _) in enumerate(docs):
+        if i is not None:
+            names[find(root, k)] = min(i, names.get(find(root, k), i))
+    want = sorted(str((i, len(sets[k]), names.get(find(root, k)))) for k, (i, _) in enumerate(docs))
+    for crowd in (16, 1000):
+        monkeypatch.setattr(neardup, "CROWD", crowd)
+        got = neardup.classes(df, width=2).collect()
+        assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == want
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    kept = neardup.one_of_each(df, width=2)
+    assert kept.columns == df.columns and kept.count() == sum(r["kept"] for r in got)
