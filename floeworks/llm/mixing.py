@@ -1,23 +1,28 @@
 """Mixing sources to target weights by min-cost flow.
 
-Documents may belong to several sources. They are summed by membership pattern (the set of sources);
-tokens flow from patterns to the quotas of their sources. A pattern gives its size once at cost 1, a
-second time at cost 2, a third time at cost 4, and no more: the costs are convex, so unseen tokens go
-first and repeats are spread. The flow, over patterns and sources only, is solved on the driver; its size
-is that of the distinct patterns, not of the documents.
-
-Each pattern then takes whole passes over its documents plus a part of one: documents in the order of a
-seeded hash of doc_id up to the rest of its tokens, and at last the one document that comes nearest to
-what is still missing. That part is found by summing 4096 slices of the hash and ordering only the slice
-in which it ends, so no source is ordered whole. Reruns agree.
-
-Null texts have size 0 and take no words. A null source is a source of its own, after the others. Repeated
-rows are documents of their own (equal rows are chosen together). An empty table gives no rows.
+Sources overlap where rows of different sources hold the same text. Texts are summed by membership pattern (the set
+of sources that hold them); token capacity flows from patterns to the quotas of their sources. A pattern gives the
+tokens of its different texts once at cost 1, a second time at cost 2, a third time at cost 4, and again at cost 8
+as far as its rows go (each row three times); the costs are convex, so text that the mix has not seen goes first,
+whichever source asks for it. A source takes at most three times its own rows of a pattern. Capacity is opened by
+rising cost and each time filled up by a maximal flow, which gives a cheapest flow because sets of supplies that
+quotas can take are a polymatroid. The flow is solved on the driver, over patterns and sources only: sources are a
+dimension (at most SOURCES, else an error), and texts of patterns beyond the PATTERNS largest are treated as if
+their source alone held them; quotas are met just the same.
+
+Each source then takes whole passes over its rows of a pattern; one pattern of a source, its own texts where that is
+possible, also gives a part of a pass: rows in the order of a seeded hash of doc_id up to the rest of its tokens, and
+at last the one row that comes nearest to what is still missing. That part is found by summing 4096 slices of the
+hash and ordering only the slice in which it ends, so no source is ordered whole. Reruns agree.
+
+Null texts have size 0 and take no words; very long texts count like others. A null source is a source of its own,
+after the others. Repeated rows are documents of their own (equal rows are chosen together), as are rows without
+doc_id. Of documents equally near to what is missing the first by hash and doc_id is taken. An empty table gives no
+rows. Other columns are not read by mixed() and are kept by resample(), whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 from fractions import Fraction
 
@@ -27,15 +32,17 @@ from pyspark.sql import functions as F
 from .shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-REPEAT_COSTS = (1, 2, 4)
+REPEAT_COSTS = (1, 2, 4, 8)
+MOST = 3
 SLICES = 4096
+SOURCES, PATTERNS, SMALL = 100_000, 20_000, 100_000
 
 
 def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[int], most: int = len(REPEAT_COSTS)) -> list[float]:
+def targets(sizes: Sequence[int], weights: Sequence[int], most: int = MOST) -> list[float]:
     """Shares of sum(sizes) by weight; none above most times its size, the excess shared again by weight."""
     left, free = Fraction(sum(sizes)), set(range(len(sizes)))
     out = [Fraction(0)] * len(sizes)
@@ -53,57 +60,96 @@ def targets(sizes: Sequence[int], weights: Sequence[int], most: int = len(REPEAT
     return [float(x) for x in out]
 
 
-def route(sizes: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[int], costs: Sequence[int] = REPEAT_COSTS) -> list[list[int]]:
+class Flow:
+    """Maximal flows by levels (breadth first) and blocking flows; capacities may be raised between calls."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.left: list[int] = []
+
+    def edge(self, a: int, b: int, capacity: int) -> int:
+        self.out[a].append(len(self.to))
+        self.out[b].append(len(self.to) + 1)
+        self.to += [b, a]
+        self.left += [capacity, 0]
+        return len(self.to) - 2
+
+    def levels(self, root: int) -> list[int]:
+        level = [-1] * len(self.out)
+        level[root] = 0
+        queue = [root]
+        for a in queue:
+            for k in self.out[a]:
+                if self.left[k] and level[self.to[k]] < 0:
+                    level[self.to[k]] = level[a] + 1
+                    queue.append(self.to[k])
+        return level
+
+    def fill(self, root: int, sink: int) -> None:
+        while (level := self.levels(root))[sink] >= 0:
+            at = [0] * len(self.out)
+            path: list[int] = []
+            node = root
+            while True:
+                if node == sink:
+                    amount = min(self.left[k] for k in path)
+                    for k in path:
+                        self.left[k] -= amount
+                        self.left[k ^ 1] += amount
+                    path, node = [], root
+                    continue
+                while at[node] < len(self.out[node]):
+                    k = self.out[node][at[node]]
+                    if self.left[k] and level[self.to[k]] == level[node] + 1:
+                        break
+                    at[node] += 1
+                if at[node] < len(self.out[node]):
+                    path.append(k)
+                    node = self.to[k]
+                elif path:
+                    node = self.to[path.pop() ^ 1]
+                    at[node] += 1
+                else:
+                    break
+
+
+def route(units: Sequence[int], cells: Sequence[dict[int, int]], quotas: Sequence[int], costs: Sequence[int] = REPEAT_COSTS) -> list[dict[int, int]]:
     """Tokens from each pattern to each of its sources: a cheapest flow among the largest ones.
 
-    Successive shortest paths with potentials: a pattern's passes are parallel edges from the root, its
-    memberships edges to the sources, the quotas edges to the sink.
+    units are the tokens of a pattern's different texts, cells the most that each of its sources may take.
     """
-    p, s = len(sizes), len(quotas)
+    p, s = len(units), len(quotas)
     root, sink = p + s, p + s + 1
-    edges: list[list[int]] = []
-    out: list[list[int]] = [[] for _ in range(p + s + 2)]
-
-    def edge(a: int, b: int, capacity: int, cost: int) -> int:
-        out[a].append(len(edges))
-        edges.append([b, capacity, cost])
-        out[b].append(len(edges))
-        edges.append([a, 0, -cost])
-        return len(edges) - 2
-
-    for i, size in enumerate(sizes):
-        for c in costs:
-            edge(root, i, size, c)
-    to = [[edge(i, p + j, 1 << 62, 0) for j in members[i]] for i in range(p)]
+    flow = Flow(p + s + 2)
+    supply = [flow.edge(root, i, 0) for i in range(p)]
+    to = [{j: flow.edge(i, p + j, most) for j, most in cells[i].items()} for i in range(p)]
     for j, q in enumerate(quotas):
-        edge(p + j, sink, q, 0)
-    potential = [0] * (p + s + 2)
-    while True:
-        far: list[float] = [float("inf")] * (p + s + 2)
-        via = [-1] * (p + s + 2)
-        far[root] = 0
-        heap = [(0, root)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
+        flow.edge(p + j, sink, q)
+    given = [0] * p
+    for turn, _ in enumerate(sorted(costs)):
+        for i in range(p):
+            rest = sum(cells[i].values()) - given[i]
+            more = rest if turn == len(costs) - 1 else min(units[i], rest)
+            flow.left[supply[i]] += more
+            given[i] += more
+        flow.fill(root, sink)
+    return [{j: flow.left[k ^ 1] for j, k in row.items()} for row in to]
+
+
+def rounded(flow: Sequence[dict[int, int]], sizes: Sequence[dict[int, int]]) -> list[dict[int, int]]:
+    """The flow with whole passes over the rows that patterns of several sources have in a source, wherever the source's own texts make up for it."""
+    out = [dict(row) for row in flow]
+    alone = {next(iter(row)): i for i, row in enumerate(sizes) if len(row) == 1}
+    for i, row in enumerate(sizes):
+        for j, size in row.items() if len(row) > 1 else ():
+            if not size or j not in alone:
                 continue
-            for k in out[a]:
-                b, capacity, cost = edges[k]
-                if capacity and (x := d + cost + potential[a] - potential[b]) < far[b]:
-                    far[b], via[b] = x, k
-                    heapq.heappush(heap, (x, b))
-        if via[sink] < 0:
-            break
-        potential = [v if f == float("inf") else v + int(f) for v, f in zip(potential, far, strict=True)]
-        path, a = [], sink
-        while a != root:
-            path.append(via[a])
-            a = edges[via[a] ^ 1][0]
-        amount = min(edges[k][1] for k in path)
-        for k in path:
-            edges[k][1] -= amount
-            edges[k ^ 1][1] += amount
-    return [[edges[k ^ 1][1] for k in row] for row in to]
+            whole = min(MOST, (2 * out[i][j] + size) // (2 * size)) * size
+            own = out[alone[j]][j] + out[i][j] - whole
+            if 0 <= own <= MOST * sizes[alone[j]][j]:
+                out[i][j], out[alone[j]][j] = whole, own
+    return out
 
 
 def _hash(seed: int) -> Column:
@@ -111,70 +157,109 @@ def _hash(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
 
 
-def plan(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """What each pattern takes, and each source's size and target.
+def sized(docs: DataFrame, source: str = "source", column: str = "text") -> DataFrame:
+    """doc_id, source, size and key (a hash of the text) of every row."""
+    return docs.select("doc_id", F.col(source).alias("source"), word_count(column).alias("size"), F.xxhash64(column).alias("key"))
+
+
+def plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 0) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """What each cell (the rows that a pattern has in a source) takes, the cells of texts held by several sources, and each source's size and target.
 
-    sized has doc_id, size and sources (array<string>). The first table has pattern, passes and the bounds
-    of its part of a pass; the second source, source_size, target.
+    rows is sized(). The first table has source, pattern (null: texts of this source alone), passes and the bounds of
+    a part of a pass; the second key, size and pattern (None without such texts); the third source, source_size, target.
     """
-    spark = sized.sparkSession
-    docs = sized.select("doc_id", "size", F.array_sort(F.array_distinct("sources")).alias("pattern"), _hash(seed).alias("h"))
-    patterns = [(list(r["pattern"]), r["size"]) for r in docs.groupBy("pattern").agg(F.sum("size").alias("size")).collect()]
-    patterns.sort(key=lambda x: [(s is None, s or "") for s in x[0]])
-    names = sorted({s for pattern, _ in patterns for s in pattern}, key=lambda s: (s is None, s or ""))
-    index = {s: i for i, s in enumerate(names)}
-    sizes = [0] * len(names)
-    for pattern, size in patterns:
-        for s in pattern:
-            sizes[index[s]] += size
+    spark = rows.sparkSession
+    by_text = rows.where("size > 0").groupBy("key", "size", "source").agg(F.count(F.lit(1)).alias("n"))
+    texts = written(by_text.groupBy("key", "size").agg(F.collect_set(F.struct("source")).alias("held")).where("size(held) > 1").select("key", "size", F.array_sort("held").alias("held")))  # at most all sources
+    held = texts.groupBy("held").agg(F.sum("size").alias("unit"))
+    held = [(tuple(x["source"] for x in r["held"]), r["unit"]) for r in held.orderBy(F.desc("unit"), "held").limit(PATTERNS).collect()]
+    number = {names: i for i, (names, _) in enumerate(held)}
+    shared = None
+    if held:
+        names = F.broadcast(spark.createDataFrame([([(x,) for x in k], i) for k, i in number.items()], "held array<struct<source:string>>, pattern int"))  # PATTERNS rows
+        shared = written(texts.join(names, "held").select("key", "size", "pattern"))
+    placed = with_pattern(rows, shared)
+    sums = placed.groupBy("source", "pattern").agg(F.sum("size").alias("size"))
+    found = sums.limit(SOURCES + 10 * PATTERNS + 1).collect()
+    by = {(r["source"], r["pattern"]): r["size"] for r in found}
+    names = sorted({s for s, _ in by}, key=lambda x: (x is None, x or ""))
+    if len(found) > SOURCES + 10 * PATTERNS or len(names) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    index = {x: i for i, x in enumerate(names)}
+    sizes = [by.get((x, None), 0) for x in names]
+    for (x, p), size in by.items():
+        if p is not None:
+            sizes[index[x]] += size
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
-    flow = route([x for _, x in patterns], [[index[s] for s in pattern] for pattern, _ in patterns], [round(g) for g in goal])
-    passes = []
-    for (pattern, size), row in zip(patterns, flow, strict=True):
-        whole, rest = divmod(sum(row), size) if size else (0, 0)
-        passes.append((pattern, whole, rest))
-    takes = spark.createDataFrame(passes, "pattern array<string>, passes long, rest long")
-    slices = docs.groupBy("pattern", F.floor(F.col("h") / (2**32 // SLICES)).cast("long").alias("slice")).agg(F.sum("size").alias("size"))
-    slices = slices.selectExpr("pattern", "slice", "sum(size) OVER (PARTITION BY pattern ORDER BY slice) AS upto", "size")
-    ends = slices.join(F.broadcast(takes), "pattern").where("upto > rest").groupBy("pattern").agg(F.min(F.struct("slice", F.expr("rest - (upto - size) AS inside"))).alias("e"))
-    ends = ends.select("pattern", F.col("e.slice").alias("end_slice"), F.col("e.inside").alias("inside"))
-    ends = [(r["pattern"], r["end_slice"] * (2**32 // SLICES), r["inside"]) for r in ends.collect()]
-    bounds = F.broadcast(spark.createDataFrame(ends, "pattern array<string>, from_h long, inside long"))
-    last = docs.join(bounds, "pattern").where(f"h >= from_h AND h < from_h + {2**32 // SLICES}")
-    last = last.selectExpr("pattern", "inside", "struct(h, doc_id, size) AS place", "size", "sum(size) OVER (PARTITION BY pattern ORDER BY h, doc_id, size) AS upto")
-    cut = last.where("upto <= inside").groupBy("pattern").agg(F.max("place").alias("cut"), F.max("upto").alias("filled"))
-    cut = {tuple(r["pattern"]): (r["cut"], r["filled"]) for r in cut.collect()}
-    rows = [(p, f, *(tuple(cut[tuple(p)][0]) if tuple(p) in cut else (-1, None, None)), i - (cut[tuple(p)][1] if tuple(p) in cut else 0)) for p, f, i in ends]
-    kind = sized.schema["doc_id"].dataType.simpleString()
-    part = F.broadcast(spark.createDataFrame(rows, f"pattern array<string>, from_h long, cut_h long, cut_id {kind}, cut_size long, missing long"))
-    spare = docs.join(part, "pattern").where(~_before()).where("abs(size - missing) < missing")
-    top = spare.groupBy("pattern").agg(F.min(F.expr("struct(abs(size - missing) AS off, h, doc_id, size)")).alias("top")).selectExpr("pattern", "top.h AS top_h", "top.doc_id AS top_id", "top.size AS top_size")
-    decided = takes.drop("rest").join(part.drop("missing"), "pattern", "left").join(top, "pattern", "left")
-    decided = spark.createDataFrame(decided.collect(), decided.schema)
-    return decided, spark.createDataFrame(list(zip(names, sizes, goal, strict=True)), "source string, source_size long, target double")
+    cells = [{index[x]: by.get((x, None), 0)} for x in names] + [{index[x]: by[x, i] for x in k if (x, i) in by} for k, i in number.items()]
+    units = [next(iter(c.values())) for c in cells[: len(names)]] + [u for _, u in held]
+    flow = rounded(route(units, [{j: MOST * n for j, n in c.items()} for c in cells], [round(g) for g in goal]), cells)
+    takes = []
+    for i, (row, cell) in enumerate(zip(flow, cells, strict=True)):
+        for j, x in row.items():
+            whole, rest = divmod(x, cell[j]) if cell[j] else (0, 0)
+            takes.append((names[j], None if i < len(names) else i - len(names), whole, rest))
+    takes = spark.createDataFrame(takes, "source string, pattern int, passes long, rest long")
+    parts = placed.withColumn("h", _hash(seed)).join(F.broadcast(takes.where("rest > 0").select(*_as("t"), "rest")), _same("t"))  # a row for each cell
+    width = 2**32 // SLICES
+    slices = parts.groupBy("source", "pattern", "rest", F.floor(F.col("h") / width).cast("long").alias("slice")).agg(F.sum("size").alias("size"))
+    slices = slices.selectExpr("source", "pattern", "rest", "slice", "sum(size) OVER (PARTITION BY source, pattern ORDER BY slice) AS upto", "size")
+    ends = slices.where("upto > rest").groupBy("source", "pattern").agg(F.min(F.struct("slice", F.expr("rest - (upto - size) AS inside"))).alias("e"))
+    ends = [(r["source"], r["pattern"], r["e"]["slice"] * width, r["e"]["inside"]) for r in ends.collect()]
+    bounds = F.broadcast(spark.createDataFrame(ends, "t_source string, t_pattern int, from_h long, inside long"))
+    last = placed.withColumn("h", _hash(seed)).join(bounds, _same("t")).where(f"h >= from_h AND h < from_h + {width}")
+    last = last.selectExpr("source", "pattern", "inside", "struct(h, doc_id, size) AS place", "sum(size) OVER (PARTITION BY source, pattern ORDER BY h, doc_id, size) AS upto")
+    cut = last.where("upto <= inside").groupBy("source", "pattern").agg(F.max("place").alias("cut"), F.max("upto").alias("filled"))
+    cut = {(r["source"], r["pattern"]): (r["cut"], r["filled"]) for r in cut.collect()}
+    lines = [(x, p, f, *(tuple(cut[x, p][0]) if (x, p) in cut else (-1, None, None)), i - (cut[x, p][1] if (x, p) in cut else 0)) for x, p, f, i in ends]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    part = F.broadcast(spark.createDataFrame(lines, f"t_source string, t_pattern int, from_h long, cut_h long, cut_id {kind}, cut_size long, missing long"))
+    spare = placed.withColumn("h", _hash(seed)).join(part, _same("t")).where(~_before()).where("abs(size - missing) < missing")
+    top = spare.groupBy("source", "pattern").agg(F.min(F.expr("struct(abs(size - missing) AS off, h, doc_id, size)")).alias("top"))
+    top = {(r["source"], r["pattern"]): r["top"] for r in top.collect()}
+    line = {x[:2]: x[2:6] for x in lines}
+    decided = [(r["source"], r["pattern"], r["passes"], *line.get((r["source"], r["pattern"]), (None,) * 4), *((t["h"], t["doc_id"], t["size"]) if (t := top.get((r["source"], r["pattern"]))) else (None,) * 3)) for r in takes.collect()]
+    decided = spark.createDataFrame(decided, f"source string, pattern int, passes long, from_h long, cut_h long, cut_id {kind}, cut_size long, top_h long, top_id {kind}, top_size long")
+    return decided, shared, spark.createDataFrame(list(zip(names, sizes, goal, strict=True)), "source string, source_size long, target double")
+
+
+def _as(side: str) -> list[Column]:
+    return [F.col("source").alias(f"{side}_source"), F.col("pattern").alias(f"{side}_pattern")]
+
+
+def _same(side: str) -> Column:
+    return F.col("source").eqNullSafe(F.col(f"{side}_source")) & F.col("pattern").eqNullSafe(F.col(f"{side}_pattern"))
+
+
+def with_pattern(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """rows (key, size and any more) with the pattern of their text, null where one source holds it."""
+    if shared is None:
+        return rows.withColumn("pattern", F.lit(None).cast("int"))
+    small = shared.limit(SMALL + 1).count() <= SMALL
+    return rows.join(F.broadcast(shared) if small else shared, ["key", "size"], "left")
 
 
 def _before() -> Column:
     return F.expr("h < from_h OR coalesce(struct(h, doc_id, size) <= struct(cut_h, cut_id, cut_size), false)")
 
 
-def take(docs: DataFrame, decided: DataFrame, seed: int = 0) -> DataFrame:
-    """docs (doc_id, size, sources and any more) with times: how often the mix takes each one."""
-    made = docs.withColumn("pattern", F.array_sort(F.array_distinct("sources"))).withColumn("h", _hash(seed)).join(F.broadcast(decided), "pattern", "left")
+def take(rows: DataFrame, decided: DataFrame, shared: DataFrame | None, seed: int = 0) -> DataFrame:
+    """rows (sized() and any more columns) with times: how often the mix takes each one."""
+    cells = decided.withColumnsRenamed({"source": "t_source", "pattern": "t_pattern"})
+    made = with_pattern(rows, shared).withColumn("h", _hash(seed)).join(F.broadcast(cells), _same("t"), "left")  # a row for each cell
     chosen = F.coalesce(_before(), F.lit(False)) | F.coalesce(F.expr("top_h IS NOT NULL AND h = top_h AND doc_id <=> top_id AND size = top_size"), F.lit(False))
-    return made.withColumn("times", F.when(F.col("size") > 0, F.col("passes") + chosen.cast("long")).otherwise(0)).select(*docs.columns, "times")
+    return made.withColumn("times", F.when(F.col("size") > 0, F.col("passes") + chosen.cast("long")).otherwise(0)).select(*rows.columns, "times")
 
 
 def mixed(docs: DataFrame, source: str = "source", column: str = "text", weights: Sequence[int] = (5, 2, 1), seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Per document: doc_id, size, source, times; and the table of sources. One pass over the texts, kept as a table of sizes."""
-    sized = written(docs.select("doc_id", F.col(source).alias("source"), word_count(column).alias("size")).withColumn("sources", F.array("source")))
-    decided, sources = plan(sized, weights, seed)
-    return take(sized, decided, seed), sources
+    """Per document: doc_id, source, size, key, times; and the table of sources. One pass over the texts, kept as a table of sizes."""
+    rows = written(sized(docs, source, column))
+    decided, shared, sources = plan(rows, weights, seed)
+    return take(rows, decided, shared, seed), sources
 
 
 def resample(docs: DataFrame, source: str = "source", column: str = "text", weights: Sequence[int] = (5, 2, 1), seed: int = 0) -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken. Decisions are functions of a row, so no text is moved."""
-    sized = written(docs.select("doc_id", F.array(F.col(source)).alias("sources"), word_count(column).alias("size")))
-    decided, _ = plan(sized, weights, seed)
-    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), "doc_id", F.array(F.col(source)).alias("sources"), word_count(column).alias("size"))
-    return take(rows, decided, seed).where("times > 0").select("row", F.explode(F.expr("sequence(1L, times)"))).select("row.*")
+    """The mix itself: rows of docs, each as often as it is taken. Texts are moved only where more than SMALL of them are held by several sources."""
+    decided, shared, _ = plan(written(sized(docs, source, column)), weights, seed)
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), "doc_id", F.col(source).alias("source"), word_count(column).alias("size"), F.xxhash64(column).alias("key"))
+    return take(rows, decided, shared, seed).where("times > 0").select("row", F.explode(F.expr("sequence(1L, times)"))).select("row.*")

@@ -1,7 +1,9 @@
 """Parts of the operators on their own."""
 
+import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +55,76 @@ def test_template_tree():
 
 
 def test_flow_prefers_fresh_tokens_and_fills_overlaps():
-    flow = mixing.route([10, 10, 10], [[0], [0, 1], [1]], [12, 20])
-    assert [sum(f[k] for f, m in zip(flow, ([0], [0, 1], [1])) for k in range(len(m)) if m[k] == s) for s in (0, 1)] == [12, 20]
-    assert max(sum(f) for f in flow) <= 12
+    flow = mixing.route([10, 10, 10], [{0: 30}, {0: 30, 1: 30}, {1: 30}], [12, 20])
+    assert [sum(f.get(s, 0) for f in flow) for s in (0, 1)] == [12, 20]
+    assert max(sum(f.values()) for f in flow) <= 12
+
+
+def cheapest(units, cells, quotas):
+    """Token by token along the cheapest path of the residual graph, found by relaxing all edges."""
+    edges = []
+
+    def edge(a, b, n, cost):
+        edges.append([a, b, n, cost])
+        edges.append([b, a, 0, -cost])
+
+    for i, u in enumerate(units):
+        left = sum(cells[i].values())
+        for cost in (1, 2, 4, 8):
+            n = left if cost == 8 else min(u, left)
+            edge("root", ("p", i), n, cost)
+            left -= n
+        for j, n in cells[i].items():
+            edge(("p", i), ("s", j), n, 0)
+    for j, q in enumerate(quotas):
+        edge(("s", j), "sink", q, 0)
+    total = cost = 0
+    while True:
+        far, via = {"root": 0}, {}
+        changed = True
+        while changed:
+            changed = False
+            for k, (a, b, n, c) in enumerate(edges):
+                if n and a in far and far[a] + c < far.get(b, 10**9):
+                    far[b], via[b], changed = far[a] + c, k, True
+        if "sink" not in far:
+            return total, cost
+        node = "sink"
+        while node != "root":
+            edges[via[node]][2] -= 1
+            edges[via[node] ^ 1][2] += 1
+            node = edges[via[node]][0]
+        total, cost = total + 1, cost + far["sink"]
+
+
+def test_flow_is_cheapest():
+    rng = random.Random(4)
+    for _ in range(60):
+        s = rng.randrange(1, 4)
+        units, cells = [], []
+        for _ in range(rng.randrange(1, 5)):
+            units.append(rng.randrange(1, 5))
+            cells.append({j: 3 * units[-1] * rng.randrange(1, 3) for j in rng.sample(range(s), rng.randrange(1, s + 1))})
+        quotas = [rng.randrange(0, 15) for _ in range(s)]
+        flow = mixing.route(units, cells, quotas)
+        cost = 0
+        for u, c, f in zip(units, cells, flow):
+            assert all(0 <= f[j] <= c[j] for j in c)
+            left = sum(f.values())
+            for price in (1, 2, 4, 8):
+                n = left if price == 8 else min(u, left)
+                cost, left = cost + n * price, left - n
+        assert all(sum(f.get(j, 0) for f in flow) <= q for j, q in enumerate(quotas))
+        assert (sum(sum(f.values()) for f in flow), cost) == cheapest(units, cells, quotas)
+
+
+def test_flow_over_many_patterns_is_fast():
+    rng = random.Random(5)
+    sets = {tuple(sorted(rng.sample(range(200), rng.randrange(2, 5)))) for _ in range(5000)}
+    cells = [{j: rng.randrange(300, 900) for j in k} for k in sorted(sets)]
+    began = time.time()
+    mixing.route([100] * len(cells), cells, [30_000] * 200)
+    assert time.time() - began < 20
 
 
 def test_targets_stop_at_three_times_the_size():
@@ -73,6 +142,20 @@ def test_fold_and_exceptions():
 def test_segmentation():
     s = urls.Segmenter({"free": 50, "bets": 50, "freeb": 1})
     assert s.split("freebets") == ["free", "bets"]
+    rng = random.Random(6)
+    counts = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))): rng.randrange(1, 50) for _ in range(12)}
+    total = sum(counts.values())
+    for _ in range(60):
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
+        scores = {}
+        for cuts in itertools.product((False, True), repeat=len(text) - 1):
+            words, start = [], 0
+            for i, cut in enumerate([*cuts, True]):
+                if cut:
+                    words.append(text[start : i + 1])
+                    start = i + 1
+            scores[tuple(words)] = sum(math.log(counts[w] / total) if w in counts else -math.log(10 * total) - len(w) * math.log(10) for w in words)
+        assert abs(scores[tuple(urls.Segmenter(counts, total).split(text))] - max(scores.values())) < 1e-9
 
 
 def test_bpe_round_trip_and_offsets(spark):
