@@ -1,15 +1,18 @@
 """Quality rules per document and per host.
 
-Each document is measured once (counts over its whole text) and tested against rules. The failures of
-each rule are summed by host; a host's failure rate is shrunk towards all hosts by a beta prior whose
-strength comes from the hosts' own spread (moments); a host whose shrunk rate of base failures is at
-least max_host_rate is rejected, and its verdict is joined back to its documents.
-
-A document is kept if it fails no base rule and its host is not rejected. The further rules (symbols,
-repeated lines, word length) are reported for each host and do not reject by themselves.
-
-Null or empty texts have no words, so they fail the rule on length. A null host is a host of its own.
-Repeated rows each count. Other columns are kept; a column named like an output is replaced.
+Each document is measured once (counts over its whole text) and tested against rules: "base" (fewer than
+min_words words, or more than max_repeat_percent of them in repeated windows), "symbols" (more symbols than words),
+"dup_lines" (three times the repeated lines exceed a fifth of the words, or 3) and "word_length" (words of fewer
+than 2 or more than 15 characters on average). The failures of each rule are summed by host; a host's failure rate of
+a rule is shrunk towards all hosts by a beta prior whose strength comes from the hosts' own spread (moments). A host
+is rejected if the shrunk rate of any rule reaches that rule's limit in HOST_LIMITS, and the verdict is joined back to
+its documents.
+
+A document is kept if it passes the base rule and its host is not rejected; the other rules act through hosts only.
+
+Null or empty texts have no words, so they fail the base rule; very long ones are measured whole. A null host is a
+host of its own. Repeated rows each count; rows without doc_id are judged like others. A rate equal to its limit
+rejects. An empty table gives no rows. Other columns are kept; a column named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 WINDOW = 8
 WHITE = b" \t\n\v\f\r"
+#: A host is rejected from these shrunk failure rates on.
+HOST_LIMITS = {"base": 0.5, "symbols": 0.5, "dup_lines": 0.5, "word_length": 0.5}
 
 
 def _by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -103,7 +108,7 @@ def base_failed(min_words: int = 20, max_repeat_percent: int = 30) -> Column:
 
 
 def rules(min_words: int = 20, max_repeat_percent: int = 30) -> dict[str, Column]:
-    """All rules by name; "base" is the one that rejects."""
+    """All rules by name; "base" rejects a document by itself, and each acts through its host."""
     n = F.col("n_words")
     return {
         "base": base_failed(min_words, max_repeat_percent),
@@ -142,24 +147,28 @@ def host_rates(counted: DataFrame, host: str = "source", **limits: int) -> DataF
     return out
 
 
-def judged(counted: DataFrame, rates: DataFrame, host: str = "source", max_host_rate: float = 0.5, **limits: int) -> DataFrame:
-    """counted with base_failed, host_rate and kept."""
-    verdict = rates.select(F.col("host").alias("__host"), F.col("rate_base").alias("host_rate"))
+def judged(counted: DataFrame, rates: DataFrame, host: str = "source", host_limits: dict[str, float] | None = None, **limits: int) -> DataFrame:
+    """counted with base_failed, host_rejected and kept."""
+    over = F.lit(False)
+    for rule, limit in (HOST_LIMITS if host_limits is None else host_limits).items():
+        over = over | (F.col(f"rate_{rule}") >= limit)
+    verdict = rates.select(F.col("host").alias("__host"), over.alias("host_rejected"))
     return (
-        counted.drop("base_failed", "host_rate", "kept")
+        counted.drop("base_failed", "host_rejected", "kept")
         .withColumn("base_failed", base_failed(**limits))
         .join(verdict, F.col(host).eqNullSafe(F.col("__host")), "left")
         .drop("__host")
-        .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) < max_host_rate))
+        .withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+        .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
     )
 
 
-def keep_good(docs: DataFrame, host: str = "source", column: str = "text", max_host_rate: float = 0.5, **limits: int) -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source", column: str = "text", host_limits: dict[str, float] | None = None, **limits: int) -> DataFrame:
     """The documents that are kept, with the columns of docs.
 
     The counts are made twice (for the hosts, then beside the text): that moves no text between machines.
     """
     rates = host_rates(with_counts(docs.select(*{host: 0, column: 0}), column, keep_text=False), host, **limits)
     columns = docs.columns
-    good = judged(with_counts(docs.select(*(F.col(c) for c in columns)), column), rates, host, max_host_rate, **limits)
+    good = judged(with_counts(docs.select(*(F.col(c) for c in columns)), column), rates, host, host_limits, **limits)
     return good.where("kept").select(*columns)

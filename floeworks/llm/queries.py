@@ -98,11 +98,13 @@ ORACLES: dict[str, str] = {
         c AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
               CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
               FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN covered ON covered.doc_id = d.doc_id),
-        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-        h AS (SELECT source, count(*) AS n, CAST(count(*) FILTER (WHERE base_failed) AS DOUBLE) AS k FROM f GROUP BY 1),
-        m AS (SELECT sum(n) AS docs, count(*) AS hosts, sum(k) / sum(n) AS mean, sum(k * k / n) AS kk, CAST(sum(n * n) AS DOUBLE) AS nn FROM h),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols > n_words AS symbols, 3 * n_dup_lines > greatest(n_words / 5, 3) AS dup_lines,
+              n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) AS word_length FROM c),
+        u AS (SELECT source, 'base' AS rule, base_failed AS failed FROM f UNION ALL SELECT source, 'symbols', symbols FROM f UNION ALL SELECT source, 'dup_lines', dup_lines FROM f UNION ALL SELECT source, 'word_length', word_length FROM f),
+        h AS (SELECT rule, source, count(*) AS n, CAST(count(*) FILTER (WHERE failed) AS DOUBLE) AS k FROM u GROUP BY 1, 2),
+        m AS (SELECT rule, sum(n) AS docs, count(*) AS hosts, sum(k) / sum(n) AS mean, sum(k * k / n) AS kk, CAST(sum(n * n) AS DOUBLE) AS nn FROM h GROUP BY 1),
         b AS (SELECT *, (kk - docs * mean * mean - (hosts - 1) * mean * (1 - mean)) / nullif(docs - nn / docs, 0) AS spread FROM m),
-        p AS (SELECT mean, CASE WHEN spread > 0 THEN least(1e6, greatest(1e0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS strength FROM b),
-        r AS (SELECT source, (k + mean * strength) / (n + strength) AS rate FROM h, p)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.5 AS kept FROM f LEFT JOIN r ON r.source IS NOT DISTINCT FROM f.source""",
+        p AS (SELECT rule, mean, CASE WHEN spread > 0 THEN least(1e6, greatest(1e0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS strength FROM b),
+        r AS (SELECT source, bool_or((k + mean * strength) / (n + strength) >= 0.5) AS rejected FROM h JOIN p USING (rule) GROUP BY 1)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM f LEFT JOIN r ON r.source IS NOT DISTINCT FROM f.source""",
 }
