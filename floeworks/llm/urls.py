@@ -7,14 +7,19 @@ Rules name a host and the beginning of a path and fit that host and its subdomai
 rule wins (then the first given). All other URLs get the verdict of a multinomial naive Bayes over the
 words of host and path. Host labels are cut at hyphens and digits and split by a unigram Viterbi search
 into the likeliest words, so `freebets` becomes `free bets`; word frequencies come from the titles of all
-pages. The classes are learnt from the URLs that a rule decides, whose tokens are counted over all pages,
-and from a short list of words with fixed counts. The last host label (com, net) is no token, and tokens
-that the rules themselves name are none either: they would only repeat the rules.
+pages. Words are learnt for each class from the URLs that a rule decides, whose tokens are counted over all pages,
+and from a short list of words with fixed counts. How often rules block says nothing about other URLs, so the
+two classes count as equally likely, and a URL is blocked only if the odds of its words exceed MARGIN (in nats).
+The last host label (com, net) is no token, and tokens that the rules themselves name are none either: they would
+only repeat the rules.
 
 The driver and each worker hold the `vocabulary` most frequent words and tokens and the fixed ones. The counts of
 all others stay in Spark tables and are joined to the words and tokens that URLs ask for, so every count is used at
-every size and `vocabulary` changes no result. Null and malformed URLs have no tokens and are judged by the prior alone.
-Repeated rows are judged alike. Ties are allowed.
+every size and `vocabulary` changes no result.
+
+Null and malformed URLs have no tokens, so the method allows them; so does a tie. Very long hosts and paths are read
+whole. Repeated rows and rows without page_id are judged alike; an empty table gives no rows. Other columns than
+key, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-VOCABULARY = 50_000
-LONGEST_WORD = 20
+VOCABULARY, MARGIN = 50_000, 1.0
+TEN = math.log(10)
 
 #: Words of blocked and of allowed sites, each counted as SEED_COUNT occurrences.
 BLOCK_WORDS = ("adult", "bet", "bets", "casino", "cheap", "escort", "farm", "free", "gambling", "loan", "lottery", "pills", "poker", "porn", "sex", "slots", "spam", "torrent", "viagra", "warez", "win", "xxx")
@@ -62,31 +67,47 @@ def by_rules(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataF
 
 
 class Segmenter:
-    """Unigram Viterbi: the split of a string into words of the largest product of probabilities."""
+    """Unigram Viterbi: the split of a string into words of the largest product of probabilities.
+
+    An unknown word is as likely as a tenth of one occurrence, ten times less for each letter.
+    """
 
     def __init__(self, counts: dict[str, int], total: int | None = None):
         self.total = total or sum(counts.values()) or 1
         self.logs = {w: math.log(c / self.total) for w, c in counts.items()}
-        self.known: dict[str, list[str]] = {}
+        self.sizes = {len(w) for w in counts}
+        self.splits: dict[str, list[str]] = {}
         self.rare: dict[str, int] = {}  # counts of words outside counts that the texts to split contain
 
-    def cost(self, word: str) -> float:
+    def cost(self, word: str) -> float | None:
+        """The log probability of a known word."""
         if word in self.rare:
             return math.log(self.rare[word] / self.total)
-        # an unknown word is as likely as a tenth of one occurrence, less for each letter
-        return self.logs.get(word) or -math.log(10 * self.total) - len(word) * math.log(10)
+        return self.logs.get(word)
 
     def split(self, text: str) -> list[str]:
-        if text not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[text] = self._split(text)
-        return self.known[text]
+        if text not in self.splits:
+            if len(self.splits) > 100_000:
+                self.splits.clear()
+            self.splits[text] = self._split(text)
+        return self.splits[text]
 
     def _split(self, text: str) -> list[str]:
+        sizes = sorted(self.sizes | {len(w) for w in self.rare})
+        new = -math.log(10 * self.total)
         best, back = [0.0], [0]
+        open_, start = -math.inf, 0  # the best split whose last word is unknown, and where that word begins
         for j in range(1, len(text) + 1):
-            score, i = max((best[i] + self.cost(text[i:j]), i) for i in range(max(0, j - LONGEST_WORD), j))
+            open_ -= TEN
+            if best[j - 1] + new - TEN > open_:
+                open_, start = best[j - 1] + new - TEN, j - 1
+            score, i = open_, start
+            for size in sizes:
+                if size > j:
+                    break
+                known = self.cost(text[j - size : j])
+                if known is not None and best[j - size] + known >= score:
+                    score, i = best[j - size] + known, j - size
             best.append(score)
             back.append(i)
         words, j = [], len(text)
@@ -110,7 +131,7 @@ def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
 def word_counts(pages: DataFrame, html: str = "html", vocabulary: int = VOCABULARY) -> tuple[dict[str, int], int, DataFrame | None]:
     """Frequencies of the words in all pages' titles and of the fixed words: the most frequent ones, the sum of all, and a table of the others (None: there are none)."""
     title = F.lower(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"[a-z]{1,20}"), F.lit(0))).alias("word"))
+    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"[a-z]+"), F.lit(0))).alias("word"))
     counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     fixed = (*BLOCK_WORDS, *ALLOW_WORDS, "www", "blog", "example")
     top, total, rest = most_frequent(counts, "word", F.col("n"), fixed, vocabulary)
@@ -135,11 +156,12 @@ def with_rare(decided: DataFrame, counts: dict[str, int], rest: DataFrame | None
     if rest is None:
         return decided.withColumn("rare", F.lit(None).cast("map<string,bigint>"))
     shared = decided.sparkSession.sparkContext.broadcast(frozenset(counts))
+    sizes = [r["size"] for r in rest.select(F.length("word").alias("size")).distinct().collect()]  # a number for each length of a word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 500):
-                asked = [(h, w) for h in b.column(0).slice(k, 500).to_pylist() for w in {p[i:j] for p in parts(h) for i in range(len(p)) for j in range(i + 1, min(len(p), i + LONGEST_WORD) + 1)} - shared.value]
+                asked = [(h, w) for h in b.column(0).slice(k, 500).to_pylist() for w in {p[i : i + size] for p in parts(h) for size in sizes for i in range(len(p) - size + 1)} - shared.value]
                 yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in asked], pa.string()), pa.array([w for _, w in asked], pa.string())], ["host", "word"])
 
     asked = decided.select("host").distinct().mapInArrow(run, "host string, word string").join(rest, "word")
@@ -166,15 +188,13 @@ def learn(decided: DataFrame, words: dict[str, int], total_words: int, rules: Se
             for host, path, v, rare in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 s.rare = dict(rare or ())
                 found.update((t, v) for t in tokens(host, path, s) if t not in named)
-                found["", v] += 1
             yield pa.RecordBatch.from_pydict({"token": pa.array([t for t, _ in found], pa.string()), "verdict": pa.array([v for _, v in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
     rows = decided.where("rule_verdict IS NOT NULL").select("host", "path", "rule_verdict", "rare").mapInArrow(run, "token string, verdict string, n long")
     counts = written(rows.groupBy("token").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("block", "allow"))))
-    total = counts.where("token <> ''").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("kinds")).first()
-    pages = counts.where("token = ''").first()
+    total = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("kinds")).first()
     fixed = [f"h:{w}" for w in (*BLOCK_WORDS, *ALLOW_WORDS)]
-    found, _, rest = most_frequent(counts.where("token <> ''"), "token", F.col("block") + F.col("allow"), fixed, vocabulary)
+    found, _, rest = most_frequent(counts, "token", F.col("block") + F.col("allow"), fixed, vocabulary)
     top = {r["token"]: [r["block"], r["allow"]] for r in found}
     kinds = (total["kinds"] or 0) + len(set(fixed) - set(top)) + 1
     sums = [total["block"] or 0, total["allow"] or 0]
@@ -184,8 +204,7 @@ def learn(decided: DataFrame, words: dict[str, int], total_words: int, rules: Se
             sums[k] += SEED_COUNT
     unseen = math.log(1 / (sums[0] + kinds)) - math.log(1 / (sums[1] + kinds))
     weights = {t: math.log((b + 1) / (sums[0] + kinds)) - math.log((a + 1) / (sums[1] + kinds)) for t, (b, a) in top.items()}
-    prior = math.log(((pages["block"] if pages else 0) + 1) / ((pages["allow"] if pages else 0) + 1))
-    model = {"words": words, "total_words": total_words, "weights": weights, "unseen": unseen, "prior": prior, "named": named}
+    model = {"words": words, "total_words": total_words, "weights": weights, "unseen": unseen, "named": named}
     # what a rarer token weighs more than an unseen one
     return model, None if rest is None else rest.select("token", (F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0)).alias("more"))
 
@@ -204,7 +223,7 @@ def judged(decided: DataFrame, model: dict, rest: DataFrame | None = None, key:
             for host, path, rare in zip(*(b.column(i).to_pylist() for i in (1, 2, 5)), strict=True):
                 s.rare = dict(rare or ())
                 found = [t for t in tokens(host, path, s) if t not in m["named"]]
-                odds.append(m["prior"] + sum(m["weights"].get(t, m["unseen"]) for t in found))
+                odds.append(sum((m["weights"].get(t, m["unseen"]) for t in found), 0.0))
                 others.append([t for t in found if t not in m["weights"]] if ask else None)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(odds, pa.float64()), pa.array(others, pa.list_(pa.string()))], [key, "host", "path", "rule", "rule_verdict", "block_odds", "others"])
 
@@ -214,7 +233,7 @@ def judged(decided: DataFrame, model: dict, rest: DataFrame | None = None, key:
         asked = out.where("size(others) > 0").select("host", "path", "others").distinct().select("host", "path", F.explode("others").alias("token"))
         more = written(asked.join(rest, "token").groupBy("host", "path").agg(F.sum("more").alias("more")))
         out = out.join(more, ["host", "path"], "left").withColumn("block_odds", F.col("block_odds") + F.coalesce("more", F.lit(0.0)))
-    verdict = F.coalesce("rule_verdict", F.when(F.col("block_odds") > 0, "block").otherwise("allow"))
+    verdict = F.coalesce("rule_verdict", F.when(F.col("block_odds") > MARGIN, "block").otherwise("allow"))
     return out.select(key, "host", "path", "rule", verdict.alias("verdict"), "block_odds")
 
 
