@@ -1,14 +1,18 @@
 """Licence scans with built-in functions only: ordered signature rules over whole texts.
 
-Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z lower-cased. A text is
-first tested for licence vocabulary by one expression; the rest of the work is done only for texts that
-pass. Hundreds of regular expressions, built from licence names, versions and ways to mention them, each
-have a keyword that must occur before the expression is tried, a priority and a confidence. A detection that
-lies inside another one of higher priority (or, at equal priority, a longer one; at equal spans, of an
-earlier rule) is suppressed. Everything happens inside a row: nothing is moved between machines.
-
-Base phrases are reported whatever the rules find. Nulls count as empty; empty texts have no words and no
-labels. Repeated rows are scanned alike. Other columns are not read.
+Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z lower-cased; a text is
+read as its words with one space between them. Hundreds of regular expressions, written by hand (see
+licence_rules.py), each have a keyword that must occur before the expression is tried, a priority and a
+confidence. A detection that lies inside another one of equal or higher priority is suppressed (of two on the
+same words, the one of lower priority, then of the later rule). Everything happens inside a row: nothing is moved
+between machines.
+
+Base phrases are reported whatever the rules find, at all their places.
+
+Nulls count as empty; empty texts have no words and no labels. In very long texts the places of a rule are read
+off the words in one pass, and suppression works in chunks of about the square root of the number of
+detections. Repeated rows and rows without doc_id are scanned alike; an empty table gives no rows. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,118 +22,83 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .licence_rules import RULES
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Not ASCII, but lower() would make ASCII letters of them: each with a letter that stays outside ASCII.
+KELVIN, DOTTED_I = ("\u212a", "\u0138"), ("\u0130", "\u0131")
+OPEN, CLOSE = "\x01", "\x03"
 
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, names (as words), versions (as words; empty: none).
-FAMILIES = (
-    ("apache", ("apache", "apache software"), ("2 0", "1 1", "1 0")),
-    ("mit", ("mit", "expat", "x11"), ()),
-    ("bsd", ("bsd", "berkeley software distribution", "new bsd", "simplified bsd", "modified bsd"), ("2 clause", "3 clause", "4 clause", "0 clause")),
-    ("gpl", ("gnu general public", "gnu gpl", "gpl"), ("3", "3 0", "2", "2 0", "1")),
-    ("lgpl", ("gnu lesser general public", "gnu library general public", "lgpl"), ("3", "3 0", "2 1", "2 0")),
-    ("agpl", ("gnu affero general public", "affero general public", "agpl"), ("3", "3 0", "1 0")),
-    ("mpl", ("mozilla public", "mpl"), ("2 0", "1 1", "1 0")),
-    ("epl", ("eclipse public", "epl"), ("2 0", "1 0")),
-    ("cddl", ("common development and distribution", "cddl"), ("1 1", "1 0")),
-    ("eupl", ("european union public", "eupl"), ("1 2", "1 1", "1 0")),
-    ("artistic", ("artistic",), ("2 0", "1 0")),
-    ("boost", ("boost software", "bsl"), ("1 0",)),
-    ("isc", ("isc",), ()),
-    ("zlib", ("zlib", "zlib libpng"), ()),
-    ("unlicense", ("unlicense",), ()),
-    ("wtfpl", ("wtfpl", "do what the fuck you want to public"), ()),
-    ("python", ("python software foundation", "psf"), ("2",)),
-    ("php", ("php",), ("3 01", "3 0")),
-    ("ofl", ("sil open font", "open font", "ofl"), ("1 1", "1 0")),
-    ("odbl", ("open database", "odbl"), ("1 0",)),
-)
-#: Label, and the words of a Creative Commons licence's short name.
-COMMONS = (("cc-by-nc-sa", "by nc sa"), ("cc-by-nc-nd", "by nc nd"), ("cc-by-nc", "by nc"), ("cc-by-nd", "by nd"), ("cc-by-sa", "by sa"), ("cc-by", "by"), ("cc0", "zero"))
-COMMONS_VERSIONS = ("4 0", "3 0", "2 5", "2 0", "1 0")
-#: Ways to mention a licence, as text around its name: before, after, priority, confidence.
-MENTIONS = (
-    ("licensed under (?:the )?(?:terms of (?:the )?)?", " licen[cs]e", 4, 0.95),
-    ("(?:released|distributed|available) under (?:the )?(?:terms of (?:the )?)?", " licen[cs]e", 4, 0.95),
-    ("under the terms of the ", " licen[cs]e", 3, 0.9),
-    ("spdx license identifier ", "", 5, 1.0),
-    ("see the ", " licen[cs]e", 2, 0.8),
-    ("", " licen[cs]e", 1, 0.7),
-)
-#: Signatures of licence texts: label, keyword, expression, priority, confidence.
-TEXTS = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 5, 1.0),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 5, 1.0),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 5, 1.0),
-    ("warranty", "warrant", "(?:without|no) warrant(?:y|ies) of any kind", 1, 0.3),
-    ("copyright", "copyright", "copyright(?: c)?(?: [0-9]{4}){1,4}", 1, 0.4),
-    ("public-domain", "public", "(?:released|dedicated|placed) (?:in|in to|into|to) the public domain", 3, 0.9),
-    ("proprietary", "proprietary", "proprietary and confidential", 3, 0.9),
-    ("reserved", "reserved", "all rights reserved", 1, 0.6),
-)
-GATE = r"(?i)licen[cs]e|reserved|copyright|spdx|permission|redistribution|warrant|proprietary|public[^a-z0-9]+domain|(?<![a-z0-9])cc(?:0|[^a-z0-9]+(?:by|zero))|(?<![a-z0-9])creative"
-
-
-def signatures() -> list[tuple[int, str, str, str, int, float]]:
-    """The ordered rules: id, label, keyword, expression over ` word word`, priority, confidence."""
-    made: list[tuple[str, str, str, int, float]] = []
-    for label, names, versions in FAMILIES:
-        for before, after, priority, confidence in MENTIONS:
-            for name in names:
-                made.append((label, name, f"{before}{name}{after}", priority, confidence))
-                for v in versions:
-                    made.append((f"{label}-{v.replace(' clause', '').replace(' ', '.')}", name, f"{before}{name}{after}(?: v| version)? {v}(?: or later| or any later version)?", priority + 1, confidence))
-    for label, words in COMMONS:
-        for name in ("cc", "creative commons"):
-            made.append((label, name, f"{name} {words}", 2 + words.count(" "), 0.9))
-            for v in COMMONS_VERSIONS:
-                made.append((f"{label}-{v.replace(' ', '.')}", name, f"{name} {words} {v}", 3 + words.count(" "), 0.95))
-    made += TEXTS
-    return [(i, label, f" {keyword}", f" {expression}(?= |$)", priority, confidence) for i, (label, keyword, expression, priority, confidence) in enumerate(made)]
-
-
-def _quoted(s: str) -> str:
-    return "r'" + s + "'"
+
+def signatures() -> list[tuple[str, int, float, str, str]]:
+    """The ordered rules: label, priority, confidence, keyword, expression."""
+    lines = [x.split("; ") for x in RULES.strip().split("\n") if not x.startswith("#")]
+    return [(label, int(priority), float(confidence), keyword, expression) for label, priority, confidence, keyword, expression in lines]
 
 
 def normal(column: str) -> Column:
     """All words of a text, each after one space."""
-    words = F.trim(F.regexp_replace(F.translate(F.col(column), UPPER, LOWER), NOT_WORD, " "))
+    text = F.coalesce(F.col(column), F.lit(""))
+    for letter, other in (KELVIN, DOTTED_I):
+        text = F.replace(text, F.lit(letter), F.lit(other))
+    words = F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))
     return F.when(words == "", F.lit("")).otherwise(F.concat(F.lit(" "), words))
 
 
+def marked(column: str) -> Column:
+    """array of (id, text) of the rules that fit: the text with OPEN before and CLOSE behind each place of the rule."""
+    norm = F.col(column)
+    by_keyword: dict[str, list[Column]] = {}
+    for i, (_, _, _, keyword, expression) in enumerate(signatures()):
+        text = F.regexp_replace(norm, F.lit(f" ({expression})(?= |$)"), F.lit(f" {OPEN}$1{CLOSE}"))
+        by_keyword.setdefault(keyword, []).append(F.struct(F.lit(i).alias("id"), text.alias("text")))
+    none = F.array().cast("array<struct<id:int,text:string>>")
+    tried = F.flatten(F.array(*(F.when(F.contains(norm, F.lit(k)), F.array(*rules)).otherwise(none) for k, rules in by_keyword.items())))
+    return F.filter(tried, lambda f: F.contains(f["text"], F.lit(OPEN)))
+
+
+def constants(values: Sequence[object]) -> Column:
+    return F.array(*(F.lit(v) for v in values))
+
+
+def suppressed(hits: str, priorities: int) -> Column:
+    """The hits (start, back = -end, low = -priority, id; in that order) that no other one suppresses.
+
+    Whatever contains a hit comes before it, so the largest end so far of each priority decides: of all
+    chunks before, and of the hits before it in its own chunk.
+    """
+    chunk = f"CAST(ceil(sqrt(size({hits}))) AS INT)"
+    chunks = f"transform(sequence(0, CAST(ceil(size({hits}) / {chunk}) AS INT) - 1), c -> slice({hits}, c * {chunk} + 1, {chunk}))"
+    ends = f"transform(chunks, h -> transform(sequence(1, {priorities}), p -> array_max(transform(filter(h, d -> -d.low >= p), d -> -d.back))))"
+    before = f"transform(sequence(1, {priorities}), p -> array_max(transform(slice(tops, 1, c), t -> t[p - 1])))"
+    free = "filter(h, (d, i) -> NOT coalesce(b[-d.low - 1] >= -d.back, false) AND NOT exists(slice(h, 1, i), e -> e.low <= d.low AND e.back <= d.back))"
+    kept = f"flatten(transform(chunks, (h, c) -> transform(array({before}), b -> {free})[0]))"
+    return F.expr(f"CASE WHEN size({hits}) > 0 THEN transform(array({chunks}), chunks -> transform(array({ends}), tops -> {kept})[0])[0] ELSE {hits} END")
+
+
 def scanned(docs: DataFrame, column: str = "text", base: Sequence[tuple[str, str]] = BASE) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections (rule, label, start, end in normalised text)."""
-    rules = "array(" + ", ".join(f"named_struct('id', {i}, 'label', '{label}', 'keyword', '{k}', 'pattern', {_quoted(p)}, 'priority', {pr}, 'confidence', {c}D)" for i, label, k, p, pr, c in signatures()) + ")"
-    out = docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text"))
-    out = out.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(GATE), normal("text")).alias("norm"))
-    # the pieces between a phrase's places: words before the first, words after the last
-    parts = ", ".join(f"named_struct('label', '{label}', 'size', {phrase.count(' ') + 1}, 'pieces', split(norm, {_quoted(f' {phrase}(?= |$)')}, -1))" for phrase, label in base)
-    out = out.withColumn("parts", F.expr(f"CASE WHEN norm IS NOT NULL THEN filter(array({parts}), p -> size(p.pieces) > 1) END"))
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections (rule, label, first and last word)."""
+    rules = signatures()
+    out = docs.select("doc_id", normal(column).alias("norm"))
     spaces = "length({0}) - length(replace({0}, ' ', ''))"
+    out = out.withColumn("n_words", F.expr(f"CAST({spaces.format('norm')} AS BIGINT)"))
+    # the pieces between a phrase's places: words before the first, words after the last
+    parts = ", ".join(f"named_struct('label', '{label}', 'size', {phrase.count(' ') + 1}, 'pieces', CASE WHEN contains(norm, '{phrase}') THEN split(norm, r' {phrase}(?= |$)', -1) ELSE array('') END)" for phrase, label in base)
+    out = out.withColumn("parts", F.expr(f"filter(array({parts}), p -> size(p.pieces) > 1)"))
     out = out.withColumn("first_word", F.expr(f"CAST(array_min(transform(parts, p -> {spaces.format('p.pieces[0]')})) AS BIGINT)"))
     out = out.withColumn("last_word", F.expr(f"CAST(array_max(transform(parts, p -> n_words - p.size - ({spaces.format('p.pieces[size(p.pieces) - 1]')}))) AS BIGINT)"))
-    out = out.withColumn("n_base", F.expr("coalesce(CAST(aggregate(parts, 0, (a, p) -> a + size(p.pieces) - 1) AS BIGINT), 0L)"))
-    out = out.withColumn("base", F.expr("coalesce(transform(parts, p -> p.label), array())"))
-    spans = """
-        aggregate(sequence(1, size(f.found)), named_struct('at', length(f.pieces[0]), 'spans', CAST(array() AS array<struct<start:int, end:int>>)),
-            (a, i) -> named_struct('at', a.at + length(f.found[i - 1]) + length(f.pieces[i]),
-                                   'spans', concat(a.spans, array(named_struct('start', a.at, 'end', a.at + length(f.found[i - 1]))))),
-            a -> a.spans)"""
-    hits = f"""
-        flatten(transform(
-            filter(transform(filter({rules}, r -> contains(norm, r.keyword)),
-                             r -> named_struct('r', r, 'found', regexp_extract_all(norm, r.pattern, 0), 'pieces', split(norm, r.pattern, -1))),
-                   f -> size(f.found) > 0),
-            f -> transform({spans}, s -> named_struct('id', f.r.id, 'label', f.r.label, 'priority', f.r.priority, 'confidence', f.r.confidence, 'start', s.start, 'end', s.end))))"""
-    out = out.withColumn("hits", F.expr(f"CASE WHEN norm IS NOT NULL THEN {hits} END"))
-    kept = """filter(hits, d -> NOT exists(hits, e -> e.id <> d.id AND e.start <= d.start AND e.end >= d.end AND (
-        e.priority > d.priority OR e.priority = d.priority AND (e.end - e.start > d.end - d.start OR e.end - e.start = d.end - d.start AND e.id < d.id))))"""
-    out = out.withColumn("kept", F.expr(f"coalesce({kept}, array())"))
+    out = out.withColumn("n_base", F.expr("CAST(aggregate(parts, 0, (a, p) -> a + size(p.pieces) - 1) AS BIGINT)"))
+    out = out.withColumn("base", F.expr("transform(parts, p -> p.label)"))
+    out = out.withColumn("fits", marked("norm"))
+    out = out.withColumn("low", constants([-p for _, p, _, _, _ in rules])).withColumn("label", constants([x[0] for x in rules])).withColumn("sure", constants([x[2] for x in rules]))
+    places = "filter(transform(words, (w, i) -> IF({0}(w, '{1}'), i - 1, NULL)), x -> x IS NOT NULL)"
+    zipped = f"zip_with({places.format('startswith', OPEN)}, {places.format('endswith', CLOSE)}, (s, e) -> named_struct('start', s, 'back', -e, 'low', low[f.id], 'id', f.id))"
+    spans = f"flatten(transform(fits, f -> transform(array(split(f.text, ' ')), words -> {zipped})[0]))"
+    out = out.withColumn("hits", F.expr(f"array_sort({spans})"))
+    out = out.withColumn("kept", suppressed("hits", max(p for _, p, _, _, _ in rules)))
     return out.select(
         "doc_id",
         "n_words",
@@ -137,7 +106,7 @@ def scanned(docs: DataFrame, column: str = "text", base: Sequence[tuple[str, str
         "first_word",
         "last_word",
         F.expr("array_join(array_sort(array_distinct(base)), ',')").alias("base_labels"),
-        F.expr("array_join(array_sort(array_distinct(concat(base, transform(kept, k -> k.label)))), ',')").alias("labels"),
-        F.expr("1D - aggregate(array_distinct(transform(kept, k -> k.confidence)), 1D, (a, c) -> a * (1D - c))").alias("score"),
-        F.expr("transform(kept, k -> named_struct('rule', k.id, 'label', k.label, 'start', k.start, 'end', k.end))").alias("detections"),
+        F.expr("array_join(array_sort(array_distinct(concat(base, transform(kept, k -> label[k.id])))), ',')").alias("labels"),
+        F.expr("1D - aggregate(array_distinct(transform(kept, k -> sure[k.id])), 1D, (a, c) -> a * (1D - c))").alias("score"),
+        F.expr("transform(kept, k -> named_struct('rule', k.id, 'label', label[k.id], 'first_word', k.start, 'last_word', -k.back))").alias("detections"),
     )
