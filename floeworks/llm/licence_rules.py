@@ -1,7 +1,7 @@
 """The rules of the licence scan, written by hand: one a line, as label; priority; confidence; keyword; expression.
 
 Expressions run over normalised text (words in lower case, one space between them) and cover whole words. The
-keyword is a part of every text that the expression fits. Priorities: 1 weak mentions, 2 names, 3 names with a
+keywords are whole words, one of which is in every text that the expression fits (`|` between them). Priorities: 1 weak mentions, 2 names, 3 names with a
 version, 4 notices, 5 identifiers and URLs, 6 and 7 licence texts and the most special names.
 """
 
@@ -31,13 +31,13 @@ cc-by-nc-nd-4.0; 5; 0.95; cc; cc by nc nd 4 0( international)?
 cc0; 2; 0.8; cc; cc (0|zero)
 cc0; 2; 0.8; cc0; cc0
 cc0-1.0; 3; 0.95; cc0; cc0 1 0( universal)?
-cc0; 6; 1.0; waive; affirmer hereby (overtly fully permanently irrevocably and unconditionally )?waives
-cc0; 6; 1.0; dedicat; dedicated the work to the public domain by waiving all of his or her rights
+cc0; 6; 1.0; waives; affirmer hereby (overtly fully permanently irrevocably and unconditionally )?waives
+cc0; 6; 1.0; dedicated; dedicated the work to the public domain by waiving all of his or her rights
 cc-by; 4; 0.9; attribution; creative commons attribution( [1-4] [05])?( international| unported| generic)?( public)? licen[cs]e
 cc-by-sa; 5; 0.9; sharealike; creative commons attribution sharealike( [1-4] [05])?( international| unported| generic)?( public)?( licen[cs]e)?
 cc-by-sa; 5; 0.9; share; creative commons attribution share alike( [1-4] [05])?( international| unported)?( licen[cs]e)?
-cc-by-nd; 5; 0.9; noderiv; creative commons attribution noderiv(s|atives)( [1-4] [05])?( international| unported)?( licen[cs]e)?
-cc-by-nd; 5; 0.9; deriv; creative commons attribution no deriv(s|atives)( [1-4] [05])?( licen[cs]e)?
+cc-by-nd; 5; 0.9; noderivs|noderivatives; creative commons attribution noderiv(s|atives)( [1-4] [05])?( international| unported)?( licen[cs]e)?
+cc-by-nd; 5; 0.9; derivs|derivatives; creative commons attribution no deriv(s|atives)( [1-4] [05])?( licen[cs]e)?
 cc-by-nc; 5; 0.9; noncommercial; creative commons attribution noncommercial( [1-4] [05])?( international| unported)?( licen[cs]e)?
 cc-by-nc; 5; 0.9; commercial; creative commons attribution non commercial( [1-4] [05])?( international| unported)?( licen[cs]e)?
 cc-by-nc-sa; 6; 0.9; noncommercial; creative commons attribution noncommercial share ?alike( [1-4] [05])?( international| unported)?( licen[cs]e)?
@@ -55,7 +55,7 @@ cc-by; 6; 0.9; adapt; you are free to share and adapt the material for any purpo
 # gnu
 gpl; 1; 0.7; gpl; gpl
 gpl; 2; 0.8; gpl; gnu gpl
-gpl-1; 3; 0.9; gpl; (gnu )?gpl ?v? ?1( 0)?
+gpl-1; 3; 0.9; gpl|gpl1|gplv1|gplv; (gnu )?gpl ?v? ?1( 0)?
 gpl-2; 3; 0.9; gpl; (gnu )?gpl (v|version )?2( 0)?
 gpl-2; 3; 0.9; gplv2; gplv2
 gpl-2+; 4; 0.95; gplv2; gplv2 or later
@@ -75,7 +75,7 @@ gpl-2+; 6; 1.0; redistribute; redistribute it and or modify it under the terms o
 gpl-3+; 6; 1.0; redistribute; redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e or at your option any later version
 gpl-2; 6; 1.0; redistribute; redistribute it and or modify it under the terms of the gnu general public licen[cs]e version 2( only)? as published by the free software foundation
 gpl; 5; 0.95; received; you should have received a copy of the gnu general public licen[cs]e
-gpl; 5; 0.95; preamble; the licenses for most software are designed to take away your freedom to share and change it
+gpl; 5; 0.95; freedom; the licenses for most software are designed to take away your freedom to share and change it
 gpl-3; 6; 1.0; copyleft; the gnu general public license is a free copyleft license for software and other kinds of works
 gpl-2; 5; 1.0; spdx; spdx license identifier gpl 2 0( only)?
 gpl-2+; 6; 1.0; spdx; spdx license identifier gpl 2 0 or later
@@ -84,7 +84,7 @@ gpl-3+; 6; 1.0; spdx; spdx license identifier gpl 3 0 or later
 gpl; 4; 1.0; gnu; gnu org (licenses|licences|copyleft) gpl( html| txt)?
 gpl-3; 5; 1.0; gnu; gnu org licenses gpl 3 0
 gpl-2; 5; 1.0; gnu; gnu org licenses (old licenses )?gpl 2 0
-gpl-classpath; 6; 1.0; linking; as a special exception the copyright holders of this (library|software) give you permission to link
+gpl-classpath; 6; 1.0; exception; as a special exception the copyright holders of this (library|software) give you permission to link
 gpl-bison; 6; 0.95; bison; as a special exception you may create a larger work that contains part or all of the bison parser skeleton
 lgpl; 2; 0.8; lgpl; (gnu )?lgpl
 lgpl-2.1; 3; 0.9; lgpl; (gnu )?lgpl (v|version )?2 1
@@ -194,7 +194,7 @@ apache-2.0; 5; 1.0; spdx; spdx license identifier apache 2 0
 apache-2.0; 5; 1.0; apache; apache org licenses license 2 0( txt| html)?
 apache; 4; 0.95; apache; licensed to the apache software foundation asf under one or more contributor license agreements
 apache-2.0; 6; 1.0; perpetual; perpetual worldwide non exclusive no charge royalty free irrevocable copyright license
-apache-1.1; 6; 0.95; jakarta; this product includes software developed by the apache software foundation
+apache-1.1; 6; 0.95; apache; this product includes software developed by the apache software foundation
 ecl-2.0; 3; 0.9; educational; educational community licen[cs]e( version)? 2 0
 # weak copyleft and others with names
 mpl; 2; 0.8; mozilla; mozilla public licen[cs]e
@@ -202,7 +202,7 @@ mpl-1.1; 3; 0.9; mozilla; mozilla public licen[cs]e( v| version)? 1 1
 mpl-1.0; 3; 0.9; mozilla; mozilla public licen[cs]e( v| version)? 1 0
 mpl-2.0; 3; 0.9; mozilla; mozilla public licen[cs]e( v| version)? 2( 0)?
 mpl; 2; 0.7; mpl; mpl( licen[cs]ed?| [12] [01])
-mpl-2.0; 6; 1.0; source; this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2.0; 6; 1.0; mozilla; this source code form is subject to the terms of the mozilla public license v 2 0
 mpl-2.0; 5; 1.0; spdx; spdx license identifier mpl 2 0
 mpl-2.0; 5; 1.0; mozilla; mozilla org (mpl|media mpl) 2 0
 mpl-1.1; 6; 1.0; mozilla; the contents of this file are subject to the mozilla public license version 1 1
@@ -258,9 +258,9 @@ ms-rl; 3; 0.9; microsoft; microsoft reciprocal licen[cs]e
 ms-pl; 5; 1.0; spdx; spdx license identifier ms pl
 lppl; 3; 0.9; latex; latex project public licen[cs]e( version)?( 1 3 ?c?)?
 cecill; 2; 0.8; cecill; cecill( [abc])?( licen[cs]e)?
-osl; 3; 0.9; open; open software licen[cs]e( v| version)?( 3 0)?
+osl; 3; 0.9; license|licence; open software licen[cs]e( v| version)?( 3 0)?
 afl; 3; 0.9; academic; academic free licen[cs]e( v| version)?( [123] [01])?
-qpl; 3; 0.9; qt; q(t)? public licen[cs]e
+qpl; 3; 0.9; q|qt; q(t)? public licen[cs]e
 zpl; 3; 0.9; zope; zope public licen[cs]e( version)?( 2 [01])?
 w3c; 3; 0.9; w3c; w3c( software)?( notice and)? licen[cs]e
 vim; 3; 0.9; vim; vim licen[cs]e
@@ -272,7 +272,7 @@ freetype; 3; 0.9; freetype; freetype (project )?licen[cs]e
 ijg; 5; 0.95; jpeg; this software is based in part on the work of the independent jpeg group
 ipl; 3; 0.9; ibm; ibm public licen[cs]e( version)?( 1 0)?
 apsl; 3; 0.9; apple; apple public source licen[cs]e( version)?( 2 0)?
-upl; 3; 0.9; universal; universal permissive licen[cs]e( v| version)?( 1 0)?
+upl; 3; 0.9; permissive; universal permissive licen[cs]e( v| version)?( 1 0)?
 rpl; 3; 0.9; reciprocal; reciprocal public licen[cs]e( version)?( 1 [15])?
 mulan; 3; 0.9; mulan; mulan (psl|permissive software licen[cs]e)( v2| v1)?
 sspl; 3; 0.9; server; server side public licen[cs]e( v| version)?( 1)?
@@ -282,7 +282,7 @@ busl; 3; 0.9; business; business source licen[cs]e( v| version)?( 1 1)?
 commons-clause; 3; 0.9; commons; commons clause
 commons-clause; 6; 1.0; sell; the license does not grant to you the right to sell the software
 polyform; 3; 0.9; polyform; polyform (noncommercial|small business|shield|perimeter|free trial|strict)( licen[cs]e)?
-openrail; 3; 0.9; rail; (bigscience |creativeml )?open ?rail( m| s)?( licen[cs]e)?
+openrail; 3; 0.9; rail|openrail; (bigscience |creativeml )?open ?rail( m| s)?( licen[cs]e)?
 llama; 3; 0.9; llama; llama( [23])? community licen[cs]e
 # public domain
 public-domain; 2; 0.7; domain; (in|into) the public domain
@@ -299,17 +299,17 @@ copyright; 1; 0.4; copyright; copyright( c)?( [0-9]{4}){1,4}
 copyright; 1; 0.4; copyrighted; copyrighted by
 copyright; 1; 0.4; copyright; copyright (holder|holders|owner|notice)
 copyright; 1; 0.4; copyright; portions copyright( c)?
-copyright; 1; 0.4; copyrights; (trademarks|copyrights) are (the )?property of their respective owners
+copyright; 1; 0.4; property; (trademarks|copyrights) are (the )?property of their respective owners
 copyright; 2; 0.5; spdx; spdx filecopyrighttext
 proprietary; 4; 0.9; proprietary; proprietary and confidential
 proprietary; 4; 0.9; confidential; confidential and proprietary
 proprietary; 4; 0.9; proprietary; this (software|document|material) is proprietary
 proprietary; 4; 0.9; unauthorized; unauthorized (copying|use|reproduction|distribution)( or distribution)? of this (file|software|material|document|work)
-proprietary; 4; 0.9; secret; (contains )?trade secrets? (of|and confidential information)
-proprietary; 3; 0.8; express; without (the )?(express|prior)( prior)? written (permission|consent)
-proprietary; 3; 0.8; eula; end user licen[cs]e agreement
-proprietary; 3; 0.8; reproduced; no part of this (publication|book|work|document) may be (reproduced|copied)
-noncommercial; 3; 0.8; commercial; (for )?non ?commercial use only
+proprietary; 4; 0.9; secret|secrets; (contains )?trade secrets? (of|and confidential information)
+proprietary; 3; 0.8; written; without (the )?(express|prior)( prior)? written (permission|consent)
+proprietary; 3; 0.8; agreement; end user licen[cs]e agreement
+proprietary; 3; 0.8; reproduced|copied; no part of this (publication|book|work|document) may be (reproduced|copied)
+noncommercial; 3; 0.8; commercial|noncommercial; (for )?non ?commercial use only
 noncommercial; 3; 0.8; personal; for personal use only
 noncommercial; 3; 0.8; commercial; not for commercial use
 evaluation; 3; 0.8; evaluation; for evaluation purposes only
@@ -317,14 +317,14 @@ fair-use; 2; 0.5; fair; fair use (notice|doctrine)
 freeware; 2; 0.6; freeware; freeware
 shareware; 2; 0.6; shareware; shareware
 royalty-free; 2; 0.6; royalty; royalty free( licen[cs]e)?
-warranty; 1; 0.3; warrant; (without|no) warrant(y|ies) of any kind
-warranty; 1; 0.3; warrant; (without|no) warrant(y|ies)( express or implied)?
+warranty; 1; 0.3; warranty|warranties; (without|no) warrant(y|ies) of any kind
+warranty; 1; 0.3; warranty|warranties; (without|no) warrant(y|ies)( express or implied)?
 warranty; 2; 0.4; warranty; distributed in the hope that it will be useful but without any warranty
-warranty; 2; 0.4; as; (is )?provided (by the copyright holders and contributors )?as is
+warranty; 2; 0.4; provided; (is )?provided (by the copyright holders and contributors )?as is
 warranty; 2; 0.4; liable; in no event shall [a-z0-9 ]{1,80} be liable
 licensed; 1; 0.3; licensed; licensed (to|by|from)
-licensed; 1; 0.3; licen; licen[cs]ed under
-licensed; 1; 0.3; licen; see (the )?(file )?(licen[cs]e|copying)( txt| md| file)?( for (details|more details|more information|licensing information))?
+licensed; 1; 0.3; licensed|licenced; licen[cs]ed under
+licensed; 1; 0.3; license|licence|copying; see (the )?(file )?(licen[cs]e|copying)( txt| md| file)?( for (details|more details|more information|licensing information))?
 licensed; 1; 0.3; dual; dual licen[cs]ed
 spdx; 1; 0.5; spdx; spdx license identifier
 """

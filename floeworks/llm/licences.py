@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z lower-cased; a text is
 read as its words with one space between them. Hundreds of regular expressions, written by hand (see
-licence_rules.py), each have a keyword that must occur before the expression is tried, a priority and a
-confidence. A detection that lies inside another one of equal or higher priority is suppressed (of two on the
+licence_rules.py), each have keywords, one of which must be among the words before the expression is tried, a
+priority and a confidence. A detection that lies inside another one of equal or higher priority is suppressed (of two on the
 same words, the one of lower priority, then of the later rule). Everything happens inside a row: nothing is moved
 between machines.
 
@@ -33,10 +33,10 @@ OPEN, CLOSE = "\x01", "\x03"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 
-def signatures() -> list[tuple[str, int, float, str, str]]:
-    """The ordered rules: label, priority, confidence, keyword, expression."""
+def signatures() -> list[tuple[str, int, float, tuple[str, ...], str]]:
+    """The ordered rules: label, priority, confidence, keywords, expression."""
     lines = [x.split("; ") for x in RULES.strip().split("\n") if not x.startswith("#")]
-    return [(label, int(priority), float(confidence), keyword, expression) for label, priority, confidence, keyword, expression in lines]
+    return [(label, int(priority), float(confidence), tuple(keywords.split("|")), expression) for label, priority, confidence, keywords, expression in lines]
 
 
 def normal(column: str) -> Column:
@@ -44,20 +44,22 @@ def normal(column: str) -> Column:
     text = F.coalesce(F.col(column), F.lit(""))
     for letter, other in (KELVIN, DOTTED_I):
         text = F.replace(text, F.lit(letter), F.lit(other))
-    words = F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))
-    return F.when(words == "", F.lit("")).otherwise(F.concat(F.lit(" "), words))
+    return F.rtrim(F.regexp_replace(F.concat(F.lit(" "), F.lower(text)), NOT_WORD, " "))
 
 
-def marked(column: str) -> Column:
-    """array of (id, text) of the rules that fit: the text with OPEN before and CLOSE behind each place of the rule."""
+def marked(column: str, present: str) -> Column:
+    """array of (id, text) of the rules that fit: the text with OPEN before and CLOSE behind each place of the rule.
+
+    present has the keywords that are among the words; without any, no rule is tried.
+    """
     norm = F.col(column)
-    by_keyword: dict[str, list[Column]] = {}
-    for i, (_, _, _, keyword, expression) in enumerate(signatures()):
+    by_keywords: dict[tuple[str, ...], list[Column]] = {}
+    for i, (_, _, _, keywords, expression) in enumerate(signatures()):
         text = F.regexp_replace(norm, F.lit(f" ({expression})(?= |$)"), F.lit(f" {OPEN}$1{CLOSE}"))
-        by_keyword.setdefault(keyword, []).append(F.struct(F.lit(i).alias("id"), text.alias("text")))
+        by_keywords.setdefault(keywords, []).append(F.struct(F.lit(i).alias("id"), text.alias("text")))
     none = F.array().cast("array<struct<id:int,text:string>>")
-    tried = F.flatten(F.array(*(F.when(F.contains(norm, F.lit(k)), F.array(*rules)).otherwise(none) for k, rules in by_keyword.items())))
-    return F.filter(tried, lambda f: F.contains(f["text"], F.lit(OPEN)))
+    tried = F.flatten(F.array(*(F.when(F.arrays_overlap(F.col(present), constants(k)), F.array(*rules)).otherwise(none) for k, rules in by_keywords.items())))
+    return F.when(F.size(present) == 0, none).otherwise(F.filter(tried, lambda f: F.contains(f["text"], F.lit(OPEN))))
 
 
 def constants(values: Sequence[object]) -> Column:
@@ -92,7 +94,9 @@ def scanned(docs: DataFrame, column: str = "text", base: Sequence[tuple[str, str
     out = out.withColumn("last_word", F.expr(f"CAST(array_max(transform(parts, p -> n_words - p.size - ({spaces.format('p.pieces[size(p.pieces) - 1]')}))) AS BIGINT)"))
     out = out.withColumn("n_base", F.expr("CAST(aggregate(parts, 0, (a, p) -> a + size(p.pieces) - 1) AS BIGINT)"))
     out = out.withColumn("base", F.expr("transform(parts, p -> p.label)"))
-    out = out.withColumn("fits", marked("norm"))
+    keywords = sorted({k for _, _, _, some, _ in rules for k in some})
+    out = out.withColumn("present", F.array_intersect(F.split("norm", " "), constants(keywords)))
+    out = out.withColumn("fits", marked("norm", "present"))
     out = out.withColumn("low", constants([-p for _, p, _, _, _ in rules])).withColumn("label", constants([x[0] for x in rules])).withColumn("sure", constants([x[2] for x in rules]))
     places = "filter(transform(words, (w, i) -> IF({0}(w, '{1}'), i - 1, NULL)), x -> x IS NOT NULL)"
     zipped = f"zip_with({places.format('startswith', OPEN)}, {places.format('endswith', CLOSE)}, (s, e) -> named_struct('start', s, 'back', -e, 'low', low[f.id], 'id', f.id))"
