@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree.
 
-Lines (cut at \\n) become tokens at white space; tokens with digits are variable from the start. A tree of fixed
-depth leads each line by its token count and its first LEADING tokens to a leaf. Within a leaf, lines join the
+Lines (cut at \\n) become tokens at ASCII white space; tokens with digits are variable from the start. A tree of
+fixed depth leads each line by its token count and its first LEADING tokens to a leaf. Within a leaf, lines join the
 template they agree with in the largest share of positions, at least `agree`; positions that differ become
 variable. A template found in at least `min_docs` different documents recurs, and its lines are dropped.
 
@@ -11,10 +11,14 @@ depends on lines of its own component only, so the templates are those of the wh
 component is one task, which holds its templates but not its lines. Equal lines are one row with a count before
 they reach a leaf.
 
-A document all of whose lines recur is a copy as a whole; it keeps its text and is left to document dedup, so no
-document is emptied. Blank lines are never dropped and never counted. Null and empty texts stay as they are.
-Rows that share a doc_id are one document. All columns are kept; n_chars is set to the new length where the
-table has it.
+A document all of whose lines recur loses them all. With `spare_copies` it keeps its text instead: it is a copy as a
+whole and is left to document dedup, so no document is emptied.
+
+Blank lines are never dropped and never counted. Null and empty texts stay as they are; very long texts and lines are
+read whole. Rows that share a doc_id are one document when documents are counted, and so are all rows without doc_id;
+each row loses its own lines. Of templates that agree equally the oldest is joined; lines come by the number of rows that hold
+them, then by hash. An empty table gives no rows. All columns are kept but n_lines and n_dropped, which are replaced; n_chars is
+set to the new length where the table has it.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -33,12 +37,15 @@ from .shared import release, written
 LEADING = 3
 LEAF = 1000
 VARIABLE = "<*>"
-_DIGITS = re.compile(r"\S*\d\S*")
-_ANY_DIGIT = re.compile(r"\d")
+_DIGIT = re.compile(r"[0-9]")
+#: What str.split() cuts at beside ASCII white space.
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_TOKEN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
 def tokens(line: str) -> list[str]:
-    return (_DIGITS.sub(VARIABLE, line) if _ANY_DIGIT.search(line) else line).split()
+    parts = _TOKEN.findall(line) if _OTHER_SPACE.search(line) else line.split()
+    return [VARIABLE if _DIGIT.search(t) else t for t in parts] if _DIGIT.search(line) else parts
 
 
 def _number(key: str) -> int:
@@ -53,12 +60,12 @@ def keys(parts: list[str]) -> list[int]:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> a row for each different line of a document, with its places."""
+    """doc_id, text_id, text -> a row for each different line of a text, with its places."""
     for b in batches:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
             row, made, places = [], [], []
-            for k, text in enumerate(part.column(1).to_pylist()):
+            for k, text in enumerate(part.column(2).to_pylist()):
                 at: dict[str, list[int]] = {}
                 for n, line in enumerate((text or "").split("\n")):
                     t = tokens(line)
@@ -69,7 +76,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     made.append(keys(joined.split("\0")))
                     places.append(p)
             columns = [pa.array([m[j] for m in made], pa.int64()) for j in range(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *columns, pa.array(places, pa.list_(pa.int32()))], ["doc_id", "line", "leaf", "places"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row, pa.int64())) for c in (0, 1)), *columns, pa.array(places, pa.list_(pa.int32()))], ["doc_id", "text_id", "line", "leaf", "places"])
 
 
 class Stretches:
@@ -129,11 +136,11 @@ def templates(lines: list[list[str]], agree: float) -> list[int]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], agree: float) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, asked (leaf, line, n, place, large) -> leaf, line, n, the line's tokens and, in large leaves, its stretches (hashes)."""
+    """text, asked (leaf, line, n, place, large) -> leaf, line, n, the line's tokens and, in large leaves, its stretches (hashes)."""
     stretches = Stretches(agree)
     for b in batches:
         out: dict[str, list] = {"leaf": [], "line": [], "n": [], "tokens": [], "stretches": []}
-        for text, asked in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             lines = (text or "").split("\n")
             for a in asked:
                 parts = tokens(lines[a["place"]])
@@ -171,41 +178,49 @@ def _cut(fetched: DataFrame) -> DataFrame:
     return fetched.where("stretches IS NULL").unionByName(cut.select(*fetched.columns))
 
 
+def same_text(texts: DataFrame) -> Column:
+    """texts (doc_id, text_id) against __id and __text_id."""
+    return texts["doc_id"].eqNullSafe(F.col("__id")) & (texts["text_id"] == F.col("__text_id"))
+
+
 def recurring(docs: DataFrame, min_docs: int = 10, agree: float = 0.7, column: str = "text") -> DataFrame:
-    """doc_id and places (array<int>) of the lines whose template recurs."""
+    """doc_id, text_id (a hash of the text) and places (array<int>) of the lines whose template recurs."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.col(column).alias("text"))
-    found = written(texts.mapInArrow(_found, f"doc_id {kind}, line long, leaf long, places array<int>"))
-    kinds = found.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("places")[0].alias("place"))).alias("e"))
-    kinds = written(kinds.selectExpr("line", "leaf", "n", "e.doc_id", "e.place"))
+    texts = docs.select("doc_id", F.xxhash64(column).alias("text_id"), F.col(column).alias("text"))
+    found = written(texts.mapInArrow(_found, f"doc_id {kind}, text_id long, line long, leaf long, places array<int>"))
+    kinds = found.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_id", F.col("places")[0].alias("place"))).alias("e"))
+    kinds = written(kinds.selectExpr("line", "leaf", "n", "e.doc_id", "e.text_id", "e.place"))
     release(spark)
     sizes = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("docs"))
     # a leaf that too few documents reach has no recurring template
-    routed = written(kinds.join(sizes.where(F.col("docs") >= min_docs), "leaf").select("line", "n", "doc_id", "place", "leaf", "kinds"))
+    routed = written(kinds.join(sizes.where(F.col("docs") >= min_docs), "leaf").select("line", "n", "doc_id", "text_id", "place", "leaf", "kinds"))
     release(spark)
-    asked = routed.where("kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("leaf", "line", "n", "place", (F.col("kinds") > LEAF).alias("large"))).alias("asked"))
-    fetched = texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(lambda b: _texts(b, agree), "leaf long, line long, n long, tokens string, stretches array<long>")
+    asked = routed.where("kinds > 1").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("leaf", "line", "n", "place", (F.col("kinds") > LEAF).alias("large"))).alias("asked"))
+    asked = asked.withColumnsRenamed({"doc_id": "__id", "text_id": "__text_id"})
+    fetched = texts.join(asked.hint("merge"), same_text(texts)).select("text", "asked").mapInArrow(lambda b: _texts(b, agree), "leaf long, line long, n long, tokens string, stretches array<long>")
     fetched = written(fetched.dropDuplicates(["leaf", "line"]))
     release(spark)
     cut = _cut(fetched).select("leaf", "line", "n", "tokens")
     grouped = cut.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").mapInArrow(lambda b: _grouped(b, agree), "line long, template long")
     grouped = written(grouped.unionByName(routed.where("kinds = 1").select("line", F.col("line").alias("template"))))
-    counts = found.join(grouped, "line").select("template", "doc_id").groupBy("template").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
+    counts = found.join(grouped, "line").select("template", "doc_id").groupBy("template").agg(F.count_distinct(F.struct("doc_id")).alias("docs")).where(F.col("docs") >= min_docs)
     drop = written(grouped.join(counts, "template").select("line"))
-    return written(found.join(drop, "line").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")))
+    return written(found.join(drop, "line").groupBy("doc_id", "text_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")))
 
 
-def without_recurring(docs: DataFrame, min_docs: int = 10, agree: float = 0.7, column: str = "text") -> DataFrame:
+def without_recurring(docs: DataFrame, min_docs: int = 10, agree: float = 0.7, column: str = "text", spare_copies: bool = False) -> DataFrame:
     """docs with the recurring lines taken out of column, and n_lines (not blank) and n_dropped."""
     places = recurring(docs, min_docs, agree, column)
     release(docs.sparkSession)
     text = f"`{column}`"
-    blank = r"(?s)^[\\s]*$"
-    out = docs.drop("n_lines", "n_dropped", "__places").join(places.withColumnRenamed("places", "__places").hint("merge"), "doc_id", "left")
+    blank = r"(?s)^[ \\t\\n\\x0B\\f\\r]*$"
+    places = places.withColumnsRenamed({"doc_id": "__id", "text_id": "__text_id", "places": "__at"}).hint("merge")
+    out = docs.drop("n_lines", "n_dropped")
+    out = out.join(places, out["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(out[column]) == F.col("__text_id")), "left")
     out = out.withColumn("n_lines", F.expr(f"coalesce(CAST(size(filter(split({text}, '\\n', -1), x -> NOT x RLIKE '{blank}')) AS BIGINT), 0L)"))
-    out = out.withColumn("n_dropped", F.expr("CASE WHEN __places IS NULL OR size(__places) >= n_lines THEN 0L ELSE CAST(size(__places) AS BIGINT) END"))
-    out = out.withColumn(column, F.expr(f"CASE WHEN n_dropped > 0 THEN array_join(filter(split({text}, '\\n', -1), (x, i) -> NOT array_contains(__places, i)), '\\n') ELSE {text} END"))
+    out = out.withColumn("n_dropped", F.expr(f"CASE WHEN __at IS NULL{' OR size(__at) >= n_lines' if spare_copies else ''} THEN 0L ELSE CAST(size(__at) AS BIGINT) END"))
+    out = out.withColumn(column, F.expr(f"CASE WHEN n_dropped > 0 THEN array_join(filter(split({text}, '\\n', -1), (x, i) -> NOT array_contains(__at, i)), '\\n') ELSE {text} END"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length(column).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

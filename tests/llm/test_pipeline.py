@@ -66,8 +66,11 @@ def test_line_dedup_leaves_whole_copies(spark):
     copy = f"{prose(rng, 12)}\n{prose(rng, 12)}"
     rows = [(i, copy) for i in range(12)] + [(20 + i, f"{prose(rng, 9)}\nlogged in as user {i} today\n\n{prose(rng, 9)}") for i in range(12)] + [(50, None), (51, ""), (52, "\n\n")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lines.without_recurring(df).collect()}
+    plain = {r["doc_id"]: r for r in lines.without_recurring(df).collect()}
+    assert all(plain[i]["text"] == "" and plain[i]["n_dropped"] == 2 for i in range(12))
+    got = {r["doc_id"]: r for r in lines.without_recurring(df, spare_copies=True).collect()}
     assert all(got[i]["text"] == t for i, t in rows if i < 20 or i >= 50)
+    assert all(plain[i] == got[i] for i in got if i >= 20)
     assert all("logged in" not in got[20 + i]["text"] and got[20 + i]["n_dropped"] == 1 for i in range(12))
     assert lines.without_recurring(df.limit(0)).count() == 0
 
