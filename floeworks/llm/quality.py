@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import written
 from .textbytes import SPACE, buffers, mix, pieces, prefix_hash, span_hash, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-WINDOW = 8
+WINDOW, SMALL = 8, 100_000
 WHITE = b" \t\n\v\f\r"
 #: A host is rejected from these shrunk failure rates on.
 HOST_LIMITS = {"base": 0.5, "symbols": 0.5, "dup_lines": 0.5, "word_length": 0.5}
@@ -125,7 +126,7 @@ def host_rates(counted: DataFrame, host: str = "source", **limits: int) -> DataF
     hosts' rates leaves after binomial noise; without spread or with one host it is 1e6 documents.
     """
     checks = rules(**limits)
-    by_host = counted.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *(F.sum(c.cast("long")).alias(f"fail_{r}") for r, c in checks.items()))
+    by_host = written(counted.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), *(F.sum(c.cast("long")).alias(f"fail_{r}") for r, c in checks.items())))
     n = F.col("n_docs")
     sums = [F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.count(F.lit(1)).alias("hosts")]
     for r in checks:
@@ -152,7 +153,9 @@ def judged(counted: DataFrame, rates: DataFrame, host: str = "source", host_limi
     over = F.lit(False)
     for rule, limit in (HOST_LIMITS if host_limits is None else host_limits).items():
         over = over | (F.col(f"rate_{rule}") >= limit)
-    verdict = rates.select(F.col("host").alias("__host"), over.alias("host_rejected"))
+    verdict = rates.where(over).select(F.col("host").alias("__host"), F.lit(True).alias("host_rejected"))
+    if verdict.limit(SMALL + 1).count() <= SMALL:
+        verdict = F.broadcast(verdict)  # so that no text is moved to its host
     return (
         counted.drop("base_failed", "host_rejected", "kept")
         .withColumn("base_failed", base_failed(**limits))
