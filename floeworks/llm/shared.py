@@ -53,7 +53,9 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"t{uuid.uuid4().hex}"
     df.repartition(n, key).write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(n, key).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry only: the files are in the shared folder
+    return out
 
 
 def release(spark: SparkSession) -> None:

@@ -13,12 +13,20 @@ judged on the texts as given. The suffix order of shared text is found in parts
    their suffixes put in order by linear grouping (suffixes.py). Neighbours in that order that share a
    window's blocks, and the few bytes around them, are equal windows; the one with the smallest place is kept,
    the others are marked. An anchor with one segment needs no order.
-4. Anchors with more than BLOCK different segments (a frequent phrase in many surroundings) are not one task:
-   their windows are compared as whole strings of `length` bytes, by a sum over a key that can be split.
+4. Anchors with more than BLOCK different segments (a frequent phrase in many surroundings) are not one task: their
+   windows are dealt by the anchor's offset in them to RANGES ranges, and in each by the bytes that all windows of the
+   range share (over 90 of 100), so different surroundings part; the parts are put in order as in 3. A part that is
+   still too large holds one string many times: its windows are compared as whole strings of `length` bytes, by a
+   sum over a key that can be split.
 5. Marks go back to all places of each segment, are joined to spans per document, and cut out.
 
-Null texts are empty; texts shorter than `length` lose nothing. Rows that share a doc_id are one document
-and get one result each. Other columns are not read.
+Null texts are empty; texts shorter than `length` lose nothing; very long ones are read whole. Rows with one doc_id
+and equal texts are one document and get one result each; rows with one doc_id and different texts are documents of
+their own, in the order of a hash of their texts. Rows without doc_id come after all others, in that order too. Of
+equal strings the one that starts first stays. An empty table gives no rows. Other columns are not read, whatever
+their names.
+
+Anchors and equal segments are told by two 64-bit hashes together (128 bits); inside an anchor, bytes are compared.
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +44,7 @@ from .shared import bucketed, discard, release, written
 from .suffixes import suffix_array
 from .textbytes import _power, buffers, mix, pieces, prefix_hash, span_hash
 
-GRAM, BLOCK, SYMBOL, BATCH = 24, 20_000, 8, 1 << 18
+GRAM, BLOCK, SYMBOL, BATCH, RANGES = 24, 20_000, 8, 1 << 18, 8
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -162,10 +171,29 @@ def equal_windows(segments: list[bytes], counts: list[int], places: list[int], l
     rank = np.zeros(len(owner), np.int64)
     for x in np.unique(c):
         rank[c == x] = ranks(int(x))[position[c == x]]
-    key = np.zeros(len(owner), np.uint64)
-    for part in (rank.view(np.uint64), head.astype(np.uint64), *packed):
-        key = mix(key * np.uint64(0xD6E8FEB86659FD93) + part)
-    return owner, start, np.unique(key, return_inverse=True)[1]
+    return owner, start, _numbers([rank.view(np.uint64), head.astype(np.uint64), *packed])
+
+
+def _numbers(columns: list[np.ndarray]) -> np.ndarray:
+    """Equal numbers for equal rows. Rows are sorted by a hash; where that does not tell rows apart that differ, by all columns."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = mix(key * np.uint64(0xD6E8FEB86659FD93) + c)
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    differs = np.zeros(len(order), bool)
+    for c in columns:
+        differs[1:] |= c[order][1:] != c[order][:-1]
+    if (differs & ~new).any():
+        order = np.lexsort(columns)
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
 
 
 def _marks(rows: list[tuple], length: int) -> pa.Array:
@@ -185,21 +213,48 @@ def _marks(rows: list[tuple], length: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[at], np.arange(len(rows) + 1)).astype(np.int32)), spans)
 
 
+ROW = ["part", "anchor", "segment", "doc_id", "low", "n", "at", "shift", "bytes"]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """anchor, segment, doc_id, low, n, at, bytes -> rows as in ROW: the windows of a segment by ranges of the anchor's offset in them."""
+    import xxhash
+
+    last = length - GRAM
+    cuts = [(last + 1) * k // RANGES for k in range(RANGES + 1)]
+    for b in batches:
+        for k in range(0, b.num_rows, 1000):
+            some = b.slice(k, 1000)
+            row, made = [], []
+            for i, (n, at, data) in enumerate(zip(*(some.column(c).to_pylist() for c in (4, 5, 6)), strict=True)):
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    first, end = max(0, at - high + 1), min(n - 1, at - low)
+                    if low < high and first <= end:
+                        part = xxhash.xxh64_intdigest(data[at - low : at + length - high + 1], low) - (1 << 63)
+                        row.append(i)
+                        made.append((part, first, end - first + 1, at - first, data[first : end + length]))
+            at_row = pa.array(row, pa.int64())
+            part, shift, n, at, data = (pa.array([m[j] for m in made], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary())))
+            low = pc.add(some.column(3).take(at_row), shift)
+            yield pa.RecordBatch.from_arrays([part, *(some.column(c).take(at_row) for c in range(3)), low, n, at, shift, data], ROW)
+
+
 def _ordered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor -> anchor, segment, spans. Several anchors are put in order at once: windows of different anchors never agree."""
+    """Rows as in ROW, sorted by part -> anchor, segment, shift, spans. Several parts are put in order at once: windows of different parts never agree, or are one string."""
     held: list[tuple] = []
     size = 0
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), _marks(rows, length)], ["anchor", "segment", "spans"])
+        spans = _marks([(*r[:1], *r[2:7], r[8]) for r in rows], length)
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[7] for r in rows], pa.int32()), spans], ["anchor", "segment", "shift", "spans"])
 
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+        for row in zip(*(b.column(i).to_pylist() for i in range(len(ROW))), strict=True):
             if size > BATCH and row[0] != held[-1][0]:
                 yield done(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[6])
+            size += len(row[8])
     if held:
         yield done(held)
 
@@ -264,16 +319,20 @@ def removed_spans(docs: DataFrame, length: int = 100, column: str = "text") -> D
     rivals = written(rivals.select("anchor", "segment", "doc_id", "low", "n", "at", "bytes"))
     release(spark)
     crowded = kinds.where(F.col("kinds") > BLOCK).select("anchor")
-    few = rivals.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "low")
     spans = "array<struct<a:int, b:int, first:boolean>>"
-    marks = few.mapInArrow(lambda b: _ordered(b, length), f"anchor long, segment long, spans {spans}")
-    many = rivals.join(crowded, "anchor").select("anchor", "segment", "doc_id", "low", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> substring(bytes, i + 1, {length}))")).alias("at", "window"))
-    many = written(many.select("anchor", "segment", "doc_id", "low", "at", F.xxhash64("window").alias("w1"), F.xxhash64(F.lit(1), "window").alias("w2")))
-    least = many.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", (F.col("low") + F.col("at")).alias("start"))).alias("best"))
+    few = rivals.join(crowded, "anchor", "left_anti").select(F.col("anchor").alias("part"), "anchor", "segment", "doc_id", "low", "n", "at", F.lit(0).alias("shift"), "bytes")
+    many = rivals.join(crowded, "anchor").select("anchor", "segment", "doc_id", "low", "n", "at", "bytes")
+    many = written(many.mapInArrow(lambda b: _dealt(b, length), f"part long, {row.removesuffix(', segment long').replace('doc_id', 'segment long, doc_id')}, shift int, bytes binary"))
+    single = many.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK).select("part")
+    parts = few.unionByName(many.join(single, "part", "left_anti")).repartition("part").sortWithinPartitions("part", "doc_id", "low")
+    marks = parts.select(*ROW).mapInArrow(lambda b: _ordered(b, length), f"anchor long, segment long, shift int, spans {spans}")
+    windows = many.join(single, "part").select("anchor", "segment", "doc_id", "low", "shift", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> substring(bytes, i + 1, {length}))")).alias("at", "window"))
+    windows = written(windows.select("anchor", "segment", "doc_id", "low", "shift", "at", F.xxhash64("window").alias("w1"), F.xxhash64(F.lit(1), "window").alias("w2")))
+    least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", (F.col("low") + F.col("at")).alias("start"))).alias("best"))
     best = (F.col("doc_id") == F.col("best.doc_id")) & (F.col("low") + F.col("at") == F.col("best.start"))
-    single = many.join(least, ["w1", "w2"]).select("anchor", "segment", "at", (~best).alias("first"))
-    single = single.groupBy("anchor", "segment").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"), "first")).alias("spans"))
-    marks = written(marks.unionByName(single))
+    alike = windows.join(least, ["w1", "w2"]).select("anchor", "segment", "shift", F.array(F.struct(F.col("at").alias("a"), F.col("at").alias("b"), (~best).alias("first"))).alias("spans"))
+    marks = marks.unionByName(alike).select("anchor", "segment", F.expr("transform(spans, s -> struct(s.a + shift AS a, s.b + shift AS b, s.first AS first))").alias("spans"))
+    marks = written(marks.groupBy("anchor", "segment").agg(F.flatten(F.collect_list("spans")).cast(spans).alias("spans")))  # at most length rows a segment
     release(spark)
     # a segment without rivals is marked in all places but its first
     alone = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).cast("int").alias("b"), F.lit(False).alias("first"))).cast(spans)
@@ -284,13 +343,35 @@ def removed_spans(docs: DataFrame, length: int = 100, column: str = "text") -> D
     return written(cut.groupBy("doc_id").agg(F.flatten(F.collect_set("spans")).alias("spans")))
 
 
+def _own_numbers(docs: DataFrame, column: str) -> DataFrame | None:
+    """doc_id, text_id and a number for each different pair, in the order of documents; None where doc_id is such a number already."""
+    ids = docs.select("doc_id", F.xxhash64(column).alias("text_id"))
+    if ids.groupBy("doc_id").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("doc_id IS NULL OR a <> b").isEmpty():
+        return None
+    order = [F.col("doc_id").isNull(), "doc_id", "text_id"]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(ids.distinct().repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+    before = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS before")  # a row for each part
+    return written(dealt.join(F.broadcast(before), "part").selectExpr("doc_id", "text_id", "before + row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS LAST, text_id) AS number"))
+
+
 def deduplicated(docs: DataFrame, length: int = 100, column: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept: the remaining bytes, or with digest their SHA-256 in hex.
 
     The texts are bucketed by doc_id once, so the three joins by doc_id move only small rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = bucketed(docs.select("doc_id", F.col(column).alias("text")), "doc_id")
+    numbers = _own_numbers(docs, column)
+    if numbers is None:
+        return _deduplicated(docs.select("doc_id", F.col(column).alias("text")), length, digest, kind)
+    rows = docs.select(F.col("doc_id").alias("__id"), F.col(column).alias("text"), F.xxhash64(column).alias("__text_id"))
+    texts = rows.join(numbers, rows["__id"].eqNullSafe(numbers["doc_id"]) & (rows["__text_id"] == numbers["text_id"])).select(F.col("number").alias("doc_id"), "text")
+    out = _deduplicated(texts, length, digest, "long").withColumnRenamed("doc_id", "number")
+    return out.join(numbers, "number").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def _deduplicated(docs: DataFrame, length: int, digest: bool, kind: str) -> DataFrame:
+    texts = bucketed(docs, "doc_id")
     release(docs.sparkSession)
     spans = removed_spans(texts, length)
     release(docs.sparkSession)

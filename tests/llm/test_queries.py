@@ -273,12 +273,14 @@ def test_op10(spark, folder):
         assert abs(taken[s] - goal[s]) <= largest / 2 + 1
 
 
-def test_op6_crowded_anchors(spark, folder, monkeypatch):
-    """Anchors with more segments than one task takes give the same spans."""
+@pytest.mark.parametrize(("block", "ranges"), [(1, 8), (3, 8), (1, 100), (2, 1)])
+def test_op6_crowded_anchors(spark, folder, monkeypatch, block, ranges):
+    """Anchors with more segments than one task takes give the same spans, in parts of any size."""
     from floeworks.llm import substrings
 
     plain = sorted(map(str, rows(spark, folder, "op6_substring_dedup")))
-    monkeypatch.setattr(substrings, "BLOCK", 1)
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    monkeypatch.setattr(substrings, "RANGES", ranges)
     assert sorted(map(str, rows(spark, folder, "op6_substring_dedup"))) == plain
 
 
