@@ -3,15 +3,20 @@
 A bounded sample is joined into a graph of nearest neighbours; the graph is cut into parts of equal size
 (recursive bisection along the second eigenvector, then swaps that lower the cut); a small classifier learns
 to predict from a vector how its neighbours are spread over the parts. Every vector of the table goes to the
-part the classifier finds likeliest, every query to its `probes` likeliest parts, and candidates there are
-ranked by their exact cosine in double precision.
+part the classifier finds likeliest, every query to as many of its likeliest parts as together hold `mass` of its
+neighbours by the classifier's own estimate (two at least), and candidates there are ranked by their exact cosine in
+double precision. So a query inside a clear cluster probes few parts, one between clusters many.
 
-Equal vectors are one vector with its smallest ids, as many as a result can hold, so a vector that fills a
-third of the table is one row. Parts are searched in blocks of BLOCK vectors by BLOCK queries, so the
-largest part is many tasks. Only the sample (at most `sample` vectors) and the model reach the driver.
+There is a part for every ROWS_PER_PART vectors, PARTS[0] at least and PARTS[1] at most. Equal vectors are one vector
+with its smallest ids, as many as a result can hold, so a vector that fills a third of the table is one row. Parts
+are searched in blocks of BLOCK vectors by BLOCK queries, so the largest part is many tasks. Only the sample (at most
+`sample` vectors) and the model reach the driver.
 
 Vectors that are null, empty, zero, of another length than most, or that hold null or non-finite components
-take no part. Ties go to the smaller id. A table without usable vectors or queries gives no rows.
+take no part; nor do rows without id. Vectors are scaled by powers of two before squaring, so huge and tiny ones
+have a cosine too. Ties go to the smaller id. Rows of one id are one query and one candidate, with the largest cosine
+of any of them. A table
+without usable vectors or queries gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .shared import groups, written
 
-SAMPLE, PARTS, PROBES, BLOCK = 4096, 16, 13, 2048
+SAMPLE, PARTS, ROWS_PER_PART, MASS, BLOCK = 4096, (16, 256), 800, 0.95, 2048
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -134,6 +139,16 @@ def fit_router(x: np.ndarray, near: np.ndarray, part: np.ndarray, parts: int, hi
     return Router(*w)
 
 
+def likeliest(logits: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and part of the likeliest parts of each row: those before which less than `mass` has been reached, and the first two."""
+    p = np.exp(logits - logits.max(axis=1, keepdims=True)) if len(logits) else logits
+    order = np.argsort(-p, axis=1, kind="stable")
+    sorted_ = np.take_along_axis(p, order, 1)
+    before = np.cumsum(sorted_, axis=1) - sorted_
+    row, place = np.nonzero((before < mass * p.sum(axis=1, keepdims=True)) | (np.arange(p.shape[1]) < 2))
+    return row, order[row, place]
+
+
 def usable(column: str, width: int | None = None) -> Column:
     c = F.col(column)
     ok = c.isNotNull() & (F.size(c) > 0) & ~F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(c, lambda v: v != 0)
@@ -145,7 +160,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def learned(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS, seed: int = 0) -> Router | None:
+def learned(vectors: DataFrame, parts: int, sample: int = SAMPLE, seed: int = 0) -> Router | None:
     """The router fitted on the first `sample` vectors (id, v) by hash of id."""
     rows = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("v").collect()
     if len(rows) < 2:
@@ -173,14 +188,14 @@ def _pool(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
             key = row.tobytes()
             if key not in seen:
                 seen[key], kinds[key] = [], row
-            seen[key] = sorted([*seen[key], i])[:most]
+            seen[key] = sorted({*seen[key], i})[:most]
         if len(seen) > 20_000:
             yield flush()
     if seen:
         yield flush()
 
 
-def neighbours(table: DataFrame, is_query: Column, k: int = 5, probes: int = PROBES, parts: int = PARTS, sample: int = SAMPLE, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def neighbours(table: DataFrame, is_query: Column, k: int = 5, mass: float = MASS, parts: int | None = None, sample: int = SAMPLE, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query row, without itself."""
     spark = table.sparkSession
     sizes = table.where(usable(vector)).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -188,13 +203,13 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 5, probes: int = PRO
     if not sizes:
         return spark.createDataFrame([], schema)
     rows = table.where(usable(vector, sizes[0]["n"])).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL")
-    router = learned(rows.select("id", "v"), sample, parts)
+    router = learned(rows.select("id", "v"), parts or max(PARTS[0], min(PARTS[1], sizes[0]["count"] // ROWS_PER_PART)), sample)
     if router is None:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(router)
     least = k + 1  # one may be the query itself
     pooled = rows.select("id", "v").mapInArrow(lambda b: _pool(b, least), "v array<double>, ids array<long>")
-    pooled = pooled.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, least).alias("ids"))
+    pooled = pooled.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, least).alias("ids"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,9 +220,8 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 5, probes: int = PRO
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = shared.value.logits(unit(matrix(b.column(1))).astype(np.float32))
-            top = np.argsort(-z, axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(len(z)), top.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["part", "id", "v"])
+            at, part = likeliest(z, mass)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["part", "id", "v"])
 
     index = written(pooled.mapInArrow(assign, "part int, v array<double>, ids array<long>"))
     asked = written(rows.where("q").select("id", "v").mapInArrow(route, "part int, id long, v array<double>"))
@@ -226,6 +240,7 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 5, probes: int = PRO
                 yield _ranked(q, v, k)
 
     found = both.repartition("part", "bv", "bq").sortWithinPartitions("part", "bv", "bq").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # once, whatever rows an id has
     ranked = found.selectExpr("query_id", "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank", "vec_id", "score")
     return ranked.where(F.col("rank") <= k)
 
