@@ -10,8 +10,10 @@ Decoding turns each token's characters back into bytes by the reversed byte tabl
 them; one character split over several tokens is whole again after joining. Bytes that are not
 UTF-8 (from cut id lists) become U+FFFD in text, and stay as they are in bytes.
 
-Nulls and empty texts encode to no tokens. Other columns are kept; a column of the same name as
-an output column is replaced.
+Nulls and empty texts encode to no tokens; null lists and empty ones decode to an empty text. Ids that are null or
+outside the vocabulary decode to U+FFFD. Very long texts are encoded whole, in chunks. Repeated rows and rows
+without doc_id are encoded alike; ties of merges go to the lower rank, as in the library. An empty table gives no
+rows. Other columns are kept; a column of the same name as an output column is replaced.
 """
 
 from __future__ import annotations
@@ -84,6 +86,11 @@ class Codec:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decode_any(self, ids: list[int | None]) -> bytes:
+        """As decode(), of ids that may be null or unknown."""
+        size, unknown = len(self.pieces), "\ufffd".encode()
+        return b"".join(self.pieces[i] if i is not None and 0 <= i < size else unknown for i in ids)
+
     def offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and, for each, the span of characters of text it covers (a split character counts for each of its tokens)."""
         e = self.tokenizer.encode(text, add_special_tokens=False)
@@ -155,7 +162,7 @@ def decode(df: DataFrame, tokenizer: str, column: str = "ids", into: str = "deco
 
     def rows(ids: pa.Array) -> list[pa.Array]:
         c = codec(tokenizer)
-        made = [c.decode(np.array(x or [], "<u4").tobytes()) for x in ids.to_pylist()]
+        made = [c.decode_any(x or []) for x in ids.to_pylist()]
         return [pa.array([m.decode("utf-8", "replace") for m in made], pa.string()) if as_text else pa.array(made, pa.binary())]
 
     return _mapped(df, column, [(into, T.StringType() if as_text else T.BinaryType())], rows)

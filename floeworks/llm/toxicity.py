@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length.
 
-Folding lower-cases, drops zero-width characters, turns look-alike letters of other scripts and full-width
-letters into Latin ones, and reads digits and signs between letters as the letters they stand for.
+Folding lower-cases, drops zero-width characters and accents, turns look-alike letters of other scripts and full-width
+letters into Latin ones, and reads digits and signs as the letters they stand for: between letters, before a run of
+three letters, and `$` behind one.
 
 The lexicon joins a short base list with entries learnt from labelled documents: whole words and word
 beginnings (stems) of 4 to 6 letters, each counted once a document and kept where the lower confidence
@@ -10,16 +11,19 @@ with the weight of its best entry; hits inside an exception phrase do not count.
 function of the summed weight and of the summed weight per word.
 
 Learning uses at most `sample` labelled rows (the first by hash of doc_id, copies of one text once), counts
-in Spark, and brings at most `entries` lexicon entries and the two numbers of each sampled row to the
-driver. Everything else covers all rows.
+in Spark, and brings the lexicon (entries that at least a hundredth of the toxic ones among these rows hold) and the
+two numbers of each sampled row to the driver. Everything else covers all rows.
 
-Null or empty texts have no hits and get the score of a text without hits. Repeated rows score alike.
-Without usable labels (none, or one class) the base list is used with fixed coefficients.
+Null or empty texts have no hits and get the score of a text without hits; very long ones are matched whole. Repeated
+rows, rows without doc_id and equal texts score alike. A document labelled twice counts with its larger label. A score
+equal to the threshold predicts 1. Without usable labels (none, or one class) the base list is used with fixed
+coefficients. An empty table gives no rows. Other columns are kept; columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 
 from .shared import written
 
-SAMPLE, ENTRIES, STEMS = 20_000, 5_000, (4, 5, 6)
+SAMPLE, STEMS = 20_000, (4, 5, 6)
 
 #: General insults with their weights.
 BASE = {
@@ -47,24 +51,33 @@ LOOKALIKES = {
     "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x",
 }
 #: Signs read as letters between letters.
-SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+SIGNS = {"0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
-_FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)} | dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD))
-_SIGN = re.compile(r"(?<=[^\W\d_])[013457@$]+(?=[^\W\d_])")
+_FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)} | dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, *range(0x0300, 0x0370)))
+_SIGN = re.compile(r"[013457!@$]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _read(m: re.Match) -> str:
+    """A run of signs as letters, where it stands in a word."""
+    t, start, end = m.string, m.start(), m.end()
+    before, after = start > 0 and t[start - 1].isalpha(), end < len(t) and t[end].isalpha()
+    opens = end - start == 1 and m[0] != "!" and (start == 0 or t[start - 1] in " \t\n\r(\"'") and len(t) > end + 2 and t[end : end + 3].isalpha()
+    closes = before and not m[0].strip("$") and (end == len(t) or not t[end].isalnum())
+    return "".join(SIGNS[c] for c in m[0]) if before and after or opens or closes else m[0]
+
+
 def fold(text: str) -> str:
     t = text.lower()
     if not t.isascii():
-        t = t.translate(_FOLD)
-    return _SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), t)
+        t = unicodedata.normalize("NFD", t).translate(_FOLD)
+    return _SIGN.sub(_read, t)
 
 
 def features(text: str) -> set[str]:
     """The distinct words of a text, and its stems as `stem*`."""
     words = set(_WORD.findall(fold(text)))
-    return {w for w in words if 2 < len(w) < 25} | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+    return {w for w in words if len(w) > 2} | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
 class Matcher:
@@ -132,7 +145,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, column: str = "text", label: str = "toxic", sample: int = SAMPLE, entries: int = ENTRIES) -> tuple[dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, column: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
     """Lexicon and coefficients from labelled rows (doc_id, label 0/1)."""
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
@@ -158,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "text", label: str =
     counts = rows.select("text", "y").mapInArrow(run, "feature string, y int").groupBy("feature").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
     odds = F.log((n1 + 0.5) / (n[1] + 1.0)) - F.log((n0 + 0.5) / (n[0] + 1.0))
     low = odds - 1.5 * F.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-    best = counts.where(n1 >= max(4, n[1] // 100)).withColumn("weight", low).where("weight >= 1.9").orderBy(F.desc("weight"), "feature").limit(entries).select("feature", "weight")
+    best = counts.where(n1 >= max(4, n[1] // 100)).withColumn("weight", low).where("weight >= 1.9").select("feature", "weight")
     lexicon = fixed | {r["feature"]: float(r["weight"]) for r in best.collect()}
     seen = with_hits(rows, lexicon, "text").select("weight", "n_words", "y").collect()
     x = np.array([(r["weight"], r["n_words"]) for r in seen], float)
