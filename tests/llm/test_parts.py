@@ -179,6 +179,18 @@ def test_balanced_parts():
     assert sizes.max() - sizes.min() <= 3
 
 
+def test_probes_hold_the_mass():
+    rng = np.random.default_rng(2)
+    z = rng.standard_normal((50, 12)) * 3
+    row, part = ann.likeliest(z, 0.9)
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    for i in range(50):
+        mine = part[row == i]
+        order = np.argsort(-p[i])[: len(mine)]
+        assert mine.tolist() == order.tolist() and len(mine) >= 2 and p[i][mine].sum() >= 0.9
+        assert len(mine) == 2 or p[i][mine[:-1]].sum() < 0.9
+
+
 def test_pool_keeps_smallest_ids():
     b = pa.RecordBatch.from_pydict({"id": [5, 3, 9, 1], "v": pa.array([[1.0, 0.0]] * 3 + [[0.0, 1.0]], pa.list_(pa.float64()))})
     out = pa.Table.from_batches(list(ann._pool(iter([b]), 2))).to_pydict()
