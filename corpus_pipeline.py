@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take recurring lines out of the texts; every document stays."""
     prepare(spark)
-    return lines.without_recurring(docs.select(*COLUMNS)).select(*COLUMNS)
+    return lines.without_recurring(docs.select(*COLUMNS), spare_copies=True).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
