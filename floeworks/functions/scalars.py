@@ -94,3 +94,25 @@ def policy_scalars(mode: Column, bias: Column) -> tuple[Column, Column, Column]:
             c = F.when(mode == name, F.lit(values[k])).otherwise(c)
         out.append(c)
     return out[0], F.greatest(bias, F.lit(0.0)) * out[1], out[2]
+
+
+#: A prime modulus; squares of what is below it fit in 64 bits.
+PRIME = 2147483647
+
+
+def uniform(*parts: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) from whole numbers and a seed, by squares modulo a prime: the same in any engine with 64-bit integers."""
+    x = F.lit(seed % PRIME).cast("long")
+    for p in parts:
+        x = (x * 48271 + F.pmod(p.cast("long"), F.lit(PRIME))) % PRIME
+        x = x * (x + 69621) % PRIME
+    return x * (x + 48271) % PRIME / float(PRIME)
+
+
+def uniform_sql(*parts: str, seed: int = 0) -> str:
+    """uniform() as SQL text; the parts are not negative."""
+    x = str(seed % PRIME)
+    for p in parts:
+        x = f"((CAST({x} AS BIGINT) * 48271 + CAST({p} AS BIGINT) % {PRIME}) % {PRIME})"
+        x = f"({x} * ({x} + 69621) % {PRIME})"
+    return f"({x} * ({x} + 48271) % {PRIME} / {PRIME}e0)"

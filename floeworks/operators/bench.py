@@ -107,14 +107,13 @@ def failure_casebook(bench: DataFrame, runtime_pct: float = 0.5, cost_pct: float
     rows = bench.withColumn("scenario_key", key)
     none = F.lit(None).cast("string")
     get = lambda c: F.col(c) if c in bench.columns else none
-    tags = lambda degraded: root_cause_tags(get("detail"), get("risk_budget_usage"), get("start_adjusted").cast("boolean"), get("uncertainty_penalty_mean"), F.lit(degraded))
-    failed = rows.where(~_ok()).select("run_id", "planner", "scenario_key", F.lit("failed").alias("case_type"), F.array().cast("array<string>").alias("reasons"), tags(False).alias("tags"))
+    tags = lambda degraded: root_cause_tags(get("detail"), get("risk_budget_usage"), get("start_adjusted").cast("boolean"), get("uncertainty_penalty_mean"), degraded)
     metrics = (("runtime_ms", "runtime_ms", runtime_pct), ("route_cost_effective_km", "total_cost_km", cost_pct), ("risk_exposure", "risk_exposure", risk_pct))
-    ok = rows.where(_ok())
-    best = ok.groupBy("scenario_key").agg(F.count(F.lit(1)).alias("n_ok"), *(F.min(c).alias(f"best_{c}") for c, _, _ in metrics)).where("n_ok >= 2")
-    reasons = F.array_compact(F.array(*[F.when((F.col(f"best_{c}") > 1e-9) & ((F.col(c) - F.col(f"best_{c}")) / F.col(f"best_{c}") >= pct), F.lit(name)) for c, name, pct in metrics]))
-    behind = ok.join(best, "scenario_key").withColumn("reasons", reasons).where("size(reasons) > 0")
-    return failed.unionByName(behind.select("run_id", "planner", "scenario_key", F.lit("degraded").alias("case_type"), "reasons", tags(True).alias("tags")))
+    best = rows.where(_ok()).groupBy("scenario_key").agg(F.count(F.lit(1)).alias("n_ok"), *(F.min(c).alias(f"best_{c}") for c, _, _ in metrics)).where("n_ok >= 2")
+    worse = F.array_compact(F.array(*[F.when((F.col(f"best_{c}") > 1e-9) & ((F.col(c) - F.col(f"best_{c}")) / F.col(f"best_{c}") >= pct), F.lit(name)) for c, name, pct in metrics]))
+    out = rows.join(best, "scenario_key", "left").withColumn("__ok", _ok()).withColumn("reasons", F.when(F.col("__ok"), worse).otherwise(F.array().cast("array<string>")))
+    out = out.where("NOT __ok OR size(reasons) > 0")
+    return out.select("run_id", "planner", "scenario_key", F.when(F.col("__ok"), "degraded").otherwise("failed").alias("case_type"), "reasons", tags(F.col("__ok")).alias("tags"))
 
 
 def numbered_cases(cases: DataFrame) -> DataFrame:

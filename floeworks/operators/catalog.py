@@ -133,10 +133,23 @@ def coverage_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dataset_version(registry: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: `ds-<rows>-<hash>`. Rows are hashed one by one and their hashes summed in order of sample, 256 parts first, so no row list is gathered."""
+    """One row, version: `ds-<rows>-<hash>`, `ds-empty` without rows. Rows are hashed one by one and their hashes summed, so no row list is gathered."""
     line = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
-    parts = registry.groupBy(F.pmod(F.crc32(line), F.lit(256)).alias("p")).agg(F.sum(F.conv(F.substring(F.sha1(line), 1, 12), 16, 10).cast("decimal(20,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(38,0)").alias("s")).select(F.concat(F.lit("ds-"), F.coalesce("n", F.lit(0)).cast("string"), F.lit("-"), F.substring(F.sha1(F.coalesce(F.col("s").cast("string"), F.lit(""))), 1, 12)).alias("version"))
+    number = F.conv(F.substring(F.sha1(line), 1, 12), 16, 10).cast("decimal(20,0)")
+    total = registry.agg(F.count(F.lit(1)).alias("n"), F.sum(number).cast("decimal(38,0)").alias("s"))
+    return total.select(F.when(F.col("n") == 0, "ds-empty").otherwise(F.concat(F.lit("ds-"), F.col("n").cast("string"), F.lit("-"), F.substring(F.sha1(F.col("s").cast("string")), 1, 12))).alias("version"))
+
+
+def registry_summary(registry: DataFrame, time: str = "timestamp") -> DataFrame:
+    """dimension (month, source, product_id), value, n, rate of the samples, and on each row the totals: samples, complete ones, their rate, data_version.
+
+    registry has a time string that starts with the month, source, product_id and is_complete.
+    """
+    rows = registry.withColumn("month", F.substring(time, 1, 7)).withColumn("__done", F.col("is_complete").cast("int"))
+    total = rows.agg(F.count(F.lit(1)).alias("total_samples"), F.coalesce(F.sum("__done"), F.lit(0)).cast("long").alias("complete_samples"))
+    total = total.withColumn("complete_rate", F.round(F.coalesce(F.col("complete_samples") / F.nullif("total_samples", F.lit(0)), F.lit(0.0)), 6))
+    version = dataset_version(rows, [time, "source", "product_id", "__done"]).withColumnRenamed("version", "data_version")
+    return coverage_counts(rows, ["month", "source", "product_id"]).crossJoin(total).crossJoin(version)  # one row each
 
 
 def grid_alignment(shapes: DataFrame) -> DataFrame:
@@ -195,14 +208,30 @@ def data_quality_checks(samples: DataFrame, layers: DataFrame, times: DataFrame)
     return with_policy(all_)
 
 
+def numbered(df: DataFrame, *order: str, into: str = "i", ranges: int = 256) -> DataFrame:
+    """df with the place of each row (from 0) in the order of columns; equal rows in any order.
+
+    Fewer than `ranges` keys, drawn by hash, cut the order into ranges; a row's place is the count of the ranges before
+    its own and its place inside, so no task holds more than a range.
+    """
+    keys = df.select(*order).distinct()
+    cuts = sorted(keys.orderBy(F.xxhash64(*order), *order).limit(ranges - 1).collect(), key=lambda r: [(v is not None, v) for v in r])
+    types = dict(df.select(*order).dtypes)
+    place = F.struct(*(F.col(c) for c in order))
+    bounds = [F.struct(*(F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, r, strict=True))) for r in cuts]
+    part = df.withColumn("__range", F.size(F.filter(F.array(*bounds), lambda x: x <= place)) if bounds else F.lit(0))
+    sums = part.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).selectExpr("__range", "sum(n) OVER (ORDER BY __range) - n AS __before")  # a row for each range
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1
+    return part.join(F.broadcast(sums), "__range").withColumn(into, F.col("__before") + inside).select(*df.columns, into)
+
+
 def spread_sample(df: DataFrame, order: str, k: int) -> DataFrame:
     """k rows evenly spread over the order: those at floor(i * (n - 1) / (k - 1)); all rows if they are not more."""
     n = df.count()
-    ranked = df.withColumn("__i", F.row_number().over(W.orderBy(order)) - 1)
     if n <= k:
-        return ranked.drop("__i")
+        return df
     picks = sorted({i * (n - 1) // max(1, k - 1) for i in range(k)})
-    return ranked.where(F.col("__i").isin(picks)).drop("__i")
+    return numbered(df, order, into="__i").where(F.col("__i").isin(picks)).drop("__i")
 
 
 def timeline_windows(ts: DataFrame, width: int, stride: int) -> DataFrame:
@@ -225,15 +254,12 @@ def anchor_window(ts: DataFrame, anchor: Column, width: int) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[str], page_no: int, size: int) -> DataFrame:
-    """Rows of one page (from 1, clamped) with total and pages.
-
-    Rows are counted by range partition; only those before and in the page are ordered, by offset.
-    """
+    """Rows of one page (from 1, clamped) with total and pages; a deep page gathers no rows of those before it."""
     size = max(1, size)
     total = df.count()
     pages = max(1, -(-total // size))
     page_no = min(max(1, page_no), pages)
-    rows = df.orderBy(*order).offset((page_no - 1) * size).limit(size)
+    rows = numbered(df, *order, into="__i").where(F.col("__i").between((page_no - 1) * size, page_no * size - 1)).orderBy(*order).drop("__i")
     return rows.withColumn("total", F.lit(total).cast("long")).withColumn("pages", F.lit(pages).cast("long"))
 
 

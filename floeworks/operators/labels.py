@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .raster import KEY, class_edges, quantile_normalize
+from .catalog import numbered
+from .raster import KEY, class_edges, grown, quantile_normalize, quantiles_normalize
 
 
 def sample_quality(cells: DataFrame, channels: Sequence[str], label: str = "y", min_foreground: float = 1e-4, max_nan: float = 0.2, key: str = KEY) -> DataFrame:
@@ -97,17 +98,19 @@ def calibrate(c: Column, temperature: float | Column) -> Column:
 
 
 def fit_temperature(pairs: DataFrame) -> DataFrame:
-    """One row: the temperature of the grid with the least mean NLL (the first of equals), all of it in one pass over the pairs."""
+    """One row: the temperature of the grid with the least mean NLL (the first of equals), in one pass over the pairs.
+
+    Equal pairs are counted first, so the grid is tried once for each different confidence and outcome.
+    """
     grid = temperature_grid()
     p = clipped(F.col("confidence"))
-    y = F.col("outcome")
-    rows = pairs.select(F.log(p / (1 - p)).alias("z"), y.alias("y"))
+    rows = pairs.where("confidence IS NOT NULL AND outcome IS NOT NULL").groupBy(F.log(p / (1 - p)).alias("z"), F.col("outcome").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    tried = rows.select("z", "y", "n", F.posexplode(F.array(*map(F.lit, grid))).alias("k", "t"))
     # NLL of a scaled logit in closed form, clipped like the probability
-    losses = []
-    for t in grid:
-        q = clipped(1 / (1 + F.exp(-F.col("z") / t)))
-        losses.append(F.avg(-F.log(F.when(F.col("y") == 1, q).otherwise(1 - q))))
-    sums = rows.agg(F.array(*losses).alias("nll"))
+    q = clipped(1 / (1 + F.exp(-F.col("z") / F.col("t"))))
+    loss = -F.log(F.when(F.col("y") == 1, q).otherwise(1 - q))
+    by = tried.groupBy("k").agg((F.sum(F.col("n") * loss) / F.sum("n")).alias("nll"))
+    sums = by.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "nll"))), lambda x: x["nll"]).alias("nll"))  # a value for each temperature
     best = F.array_min("nll")
     return sums.select(F.element_at(F.array(*map(F.lit, grid)), F.array_position("nll", best).cast("int")).alias("temperature"), best.alias("nll"))
 
@@ -131,6 +134,19 @@ def uncertainty_thresholds(pairs: DataFrame, targets: Sequence[float] = (0.05, 0
     return best.select("target", F.coalesce("x.tau", F.lit(1.0)).alias("tau"), F.coalesce("x.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("x.error", F.lit(1.0)).alias("error"))
 
 
+def calibration_profile(pairs: DataFrame, targets: Sequence[float] = (0.05, 0.10, 0.15), bins: int = 15, model_version: str = "") -> DataFrame:
+    """One row for run time: temperature, threshold for the target nearest to 0.10 (kept in 0.05..0.98), its coverage and error, ECE and Brier before and after."""
+    pairs = pairs.select("confidence", "outcome")
+    fit = fit_temperature(pairs).select("temperature")
+    nearest = min(targets, key=lambda t: abs(t - 0.10))
+    after = pairs.crossJoin(F.broadcast(fit)).select(calibrate(F.col("confidence"), F.col("temperature")).alias("confidence"), "outcome")  # one row
+    chosen = uncertainty_thresholds(after.select((1 - F.col("confidence")).alias("uncertainty"), "outcome"), (nearest,))
+    quality = lambda p, n: calibration_metrics(p, bins).select(F.col("ece").alias(f"ece_{n}"), F.col("brier").alias(f"brier_{n}"))
+    out = fit.crossJoin(chosen).crossJoin(quality(pairs, "before")).crossJoin(quality(after, "after"))  # one row each
+    threshold = F.least(F.greatest(F.col("tau"), F.lit(0.05)), F.lit(0.98))
+    return out.select(F.lit(model_version).alias("model_version"), "temperature", threshold.alias("uncertainty_threshold"), F.lit(0.35).alias("uplift_scale"), F.col("target").alias("target_error_rate"), "coverage", F.col("error").alias("expected_error"), "ece_before", "ece_after", "brier_before", "brier_after")
+
+
 def calibration_pairs(labels: DataFrame, preds: DataFrame, stride: int = 2, key: str = KEY) -> DataFrame:
     """confidence (1 - unc) and outcome (pred = y) of every stride-th cell with a valid label."""
     both = labels.where((F.col("row") % stride == 0) & (F.col("col") % stride == 0) & F.col("y").isin(0, 1, 2)).join(preds, [key, "row", "col"])
@@ -149,22 +165,62 @@ def suggest_mask(cells: DataFrame, threshold: float, max_ratio: float, score: st
     return cells.join(cut, key, "left").select(key, "row", "col", F.when(sea & (F.col(score) >= F.col("cut")), 1).otherwise(0).alias("mask"))
 
 
-#: Weights of the active-learning score.
-ACTIVE = {"uncertainty": 0.6, "route_impact": 0.3, "class_balance": 0.1}
+#: Weights of the active-learning score, of its raw uncertainty and of its raw route impact, and the width of class balance.
+ACTIVE = {"uncertainty": 0.55, "route_impact": 0.30, "class_balance": 0.15}
+RAW_UNCERTAINTY = {"entropy_p95": 0.55, "entropy_mean": 0.30, "margin_mean": 0.15}
+RAW_IMPACT = {"near_unc": 0.60, "corridor_caution": 0.40}
+BALANCE_WIDTH = 0.025
 
 
-def active_learning_scores(cells: DataFrame, target_ratio: float, key: str = KEY) -> DataFrame:
-    """Per sample: unc_mean, unc_p95, boundary_unc (mean over class edges), route_impact (mean unc weighted by traffic), caution_ratio, score.
+def labelled_ratio(cells: DataFrame, key: str = KEY) -> DataFrame:
+    """One row, target: the median over labelled samples of the caution share of their sea, kept in 0.005..0.2; 0.03 without any."""
+    sea = F.col("blocked") == 0
+    by = cells.groupBy(key).agg(F.avg(F.when(sea, (F.col("caution") > 0).cast("double"))).alias("ratio"), F.max("caution").alias("top"))
+    return by.where("top > 0").agg(F.least(F.greatest(F.coalesce(F.median("ratio"), F.lit(0.03)), F.lit(0.005)), F.lit(0.2)).alias("target"))
+
 
-    Uncertainty and impact are scaled to 0..1 over the samples; balance is the nearness of the caution ratio to the target.
+def active_learning_scores(cells: DataFrame, probabilities: Sequence[str] = ("p0", "p1", "p2"), threshold: float = 0.6, target: float | None = None, width: float = BALANCE_WIDTH, key: str = KEY) -> DataFrame:
+    """Per unlabelled sample (no caution cell) with sea: entropy_mean, entropy_p95, margin_mean, near_unc (mean entropy within two
+    steps of the coast), pred_ratio, corridor_caution (caution probability weighted by scaled traffic), and score.
+
+    cells has blocked, caution, ais_heatmap and a column for each class probability, the second one for caution. Raw
+    uncertainty and impact are scaled between their 5 % and 95 % quantiles over the samples (their ends where those
+    agree); class balance falls from the target ratio (that of the labelled samples where None) as a bell of `width`.
     """
-    edges = class_edges(cells, "pred", key)
-    out = edges.groupBy(key).agg(F.avg("unc").alias("unc_mean"), F.percentile("unc", F.lit(0.95)).alias("unc_p95"), F.coalesce(F.avg(F.when(F.col("edge") == 1, F.col("unc"))), F.lit(0.0)).alias("boundary_unc"), (F.sum(F.col("unc") * F.col("ais_heatmap")) / F.greatest(F.sum("ais_heatmap"), F.lit(1e-9))).alias("route_impact"), F.avg((F.col("pred") == 1).cast("double")).alias("caution_ratio"))
-    ends = out.agg(*(f(c).alias(f"{n}_{c}") for c in ("unc_mean", "route_impact") for f, n in ((F.min, "a"), (F.max, "b"))))
-    scaled = lambda c: F.when(F.col(f"b_{c}") - F.col(f"a_{c}") > 1e-12, (F.col(c) - F.col(f"a_{c}")) / (F.col(f"b_{c}") - F.col(f"a_{c}"))).otherwise(0.0)
-    balance = F.greatest(F.lit(0.0), 1 - F.abs(F.col("caution_ratio") - target_ratio) / max(target_ratio, 1e-6))
-    score = ACTIVE["uncertainty"] * scaled("unc_mean") + ACTIVE["route_impact"] * scaled("route_impact") + ACTIVE["class_balance"] * balance
-    return out.crossJoin(F.broadcast(ends)).select(key, "unc_mean", "unc_p95", "boundary_unc", "route_impact", "caution_ratio", score.alias("score"))  # one row
+    p = [F.least(F.greatest(F.col(c), F.lit(1e-7)), F.lit(1.0)) for c in probabilities]
+    entropy = -sum((x * F.log(x) for x in p[1:]), p[0] * F.log(p[0]))
+    caution = F.col(probabilities[1])
+    sea = F.col("blocked") == 0
+    pool = cells.join(cells.groupBy(key).agg(F.max("caution").alias("top")).where("top = 0").select(key), key, "left_semi")
+    pool = class_edges(pool, "blocked", key).withColumn("near", F.col("edge"))
+    for _ in range(2):
+        pool = grown(pool, "near", key)
+    pool = quantile_normalize(pool, "ais_heatmap", mask=sea, into="traffic", key=key)
+    pool = pool.where(sea).withColumn("entropy", entropy)
+    out = pool.groupBy(key).agg(
+        F.avg("entropy").alias("entropy_mean"),
+        F.percentile("entropy", F.lit(0.95)).alias("entropy_p95"),
+        F.avg(1 - F.abs(caution - 0.5) * 2).alias("margin_mean"),
+        F.coalesce(F.avg(F.when(F.col("near") == 1, F.col("entropy"))), F.avg("entropy")).alias("near_unc"),
+        F.avg((caution > threshold).cast("double")).alias("pred_ratio"),
+        F.avg(caution * F.col("traffic")).alias("corridor_caution"),
+    )
+    for name, weights in (("uncertainty", RAW_UNCERTAINTY), ("route_impact", RAW_IMPACT)):
+        first, *rest = (F.col(c) * w for c, w in weights.items())
+        out = out.withColumn(name, sum(rest, first))
+    ends = [f.alias(f"__{n}_{c}") for c in ("uncertainty", "route_impact") for n, f in (("lo", F.percentile(c, F.lit(0.05))), ("hi", F.percentile(c, F.lit(0.95))), ("a", F.min(c)), ("b", F.max(c)))]
+    one = out.agg(*ends)
+    aim = labelled_ratio(cells, key) if target is None else one.select(F.lit(float(target)).alias("target"))
+    out = out.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(aim))  # one row each
+
+    def scaled(c: str) -> Column:
+        lo, hi, a, b = (F.col(f"__{n}_{c}") for n in ("lo", "hi", "a", "b"))
+        inside = lambda x, y: F.least(F.greatest((F.col(c) - x) / (y - x), F.lit(0.0)), F.lit(1.0))
+        return F.when(hi > lo, inside(lo, hi)).when(b > a, inside(a, b)).otherwise(0.0)
+
+    balance = F.exp(-0.5 * F.pow((F.col("pred_ratio") - F.col("target")) / max(1e-6, width), 2))
+    score = ACTIVE["uncertainty"] * scaled("uncertainty") + ACTIVE["route_impact"] * scaled("route_impact") + ACTIVE["class_balance"] * balance
+    return out.select(key, "entropy_mean", "entropy_p95", "margin_mean", "near_unc", "pred_ratio", "corridor_caution", score.alias("score"))
 
 
 def top_candidates(scores: DataFrame, k: int, key: str = KEY) -> DataFrame:
@@ -175,8 +231,7 @@ def explain_samples(cells: DataFrame, key: str = KEY) -> DataFrame:
     """Per sample: shares of ice, wave, wind, traffic and uncertainty factors (their means after scaling), and the largest one."""
     out = cells.withColumn("wind_speed", F.hypot("wind_u10", "wind_v10"))
     names = {"ice_conc": "ice", "wave_hs": "wave", "wind_speed": "wind", "ais_heatmap": "traffic"}
-    for c, n in names.items():
-        out = quantile_normalize(out, c, into=n, key=key)
+    out = quantiles_normalize(out, names, key=key)
     factors = [*names.values(), "unc"]
     means = out.groupBy(key).agg(*(F.avg(n).alias(n) for n in factors))
     total = sum((F.col(n) for n in factors[1:]), F.col(factors[0]))
@@ -196,7 +251,7 @@ def drop_hard_train(scores: DataFrame, k: int, key: str = KEY) -> DataFrame:
 
 def label_batches(samples: DataFrame, exported: DataFrame, size: int, key: str = KEY) -> DataFrame:
     """key, batch, place: samples not yet exported in chunks of size, in order of key."""
-    left = samples.join(exported.select(key), key, "left_anti").withColumn("i", F.row_number().over(W.orderBy(key)) - 1)
+    left = numbered(samples.join(exported.select(key), key, "left_anti"), key, into="i")
     return left.select(key, F.floor(F.col("i") / size).alias("batch"), (F.col("i") % size).alias("place"))
 
 

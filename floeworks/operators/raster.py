@@ -5,7 +5,9 @@ A cell table has a map key (sample_id here, any name by `key`), row, col and one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -45,15 +47,22 @@ def quantile_normalize(cells: DataFrame, column: str, low: float = 0.05, high: f
     Maps without spread get `flat`, or with min_max are scaled by their smallest and largest value. Values that
     are not finite count as 0.
     """
-    v = F.when(F.isnan(column) | (F.abs(column) == float("inf")), 0.0).otherwise(F.col(column))
-    inside = mask if mask is not None else F.lit(True)
-    some = F.when(inside, v)
-    q = cells.groupBy(key).agg(F.percentile(some, F.lit(low)).alias("__lo"), F.percentile(some, F.lit(high)).alias("__hi"), F.min(some).alias("__a"), F.max(some).alias("__b"))
+    return quantiles_normalize(cells, {column: into or f"{column}_norm"}, low, high, mask, flat, min_max, key)
+
+
+def quantiles_normalize(cells: DataFrame, columns: dict[str, str], low: float = 0.05, high: float = 0.95, mask: Column | None = None, flat: float = 0.0, min_max: bool = False, key: str = KEY) -> DataFrame:
+    """quantile_normalize() of several columns, each into the one named: one aggregation and one join with a row for each map."""
+    finite = {c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c)) for c in columns}
+    some = {c: F.when(mask, v) if mask is not None else v for c, v in finite.items()}
+    made = {"lo": lambda v: F.percentile(v, F.lit(low)), "hi": lambda v: F.percentile(v, F.lit(high)), "a": F.min, "b": F.max}
+    q = cells.groupBy(key).agg(*(f(v).alias(f"__{n}_{c}") for c, v in some.items() for n, f in made.items() if min_max or n in ("lo", "hi")))
     out = cells.join(q, key)
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    other = F.when(F.col("__b") - F.col("__a") >= 1e-6, clip((v - F.col("__a")) / (F.col("__b") - F.col("__a")))).otherwise(flat) if min_max else F.lit(flat)
-    scaled = F.when(F.col("__hi") - F.col("__lo") >= 1e-6, clip((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))).otherwise(other)
-    return out.withColumn(into or f"{column}_norm", F.coalesce(scaled, F.lit(flat))).drop("__lo", "__hi", "__a", "__b")
+    for c, into in columns.items():
+        v, lo, hi, a, b = finite[c], *(F.col(f"__{n}_{c}") for n in made)
+        other = F.when(b - a >= 1e-6, clip((v - a) / (b - a))).otherwise(flat) if min_max else F.lit(flat)
+        out = out.withColumn(into, F.coalesce(F.when(hi - lo >= 1e-6, clip((v - lo) / (hi - lo))).otherwise(other), F.lit(flat)))
+    return out.drop(*(f"__{n}_{c}" for c in columns for n in made))
 
 
 #: Component weights of the fused risk, and the normal quantile of its upper estimate.
@@ -66,8 +75,7 @@ def risk_components(cells: DataFrame, temperature: float = 1.0, key: str = KEY)
     sea = F.col("blocked") == 0
     top = F.max(F.abs("ice_conc")).over(W.partitionBy(key))
     out = cells.withColumn("wind_speed", F.hypot("wind_u10", "wind_v10")).withColumn("__top", top)
-    for source, into in (("wave_hs", "wave"), ("wind_speed", "wind"), ("ais_heatmap", "__ais")):
-        out = quantile_normalize(out, source, mask=sea, into=into, key=key)
+    out = quantiles_normalize(out, {"wave_hs": "wave", "wind_speed": "wind", "ais_heatmap": "__ais"}, mask=sea, key=key)
     clip = lambda x: F.least(F.greatest(F.nanvl(x, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     confidence = F.least(F.greatest(1 - clip(F.col("unc")), F.lit(1e-6)), F.lit(1 - 1e-6))
     calibrated = F.col("unc").cast("double") if temperature == 1.0 else 1 - 1 / (1 + F.exp(-F.log(confidence / (1 - confidence)) / temperature))
@@ -164,6 +172,12 @@ def class_edges(cells: DataFrame, column: str = "pred", key: str = KEY) -> DataF
     return cells.withColumn("edge", (differs[0] | differs[1] | differs[2] | differs[3]).cast("int"))
 
 
+def grown(cells: DataFrame, column: str, key: str = KEY) -> DataFrame:
+    """cells with the 0/1 mask of column grown by one step to the four neighbours."""
+    along, across = W.partitionBy(key, "row").orderBy("col").rowsBetween(-1, 1), W.partitionBy(key, "col").orderBy("row").rowsBetween(-1, 1)
+    return cells.withColumn(column, F.greatest(F.max(column).over(along), F.max(column).over(across)))
+
+
 def majority_smooth(cells: DataFrame, column: str, least: int = 2, key: str = KEY) -> DataFrame:
     """A mask without cells that have fewer than `least` set cells in their 3x3 neighbourhood (themselves included)."""
     return stencil3(cells, column, "sum", key).withColumn("smooth", F.when((F.col(column) == 1) & (F.col(f"{column}_sum") >= least), 1).otherwise(0)).drop(f"{column}_sum")
@@ -207,6 +221,26 @@ def resample(cells: DataFrame, targets: DataFrame, column: str, mode: str = "bil
     return out.select(key, "target_id", (F.col("s") / F.col("n")).alias("value"))
 
 
+def bbox_targets(spark: SparkSession, bbox: str, width: int, height: int) -> DataFrame:
+    """target_id, lat, lon of the pixels of a box `minLon,minLat,maxLon,maxLat`, row by row from the north; corners are pixels."""
+    west, south, east, north = (float(x) for x in bbox.split(","))
+    if not (west < east and south < north):
+        raise ValueError(f"no box: {bbox}")
+    y, x = F.floor(F.col("target_id") / width), F.col("target_id") % width
+    lat = F.lit(north) - y * (north - south) / max(1, height - 1)
+    lon = F.lit(west) + x * (east - west) / max(1, width - 1)
+    return spark.range(width * height).withColumnRenamed("id", "target_id").select("target_id", lat.alias("lat"), lon.alias("lon"))
+
+
+def tile_targets(tiles: DataFrame, size: int = 256) -> DataFrame:
+    """tiles (z, x, y of the Web Mercator pyramid, and any more) with target_id, lat, lon of the centre of each of their size x size pixels."""
+    out = tiles.withColumn("target_id", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
+    n = F.pow(F.lit(2.0), F.col("z"))
+    py, px = (F.floor(F.col("target_id") / size) + 0.5) / size, (F.col("target_id") % size + 0.5) / size
+    lat = F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * (F.col("y") + py) / n))))
+    return out.withColumn("lat", lat).withColumn("lon", (F.col("x") + px) / n * 360 - 180)
+
+
 #: Weights of the risk hint and of the fallback risk.
 HINT = {"ice_conc": 0.42, "wave_hs": 0.28, "wind_speed": 0.20, "ais_heatmap": 0.10}
 
@@ -214,8 +248,7 @@ HINT = {"ice_conc": 0.42, "wave_hs": 0.28, "wind_speed": 0.20, "ais_heatmap": 0.
 def risk_hint(cells: DataFrame, key: str = KEY) -> DataFrame:
     """cells with hint: a weighted sum of layers scaled by their 2nd and 98th percentiles; 0 on blocked cells."""
     out = cells.withColumn("wind_speed", F.hypot("wind_u10", "wind_v10"))
-    for c in HINT:
-        out = quantile_normalize(out, c, 0.02, 0.98, into=f"__{c}", flat=0.5, key=key)
+    out = quantiles_normalize(out, {c: f"__{c}" for c in HINT}, 0.02, 0.98, flat=0.5, key=key)
     hint = sum((F.col(f"__{c}") * w for c, w in HINT.items()), F.lit(0.0))
     return out.withColumn("hint", F.when(F.col("blocked") == 1, 0.0).otherwise(hint)).drop(*(f"__{c}" for c in HINT), "wind_speed")
 

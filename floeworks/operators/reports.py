@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .raster import KEY, quantile_normalize
+from ..functions.scalars import PRIME, route_safety, uniform
+from .catalog import nearest_timestamp
+from .raster import KEY, quantile_normalize, quantiles_normalize
 
 
 def normalize_versions(df: DataFrame, keys: dict[str, str], snapshot: str = "version_snapshot") -> DataFrame:
@@ -67,45 +69,91 @@ def closed_loop_delta(train: DataFrame, before: DataFrame, after: DataFrame) ->
     return both.select("best_iou", "final_iou", (F.col("km_b") - F.col("km_a")).alias("distance_delta_km"), (F.col("ms_b") - F.col("ms_a")).alias("runtime_delta_ms"))
 
 
-def bootstrap_ci(samples: DataFrame, rounds: int = 500, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Per key: mean and the percentile interval of resampled means.
+#: Bounds of a Poisson(1) number: its weight is how many of them a uniform number exceeds.
+POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720)]).tolist()
 
-    Each sample's weight in a replicate is a Poisson(1) number from a hash of its id and the replicate, so a replicate is a
-    weighted sum by key: nothing is gathered, and any number of samples is spread over tasks. samples has key, id, value.
+
+def bootstrap_ci(samples: DataFrame, rounds: int = 500, alpha: float = 0.05, seed: int = 0, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Per keys: mean, n and the percentile interval of resampled means.
+
+    Each sample's weight in a replicate is a Poisson(1) number made from its id (a whole number) and the replicate, so a
+    replicate is a weighted sum by key: nothing is gathered, and any number of samples is spread over tasks.
     """
-    u = (F.pmod(F.xxhash64("id", "replicate", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)).alias("u")
-    cut = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720)]).tolist()
-    weight = sum(((F.col("u") > c).cast("int") for c in cut[1:]), (F.col("u") > cut[0]).cast("int"))
-    spread = samples.select("key", "id", "value", F.explode(F.sequence(F.lit(0), F.lit(max(200, rounds) - 1))).alias("replicate")).select("key", "value", "replicate", u).withColumn("w", weight)
-    means = spread.groupBy("key", "replicate").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
-    ci = means.groupBy("key").agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
-    return samples.groupBy("key").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")).join(ci, "key")
+    u = F.col("u")
+    weight = sum(((u > c).cast("int") for c in POISSON[1:]), (u > POISSON[0]).cast("int"))
+    spread = samples.select(*keys, "id", "value", F.explode(F.sequence(F.lit(0), F.lit(max(200, rounds) - 1))).alias("replicate"))
+    spread = spread.withColumn("u", uniform(F.col("id"), F.col("replicate"), seed=seed)).withColumn("w", weight)
+    means = spread.groupBy(*keys, "replicate").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    ci = means.groupBy(*keys).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+    return samples.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")).join(ci, list(keys))
 
 
 def permutation_test(samples: DataFrame, a: str, b: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """One row: difference of means of two keys and its two-sided p value.
 
-    A replicate deals samples to the two sides by a hash, each with its side's share; sums by replicate give the differences.
+    A replicate deals samples to the two sides by a number made from id and replicate, each with its side's share; sums by
+    replicate give the differences.
     """
     two = samples.where(F.col("key").isin(a, b))
     totals = two.agg(F.avg(F.when(F.col("key") == a, F.col("value"))).alias("ma"), F.avg(F.when(F.col("key") == b, F.col("value"))).alias("mb"), F.avg((F.col("key") == a).cast("double")).alias("share"))
-    u = F.pmod(F.xxhash64("id", "key", "replicate", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    spread = two.crossJoin(F.broadcast(totals)).select("id", "key", "value", "share", F.explode(F.sequence(F.lit(0), F.lit(max(1000, rounds) - 1))).alias("replicate"))  # one row
-    dealt = spread.select("replicate", "value", (u < F.col("share")).alias("left"))
+    spread = two.crossJoin(F.broadcast(totals)).select("id", "value", "share", F.explode(F.sequence(F.lit(0), F.lit(max(200, rounds) - 1))).alias("replicate"))  # one row
+    dealt = spread.select("replicate", "value", (uniform(F.col("id"), F.col("replicate"), seed=seed) < F.col("share")).alias("left"))
     means = dealt.groupBy("replicate").agg((F.avg(F.when(F.col("left"), F.col("value"))) - F.avg(F.when(~F.col("left"), F.col("value")))).alias("d"))
     both = means.crossJoin(F.broadcast(totals))  # one row
     return both.agg(F.first(F.col("ma") - F.col("mb")).alias("difference"), ((F.count_if(F.abs("d") >= F.abs(F.col("ma") - F.col("mb"))) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
+#: The compared metrics, and whether a higher value is better.
+METRICS = {"completion_rate": True, "total_cost_km": False, "replan_latency_ms": False, "risk_exposure": False, "route_safety": True}
+
+
+def metric_samples(bench: DataFrame, mode: str = "dynamic") -> DataFrame:
+    """planner, metric, id, value of the runs of one mode: completion of all runs, the other metrics of the ok ones."""
+    ok = F.col("status") == "ok"
+    latency = F.col("avg_replan_ms") if "avg_replan_ms" in bench.columns else F.lit(0.0)
+    safety = F.col("route_safety") if "route_safety" in bench.columns else route_safety(F.col("distance_km"), F.col("caution_len_km"))
+    values = {"completion_rate": ok.cast("double"), "total_cost_km": F.col("route_cost_effective_km"), "replan_latency_ms": latency, "risk_exposure": F.col("risk_exposure"), "route_safety": safety}
+    runs = bench.where((F.lower("mode") == mode) & (F.trim("planner") != "")).select(F.lower(F.trim("planner")).alias("planner"), F.col("run_id").alias("id"), ok.alias("ok"), *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(m) for m, v in values.items()))
+    return runs.unpivot(["planner", "id", "ok"], list(METRICS), "metric", "value").where("ok OR metric = 'completion_rate'").drop("ok")
+
+
+def significance(samples: DataFrame, rounds: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Per metric and pair of planners a < b: mean_diff, p_value, effect_size, winner, confidence, n_a, n_b.
+
+    A sample is dealt in each replicate to one side of each pair that its planner is in; the sums of a replicate are
+    those of a key, so samples are never gathered. Planners are a small dimension; pairs are made from their sums.
+    """
+    by = samples.groupBy("metric", "planner").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance"))
+    side = lambda x: by.select("metric", *(F.col(c).alias(f"{c}_{x}") for c in ("planner", "n", "mean", "variance")))
+    pairs = side("a").join(side("b"), "metric").where("planner_a < planner_b").withColumn("diff", F.col("mean_a") - F.col("mean_b"))
+    pooled = F.sqrt(F.greatest(F.lit(1e-12), ((F.col("n_a") - 1) * F.col("variance_a") + (F.col("n_b") - 1) * F.col("variance_b")) / F.greatest(F.lit(1), F.col("n_a") + F.col("n_b") - 2)))
+    pairs = pairs.withColumn("effect_size", F.col("diff") / pooled)
+    mine = pairs.select("metric", "planner_a", "planner_b", (F.col("n_a") / (F.col("n_a") + F.col("n_b"))).alias("share"), F.explode(F.array("planner_a", "planner_b")).alias("planner"))
+    spread = samples.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(max(200, rounds) - 1)))).withColumn("u", uniform(F.col("id"), F.col("replicate"), seed=seed)).join(F.broadcast(mine), ["metric", "planner"])  # planners squared
+    left = F.col("u") < F.col("share")
+    dealt = spread.groupBy("metric", "planner_a", "planner_b", "replicate").agg((F.avg(F.when(left, F.col("value"))) - F.avg(F.when(~left, F.col("value")))).alias("d"))
+    extreme = dealt.join(pairs.select("metric", "planner_a", "planner_b", "diff"), ["metric", "planner_a", "planner_b"]).groupBy("metric", "planner_a", "planner_b").agg(((F.count_if(F.abs("d") >= F.abs("diff")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    ci = bootstrap_ci(samples, rounds, alpha, seed, ("metric", "planner"))
+    ends = lambda x: ci.select("metric", F.col("planner").alias(f"planner_{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
+    out = pairs.join(extreme, ["metric", "planner_a", "planner_b"]).join(ends("a"), ["metric", "planner_a"]).join(ends("b"), ["metric", "planner_b"])
+    low, high, p = F.col("low_a") - F.col("high_b"), F.col("high_a") - F.col("low_b"), F.col("p_value")
+    apart = ((low > 0) & (high > 0)) | ((low < 0) & (high < 0))
+    better = F.col("metric").isin([m for m, higher in METRICS.items() if higher])
+    winner = F.when(p >= alpha, "tie").when((F.col("diff") > 0) == better, F.col("planner_a")).otherwise(F.col("planner_b"))
+    confidence = F.when((p < 0.01) & apart, "high").when((p < 0.05) & apart, "medium").otherwise("low")
+    return out.select("metric", "planner_a", "planner_b", F.col("diff").alias("mean_diff"), "p_value", "effect_size", winner.alias("winner"), confidence.alias("confidence"), "n_a", "n_b")
+
+
 def weighted_draws(weights: DataFrame, n: int, seed: int = 0, key: str = KEY) -> DataFrame:
-    """draw, key: n draws with replacement by weight.
+    """draw, key: n draws with replacement by weight; key is a whole number.
 
-    Weights become intervals of a running sum (slices of 4096 keys are summed first, so only sums are ordered whole); each
-    draw's number finds its slice, then its key within the slice.
+    Weights become intervals of a running sum (slices of keys by a number made from them are summed first, so only 4096 sums
+    are ordered whole); each draw's number finds its slice, then its key within the slice.
     """
-    parts = weights.select(key, "weight", F.pmod(F.xxhash64(key), F.lit(4096)).alias("slice"))
+    parts = weights.select(key, "weight", F.floor(uniform(F.col(key)) * 4096).alias("slice"))
     sums = parts.groupBy("slice").agg(F.sum("weight").alias("w")).selectExpr("slice", "w", "sum(w) OVER (ORDER BY slice) AS high", "sum(w) OVER () AS total")
-    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)).alias("u"))
+    u = uniform(F.col("id"), seed=seed) + uniform(F.col("id"), seed=seed + 1) / float(PRIME)
+    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), u.alias("u"))
     placed = draws.join(F.broadcast(sums), (F.col("u") * F.col("total") >= F.col("high") - F.col("w")) & (F.col("u") * F.col("total") < F.col("high")))  # 4096 slices
     placed = placed.select("draw", "slice", (F.col("u") * F.col("total") - F.col("high") + F.col("w")).alias("x"))
     inner = parts.selectExpr(key, "slice", "weight", f"sum(weight) OVER (PARTITION BY slice ORDER BY {key}) AS upto")
@@ -124,8 +172,7 @@ def heuristic_classes(cells: DataFrame, key: str = KEY) -> DataFrame:
     """cells with risk (0.5 ice + 0.3 wave + 0.2 wind after scaling over the sea), cls (caution from the map's 82nd percentile, blocked 2) and unc."""
     sea = F.col("blocked") == 0
     out = cells.withColumn("wind_speed", F.hypot("wind_u10", "wind_v10"))
-    for c, n in (("ice_conc", "__i"), ("wave_hs", "__w"), ("wind_speed", "__s")):
-        out = quantile_normalize(out, c, mask=sea, into=n, min_max=True, key=key)
+    out = quantiles_normalize(out, {"ice_conc": "__i", "wave_hs": "__w", "wind_speed": "__s"}, mask=sea, min_max=True, key=key)
     out = out.withColumn("risk", 0.5 * F.col("__i") + 0.3 * F.col("__w") + 0.2 * F.col("__s"))
     cut = out.where(sea).groupBy(key).agg(F.percentile("risk", F.lit(0.82)).alias("__cut"))
     out = out.join(cut, key, "left")
@@ -244,35 +291,57 @@ def regrid_linear(field: DataFrame, spacing: float, targets: DataFrame) -> DataF
     return spread.join(field, ["row", "col"]).groupBy("target_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def simplify_routes(route_cells: DataFrame, blocked: DataFrame, key: str = "ts") -> DataFrame:
+def regrid(field: DataFrame, axes: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (target_id, ts, lat, lon) with slice_ts and value: linear in both axes, beyond them too, from the time slice nearest to ts (the earlier of two).
+
+    field has ts, row, col, value; axes has axis (`lat`, `lon`), idx, value, ascending, evenly spaced or not. The two axes
+    and the list of slices are dimensions of one map (arrays in a row); the field is met by key, four corners a target.
+    """
+    lists = axes.groupBy("axis").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("at"))
+    one = lists.agg(*(F.max(F.when(F.col("axis") == a, F.col("at"))).alias(f"__{a}") for a in ("lat", "lon")))
+    near = nearest_timestamp(targets.select("ts").distinct(), field.select("ts").distinct()).withColumnRenamed("nearest", "slice_ts")
+    t = targets.join(near, "ts").crossJoin(F.broadcast(one))  # one row
+    for a in ("lat", "lon"):
+        at, place = F.col(f"__{a}"), F.col(a)
+        below = F.size(F.filter(at, lambda v: v <= place)) - 1  # noqa: B023
+        t = t.withColumn(f"__i_{a}", F.greatest(F.lit(0), F.least(below, F.size(at) - 2)))
+        low = F.get(at, F.col(f"__i_{a}"))
+        high = F.get(at, F.col(f"__i_{a}") + 1)
+        t = t.withColumn(f"__w_{a}", F.coalesce((F.col(a) - low) / (high - low), F.lit(0.0)))
+    side = lambda a, k: F.col(f"__w_{a}") if k else 1 - F.col(f"__w_{a}")
+    corners = F.array(*(F.struct((F.col("__i_lat") + i).alias("row"), (F.col("__i_lon") + j).alias("col"), (side("lat", i) * side("lon", j)).alias("w")) for i in (0, 1) for j in (0, 1)))
+    spread = t.select("target_id", "slice_ts", F.explode(F.filter(corners, lambda c: c["w"] != 0)).alias("k")).select("target_id", "slice_ts", "k.*")
+    return spread.join(field.withColumnRenamed("ts", "slice_ts"), ["slice_ts", "row", "col"]).groupBy("target_id", "slice_ts").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def simplify_routes(route_cells: DataFrame, blocked: DataFrame, key: str = "ts", routes: int = 256) -> DataFrame:
     """route_cells (key, route_id, seq, row, col) without the points that a straight line over free cells can skip, greedily from the start.
 
-    Routes and the blocked cells of one map meet in one group (a map fits a worker).
+    About `routes` routes and the blocked cells of their map meet in one group: a map with many routes is many groups, and
+    its blocked cells (a map fits a worker) go to each of them.
     """
     schema = route_cells.select(key, "route_id", "seq", "row", "col").schema
 
+    def clear(bad: set, a: tuple, b: tuple) -> bool:
+        dr, dc = b[0] - a[0], b[1] - a[1]
+        n = 4 * max(abs(dr), abs(dc), 1)
+        t = np.arange(n + 1) / n
+        return bad.isdisjoint(zip(np.rint(a[0] + dr * t).astype(int).tolist(), np.rint(a[1] + dc * t).astype(int).tolist(), strict=True))
+
     def simplify(routes: pd.DataFrame, mask: pd.DataFrame) -> pd.DataFrame:
         bad = set(zip(mask["row"], mask["col"], strict=True))
-
-        def clear(a: tuple, b: tuple) -> bool:
-            dr, dc = b[0] - a[0], b[1] - a[1]
-            n = 4 * max(abs(dr), abs(dc), 1)
-            t = np.arange(n + 1) / n
-            return bad.isdisjoint(zip(np.rint(a[0] + dr * t).astype(int).tolist(), np.rint(a[1] + dc * t).astype(int).tolist(), strict=True))
-
         out = []
         for _, r in routes.sort_values("seq").groupby("route_id", sort=True):
             p = list(zip(r["row"], r["col"], strict=True))
             keep, i = [0], 0
             while i < len(p) - 1:
-                j = next((j for j in range(len(p) - 1, i + 1, -1) if clear(p[i], p[j])), i + 1)
+                j = next((j for j in range(len(p) - 1, i + 1, -1) if clear(bad, p[i], p[j])), i + 1)
                 keep.append(j)
                 i = j
             out.append(r.iloc[keep])
-        return pd.concat(out) if out else routes
-
-    return route_cells.select(*schema.names).groupBy(key).cogroup(blocked.select(key, "row", "col").groupBy(key)).applyInPandas(simplify, schema)
-
+        return (pd.concat(out) if out else routes)[schema.names]
 
-def share(c: Column, total: Column) -> Column:
-    return F.when(total > 0, c / total).otherwise(0.0)
+    parts = route_cells.select(key, "route_id").distinct().groupBy(key).agg(F.ceil(F.count(F.lit(1)) / routes).cast("int").alias("__parts"))
+    dealt = route_cells.select(*schema.names).join(parts, key).withColumn("__part", F.pmod(F.xxhash64("route_id"), F.col("__parts")).cast("int")).drop("__parts")
+    masks = blocked.select(key, "row", "col").join(parts, key).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return dealt.groupBy(key, "__part").cogroup(masks.groupBy(key, "__part")).applyInPandas(simplify, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import pandas as pd
@@ -84,30 +85,51 @@ def route_segments(points: DataFrame, grid: Grid) -> DataFrame:
     return both.withColumn("km", haversine_km(a[0], a[1], b[0], b[1]))
 
 
-def route_metrics(points: DataFrame, cells: DataFrame, grid: Grid, caution_penalty: float = 0.22, corridor_reward: float = 0.02) -> DataFrame:
-    """Per route: distance, caution length, the four cost parts, effective cost, mean corridor value and sample count.
+LOOKED = ("caution", "near_blocked", "corridor", "uncertainty", "risk")
 
-    cells has row, col, caution, corridor, uncertainty, risk. Each segment's traced cells but its first give its mean
-    values; the look-up is an equi-join on the cell, then two sums, by segment and by route.
-    """
-    segments = route_segments(points, grid)
-    traced = trace_cells(segments)
+
+def _looked_up(points: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
+    """The traced cells of each segment but its first, with the layers of cells (missing layers and cells are 0)."""
+    traced = trace_cells(route_segments(points, grid))
     only = (F.col("r0") == F.col("r1")) & (F.col("c0") == F.col("c1"))
     traced = traced.where(only | ~((F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))))
-    looked = traced.join(cells.select("row", "col", "caution", "corridor", "uncertainty", "risk"), ["row", "col"], "left").fillna(0.0, ["caution", "corridor", "uncertainty", "risk"])
-    by = looked.groupBy("route_id", "seq", "km").agg(*(F.avg(c).alias(c) for c in ("caution", "corridor", "uncertainty", "risk")), F.sum("corridor").alias("corridor_sum"), F.count(F.lit(1)).alias("samples"))
+    layers = cells.select("row", "col", *(F.col(c).cast("double").alias(c) if c in cells.columns else F.lit(0.0).alias(c) for c in LOOKED))
+    return traced.join(layers, ["row", "col"], "left").fillna(0.0, list(LOOKED))
+
+
+def _by_segment(looked: DataFrame, caution_penalty: float, corridor_reward: float) -> DataFrame:
+    by = looked.groupBy("route_id", "seq", "km").agg(*(F.avg(c).alias(c) for c in LOOKED), F.sum("corridor").alias("corridor_sum"), F.sum("caution").alias("caution_hits"), F.sum("near_blocked").alias("near_hits"), F.count(F.lit(1)).alias("samples"))
     km = F.col("km")
+    parts = {"caution_len_km": km * F.col("caution"), "caution_extra_km": km * F.col("caution") * caution_penalty, "corridor_discount_km": km * F.col("corridor") * corridor_reward, "uncertainty_extra_km": km * F.col("uncertainty"), "risk_extra_km": km * F.col("risk")}
+    return by.withColumns(parts)
+
+
+def segment_metrics(points: DataFrame, cells: DataFrame, grid: Grid, caution_penalty: float = 0.22, corridor_reward: float = 0.02) -> DataFrame:
+    """Per segment of a route: length, samples, mean layers, caution length and the four cost parts."""
+    return _by_segment(_looked_up(points, cells, grid), caution_penalty, corridor_reward).drop("corridor_sum", "caution_hits", "near_hits")
+
+
+def route_metrics(points: DataFrame, cells: DataFrame, grid: Grid, caution_penalty: float = 0.22, corridor_reward: float = 0.02) -> DataFrame:
+    """Per route: distance, caution length, the four cost parts, effective cost, sample count, mean, median and 90 % corridor value, shares of samples on caution and near blocked cells.
+
+    cells has row, col, caution, near_blocked, corridor, uncertainty, risk. Each segment's traced cells but its first give
+    its mean values; the look-up is an equi-join on the cell, then two sums, by segment and by route.
+    """
+    looked = _looked_up(points, cells, grid)
+    by = _by_segment(looked, caution_penalty, corridor_reward)
+    names = ("caution_len_km", "caution_extra_km", "corridor_discount_km", "uncertainty_extra_km", "risk_extra_km")
+    samples = F.sum("samples")
     out = by.groupBy("route_id").agg(
-        F.sum(km).alias("distance_km"),
-        F.sum(km * F.col("caution")).alias("caution_len_km"),
-        F.sum(km * F.col("caution") * caution_penalty).alias("caution_extra_km"),
-        F.sum(km * F.col("corridor") * corridor_reward).alias("corridor_discount_km"),
-        F.sum(km * F.col("uncertainty")).alias("uncertainty_extra_km"),
-        F.sum(km * F.col("risk")).alias("risk_extra_km"),
-        F.sum("samples").alias("sample_count"),
-        (F.sum("corridor_sum") / F.sum("samples")).alias("corridor_alignment"),
+        F.sum("km").alias("distance_km"),
+        *(F.sum(c).alias(c) for c in names),
+        samples.alias("sample_count"),
+        (F.sum("corridor_sum") / samples).alias("corridor_alignment"),
+        (F.sum("caution_hits") / samples).alias("caution_hit_ratio"),
+        (F.sum("near_hits") / samples).alias("near_blocked_hit_ratio"),
     )
-    return out.withColumn("effective_km", F.col("distance_km") + F.col("caution_extra_km") - F.col("corridor_discount_km") + F.col("uncertainty_extra_km") + F.col("risk_extra_km"))
+    spread = looked.groupBy("route_id").agg(F.percentile("corridor", F.lit(0.5)).alias("alignment_p50"), F.percentile("corridor", F.lit(0.9)).alias("alignment_p90"))
+    effective = F.col("distance_km") + F.col("caution_extra_km") - F.col("corridor_discount_km") + F.col("uncertainty_extra_km") + F.col("risk_extra_km")
+    return out.join(spread, "route_id").withColumn("effective_km", effective)
 
 
 def ais_backtest(points: DataFrame, heat: DataFrame, grid: Grid) -> DataFrame:
@@ -162,21 +184,39 @@ def edge_costs(cells: DataFrame, grid: Grid, caution_penalty: float = 0.22, corr
 def nearest_free_cell(points: DataFrame, cells: DataFrame, ring: int = 3, key: str | None = None) -> DataFrame:
     """points (id, row, col) with free_row, free_col: the nearest cell that is not blocked, row-major on ties; of the point's map where key is given.
 
-    The rings up to `ring` are looked up by key; only points that find nothing there are compared with all free cells.
+    A place is looked up once, however many points stand on it. Cells are met by square tiles, the eight around included,
+    whose side starts at `ring` and doubles until every place has a cell within reach (or a tile covers the map);
+    so a place meets as many cells as its distance asks for, not all of them.
     """
     keys = [key] if key else []
     free = cells.where("blocked = 0").select(*keys, F.col("row").alias("fr"), F.col("col").alias("fc"))
-    spread = points.withColumn("fr", F.explode(F.expr(f"sequence(row - {ring}, row + {ring})"))).withColumn("fc", F.explode(F.expr(f"sequence(col - {ring}, col + {ring})")))
+    ends = cells.agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("col").alias("c"), F.max("col").alias("d")).first()
+    places = points.select(*keys, "row", "col").distinct()
+    span = 0
+    if ends["a"] is not None:
+        low = places.agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("col").alias("c"), F.max("col").alias("d")).first()
+        if low["a"] is not None:
+            span = max(max(ends["b"], low["b"]) - min(ends["a"], low["a"]), max(ends["d"], low["d"]) - min(ends["c"], low["c"])) + 1
     d2 = F.pow(F.col("fr") - F.col("row"), 2) + F.pow(F.col("fc") - F.col("col"), 2)
-    best = lambda df: df.groupBy(*keys, "id", "row", "col").agg(F.min(F.struct(d2.alias("d"), "fr", "fc")).alias("b")).select(*keys, "id", "row", "col", F.col("b.fr").alias("free_row"), F.col("b.fc").alias("free_col"))
-    # beyond the ring a corner may be farther than an edge of the next ring: only hits within the ring's radius count
-    close = best(spread.join(free, [*keys, "fr", "fc"]).where(d2 <= ring * ring))
-    rest = points.join(close.select(*keys, "id"), [*keys, "id"], "left_anti")
-    if key:
-        # the rest of a map by place: a place is compared once, however many points stand on it
-        places = best(rest.select(key, F.lit(0).alias("id"), "row", "col").distinct().join(free, key)).drop("id")
-        return close.unionByName(rest.join(places, [key, "row", "col"]).select(close.columns))
-    return close.unionByName(best(rest.join(F.broadcast(free), F.lit(True))))  # one grid's free cells
+    found, side, rest = None, max(1, ring), places
+    while span:
+        tile = lambda r, c, s=side: (F.floor(F.col(r) / s).alias("ty"), F.floor(F.col(c) / s).alias("tx"))
+        around = rest.select(*keys, "row", "col", F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("o"), *tile("row", "col"))
+        around = around.select(*keys, "row", "col", (F.col("ty") + F.col("o.dy")).alias("ty"), (F.col("tx") + F.col("o.dx")).alias("tx"))
+        met = around.join(free.select(*keys, "fr", "fc", *tile("fr", "fc")), [*keys, "ty", "tx"])
+        if side < span:
+            met = met.where(d2 <= side * side)  # beyond, a cell outside the nine tiles may be nearer
+        best = met.groupBy(*keys, "row", "col").agg(F.min(F.struct(d2.alias("d"), "fr", "fc")).alias("b")).select(*keys, "row", "col", F.col("b.fr").alias("free_row"), F.col("b.fc").alias("free_col"))
+        found = best if found is None else found.unionByName(best)
+        if side >= span:
+            break
+        rest = places.join(found.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti")
+        if rest.isEmpty():
+            break
+        side *= 2
+    if found is None:
+        return points.withColumn("free_row", F.lit(None).cast("int")).withColumn("free_col", F.lit(None).cast("int")).limit(0)
+    return points.join(found, [*keys, "row", "col"]).select(*keys, "id", "row", "col", "free_row", "free_col")
 
 
 def diversity_penalty(route_cells: DataFrame, height: int, width: int, radius: int = 3, scale: float = 0.35, most: float = 1.2) -> DataFrame:
@@ -204,40 +244,55 @@ def pareto_frontier(candidates: DataFrame, group: str) -> DataFrame:
 def pareto_rank(candidates: DataFrame, group: str) -> DataFrame:
     """candidates with pareto_rank (layer), pareto_score and pareto_order per group; a group is one request's candidates.
 
-    Layers: candidates by distance, then risk; each goes to the first layer whose least risk so far is not better
-    (bisection), so a group of n takes n log n steps.
+    Layers depend on the different points (distance, risk) of a group only, which are taken by distance, then risk; each goes
+    to the first layer whose least risk so far is not better (bisection). Scores and the order are built in.
     """
-    extra = [T.StructField("pareto_rank", T.IntegerType()), T.StructField("pareto_score", T.DoubleType()), T.StructField("pareto_order", T.IntegerType())]
-    schema = T.StructType([*candidates.schema.fields, *extra])
+    points = candidates.select(group, "distance_km", "risk_exposure").distinct()
+    schema = T.StructType([*points.schema.fields, T.StructField("pareto_rank", T.IntegerType())])
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.sort_values(["distance_km", "risk_exposure"], kind="stable").reset_index(drop=True)
-        layers: list[tuple[float, float]] = []  # the last (risk, distance) of each layer; risks do not fall from layer to layer
+        layers: list[float] = []  # the last risk of each layer; it does not fall from layer to layer
         ranks = []
-        for d, r in zip(out["distance_km"], out["risk_exposure"], strict=True):
-            low, high = 0, len(layers)
-            while low < high:
-                mid = (low + high) // 2
-                if layers[mid][0] < r or (layers[mid][0] == r and layers[mid][1] < d):
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == len(layers):
-                layers.append((r, d))
-            else:
-                layers[low] = (r, d)
-            ranks.append(low + 1)
+        for r in out["risk_exposure"]:
+            k = bisect.bisect_right(layers, r)
+            layers[k : k + 1] = [r]
+            ranks.append(k + 1)
         out["pareto_rank"] = ranks
-        score = 0.0
-        for c, w in (("distance_km", 1.0), ("risk_exposure", 1.0), ("caution_len_km", 0.25), ("corridor_score", -0.15)):
-            a, b = out[c].min(), out[c].max()
-            score = score + w * ((out[c] - a) / (b - a) if b - a > 1e-12 else 0.0 * out[c])
-        out["pareto_score"] = score.round(6)
-        out = out.sort_values(["pareto_rank", "pareto_score", "distance_km"], kind="stable").reset_index(drop=True)
-        out["pareto_order"] = range(1, len(out) + 1)
         return out
 
-    return candidates.groupBy(group).applyInPandas(rank, schema)
+    ranked = candidates.join(points.groupBy(group).applyInPandas(rank, schema), [group, "distance_km", "risk_exposure"])
+    weights = {"distance_km": 1.0, "risk_exposure": 1.0, "caution_len_km": 0.25, "corridor_score": -0.15}
+    ends = candidates.groupBy(group).agg(*(f(c).alias(f"__{n}_{c}") for c in weights for n, f in (("a", F.min), ("b", F.max))))
+    score = F.lit(0.0)
+    for c, w in weights.items():
+        a, b = F.col(f"__a_{c}"), F.col(f"__b_{c}")
+        score = score + w * F.when(b - a > 1e-12, (F.col(c) - a) / (b - a)).otherwise(0.0)
+    out = ranked.join(ends, group).withColumn("pareto_score", F.round(score, 6))
+    order = W.partitionBy(group).orderBy("pareto_rank", "pareto_score", "distance_km", "id")
+    return out.withColumn("pareto_order", F.row_number().over(order)).select(*candidates.columns, "pareto_rank", "pareto_score", "pareto_order")
+
+
+def similar_routes(route_cells: DataFrame, group: str, limit: float = 0.82) -> DataFrame:
+    """group, route_a, route_b (a the one with fewer cells, then the smaller id), ratio: the pairs whose shared cells are at least `limit` of a's cells.
+
+    Such a pair shares a cell among any n - limit n + 1 of a's n cells. Only a's rarest ones are looked up, so cells that
+    all routes pass (ports) make no pairs.
+    """
+    cells = route_cells.select(group, "route_id", "row", "col").distinct()
+    sizes = cells.groupBy(group, "route_id").agg(F.count(F.lit(1)).alias("n"))
+    often = cells.groupBy(group, "row", "col").agg(F.count(F.lit(1)).alias("often"))
+    full = cells.join(often, [group, "row", "col"]).join(sizes, [group, "route_id"])
+    place = F.row_number().over(W.partitionBy(group, "route_id").orderBy("often", "row", "col"))
+    rare = full.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * limit - 1e-9) + 1)
+    a = rare.select(group, "row", "col", F.col("route_id").alias("route_a"), F.col("n").alias("n_a"))
+    b = full.select(group, "row", "col", F.col("route_id").alias("route_b"), F.col("n").alias("n_b"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("route_a") < F.col("route_b")))
+    pairs = a.join(b, [group, "row", "col"]).where(smaller).select(group, "route_a", "route_b", "n_a").distinct()
+    mine = cells.withColumnRenamed("route_id", "route_a")
+    theirs = cells.withColumnRenamed("route_id", "route_b")
+    both = pairs.join(mine, [group, "route_a"]).join(theirs, [group, "route_b", "row", "col"]).groupBy(group, "route_a", "route_b", "n_a").agg(F.count(F.lit(1)).alias("shared"))
+    return both.withColumn("ratio", F.col("shared") / F.col("n_a")).where(F.col("ratio") >= limit).select(group, "route_a", "route_b", "ratio")
 
 
 def route_overlap(route_cells: DataFrame, group: str, limit: float = 0.82) -> DataFrame:
@@ -274,10 +329,6 @@ def profiles(spark) -> DataFrame:  # noqa: ANN001
     return spark.createDataFrame([(i, *v[:3]) for i, v in enumerate(VESSELS)], "position int, profile_id string, multiplier double, default_mode string")
 
 
-def caution_ratio(distance: Column, caution: Column) -> Column:
-    return F.when(distance > 1e-9, caution / distance).otherwise(0.0)
-
-
 KM_PER_DEGREE = 111.32
 
 

@@ -332,25 +332,40 @@ def suggested(spark: SparkSession, d: str) -> DataFrame:
     return L.suggest_mask(cells_of(spark, d), 0.3, 0.1)
 
 
+#: Every second sample is unlabelled; class probabilities from the uncertainty layer.
 ACTIVE = (
     CELLS
-    + """, e AS (SELECT *, CASE WHEN coalesce(lag(pred) OVER a <> pred, false) OR coalesce(lead(pred) OVER a <> pred, false) OR coalesce(lag(pred) OVER b <> pred, false) OR coalesce(lead(pred) OVER b <> pred, false) THEN 1 ELSE 0 END AS edge
-      FROM cells WINDOW a AS (PARTITION BY sample_id, row ORDER BY col), b AS (PARTITION BY sample_id, col ORDER BY row)),
-    s AS (SELECT sample_id, avg(unc) AS unc_mean, quantile_cont(unc, 0.95) AS unc_p95, coalesce(avg(unc) FILTER (WHERE edge = 1), 0e0) AS boundary_unc, sum(unc * ais_heatmap) / greatest(sum(ais_heatmap), 1e-9) AS route_impact, count(*) FILTER (WHERE pred = 1) / count(*) AS caution_ratio FROM e GROUP BY 1),
-    m AS (SELECT min(unc_mean) AS a1, max(unc_mean) AS b1, min(route_impact) AS a2, max(route_impact) AS b2 FROM s),
-    scores AS (SELECT sample_id, unc_mean, unc_p95, boundary_unc, route_impact, caution_ratio, 0.6e0 * (unc_mean - a1) / (b1 - a1) + 0.3e0 * (route_impact - a2) / (b2 - a2) + 0.1e0 * greatest(0e0, 1 - abs(caution_ratio - 0.2e0) / 0.2e0) AS score FROM s, m)\n"""
+    + """, u AS (SELECT sample_id, row, col, blocked, CASE WHEN sample_id % 2 = 0 THEN 0 ELSE caution END AS caution, ais_heatmap, 0.02e0 + 0.96e0 * unc AS p1 FROM cells),
+    q AS (SELECT *, 0.7e0 * (1 - p1) AS p0, 0.3e0 * (1 - p1) AS p2 FROM u),
+    g AS (SELECT *, CASE WHEN coalesce(lag(blocked) OVER a <> blocked, false) OR coalesce(lead(blocked) OVER a <> blocked, false) OR coalesce(lag(blocked) OVER b <> blocked, false) OR coalesce(lead(blocked) OVER b <> blocked, false) THEN 1 ELSE 0 END AS edge
+      FROM q WHERE sample_id NOT IN (SELECT sample_id FROM q WHERE caution > 0) WINDOW a AS (PARTITION BY sample_id, row ORDER BY col), b AS (PARTITION BY sample_id, col ORDER BY row)),
+    n AS (SELECT DISTINCT x.sample_id, x.row, x.col FROM g x JOIN g y ON x.sample_id = y.sample_id AND abs(x.row - y.row) + abs(x.col - y.col) <= 2 AND y.edge = 1),
+    h AS (SELECT sample_id, quantile_cont(ais_heatmap, 0.05) AS lo, quantile_cont(ais_heatmap, 0.95) AS hi FROM g WHERE blocked = 0 GROUP BY 1),
+    e AS (SELECT g.*, n.row IS NOT NULL AS near, -(p0 * ln(p0) + p1 * ln(p1) + p2 * ln(p2)) AS entropy, CASE WHEN hi - lo >= 1e-6 THEN least(greatest((ais_heatmap - lo) / (hi - lo), 0e0), 1e0) ELSE 0e0 END AS traffic
+      FROM g JOIN h USING (sample_id) LEFT JOIN n ON n.sample_id = g.sample_id AND n.row = g.row AND n.col = g.col WHERE blocked = 0),
+    s AS (SELECT sample_id, avg(entropy) AS entropy_mean, quantile_cont(entropy, 0.95) AS entropy_p95, avg(1 - abs(p1 - 0.5e0) * 2) AS margin_mean, coalesce(avg(entropy) FILTER (WHERE near), avg(entropy)) AS near_unc,
+      avg(CASE WHEN p1 > 0.6e0 THEN 1e0 ELSE 0e0 END) AS pred_ratio, avg(p1 * traffic) AS corridor_caution FROM e GROUP BY 1),
+    r AS (SELECT *, 0.55e0 * entropy_p95 + 0.3e0 * entropy_mean + 0.15e0 * margin_mean AS unc, 0.6e0 * near_unc + 0.4e0 * corridor_caution AS imp FROM s),
+    l AS (SELECT sample_id, avg(CASE WHEN caution > 0 THEN 1e0 ELSE 0e0 END) FILTER (WHERE blocked = 0) AS ratio FROM q GROUP BY 1 HAVING max(caution) > 0),
+    m AS (SELECT quantile_cont(unc, 0.05) AS a1, quantile_cont(unc, 0.95) AS b1, quantile_cont(imp, 0.05) AS a2, quantile_cont(imp, 0.95) AS b2, (SELECT least(greatest(coalesce(median(ratio), 0.03e0), 0.005e0), 0.2e0) FROM l) AS target FROM r),
+    scores AS (SELECT r.*, 0.55e0 * least(greatest((unc - a1) / (b1 - a1), 0e0), 1e0) + 0.3e0 * least(greatest((imp - a2) / (b2 - a2), 0e0), 1e0) + 0.15e0 * exp(-0.5e0 * pow((pred_ratio - target) / 0.025e0, 2)) AS score FROM r, m)\n"""
 )
-ACTIVE_COLUMNS = ("unc_mean", "unc_p95", "boundary_unc", "route_impact", "caution_ratio", "score")
+ACTIVE_COLUMNS = ("entropy_mean", "entropy_p95", "margin_mean", "near_unc", "pred_ratio", "corridor_caution", "score")
 
 
-@query("active_learning_scores", ACTIVE + "SELECT sample_id, " + ", ".join(f"round({c}, 4) AS {c}" for c in ACTIVE_COLUMNS) + " FROM scores")
+def with_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    cells = cells_of(spark, d).withColumn("caution", F.expr("CASE WHEN sample_id % 2 = 0 THEN 0 ELSE caution END")).withColumn("p1", 0.02 + 0.96 * F.col("unc"))
+    return cells.withColumn("p0", 0.7 * (1 - F.col("p1"))).withColumn("p2", 0.3 * (1 - F.col("p1")))
+
+
+@query("active_learning_scores", ACTIVE + "SELECT sample_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ACTIVE_COLUMNS) + " FROM scores")
 def active(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(L.active_learning_scores(cells_of(spark, d), 0.2), *ACTIVE_COLUMNS, digits=4)
+    return rounded(L.active_learning_scores(with_probabilities(spark, d)), *ACTIVE_COLUMNS, digits=6)
 
 
-@query("top_candidates", ACTIVE + "SELECT sample_id, round(score, 4) AS score FROM scores ORDER BY scores.score DESC, sample_id LIMIT 10")
+@query("top_candidates", ACTIVE + "SELECT sample_id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, sample_id LIMIT 10")
 def top(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(L.top_candidates(L.active_learning_scores(cells_of(spark, d), 0.2), 10).select("sample_id", "score"), "score", digits=4)
+    return rounded(L.top_candidates(L.active_learning_scores(with_probabilities(spark, d)), 10).select("sample_id", "score"), "score", digits=6)
 
 
 @query(

@@ -10,12 +10,13 @@ from ..operators import catalog as C
 from ..operators import labels as L
 from ..operators import raster as R
 from ..operators import reports as P
+from ..functions.scalars import PRIME, uniform_sql
 from ..sources.files import flatten_report
 from .adapters import adapt, ctes
 from .basics import LAYERS, registry
 from .experiments import BENCH, rounded
-from .rasters import CELLS, cells_of, normal
-from .registry import query
+from .rasters import CELLS, PAIRS, cells_of, normal
+from .registry import ORACLES, query
 
 
 @query(
@@ -85,17 +86,72 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return adapt(spark, d, "bench").where("status = 'ok'").select(F.col("planner").alias("key"), F.col("run_id").alias("id"), F.col("runtime_ms").alias("value"))
 
 
-@query("bootstrap_ci")
+RESAMPLED = BENCH + ", x AS (SELECT planner AS key, run_id AS id, runtime_ms AS value FROM bench WHERE status = 'ok')\n"
+WEIGHT = " + ".join(f"CASE WHEN u > {c!r}e0 THEN 1 ELSE 0 END" for c in P.POISSON)
+
+
+@query(
+    "bootstrap_ci",
+    RESAMPLED
+    + f""", r AS (SELECT key, replicate, value, {uniform_sql("id", "replicate")} AS u FROM x, range(0, 200) t(replicate)), w AS (SELECT *, {WEIGHT} AS w FROM r),
+    m AS (SELECT key, replicate, sum(w * value) / sum(w) AS m FROM w GROUP BY 1, 2), c AS (SELECT key, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1)
+    SELECT key, round(avg(value), 4) AS mean, count(*) AS n, round(any_value(low), 4) AS low, round(any_value(high), 4) AS high FROM x JOIN c USING (key) GROUP BY 1""",
+)
 def intervals(spark: SparkSession, d: str) -> DataFrame:
-    return P.bootstrap_ci(samples(spark, d), 200)
+    return rounded(P.bootstrap_ci(samples(spark, d), 200), "mean", "low", "high", digits=4)
 
 
-@query("permutation_test")
+@query(
+    "permutation_test",
+    RESAMPLED
+    + f""", y AS (SELECT * FROM x WHERE key IN ('1-URGENT', '5-LOW')), t AS (SELECT avg(value) FILTER (WHERE key = '1-URGENT') AS ma, avg(value) FILTER (WHERE key = '5-LOW') AS mb, avg(CASE WHEN key = '1-URGENT' THEN 1e0 ELSE 0e0 END) AS share FROM y),
+    r AS (SELECT replicate, value, {uniform_sql("id", "replicate")} < share AS l FROM y, t, range(0, 1000) n(replicate)), d AS (SELECT avg(value) FILTER (WHERE l) - avg(value) FILTER (WHERE NOT l) AS d FROM r GROUP BY replicate)
+    SELECT round(any_value(ma - mb), 4) AS difference, round((count(*) FILTER (WHERE abs(d) >= abs(ma - mb)) + 1) / (count(*) + 1), 6) AS p_value FROM d, t""",
+)
 def permutation(spark: SparkSession, d: str) -> DataFrame:
-    return P.permutation_test(samples(spark, d), "1-URGENT", "5-LOW", 1000)
+    return rounded(rounded(P.permutation_test(samples(spark, d), "1-URGENT", "5-LOW", 1000), "difference", digits=4), "p_value", digits=6)
+
 
+MEASURED = (
+    BENCH
+    + """, o AS (SELECT planner, run_id AS id, status = 'ok' AS ok, route_cost_effective_km AS cost, risk_exposure AS risk, greatest(0e0, 1 - caution_len_km / greatest(distance_km, 1e-9)) AS safety FROM (SELECT * REPLACE (lower(trim(planner)) AS planner) FROM bench) WHERE mode = 'dynamic'),
+    ms AS (SELECT planner, id, 'completion_rate' AS metric, CASE WHEN ok THEN 1e0 ELSE 0e0 END AS value FROM o UNION ALL SELECT planner, id, 'total_cost_km', cost FROM o WHERE ok UNION ALL SELECT planner, id, 'replan_latency_ms', 0e0 FROM o WHERE ok
+      UNION ALL SELECT planner, id, 'risk_exposure', risk FROM o WHERE ok UNION ALL SELECT planner, id, 'route_safety', safety FROM o WHERE ok)\n"""
+)
+
+
+@query("metric_samples", MEASURED + "SELECT planner, id, metric, round(value + 1e-9, 4) AS value FROM ms")
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.metric_samples(adapt(spark, d, "bench")).withColumn("value", F.col("value") + 1e-9), "value", digits=4)
 
-@query("weighted_draws")
+
+@query(
+    "significance",
+    MEASURED
+    + f""", g AS (SELECT metric, planner, count(*) AS n, avg(value) AS mean, coalesce(var_samp(value), 0e0) AS v FROM ms GROUP BY 1, 2),
+    p AS (SELECT a.metric, a.planner AS planner_a, b.planner AS planner_b, a.n AS n_a, b.n AS n_b, a.mean - b.mean AS diff, a.n / (a.n + b.n) AS share, (a.mean - b.mean) / sqrt(greatest(1e-12, ((a.n - 1) * a.v + (b.n - 1) * b.v) / greatest(1, a.n + b.n - 2))) AS effect_size FROM g a JOIN g b ON a.metric = b.metric AND a.planner < b.planner),
+    r AS (SELECT metric, planner, value, replicate, {uniform_sql("id", "replicate")} AS u FROM ms, range(0, 200) t(replicate)),
+    d AS (SELECT p.metric, planner_a, planner_b, any_value(diff) AS diff, avg(value) FILTER (WHERE u < share) - avg(value) FILTER (WHERE NOT u < share) AS d FROM p JOIN r ON r.metric = p.metric AND r.planner IN (planner_a, planner_b) GROUP BY p.metric, planner_a, planner_b, replicate),
+    e AS (SELECT metric, planner_a, planner_b, (count(*) FILTER (WHERE abs(d) >= abs(diff)) + 1) / (count(*) + 1) AS p_value FROM d GROUP BY 1, 2, 3),
+    w AS (SELECT *, {WEIGHT} AS w FROM r), m AS (SELECT metric, planner, replicate, sum(w * value) / sum(w) AS m FROM w GROUP BY 1, 2, 3), c AS (SELECT metric, planner, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1, 2),
+    q AS (SELECT p.*, p_value, a.low - b.high AS low, a.high - b.low AS high FROM p JOIN e USING (metric, planner_a, planner_b) JOIN c a ON a.metric = p.metric AND a.planner = planner_a JOIN c b ON b.metric = p.metric AND b.planner = planner_b)
+    SELECT metric, planner_a, planner_b, n_a, n_b, round(diff, 5) AS mean_diff, round(p_value, 6) AS p_value, round(effect_size, 5) AS effect_size, CASE WHEN p_value >= 0.05 THEN 'tie' WHEN (diff > 0) = (metric IN ('completion_rate', 'route_safety')) THEN planner_a ELSE planner_b END AS winner,
+    CASE WHEN p_value < 0.01 AND (low > 0 AND high > 0 OR low < 0 AND high < 0) THEN 'high' WHEN p_value < 0.05 AND (low > 0 AND high > 0 OR low < 0 AND high < 0) THEN 'medium' ELSE 'low' END AS confidence FROM q""",
+)
+def significant(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rounded(P.significance(P.metric_samples(adapt(spark, d, "bench")), 200), "mean_diff", "effect_size"), "p_value", digits=6)
+
+
+U53 = f"{uniform_sql('draw')} + {uniform_sql('draw', seed=1)} / {PRIME}e0"
+
+
+@query(
+    "weighted_draws",
+    f"""WITH k AS (SELECT o_orderkey AS sample_id, o_totalprice AS weight, floor({uniform_sql("o_orderkey")} * 4096) AS slice FROM orders), s AS (SELECT slice, sum(weight) AS w FROM k GROUP BY 1), h AS (SELECT slice, w, sum(w) OVER (ORDER BY slice) AS high, sum(w) OVER () AS total FROM s),
+    d AS (SELECT draw, {U53} AS u FROM range(0, (SELECT count(*) FROM orders)) t(draw)), p AS (SELECT draw, slice, u * total - high + w AS x FROM d JOIN h ON u * total >= high - w AND u * total < high),
+    i AS (SELECT slice, sample_id, weight, sum(weight) OVER (PARTITION BY slice ORDER BY sample_id) AS upto FROM k)
+    SELECT draw, sample_id FROM p JOIN i USING (slice) WHERE x >= upto - weight AND x < upto""",
+)
 def draws(spark: SparkSession, d: str) -> DataFrame:
     weights = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("sample_id"), F.col("o_totalprice").alias("weight"))
     return P.weighted_draws(weights, weights.count())
@@ -153,9 +209,16 @@ def heuristic(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out, "risk"), "unc", digits=4)
 
 
-@query("annotation_quality")
+@query(
+    "annotation_quality",
+    CELLS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, on_ AS (SELECT sample_id, row, col, row * 8 + col AS id FROM cells WHERE caution > 0), reach AS (SELECT sample_id, row, col, id AS root FROM on_ UNION SELECT o.sample_id, o.row, o.col, r.root FROM reach r JOIN on_ o ON o.sample_id = r.sample_id AND abs(o.row - r.row) <= 1 AND abs(o.col - r.col) <= 1),
+    m AS (SELECT sample_id, row, col, min(root) AS root FROM reach GROUP BY 1, 2, 3), c AS (SELECT sample_id, root, count(*) AS n FROM m GROUP BY 1, 2), p AS (SELECT sample_id, count(*) AS components, count(*) FILTER (WHERE n <= 2) AS tiny FROM c GROUP BY 1),
+    s AS (SELECT sample_id, count(*) FILTER (WHERE caution > 0 AND blocked > 0) / greatest(count(*) FILTER (WHERE caution > 0), 1) AS overlap_ratio FROM cells GROUP BY 1)
+    SELECT sample_id, round(overlap_ratio, 6) AS overlap_ratio, coalesce(components, 0) AS components, coalesce(tiny, 0) AS tiny, overlap_ratio <= 0.5 AND coalesce(tiny, 0) <= 0.5 * coalesce(components, 0) AS ok FROM s LEFT JOIN p USING (sample_id)""",
+)
 def annotated(spark: SparkSession, d: str) -> DataFrame:
-    return P.annotation_quality(cells_of(spark, d))
+    return rounded(P.annotation_quality(cells_of(spark, d)), "overlap_ratio", digits=6)
 
 
 def ops(spark: SparkSession, d: str) -> DataFrame:
@@ -180,6 +243,81 @@ def imported(spark: SparkSession, d: str) -> DataFrame:
     return P.import_label_shapes(mapping, shapes, 8, 8)[0]
 
 
+#: Two slices an hour after midnight and at noon of each day of events; uneven latitudes, even longitudes, values from the layers of a map.
+REGRID = (
+    CELLS
+    + """, slices AS (SELECT DISTINCT date_trunc('day', ts) + INTERVAL 1 HOUR AS ts FROM events UNION SELECT DISTINCT date_trunc('day', ts) + INTERVAL 12 HOUR FROM events), b AS (SELECT min(ts) AS t0 FROM slices),
+    g AS (SELECT s.ts, c.row, c.col, c.ice_conc + hour(s.ts) + epoch(s.ts - t0) / 86400 AS value FROM slices s, b, (SELECT row, col, ice_conc FROM cells WHERE sample_id = 0) c),
+    t AS (SELECT event_id AS target_id, ts, 60e0 + user_id % 40 AS lat, -10e0 + value / 10 AS lon FROM events),
+    n AS (SELECT t.*, s.ts AS slice_ts, row_number() OVER (PARTITION BY target_id ORDER BY abs(epoch_us(s.ts) - epoch_us(t.ts)), s.ts) AS i FROM t JOIN slices s ON abs(epoch_us(s.ts) - epoch_us(t.ts)) <= 86400000000),
+    r AS (SELECT *, CAST(least(greatest(floor(sqrt(greatest(lat - 62, 0e0))), 0), 6) AS INTEGER) AS y, CAST(least(greatest(floor(lon / 5), 0), 6) AS INTEGER) AS x FROM n WHERE i = 1),
+    w AS (SELECT *, (lat - 62 - y * y) / (2 * y + 1) AS dy, lon / 5 - x AS dx FROM r)\n"""
+)
+
+
+@query(
+    "regrid",
+    REGRID
+    + """SELECT target_id, slice_ts, round((1 - dy) * ((1 - dx) * a.value + dx * b.value) + dy * ((1 - dx) * c.value + dx * e.value), 4) AS value FROM w JOIN g a ON a.ts = slice_ts AND a.row = y AND a.col = x JOIN g b ON b.ts = slice_ts AND b.row = y AND b.col = x + 1
+    JOIN g c ON c.ts = slice_ts AND c.row = y + 1 AND c.col = x JOIN g e ON e.ts = slice_ts AND e.row = y + 1 AND e.col = x + 1""",
+)
+def regridded_slices(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    slices = e.select(F.explode(F.array(day + F.expr("INTERVAL 1 HOUR"), day + F.expr("INTERVAL 12 HOUR"))).alias("ts")).distinct()
+    first = slices.agg(F.min("ts").alias("t0"))
+    field = slices.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(cells_of(spark, d).where("sample_id = 0").select("row", "col", "ice_conc")))  # one row; one map
+    value = F.col("ice_conc") + F.hour("ts") + (F.unix_micros("ts") - F.unix_micros("t0")) / 86400e6
+    axes = spark.range(8).select(F.explode(F.expr("array(struct('lat' AS axis, 62D + id * id AS value), struct('lon' AS axis, 5D * id AS value))")).alias("a"), F.col("id").cast("int").alias("idx")).select("a.axis", "idx", "a.value")
+    targets = e.select(F.col("event_id").alias("target_id"), F.col("ts").cast("timestamp").alias("ts"), (60.0 + F.col("user_id") % 40).alias("lat"), (-10 + F.col("value") / 10).alias("lon"))
+    return rounded(P.regrid(field.select("ts", "row", "col", value.alias("value")), axes, targets), "value", digits=4)
+
+
+@query("bbox_targets", "SELECT sample_id, i AS target_id, round(86 - (i // 4) * 26e0 / 2, 6) AS lat, round(-180 + (i % 4) * 360e0 / 3, 6) AS lon FROM (SELECT DISTINCT vec_id // 5 AS sample_id FROM embeddings), range(0, 12) r(i)")
+def boxed(spark: SparkSession, d: str) -> DataFrame:
+    targets = F.broadcast(R.bbox_targets(spark, "-180,60,180,86", 4, 3))  # 12 rows
+    return rounded(cells_of(spark, d).select("sample_id").distinct().crossJoin(targets), "lat", "lon", digits=6)
+
+
+@query(
+    "tile_targets",
+    """WITH t AS (SELECT DISTINCT 3 AS z, user_id % 8 AS x, CAST(floor(value / 100) AS BIGINT) % 8 AS y FROM events)
+    SELECT z, x, y, CAST(i AS INTEGER) AS target_id, round(degrees(atan(sinh(pi() * (1 - 2 * (y + (i // 4 + 0.5e0) / 4) / 8)))), 6) AS lat, round((x + (i % 4 + 0.5e0) / 4) / 8 * 360 - 180, 6) AS lon FROM t, range(0, 16) r(i)""",
+)
+def tiled(spark: SparkSession, d: str) -> DataFrame:
+    tiles = spark.read.parquet(f"{d}/events.parquet").select(F.lit(3).alias("z"), (F.col("user_id") % 8).alias("x"), (F.floor(F.col("value") / 100) % 8).alias("y")).distinct()
+    return rounded(R.tile_targets(tiles, 4), "lat", "lon", digits=6)
+
+
+@query("blocked_from_bathy", CELLS + "SELECT sample_id, row, col, CASE WHEN bathy IS NULL OR isnan(bathy) OR bathy >= 0 THEN 1 ELSE 0 END AS blocked FROM cells")
+def shallow(spark: SparkSession, d: str) -> DataFrame:
+    return cells_of(spark, d).select("sample_id", "row", "col", R.blocked_from_bathy(F.col("bathy"), 0.0).cast("int").alias("blocked"))
+
+
+@query("calibrate", "SELECT event_id, round(1 / (1 + exp(-ln(p / (1 - p)) / 1.7e0)), 6) AS confidence FROM (SELECT event_id, least(greatest(1 - value / 500, 1e-6), 1 - 1e-6) AS p FROM events)")
+def calibrated(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(spark.read.parquet(f"{d}/events.parquet").select("event_id", L.calibrate(1 - F.col("value") / 500, 1.7).alias("confidence")), "confidence", digits=6)
+
+
+@query(
+    "calibration_profile",
+    PAIRS
+    + """, t AS (SELECT k, exp(ln(0.2e0) + (ln(8e0) - ln(0.2e0)) * k / 120) AS t FROM range(0, 121) r(k)), q AS (SELECT k, t, outcome, least(greatest(1 / (1 + exp(-ln(p / (1 - p)) / t)), 1e-6), 1 - 1e-6) AS q FROM p, t),
+    l AS (SELECT k, t, avg(-ln(CASE WHEN outcome = 1 THEN q ELSE 1 - q END)) AS nll FROM q GROUP BY 1, 2), f AS (SELECT t FROM l ORDER BY nll, k LIMIT 1),
+    a AS (SELECT least(greatest(1 / (1 + exp(-ln(p / (1 - p)) / (SELECT t FROM f))), 1e-6), 1 - 1e-6) AS p, outcome FROM p),
+    u AS (SELECT 0.02e0 + (0.98e0 - 0.02e0) * k / 96 AS tau FROM range(0, 97) r(k)), s AS (SELECT tau, count(*) AS n, 1 - avg(outcome) AS error, count(*) / (SELECT count(*) FROM a) AS coverage FROM u JOIN a ON 1 - p <= tau GROUP BY 1),
+    c AS (SELECT * FROM (SELECT 0.1e0 AS target) LEFT JOIN s ON error <= target ORDER BY coverage DESC NULLS LAST, tau DESC LIMIT 1),
+    e AS (SELECT n, sum(gap) / sum(k) AS ece, sum(b) / sum(k) AS brier FROM (SELECT n, bin, count(*) AS k, abs(sum(p) - sum(outcome)) AS gap, sum(pow(p - outcome, 2)) AS b FROM (SELECT *, """
+    + " + ".join(f"CASE WHEN p >= {k} / 15e0 THEN 1 ELSE 0 END" for k in range(1, 15))
+    + """ AS bin FROM (SELECT 'before' AS n, p, outcome FROM p UNION ALL SELECT 'after', p, outcome FROM a)) GROUP BY 1, 2) GROUP BY 1)
+    SELECT 'v1' AS model_version, round(t, 5) AS temperature, round(least(greatest(coalesce(tau, 1e0), 0.05e0), 0.98e0), 5) AS uncertainty_threshold, 0.35e0 AS uplift_scale, target AS target_error_rate, round(coalesce(coverage, 0e0), 5) AS coverage, round(coalesce(error, 1e0), 5) AS expected_error,
+    round(x.ece, 5) AS ece_before, round(y.ece, 5) AS ece_after, round(x.brier, 5) AS brier_before, round(y.brier, 5) AS brier_after FROM f, c, e x, e y WHERE x.n = 'before' AND y.n = 'after'""",
+)
+def profiled(spark: SparkSession, d: str) -> DataFrame:
+    out = L.calibration_profile(adapt(spark, d, "calibration_pairs"), model_version="v1")
+    return rounded(out, "temperature", "uncertainty_threshold", "coverage", "expected_error", "ece_before", "ece_after", "brier_before", "brier_after")
+
+
 @query("regrid_linear", "SELECT event_id AS target_id, round((user_id * 0.11e0) * 2 + (value / 40 - 1) * 3 + 1, 7) AS value FROM events")
 def regridded(spark: SparkSession, d: str) -> DataFrame:
     grid = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col")).withColumn("value", F.col("row") * 2.0 * 2 + F.col("col") * 2.0 * 3 + 1)
@@ -201,11 +339,27 @@ def flattened(spark: SparkSession, d: str) -> DataFrame:
     return flatten_report(b, ["metrics", "tags"], ["run_id"])
 
 
-@query("dataset_version")
+HASHED = "concat('ds-', count(*), '-', left(sha1(CAST(sum(CAST(concat('0x', left(sha1(line), 12)) AS BIGINT)) AS VARCHAR)), 12))"
+
+
+@query("dataset_version", f"WITH r AS ({ORACLES['dataset_registry']}) SELECT {HASHED} AS version FROM (SELECT concat_ws('|', CAST(sample_id AS VARCHAR), CAST(completeness_score AS VARCHAR), CAST(is_complete AS VARCHAR)) AS line FROM r)")
 def version(spark: SparkSession, d: str) -> DataFrame:
     return C.dataset_version(registry(spark, d), ["sample_id", "completeness_score", "is_complete"])
 
 
+REGISTERED = "SELECT concat('2024-0', CAST(doc_id % 9 + 1 AS VARCHAR(2)), '-0', CAST(doc_id % 8 + 1 AS VARCHAR(2)), '_00') AS timestamp, source, lang AS product_id, n_chars > 500 AS is_complete FROM {documents}"
+
+
+@query(
+    "registry_summary",
+    f"""WITH r AS ({REGISTERED.format(documents="documents")}), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE is_complete) AS k, {HASHED} AS v FROM (SELECT *, concat_ws('|', timestamp, source, product_id, CASE WHEN is_complete THEN '1' ELSE '0' END) AS line FROM r)),
+    c AS (SELECT 'month' AS dimension, left(timestamp, 7) AS value, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'source', coalesce(source, 'unknown'), count(*) FROM r GROUP BY 2 UNION ALL SELECT 'product_id', coalesce(product_id, 'unknown'), count(*) FROM r GROUP BY 2)
+    SELECT dimension, value, c.n, round(c.n / t.n, 6) AS rate, t.n AS total_samples, t.k AS complete_samples, round(t.k / t.n, 6) AS complete_rate, v AS data_version FROM c, t""",
+)
+def summary(spark: SparkSession, d: str) -> DataFrame:
+    return C.registry_summary(spark.sql(REGISTERED, documents=spark.read.parquet(f"{d}/documents.parquet")))
+
+
 @query("worst_status", LAYERS + "SELECT CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM layer_files WHERE w = 16")
 def worst(spark: SparkSession, d: str) -> DataFrame:
     return B.worst_status(adapt(spark, d, "layer_files").select(F.when(F.col("w") == 16, "FAIL").otherwise("PASS").alias("status")))

@@ -63,25 +63,25 @@ def smoothed(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("route_id", "i", "p.lon", "p.lat"), "lon", "lat", digits=7)
 
 
-SEGMENTS = POINTS + f""", nodes AS (SELECT route_id, seq, {NODE} FROM route_points WHERE route_id % 4 = 0),
+SEGMENTS = POINTS + f""", nodes AS (SELECT route_id, seq, {NODE} FROM route_points),
     seg AS (SELECT route_id, seq, lag(r) OVER w AS r0, lag(c) OVER w AS c0, r AS r1, c AS c1 FROM nodes WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
     traced AS (SELECT route_id, seq, r0, c0, r1, c1, ro AS row, co AS col FROM (SELECT *, unnest(generate_series(least(r0, r1), greatest(r0, r1))) AS ro FROM seg WHERE r0 IS NOT NULL) a, LATERAL (SELECT unnest(generate_series(least(c0, c1), greatest(c0, c1))) AS co) b
       WHERE 2 * abs((c1 - c0) * (ro - r0) - (r1 - r0) * (co - c0)) <= abs(c1 - c0) + abs(r1 - r0))\n"""
 
 
-def quarter(spark: SparkSession, d: str) -> DataFrame:
-    return adapt(spark, d, "route_points").where("route_id % 4 = 0")
-
-
 @query("trace_cells", SEGMENTS + "SELECT route_id, seq, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col FROM traced")
 def traced(spark: SparkSession, d: str) -> DataFrame:
-    return R.trace_cells(R.route_segments(quarter(spark, d), GRID)).select("route_id", "seq", "row", "col")
+    return R.trace_cells(R.route_segments(adapt(spark, d, "route_points"), GRID)).select("route_id", "seq", "row", "col")
 
 
-FIELD = "SELECT row, col, CASE WHEN (row + col) % 5 = 0 THEN 1e0 ELSE 0e0 END AS caution, (row * 7 + col) % 11 / 11e0 AS corridor, (row + 3 * col) % 13 / 100e0 AS uncertainty, (row * col) % 17 / 100e0 AS risk"
+FIELD = "SELECT row, col, CASE WHEN (row + col) % 5 = 0 THEN 1e0 ELSE 0e0 END AS caution, (row * 7 + col) % 11 / 11e0 AS corridor, (row + 3 * col) % 13 / 100e0 AS uncertainty, (row * col) % 17 / 100e0 AS risk, CASE WHEN (row + col) % 7 = 0 THEN 1e0 ELSE 0e0 END AS near_blocked"
 LATITUDE, LONGITUDE = "86e0 - {0} * (26e0 / 51)", "-180e0 + {0} * (360e0 / 359)"
 SEGMENT_KM = KM.format(a="(" + LATITUDE.format("r0") + ")", b="(" + LATITUDE.format("r1") + ")", c="(" + LONGITUDE.format("c0") + ")", d="(" + LONGITUDE.format("c1") + ")")
-METRICS = ("distance_km", "caution_len_km", "caution_extra_km", "corridor_discount_km", "uncertainty_extra_km", "risk_extra_km", "corridor_alignment", "effective_km")
+METRICS = ("distance_km", "caution_len_km", "caution_extra_km", "corridor_discount_km", "uncertainty_extra_km", "risk_extra_km", "corridor_alignment", "caution_hit_ratio", "near_blocked_hit_ratio", "alignment_p50", "alignment_p90", "effective_km")
+LOOKED = f""", cells AS ({FIELD} FROM (SELECT i // 360 AS row, i % 360 AS col FROM range(0, 18720) r(i))),
+    l AS (SELECT * FROM traced JOIN cells USING (row, col) WHERE (r0 = r1 AND c0 = c1) OR NOT (row = r0 AND col = c0)),
+    m AS (SELECT route_id, seq, r0, c0, r1, c1, avg(caution) AS ca, avg(corridor) AS co, avg(uncertainty) AS un, avg(risk) AS ri, sum(corridor) AS cs, sum(caution) AS hits, sum(near_blocked) AS near, count(*) AS n FROM l GROUP BY 1, 2, 3, 4, 5, 6),
+    k AS (SELECT *, {SEGMENT_KM} AS km FROM m),\n"""
 
 
 def field(spark: SparkSession) -> DataFrame:
@@ -91,16 +91,27 @@ def field(spark: SparkSession) -> DataFrame:
 @query(
     "route_metrics",
     SEGMENTS
-    + f""", cells AS ({FIELD} FROM (SELECT i // 360 AS row, i % 360 AS col FROM range(0, 18720) r(i))),
-    m AS (SELECT route_id, seq, r0, c0, r1, c1, avg(caution) AS ca, avg(corridor) AS co, avg(uncertainty) AS un, avg(risk) AS ri, sum(corridor) AS cs, count(*) AS n FROM traced JOIN cells USING (row, col) WHERE (r0 = r1 AND c0 = c1) OR NOT (row = r0 AND col = c0) GROUP BY 1, 2, 3, 4, 5, 6),
-    k AS (SELECT *, {SEGMENT_KM} AS km FROM m),
-    s AS (SELECT route_id, sum(km) AS distance_km, sum(km * ca) AS caution_len_km, sum(km * ca * 0.22e0) AS caution_extra_km, sum(km * co * 0.02e0) AS corridor_discount_km, sum(km * un) AS uncertainty_extra_km, sum(km * ri) AS risk_extra_km, CAST(sum(n) AS BIGINT) AS sample_count, sum(cs) / sum(n) AS corridor_alignment FROM k GROUP BY 1)
+    + LOOKED
+    + """s AS (SELECT route_id, sum(km) AS distance_km, sum(km * ca) AS caution_len_km, sum(km * ca * 0.22e0) AS caution_extra_km, sum(km * co * 0.02e0) AS corridor_discount_km, sum(km * un) AS uncertainty_extra_km, sum(km * ri) AS risk_extra_km, CAST(sum(n) AS BIGINT) AS sample_count, sum(cs) / sum(n) AS corridor_alignment,
+      sum(hits) / sum(n) AS caution_hit_ratio, sum(near) / sum(n) AS near_blocked_hit_ratio FROM k GROUP BY 1), q AS (SELECT route_id, quantile_cont(corridor, 0.5) AS alignment_p50, quantile_cont(corridor, 0.9) AS alignment_p90 FROM l GROUP BY 1)
     SELECT route_id, sample_count, """
     + ", ".join(f"round({m}, 3) AS {m}" for m in METRICS[:-1])
-    + ", round(distance_km + caution_extra_km - corridor_discount_km + uncertainty_extra_km + risk_extra_km, 3) AS effective_km FROM s",
+    + ", round(distance_km + caution_extra_km - corridor_discount_km + uncertainty_extra_km + risk_extra_km, 3) AS effective_km FROM s JOIN q USING (route_id)",
 )
 def metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.route_metrics(quarter(spark, d), field(spark), GRID), *METRICS, digits=3)
+    return rounded(R.route_metrics(adapt(spark, d, "route_points"), field(spark), GRID), *METRICS, digits=3)
+
+
+@query(
+    "segment_metrics",
+    SEGMENTS
+    + LOOKED.rstrip(",\n")
+    + """ SELECT route_id, seq, CAST(n AS BIGINT) AS samples, round(km, 3) AS km, round(ca, 3) AS caution, round(near / n, 3) AS near_blocked, round(co, 3) AS corridor, round(un, 3) AS uncertainty, round(ri, 3) AS risk,
+    round(km * ca, 3) AS caution_len_km, round(km * ca * 0.22e0, 3) AS caution_extra_km, round(km * co * 0.02e0, 3) AS corridor_discount_km, round(km * un, 3) AS uncertainty_extra_km, round(km * ri, 3) AS risk_extra_km FROM k""",
+)
+def by_segment(spark: SparkSession, d: str) -> DataFrame:
+    out = R.segment_metrics(adapt(spark, d, "route_points"), field(spark), GRID)
+    return rounded(out, *(c for c in out.columns if c not in ("route_id", "seq", "samples")), digits=3)
 
 
 BACKTEST = ("inside_ratio", "route_mean", "route_p90", "top10_hit", "top25_hit", "median_hit", "alignment", "zscore")
@@ -171,19 +182,31 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     SELECT p.request, route_a, route_b, round(shared / least(x.n, y.n), 5) AS ratio, shared / least(x.n, y.n) >= 0.82e0 AS similar FROM p JOIN s x ON x.route_id = route_a JOIN s y ON y.route_id = route_b""",
 )
 def overlap(spark: SparkSession, d: str) -> DataFrame:
-    cells = R.trace_cells(R.route_segments(quarter(spark, d), GRID)).select((F.col("route_id") % 10).alias("request"), "route_id", "row", "col")
+    cells = R.trace_cells(R.route_segments(adapt(spark, d, "route_points"), GRID)).select((F.col("route_id") % 10).alias("request"), "route_id", "row", "col")
     return rounded(R.route_overlap(cells, "request"), "ratio")
 
 
+@query(
+    "similar_routes",
+    SEGMENTS
+    + """, c AS (SELECT DISTINCT route_id % 10 AS request, route_id, row, col FROM traced), s AS (SELECT request, route_id, count(*) AS n FROM c GROUP BY 1, 2),
+    p AS (SELECT a.request, a.route_id AS route_a, b.route_id AS route_b, count(*) AS shared FROM c a JOIN c b ON a.request = b.request AND a.row = b.row AND a.col = b.col AND a.route_id <> b.route_id GROUP BY 1, 2, 3)
+    SELECT p.request, route_a, route_b, round(shared / x.n, 5) AS ratio FROM p JOIN s x ON x.route_id = route_a JOIN s y ON y.route_id = route_b WHERE (x.n < y.n OR x.n = y.n AND route_a < route_b) AND shared / x.n >= 0.3e0""",
+)
+def similar(spark: SparkSession, d: str) -> DataFrame:
+    cells = R.trace_cells(R.route_segments(adapt(spark, d, "route_points"), GRID)).select((F.col("route_id") % 10).alias("request"), "route_id", "row", "col")
+    return rounded(R.similar_routes(cells, "request", 0.3), "ratio")
+
+
 @query(
     "diversity_penalty",
     POINTS
-    + f""", c AS (SELECT DISTINCT route_id, {NODE} FROM route_points WHERE route_id < 5), o AS (SELECT a.v AS dr, b.v AS dc FROM (SELECT unnest(range(-3, 4)) AS v) a, (SELECT unnest(range(-3, 4)) AS v) b)
+    + f""", c AS (SELECT DISTINCT route_id, {NODE} FROM route_points), o AS (SELECT a.v AS dr, b.v AS dc FROM (SELECT unnest(range(-3, 4)) AS v) a, (SELECT unnest(range(-3, 4)) AS v) b)
     SELECT CAST(r + dr AS INTEGER) AS row, CAST(c + dc AS INTEGER) AS col, round(least(sum(0.35e0 * (4 - greatest(abs(dr), abs(dc))) / 4), 1.2e0), 5) AS penalty FROM c, o WHERE r + dr BETWEEN 0 AND 51 AND c + dc BETWEEN 0 AND 359 GROUP BY 1, 2""",
 )
 def diversity(spark: SparkSession, d: str) -> DataFrame:
     row, col, _ = latlon_to_rc(F.col("lat"), F.col("lon"), GRID)
-    cells = adapt(spark, d, "route_points").where("route_id < 5").select("route_id", row.alias("row"), col.alias("col"))
+    cells = adapt(spark, d, "route_points").select("route_id", row.alias("row"), col.alias("col"))
     return rounded(R.diversity_penalty(cells, 52, 360), "penalty")
 
 
@@ -193,65 +216,30 @@ SMALL = Grid(8, 8, 70.0, 77.0, 0.0, 14.0)
 @query(
     "edge_costs",
     ctes("cells")
-    + f""", c AS (SELECT row, col, caution, CASE WHEN row = 3 THEN 1 ELSE 0 END AS near, ais_heatmap, unc FROM cells WHERE sample_id = 0)
-    SELECT a.row, a.col, b.row AS to_row, b.col AS to_col, round({KM.format(a='(77e0 - a.row)', b='(77e0 - b.row)', c='(2e0 * a.col)', d='(2e0 * b.col)')} * greatest(0.15e0, 1 + CASE WHEN b.caution > 0 THEN 0.22e0 WHEN b.near > 0 THEN 0.06e0 ELSE 0 END + b.unc - 0.02e0 * b.ais_heatmap), 4) AS cost
-    FROM c a JOIN c b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND NOT (a.row = b.row AND a.col = b.col)""",
+    + f""", c AS (SELECT sample_id, row, col, caution, CASE WHEN row = 3 THEN 1 ELSE 0 END AS near, ais_heatmap, unc FROM cells)
+    SELECT a.sample_id, a.row, a.col, b.row AS to_row, b.col AS to_col, round({KM.format(a='(77e0 - a.row)', b='(77e0 - b.row)', c='(2e0 * a.col)', d='(2e0 * b.col)')} * greatest(0.15e0, 1 + CASE WHEN b.caution > 0 THEN 0.22e0 WHEN b.near > 0 THEN 0.06e0 ELSE 0 END + b.unc - 0.02e0 * b.ais_heatmap), 4) AS cost
+    FROM c a JOIN c b ON a.sample_id = b.sample_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND NOT (a.row = b.row AND a.col = b.col)""",
 )
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    c = adapt(spark, d, "cells").where("sample_id = 0").select("row", "col", "caution", (F.col("row") == 3).cast("int").alias("near_blocked"), F.col("ais_heatmap").alias("corridor"), F.col("unc").alias("penalty"))
-    return rounded(R.edge_costs(c, SMALL), "cost", digits=4)
+    c = adapt(spark, d, "cells").select("sample_id", "row", "col", "caution", (F.col("row") == 3).cast("int").alias("near_blocked"), F.col("ais_heatmap").alias("corridor"), F.col("unc").alias("penalty"))
+    return rounded(R.edge_costs(c, SMALL, key="sample_id"), "cost", digits=4)
 
 
 @query(
     "nearest_free_cell",
     ctes("cells")
-    + """, f AS (SELECT row AS fr, col AS fc FROM cells WHERE sample_id = 1 AND blocked = 0), p AS (SELECT event_id AS id, CAST(event_id % 8 AS INTEGER) AS row, CAST(user_id % 8 AS INTEGER) AS col FROM events WHERE event_id < 500),
-    r AS (SELECT id, row, col, fr, fc, row_number() OVER (PARTITION BY id ORDER BY pow(fr - row, 2) + pow(fc - col, 2), fr, fc) AS i FROM p, f) SELECT id, row, col, fr AS free_row, fc AS free_col FROM r WHERE i = 1""",
+    + """, f AS (SELECT sample_id, row AS fr, col AS fc FROM cells WHERE blocked = 0), m AS (SELECT max(sample_id) + 1 AS n FROM cells),
+    p AS (SELECT event_id % n AS sample_id, event_id AS id, CAST(event_id % 8 AS INTEGER) AS row, CAST(user_id % 8 AS INTEGER) AS col FROM events, m),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pow(fr - row, 2) + pow(fc - col, 2), fr, fc) AS i FROM p JOIN f USING (sample_id))
+    SELECT sample_id, id, row, col, fr AS free_row, fc AS free_col FROM r WHERE i = 1""",
 )
 def free(spark: SparkSession, d: str) -> DataFrame:
-    points = spark.read.parquet(f"{d}/events.parquet").where("event_id < 500").select(F.col("event_id").alias("id"), (F.col("event_id") % 8).cast("int").alias("row"), (F.col("user_id") % 8).cast("int").alias("col"))
-    return R.nearest_free_cell(points, adapt(spark, d, "cells").where("sample_id = 1").select("row", "col", "blocked"), 1)
-
-
-#: The queries above with SQL cover an id subset, as their SQL does; those of the same name with `all_` take every route, map
-#: and point, and have no SQL.
-
-
-@query("all_trace_cells")
-def traced_all(spark: SparkSession, d: str) -> DataFrame:
-    return R.trace_cells(R.route_segments(adapt(spark, d, "route_points"), GRID)).select("route_id", "seq", "row", "col")
-
-
-@query("all_route_metrics")
-def metrics_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.route_metrics(adapt(spark, d, "route_points"), field(spark), GRID), *METRICS, digits=3)
-
-
-@query("all_route_overlap")
-def overlap_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.route_overlap(traced_all(spark, d).select((F.col("route_id") % 10).alias("request"), "route_id", "row", "col"), "request"), "ratio")
-
-
-@query("all_diversity_penalty")
-def diversity_all(spark: SparkSession, d: str) -> DataFrame:
-    row, col, _ = latlon_to_rc(F.col("lat"), F.col("lon"), GRID)
-    return rounded(R.diversity_penalty(adapt(spark, d, "route_points").select("route_id", row.alias("row"), col.alias("col")), 52, 360), "penalty")
-
-
-@query("all_edge_costs")
-def edges_all(spark: SparkSession, d: str) -> DataFrame:
-    c = adapt(spark, d, "cells").select("sample_id", "row", "col", "caution", (F.col("row") == 3).cast("int").alias("near_blocked"), F.col("ais_heatmap").alias("corridor"), F.col("unc").alias("penalty"))
-    return rounded(R.edge_costs(c, SMALL, key="sample_id"), "cost", digits=4)
-
-
-@query("all_nearest_free_cell")
-def free_all(spark: SparkSession, d: str) -> DataFrame:
     """Points are dealt to the maps by their number, so every point and every map has its part."""
     cells = adapt(spark, d, "cells").select("sample_id", "row", "col", "blocked")
     maps = cells.agg((F.max("sample_id") + 1).alias("maps"))
     points = spark.read.parquet(f"{d}/events.parquet").crossJoin(F.broadcast(maps))  # one row
     points = points.select((F.col("event_id") % F.col("maps")).alias("sample_id"), F.col("event_id").alias("id"), (F.col("event_id") % 8).cast("int").alias("row"), (F.col("user_id") % 8).cast("int").alias("col"))
-    return R.nearest_free_cell(points, cells, 1, key="sample_id")
+    return R.nearest_free_cell(points, cells, key="sample_id")
 
 
 PROFILE = "(CASE v WHEN 'ice_class_bulk' THEN 0.8e0 WHEN 'open_water_cargo' THEN 0.5e0 WHEN 'icebreaker' THEN 1.2e0 ELSE 1e0 END)"
@@ -361,7 +349,16 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out, "total_km", digits=3), "total_ms", digits=2)
 
 
-@query("replan_triggers")
+@query(
+    "replan_triggers",
+    ctes("steps").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, s AS (SELECT sequence_id, step_index, risk_extra_km / 8 - lag(risk_extra_km / 8) OVER (PARTITION BY sequence_id ORDER BY step_index) AS spike, moved_distance_km / 20000 AS blocked, 1 - moved_distance_km / 500 AS corridor FROM steps),
+    b AS (SELECT sequence_id, step_index, concat_ws(',', CASE WHEN step_index = 0 THEN 'initial_step' END, CASE WHEN step_index > 0 AND blocked >= 0.02e0 THEN 'blocked_change_ratio' END, CASE WHEN step_index % 11 = 5 THEN 'path_blocked' END,
+      CASE WHEN step_index > 0 AND corridor < 0.05e0 THEN 'corridor_mismatch' END, CASE WHEN step_index > 0 AND spike >= 0.05e0 THEN 'risk_spike' END) AS base FROM s),
+    f AS (SELECT sequence_id, step_index, base, false AS due, step_index AS last FROM b WHERE step_index = 0
+      UNION ALL SELECT b.sequence_id, b.step_index, b.base, b.step_index - f.last >= 3, CASE WHEN b.base <> '' OR b.step_index - f.last >= 3 THEN b.step_index ELSE f.last END FROM f JOIN b ON b.sequence_id = f.sequence_id AND b.step_index = f.step_index + 1)
+    SELECT sequence_id, step_index, concat_ws(',', nullif(base, ''), CASE WHEN due THEN 'max_skip_steps' END) AS reasons, base <> '' OR due AS replan FROM f""",
+)
 def triggers(spark: SparkSession, d: str) -> DataFrame:
     s = adapt(spark, d, "steps")
     steps = s.select("sequence_id", "step_index", (F.col("moved_distance_km") / 20000).alias("blocked_change"), (F.col("step_index") % 11 == 5).cast("int").alias("path_blocked"), (1 - F.col("moved_distance_km") / 500).alias("corridor"), (F.col("risk_extra_km") / 8).alias("risk"))

@@ -80,11 +80,11 @@ def read_bench(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).selectExpr("inline(rows)")
 
 
-def read_run_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One record a file; broken files are skipped."""
+def read_run_records(spark: SparkSession, path: str, schema: str | T.StructType, pattern: str = "*.json") -> DataFrame:
+    """One record a file whose name fits the pattern; broken files are skipped."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     full = T.StructType([*kind.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json").schema(full).json(path)
+    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", pattern).schema(full).json(path)
     return raw.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 

@@ -126,8 +126,8 @@ def sequence_steps(steps: DataFrame) -> DataFrame:
 def replan_triggers(steps: DataFrame, blocked_ratio: float = 0.02, corridor_min: float = 0.05, risk_spike: float = 0.05, max_skip: int = 3) -> DataFrame:
     """steps (sequence_id, step_index, blocked_change, path_blocked, corridor, risk) with reasons and replan.
 
-    The skip counter depends on the decisions before it, so each sequence is folded in order inside one row by a
-    higher-order function; a sequence is one voyage's steps.
+    Whether a step is due because of the steps skipped before it depends on the decisions before, so each sequence is
+    folded in order; what is carried from step to step is one number.
     """
     w = W.partitionBy("sequence_id").orderBy("step_index")
     base = F.array_compact(
@@ -139,28 +139,40 @@ def replan_triggers(steps: DataFrame, blocked_ratio: float = 0.02, corridor_min:
             F.when((F.col("step_index") > 0) & (F.col("risk") - F.lag("risk").over(w) >= risk_spike), "risk_spike"),
         )
     )
-    marked = steps.withColumn("base", base)
-    packed = marked.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "base"))).alias("a"))
-    folded = packed.select(
-        "sequence_id",
-        F.expr(
-            f"""aggregate(a, named_struct('last', -1000000, 'out', CAST(array() AS array<struct<step_index:int, reasons:array<string>>>)),
-                (s, x) -> named_struct(
-                    'last', CASE WHEN size(x.base) > 0 OR (s.last >= 0 AND x.step_index - s.last >= {max_skip}) THEN x.step_index ELSE s.last END,
-                    'out', concat(s.out, array(named_struct('step_index', x.step_index, 'reasons',
-                        CASE WHEN s.last >= 0 AND x.step_index > 0 AND x.step_index - s.last >= {max_skip} THEN concat(x.base, array('max_skip_steps')) ELSE x.base END)))),
-                s -> s.out)"""
-        ).alias("o"),
-    )
-    return folded.select("sequence_id", F.explode("o").alias("o")).select("sequence_id", "o.step_index", "o.reasons", (F.size("o.reasons") > 0).alias("replan"))
+    marked = steps.select("sequence_id", F.col("step_index").cast("int").alias("step_index"), base.alias("reasons"))
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = object(), -1
+        for part in parts:
+            due = []
+            for sequence, step, n in zip(part["sequence_id"], part["step_index"], part["reasons"].map(len), strict=True):
+                if sequence != now:
+                    now, last = sequence, -1
+                due.append(last >= 0 and step > 0 and step - last >= max_skip)
+                if n or due[-1]:
+                    last = step
+            yield part.assign(due=due)
+
+    kind = marked.schema["sequence_id"].dataType.simpleString()
+    folded = marked.repartition("sequence_id").sortWithinPartitions("sequence_id", "step_index").mapInPandas(fold, f"sequence_id {kind}, step_index int, reasons array<string>, due boolean")
+    reasons = F.when(F.col("due"), F.concat("reasons", F.array(F.lit("max_skip_steps")))).otherwise(F.col("reasons"))
+    return folded.select("sequence_id", "step_index", reasons.alias("reasons")).withColumn("replan", F.size("reasons") > 0)
 
 
 def stream_heatmap(ais: DataFrame, grid: Grid, window_hours: int = 168, step_hours: int = 6, late_hours: int = 24) -> DataFrame:
-    """Sliding counts per cell of a position stream, each window once its end is late_hours behind (append mode); later rows are dropped."""
+    """Sliding counts per cell of a position stream, each window once its end is late_hours behind (append mode); later rows are dropped.
+
+    Positions are counted by step and cell first; only those counts are repeated for the windows they lie in. Where the
+    step does not divide the window, positions go to their windows one by one.
+    """
     row, col = to_cell(F.col("lat"), F.col("lon"), grid)
     cells = ais.select(F.col("postime").cast("timestamp").alias("t"), row.alias("row"), col.alias("col")).where("row IS NOT NULL").withWatermark("t", f"{late_hours} hours")
-    w = F.window("t", f"{window_hours} hours", f"{step_hours} hours")
-    return cells.groupBy(w, "row", "col").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.end").alias("center"), "row", "col", "n")
+    if window_hours % step_hours:
+        w = F.window("t", f"{window_hours} hours", f"{step_hours} hours")
+        return cells.groupBy(w, "row", "col").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.end").alias("center"), "row", "col", "n")
+    steps = cells.groupBy(F.window("t", f"{step_hours} hours").alias("step"), "row", "col").agg(F.count(F.lit(1)).alias("n"))
+    w = F.window("step", f"{window_hours} hours", f"{step_hours} hours")
+    return steps.groupBy(w, "row", "col").agg(F.sum("n").alias("n")).select(F.col("window.end").alias("center"), "row", "col", "n")
 
 
 def replay_slice(steps: DataFrame, from_step: int, to_step: int) -> DataFrame:
@@ -180,7 +192,8 @@ def stream_latest(events: DataFrame, key: str, path: str, checkpoint: str):  # n
     """Start a query that keeps the latest event (ts, event_id) of each key of a stream as a table under path/<batch>.
 
     Each batch merges its own latest rows into the table before it and writes the next version; a batch that is repeated
-    after a failure writes the same version again, so the result is exact.
+    after a failure writes the same version again, so the result is exact. The version before the last is kept for
+    such a repeat, older ones are deleted.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
@@ -191,5 +204,8 @@ def stream_latest(events: DataFrame, key: str, path: str, checkpoint: str):  # n
         rest = [c for c in batch.columns if c not in (key, "ts", "event_id")]
         last = new.groupBy(key).agg(F.max(F.struct("ts", "event_id", *rest)).alias("x")).select(key, "x.*")
         last.write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).start()

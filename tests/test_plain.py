@@ -1,0 +1,92 @@
+"""Operators without SQL against plain versions."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from floeworks.functions.scalars import uniform
+from floeworks.operators import catalog as C
+from floeworks.operators import reports as P
+from floeworks.operators import routes as R
+
+
+def test_uniform_numbers_are_even(spark):
+    u = [r["u"] for r in spark.range(20_000).select(uniform(F.col("id"), F.col("id") % 7, seed=3).alias("u")).collect()]
+    assert abs(sum(u) / len(u) - 0.5) < 0.01 and all(0 <= x < 1 for x in u)
+    for k in range(10):
+        assert abs(sum(k / 10 <= x < (k + 1) / 10 for x in u) / len(u) - 0.1) < 0.01
+    assert abs(sum((a - 0.5) * (b - 0.5) for a, b in zip(u, u[1:])) / len(u)) < 0.003
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 16, 256])
+def test_numbered(spark, ranges):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, *range(40)]), rng.choice("abc")) for _ in range(300)]
+    got = C.numbered(spark.createDataFrame(rows, "a int, b string"), "a", "b", ranges=ranges).collect()
+    assert sorted(r["i"] for r in got) == list(range(300))
+    assert [(r["a"] is not None, r["a"] or 0, r["b"]) for r in sorted(got, key=lambda r: r["i"])] == sorted((a is not None, a or 0, b) for a, b in rows)
+    assert C.numbered(spark.createDataFrame([], "a int"), "a").count() == 0
+
+
+def test_pages_and_samples(spark):
+    df = spark.createDataFrame([(i, -i) for i in random.Random(3).sample(range(100), 100)], "a int, b int")
+    assert [r["a"] for r in C.page(df, ["b"], 3, 7).collect()] == [85, 84, 83, 82, 81, 80, 79]
+    assert [r["a"] for r in C.page(df, ["b"], 99, 30).collect()] == list(range(9, -1, -1))
+    assert sorted(r["a"] for r in C.spread_sample(df, "a", 4).collect()) == [0, 33, 66, 99]
+
+
+def test_pareto_layers(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(3), i, float(rng.randrange(12)), float(rng.randrange(12)), float(rng.randrange(4)), float(rng.randrange(3))) for i in range(150)]
+    got = R.pareto_rank(spark.createDataFrame(rows, "request int, id int, distance_km double, risk_exposure double, caution_len_km double, corridor_score double"), "request").collect()
+    rank = {r["id"]: r["pareto_rank"] for r in got}
+    for g in range(3):
+        left, layer = [r for r in rows if r[0] == g], 0
+        while left:
+            layer += 1
+            front = [a for a in left if not any(b[2] <= a[2] and b[3] <= a[3] and b[2:4] != a[2:4] for b in left)]
+            assert {rank[a[1]] for a in front} == {layer}
+            left = [a for a in left if a not in front]
+        mine = sorted((r for r in got if r["request"] == g), key=lambda r: r["pareto_order"])
+        assert [r["pareto_order"] for r in mine] == list(range(1, len(mine) + 1))
+        assert mine == sorted(mine, key=lambda r: (r["pareto_rank"], r["pareto_score"], r["distance_km"], r["id"]))
+        ends = [(min(r[k] for r in rows if r[0] == g), max(r[k] for r in rows if r[0] == g)) for k in range(2, 6)]
+        for r in mine:
+            score = sum(w * (r[c] - a) / (b - a) for (c, w), (a, b) in zip({"distance_km": 1, "risk_exposure": 1, "caution_len_km": 0.25, "corridor_score": -0.15}.items(), ends))
+            assert abs(r["pareto_score"] - score) < 1e-6
+
+
+def plain_route(points, bad):
+    keep, i = [0], 0
+
+    def clear(a, b):
+        n = 4 * max(abs(b[0] - a[0]), abs(b[1] - a[1]), 1)
+        return not any((round(a[0] + (b[0] - a[0]) * (k / n)), round(a[1] + (b[1] - a[1]) * (k / n))) in bad for k in range(n + 1))
+
+    while i < len(points) - 1:
+        i = next((j for j in range(len(points) - 1, i + 1, -1) if clear(points[i], points[j])), i + 1)
+        keep.append(i)
+    return keep
+
+
+@pytest.mark.parametrize("routes", [1, 3, 256])
+def test_simplified_routes(spark, routes):
+    rng = random.Random(4)
+    bad = {ts: {(rng.randrange(10), rng.randrange(10)) for _ in range(12)} for ts in range(3)}
+    lines = {(ts, k): [(rng.randrange(10), rng.randrange(10)) for _ in range(rng.randrange(1, 9))] for ts in range(4) for k in range(5)}
+    cells = spark.createDataFrame([(ts, k, i, *p) for (ts, k), line in lines.items() for i, p in enumerate(line)], "ts int, route_id int, seq int, row int, col int")
+    mask = spark.createDataFrame([(ts, *p) for ts, some in bad.items() for p in some], "ts int, row int, col int")
+    got = sorted(tuple(r) for r in P.simplify_routes(cells, mask, routes=routes).collect())
+    assert got == sorted((ts, k, i, *line[i]) for (ts, k), line in lines.items() for i in plain_route(line, bad.get(ts, set())))
+
+
+def test_nearest_free_cell_far_away(spark):
+    rng = random.Random(5)
+    cells = [(m, r, c, int(rng.random() < (0.999, 0.7, 1.0)[m])) for m in range(3) for r in range(30) for c in range(30)]
+    points = [(rng.randrange(3), i, rng.randrange(-5, 40), rng.randrange(30)) for i in range(80)]
+    got = {r["id"]: (r["free_row"], r["free_col"]) for r in R.nearest_free_cell(spark.createDataFrame(points, "m int, id int, row int, col int"), spark.createDataFrame(cells, "m int, row int, col int, blocked int"), 2, key="m").collect()}
+    for m, i, r, c in points:
+        free = [(a, b) for k, a, b, x in cells if k == m and not x]
+        want = min(free, key=lambda p: ((p[0] - r) ** 2 + (p[1] - c) ** 2, p), default=None)
+        assert got.get(i) == want
