@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length.
 
-Folding lower-cases, drops zero-width characters and accents, turns look-alike letters of other scripts and full-width
-letters into Latin ones, and reads digits and signs as the letters they stand for: between letters, before a run of
+Folding lower-cases, drops zero-width characters and combining accents (letters that have an accent of their own stay, as
+languages tell them apart), turns look-alike letters of other scripts and full-width letters into Latin ones, and reads digits and signs as the letters they stand for: between letters, before a run of
 three letters, and `$` behind one.
 
 The lexicon joins a short base list with entries learnt from labelled documents: whole words and word
@@ -23,7 +23,6 @@ coefficients. An empty table gives no rows. Other columns are kept; columns name
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +69,7 @@ def _read(m: re.Match) -> str:
 def fold(text: str) -> str:
     t = text.lower()
     if not t.isascii():
-        t = unicodedata.normalize("NFD", t).translate(_FOLD)
+        t = t.translate(_FOLD)
     return _SIGN.sub(_read, t)
 
 
