@@ -169,7 +169,21 @@ def frontier(spark: SparkSession, d: str) -> DataFrame:
     return R.pareto_frontier(candidates(spark, d), "request").select("request", "id", "frontier")
 
 
-@query("pareto_rank")
+SCORED = {"distance_km": "1e0", "risk_exposure": "1e0", "caution_len_km": "0.25e0", "corridor_score": "-0.15e0"}
+
+
+@query(
+    "pareto_rank",
+    f"WITH RECURSIVE k AS ({CANDIDATES.format(orders='orders')}), u AS (SELECT DISTINCT request, distance_km AS x, risk_exposure AS y FROM k), "
+    + """w AS (SELECT a.request, a.x, a.y, b.x AS bx, b.y AS by_ FROM u a JOIN u b ON a.request = b.request AND b.x <= a.x AND b.y <= a.y AND (b.x < a.x OR b.y < a.y)),
+    c AS (SELECT request, x, y, 1 AS n FROM u UNION SELECT w.request, w.x, w.y, c.n + 1 FROM c JOIN w ON w.request = c.request AND w.bx = c.x AND w.by_ = c.y), l AS (SELECT request, x, y, max(n) AS pareto_rank FROM c GROUP BY 1, 2, 3), """
+    + "e AS (SELECT request, "
+    + ", ".join(f"min({m}) AS a_{m}, max({m}) AS b_{m}" for m in SCORED)
+    + " FROM k GROUP BY 1), s AS (SELECT k.request, id, distance_km, pareto_rank, round("
+    + " + ".join(f"{v} * CASE WHEN b_{m} - a_{m} > 1e-12 THEN ({m} - a_{m}) / (b_{m} - a_{m}) ELSE 0e0 END" for m, v in SCORED.items())
+    + ", 6) AS pareto_score FROM k JOIN l ON l.request = k.request AND x = distance_km AND y = risk_exposure JOIN e ON e.request = k.request) "
+    + "SELECT request, id, pareto_rank, pareto_score, CAST(row_number() OVER (PARTITION BY request ORDER BY pareto_rank, pareto_score, distance_km, id) AS INTEGER) AS pareto_order FROM s",
+)
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     return R.pareto_rank(candidates(spark, d), "request").select("request", "id", "pareto_rank", "pareto_score", "pareto_order")
 
