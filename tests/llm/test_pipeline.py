@@ -118,3 +118,33 @@ def test_stretches_find_all_templates():
             some = [(head + [rng.choice(["x", "x", "x", "y", "z", lines.VARIABLE]) for _ in range(size)])[:size] for _ in range(60)]
             made = lines.Templates(0.7)
             assert [made.of(i, x) for i, x in enumerate(some)] == greedy(some, 0.7) == lines.templates(some, 0.7)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, `__at` string"
+
+
+def test_empty_table_through_all_stages(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "ids_sha256" in out.columns
+
+
+def test_rows_without_ids_through_all_stages(spark, tmp_path):
+    rng = random.Random(5)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, c), (None, c), (2, c + " more"), (3, None), (4, ""), (None, d), (5, d + " and more of it"), (None, None), (6, "short")]
+    data = [(i, t, "en", "s" if k % 2 else None, len(t or ""), "x", "y") for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        out.append(docs.collect())
+    pairs = [sorted(((r["doc_id"], r["text"]) for r in rows_), key=str) for rows_ in out[:4]]
+    good = sorted(((i, t) for i, t in rows if t and len(t.split()) >= 20), key=str)
+    assert pairs[0] == pairs[1] == good
+    # a: ids 1, 1 and none; c: none, none and 2; d: none and 5; b alone
+    assert pairs[2] == sorted([(1, a), (1, a), (1, b), (2, c + " more"), (5, d + " and more of it")], key=str)
+    assert set(pairs[3]) <= set(pairs[2]) and len(out[4]) == len(out[3])
+    assert sorted(r["decoded_sha256"] for r in out[4]) == sorted(hashlib.sha256(r["text"].encode()).hexdigest() for r in out[3])
