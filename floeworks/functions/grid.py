@@ -60,8 +60,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def wrap_longitude(df: DataFrame, column: str) -> DataFrame:
     """Longitudes 0..360 to [-180, 180), only where the table has any above 180."""
-    top = df.agg(F.max(column).alias("m")).first()["m"]
-    return df if top is None or top <= 180 else df.withColumn(column, F.pmod(F.col(column) + 180.0, F.lit(360.0)) - 180.0)
+    out = df.crossJoin(F.broadcast(df.agg(F.max(column).alias("__top"))))  # one row
+    wrapped = F.pmod(F.col(column) + 180.0, F.lit(360.0)) - 180.0
+    return out.withColumn(column, F.when(F.col("__top") > 180, wrapped).otherwise(F.col(column))).select(*df.columns)
 
 
 def bbox_filter(df: DataFrame, bbox: str, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -197,7 +197,8 @@ def label_components(cells: DataFrame, column: str = "caution", key: str = KEY)
             for dr in (-1, 0, 1):
                 for dc in (-1, 0, 1):
                     low = np.minimum(low, np.roll(lab, (dr, dc), (0, 1)))
-            low = np.where(on, low, big)
+            # a label is a cell: take over that cell's label too, so long shapes need few rounds
+            low = np.where(on, np.minimum(low, low.ravel()[np.where(on, low, 0)]), big)
             if (low == lab).all():
                 break
             lab = low

@@ -90,3 +90,27 @@ def test_nearest_free_cell_far_away(spark):
         free = [(a, b) for k, a, b, x in cells if k == m and not x]
         want = min(free, key=lambda p: ((p[0] - r) ** 2 + (p[1] - c) ** 2, p), default=None)
         assert got.get(i) == want
+
+
+def test_components_of_long_shapes(spark):
+    snake = {(r, c) for r in range(0, 20, 2) for c in range(20)} | {(r, 19 if r % 4 == 1 else 0) for r in range(1, 19, 2)}
+    rng = random.Random(6)
+    masks = [snake, {(rng.randrange(20), rng.randrange(20)) for _ in range(120)}, set()]
+    cells = spark.createDataFrame([(m, r, c, int((r, c) in on)) for m, on in enumerate(masks) for r in range(20) for c in range(20)], "sample_id int, row int, col int, caution int")
+    got = {}
+    for r in P.label_components(cells).collect():
+        got.setdefault((r["sample_id"], r["component"]), set()).add((r["row"], r["col"]))
+    want = []
+    for m, on in enumerate(masks):
+        left = set(on)
+        while left:
+            todo, part = [left.pop()], set()
+            while todo:
+                p = todo.pop()
+                part.add(p)
+                near = {(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            want.append((m, frozenset(part)))
+    assert sorted((m, sorted(p)) for (m, _), p in got.items()) == sorted((m, sorted(p)) for m, p in want)
+    assert sum(m == 0 for m, _ in want) == 1
