@@ -221,22 +221,32 @@ def annotated(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.annotation_quality(cells_of(spark, d)), "overlap_ratio", digits=6)
 
 
+#: A box and a line that differ from sample to sample.
+BOX = {"x0": "sample_id % 3", "x1": "sample_id % 3 + 3 + sample_id % 2", "y0": "sample_id % 4", "y1": "sample_id % 4 + 3", "line": "sample_id % 8"}
+
+
 def ops(spark: SparkSession, d: str) -> DataFrame:
-    ids = cells_of(spark, d).select("sample_id").distinct()
-    box = "array(named_struct('col', 1.0D, 'row', 1.0D), named_struct('col', 5.0D, 'row', 1.0D), named_struct('col', 5.0D, 'row', 4.0D), named_struct('col', 1.0D, 'row', 4.0D))"
-    line = "array(named_struct('col', 0.0D, 'row', 3.0D), named_struct('col', 7.0D, 'row', 3.0D))"
+    ids = cells_of(spark, d).select("sample_id").distinct().select("sample_id", *(F.expr(f"CAST({v} AS DOUBLE)").alias(k) for k, v in BOX.items()))
+    at = lambda x, y: f"named_struct('col', {x}, 'row', {y})"
+    box = f"array({at('x0', 'y0')}, {at('x1', 'y0')}, {at('x1', 'y1')}, {at('x0', 'y1')})"
+    line = f"array({at('0D', 'line')}, {at('7D', 'line')})"
     return ids.select("sample_id", F.expr(f"inline(array(named_struct('op_idx', 0, 'mode', 'add', 'shape', 'polygon', 'radius', 0.0D, 'points', {box}), named_struct('op_idx', 1, 'mode', 'erase', 'shape', 'stroke', 'radius', 0.5D, 'points', {line})))"))
 
 
 @query(
     "apply_annotation_ops",
-    CELLS + ", o AS (SELECT *, CASE WHEN blocked = 1 THEN 0 WHEN row = 3 THEN 0 WHEN row BETWEEN 1 AND 4 AND col BETWEEN 1 AND 5 THEN 1 ELSE caution END AS c FROM cells) SELECT sample_id, row, col, c AS caution, CASE WHEN blocked = 1 THEN 2 WHEN c = 1 THEN 1 ELSE 0 END AS y_class FROM o",
+    CELLS
+    + f", o AS (SELECT *, CASE WHEN blocked = 1 THEN 0 WHEN row = {BOX['line']} THEN 0 WHEN row BETWEEN {BOX['y0']} AND {BOX['y1']} AND col BETWEEN {BOX['x0']} AND {BOX['x1']} THEN 1 ELSE caution END AS c FROM cells) SELECT sample_id, row, col, c AS caution, CASE WHEN blocked = 1 THEN 2 WHEN c = 1 THEN 1 ELSE 0 END AS y_class FROM o",
 )
 def annotate(spark: SparkSession, d: str) -> DataFrame:
     return P.apply_annotation_ops(cells_of(spark, d), ops(spark, d), 8, 8).select("sample_id", "row", "col", "caution", "y_class")
 
 
-@query("import_label_shapes", CELLS + ", k AS (SELECT DISTINCT sample_id FROM cells WHERE sample_id % 2 = 0) SELECT concat('t', CAST(sample_id AS VARCHAR)) AS timestamp, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM k, range(1, 5) a(r), range(1, 6) b(c)")
+@query(
+    "import_label_shapes",
+    CELLS
+    + f", k AS (SELECT DISTINCT sample_id FROM cells WHERE sample_id % 2 = 0) SELECT concat('t', CAST(sample_id AS VARCHAR)) AS timestamp, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM k, range(0, 8) a(r), range(0, 8) b(c) WHERE r BETWEEN {BOX['y0']} AND {BOX['y1']} AND c BETWEEN {BOX['x0']} AND {BOX['x1']}",
+)
 def imported(spark: SparkSession, d: str) -> DataFrame:
     mapping = cells_of(spark, d).select("sample_id").distinct().select(F.concat(F.lit("f"), F.col("sample_id").cast("string")).alias("file"), F.concat(F.lit("t"), F.col("sample_id").cast("string")).alias("timestamp"))
     shapes = ops(spark, d).where("op_idx = 0 AND sample_id % 2 = 0").select(F.concat(F.lit("f"), F.col("sample_id").cast("string")).alias("file"), F.lit("rectangle").alias("shape"), "radius", "points")
@@ -318,11 +328,17 @@ def profiled(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "temperature", "uncertainty_threshold", "coverage", "expected_error", "ece_before", "ece_after", "brier_before", "brier_after")
 
 
-@query("regrid_linear", "SELECT event_id AS target_id, round((user_id * 0.11e0) * 2 + (value / 40 - 1) * 3 + 1, 7) AS value FROM events")
+@query(
+    "regrid_linear",
+    CELLS
+    + """, g AS (SELECT row, col, ice_conc AS value FROM cells WHERE sample_id = 0), t AS (SELECT event_id AS target_id, user_id * 0.11e0 / 2 AS y, (value / 40 - 1) / 2 AS x FROM events),
+    r AS (SELECT *, CAST(least(greatest(floor(y), 0), 6) AS INTEGER) AS r, CAST(least(greatest(floor(x), 0), 6) AS INTEGER) AS c FROM t)
+    SELECT target_id, round((1 - y + r) * ((1 - x + c) * a.value + (x - c) * b.value) + (y - r) * ((1 - x + c) * e.value + (x - c) * f.value), 4) AS value FROM r JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1""",
+)
 def regridded(spark: SparkSession, d: str) -> DataFrame:
-    grid = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col")).withColumn("value", F.col("row") * 2.0 * 2 + F.col("col") * 2.0 * 3 + 1)
+    grid = cells_of(spark, d).where("sample_id = 0").select("row", "col", F.col("ice_conc").alias("value"))
     targets = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("target_id"), (F.col("user_id") * 0.11).alias("y"), (F.col("value") / 40 - 1).alias("x"))
-    return rounded(P.regrid_linear(grid, 2.0, targets), "value", digits=7)
+    return rounded(P.regrid_linear(grid, 2.0, targets), "value", digits=4)
 
 
 @query("simplify_routes")
