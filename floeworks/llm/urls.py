@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-VOCABULARY, MARGIN = 50_000, 1.0
+VOCABULARY, MARGIN = 50_000, 3.0
 TEN = math.log(10)
 
 #: Words of blocked and of allowed sites, each counted as SEED_COUNT occurrences.
