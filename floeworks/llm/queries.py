@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licences, lines, mixing, neardup, quality, substrings, toxicity, urls
+from . import ann, bpe, fingerprints, licences, lines, mixing, neardup, quality, search, substrings, toxicity, trie, urls
 from .shared import table, written
 
 
@@ -72,6 +72,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(trie.numbered(trie.digested(table(spark, sf_dir, "conversations"))))
+    return trie.nodes(trie.rebuilt(turns), turns)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_duplicates": op2_near_duplicates,
@@ -83,11 +96,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: op8 in DuckDB: the counts, the base rule, and the shrunk failure rate of each source. The other queries have no SQL: their
-#: models, sketches, orders and merges are tested against plain versions.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: In DuckDB. op8: the counts, the base rule, and the shrunk failure rate of each source. op11: crc32 bit by bit, every prefix of the
+#: rebuilt conversations as a list of turns, subtrees by the conversations that pass both nodes. op12: all scores. The other queries
+#: have no SQL: their models, sketches, orders and merges are tested against plain versions.
 ORACLES: dict[str, str] = {
     "op8_quality_rules": rf"""
         WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
@@ -107,4 +126,36 @@ ORACLES: dict[str, str] = {
         p AS (SELECT rule, mean, CASE WHEN spread > 0 THEN least(1e6, greatest(1e0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS strength FROM b),
         r AS (SELECT source, bool_or((k + mean * strength) / (n + strength) >= 0.5) AS rejected FROM h JOIN p USING (rule) GROUP BY 1)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM f LEFT JOIN r ON r.source IS NOT DISTINCT FROM f.source""",
+    "op11_conversation_trie": rf"""
+        WITH RECURSIVE c AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+        bits AS (SELECT c, CAST(c AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS x FROM c
+            UNION ALL SELECT c, s, i + 1, CASE WHEN y & 1 = 1 THEN xor(y >> 1, CAST(3988292384 AS BIGINT)) ELSE y >> 1 END
+            FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(x, CAST(ascii(s[CAST(i // 8 + 1 AS INTEGER)]) AS BIGINT)) ELSE x END AS y FROM bits WHERE i < 8 * length(s))),
+        h AS (SELECT c, xor(x, CAST(4294967295 AS BIGINT)) % 4 AS h, c - c % 20 AS base FROM bits WHERE i = 8 * length(s)),
+        t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+              FROM conversations WHERE conv_id IS NOT NULL),
+        r AS (SELECT h.c, 0 AS own, pos, role, text FROM h JOIN t ON t.c = h.base AND pos <= h UNION ALL SELECT h.c, 1, pos, role, text FROM h JOIN t ON t.c = h.c AND pos > h),
+        p AS (SELECT c, row_number() OVER w AS d, md5(CAST(list({{'r': role, 't': text}}) OVER w AS VARCHAR)) AS k, len(regexp_extract_all(text, '{WORD}')) AS words FROM r WINDOW w AS (PARTITION BY c ORDER BY own, pos)),
+        q AS (SELECT c, d, k, words FROM p UNION ALL SELECT c, 0, '', 0 FROM c),
+        n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words FROM q GROUP BY 1, 2),
+        e AS (SELECT DISTINCT b.d, b.k, a.k AS up FROM q a JOIN q b ON a.c = b.c AND b.d = a.d + 1),
+        kids AS (SELECT up, d - 1 AS d, count(*) AS n FROM e GROUP BY 1, 2),
+        below AS (SELECT DISTINCT a.d, a.k, b.d AS dd, b.k AS kk FROM q a JOIN q b ON a.c = b.c AND b.d >= a.d),
+        sums AS (SELECT below.d, below.k, count(*) FILTER (WHERE kids.n IS NULL) AS leaves, sum((n.n_convs - 1) * n.words) AS saved
+                 FROM below JOIN n ON n.d = dd AND n.k = kk LEFT JOIN kids ON kids.d = dd AND kids.up = kk GROUP BY 1, 2),
+        ends AS (SELECT d, k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, max(d) AS d, arg_max(k, d) AS k FROM q GROUP BY 1) GROUP BY 1, 2)
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+               CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM n JOIN sums USING (d, k) LEFT JOIN kids ON kids.d = n.d AND kids.up = n.k LEFT JOIN e ON e.d = n.d AND e.k = n.k LEFT JOIN n up ON up.d = n.d - 1 AND up.k = e.up LEFT JOIN ends ON ends.d = n.d AND ends.k = n.k""",
+    "op12_lexical_search": rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWERED}, '{TERM}') AS w FROM documents),
+        n AS (SELECT row, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+        s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+        i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED}, '{TERM}')) AS term FROM benchmark),
+        tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2),
+        df AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, s GROUP BY term, n_docs),
+        sc AS (SELECT item_id, row, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n.n * n_docs) // length)))) AS score
+               FROM i JOIN df USING (term) JOIN tf USING (term) JOIN n USING (row), s GROUP BY 1, 2),
+        r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc JOIN n USING (row) WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 10""",
 }
