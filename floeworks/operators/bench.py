@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import root_cause_tags, route_safety
-
+from .selection import quantiles
 
 
 def _ok() -> Column:
@@ -63,7 +63,9 @@ def regression_check(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def with_bands(bench: DataFrame, risk_quantile: float = 0.5, distance_quantile: float = 0.5) -> DataFrame:
     """bench with volatility_band, risk_band, distance_band; thresholds are exact quantiles of the ok runs."""
-    cuts = bench.where(_ok()).agg(F.percentile("risk_exposure", F.lit(risk_quantile)).alias("risk_cut"), F.percentile("distance_km", F.lit(distance_quantile)).alias("distance_cut"))
+    long = bench.where(_ok()).select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("risk_exposure", "distance_km")))).alias("x")).select("x.*")
+    cuts = quantiles(long, ["metric"], "value", {"risk_exposure": risk_quantile, "distance_km": distance_quantile})
+    cuts = cuts.agg(*(F.max(F.when(F.col("metric") == c, F.col(c))).alias(n) for c, n in (("risk_exposure", "risk_cut"), ("distance_km", "distance_cut"))))
     out = bench.crossJoin(F.broadcast(cuts.select(F.coalesce("risk_cut", F.lit(0.0)).alias("risk_cut"), F.coalesce("distance_cut", F.lit(0.0)).alias("distance_cut"))))  # one row
     volatile = (F.col("mode") == "dynamic") & (F.col("replan_count") > 0)
     return (
@@ -153,8 +155,10 @@ def replay_drift(old: DataFrame, new: DataFrame, keys: list[str], metrics: list[
 
 
 def runtime_profile(steps: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key: total, mean, p90 and max."""
-    return steps.groupBy(key).agg(F.sum(value).alias("total"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.9)).alias("p90"), F.max(value).alias("max"))
+    """Per key: total, mean, p90 (exact, by counts) and max."""
+    p90 = quantiles(steps, [key], value, {"p90": 0.9}).withColumnRenamed(key, "__key")
+    by = steps.groupBy(key).agg(F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return by.join(p90, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, "total", "mean", "p90", "max")
 
 
 def release_gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:

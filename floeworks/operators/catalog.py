@@ -77,18 +77,32 @@ def timeline_gaps(ts: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(mid)).where("mid > 0 AND hours > mid * 1.5 + 1e-6").drop("mid")  # one row
 
 
-def nearest_timestamp(wanted: DataFrame, available: DataFrame) -> DataFrame:
-    """wanted (ts) with the nearest available timestamp, the earlier one of two equally near ones.
+def nearest_timestamp(wanted: DataFrame, available: DataFrame, by: str | None = None, ranges: int = 256) -> DataFrame:
+    """wanted (ts) with the nearest available timestamp, the earlier one of two equally near ones; among those of the same `by` where it is given.
 
-    Both sides are put on one line; the last available at or before and the first at or after each point
-    are the candidates. No pairs are made.
+    Both sides are put on one line of distinct timestamps, which is cut into ranges at its quantiles. Within a range the last available at or
+    before and the first at or after each point are the candidates; what a range has none of comes from a table with a row for each
+    range. No pairs are made, and no task takes the whole line. Null or without any available one: null.
     """
-    both = wanted.select("ts", F.lit(None).cast(available.schema["ts"].dataType).alias("at")).unionByName(available.select("ts", F.col("ts").alias("at")))
-    before, after = W.orderBy("ts").rangeBetween(W.unboundedPreceding, 0), W.orderBy("ts").rangeBetween(0, W.unboundedFollowing)
-    both = both.select("ts", "at", F.last("at", True).over(before).alias("a"), F.first("at", True).over(after).alias("b")).where("at IS NULL")
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    earlier = F.col("b").isNull() | (micros("ts") - micros("a") <= micros("b") - micros("ts"))
-    return both.select("ts", F.when(earlier & F.col("a").isNotNull(), F.col("a")).otherwise(F.coalesce("b", "a")).alias("nearest"))
+    kind = available.schema["ts"].dataType
+    key = F.col(by) if by else F.lit(0)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    have = available.where("ts IS NOT NULL").select(key.alias("__key"), micros.alias("v")).distinct().withColumn("at", F.col("v"))
+    asked = wanted.where("ts IS NOT NULL").select(key.alias("__key"), micros.alias("v")).distinct().withColumn("at", F.lit(None).cast("long"))
+    both = have.unionByName(asked)
+    cuts = both.agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    both = both.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x <= F.col("v"))) if cuts else F.lit(0))
+    order = W.partitionBy("__key").orderBy("__range")  # over a row for each range
+    ends = both.groupBy("__key", "__range").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    ends = ends.select(F.col("__key").alias("__key2"), F.col("__range").alias("__range2"), F.last("last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    line = W.partitionBy("__key", "__range").orderBy("v")
+    a, b = F.last("at", True).over(line.rangeBetween(W.unboundedPreceding, 0)), F.first("at", True).over(line.rangeBetween(0, W.unboundedFollowing))
+    near = both.select("*", a.alias("a"), b.alias("b")).where("at IS NULL").join(ends, F.col("__key").eqNullSafe(F.col("__key2")) & (F.col("__range") == F.col("__range2")))
+    a, b = F.coalesce("a", "before"), F.coalesce("b", "after")
+    nearest = F.when(b.isNull() | (F.col("v") - a <= b - F.col("v")), F.coalesce(a, b)).otherwise(b)
+    near = near.select(F.col("__key").alias("__of"), F.col("v").alias("__v"), F.timestamp_micros(nearest).cast(kind).alias("nearest"))
+    out = wanted.select(*([by] if by else []), "ts", micros.alias("__at"), key.alias("__key"))
+    return out.join(near, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__at") == F.col("__v")), "left").select(*([by] if by else []), "ts", "nearest")
 
 
 def manifest_incremental(files: DataFrame, previous: DataFrame, full_scan: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.scalars import PRIME, route_safety, uniform
 from .catalog import nearest_timestamp
+from .graph import component_sizes
 from .raster import KEY, quantile_normalize, quantiles_normalize
 
 
@@ -180,128 +181,45 @@ def heuristic_classes(cells: DataFrame, key: str = KEY) -> DataFrame:
     return out.withColumn("cls", cls).withColumn("unc", F.when(sea, F.greatest(F.lit(0.0), 1 - F.abs(F.col("risk") - F.col("__cut")) / 0.25)).otherwise(0.0)).drop("__i", "__w", "__s", "__cut", "wind_speed")
 
 
-def label_components(cells: DataFrame, column: str = "caution", key: str = KEY) -> DataFrame:
-    """key, row, col, component for the set cells of each map: 8-connected, numbered by their first cell.
+def annotation_quality(cells: DataFrame, tiny: int = 2, key: str = KEY, tile: int = 256) -> DataFrame:
+    """Per map: overlap_ratio of caution and blocked, components of the caution mask, tiny ones among them, and ok.
 
-    One map is one group (a map fits a worker); labels spread along rows and columns until nothing changes.
+    Components are counted by tiles that are joined along their seams.
     """
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
-        on = np.zeros((h + 2, w + 2), bool)
-        on[pdf["row"] + 1, pdf["col"] + 1] = pdf[column] > 0
-        big = np.iinfo(np.int64).max
-        lab = np.where(on, np.arange(on.size).reshape(on.shape), big)
-        while True:
-            low = lab
-            for dr in (-1, 0, 1):
-                for dc in (-1, 0, 1):
-                    low = np.minimum(low, np.roll(lab, (dr, dc), (0, 1)))
-            # a label is a cell: take over that cell's label too, so long shapes need few rounds
-            low = np.where(on, np.minimum(low, low.ravel()[np.where(on, low, 0)]), big)
-            if (low == lab).all():
-                break
-            lab = low
-        r, c = np.nonzero(on)
-        return pd.DataFrame({key: pdf[key].iloc[0], "row": (r - 1).astype(np.int32), "col": (c - 1).astype(np.int32), "component": np.unique(lab[r, c], return_inverse=True)[1].astype(np.int32)})
-
-    return cells.groupBy(key).applyInPandas(label, f"{key} {cells.schema[key].dataType.simpleString()}, row int, col int, component int")
-
-
-def annotation_quality(cells: DataFrame, tiny: int = 2, key: str = KEY) -> DataFrame:
-    """Per map: overlap_ratio of caution and blocked, components of the caution mask, tiny ones among them, and ok."""
     sums = cells.groupBy(key).agg((F.count_if((F.col("caution") > 0) & (F.col("blocked") > 0)) / F.greatest(F.count_if(F.col("caution") > 0), F.lit(1))).alias("overlap_ratio"))
-    sizes = label_components(cells, "caution", key).groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"))
-    parts = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("components"), F.count_if(F.col("n") <= tiny).alias("tiny"))
+    parts = component_sizes(cells, "caution", key, tile).groupBy(key).agg(F.count(F.lit(1)).alias("components"), F.count_if(F.col("n") <= tiny).alias("tiny"))
     out = sums.join(parts, key, "left").fillna(0, ["components", "tiny"])
     return out.withColumn("ok", (F.col("overlap_ratio") <= 0.5) & (F.col("tiny") <= 0.5 * F.col("components")))
 
 
-def _shape_cells(shape: str, points: list, radius: float, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of a polygon (even-odd over cell centres, edges included), stroke, rectangle or circle; points are (col, row)."""
-    p = np.array([(x["col"], x["row"]) for x in points], float)
-    rr, cc = np.mgrid[0:height, 0:width].astype(float)
-    if shape == "rectangle":
-        (x0, y0), (x1, y1) = p.min(axis=0), p.max(axis=0)
-        hit = (cc >= x0) & (cc <= x1) & (rr >= y0) & (rr <= y1)
-    elif shape == "circle":
-        hit = np.hypot(cc - p[0, 0], rr - p[0, 1]) <= np.hypot(*(p[1] - p[0]))
-    else:
-        a, b = (p[:-1], p[1:]) if shape == "stroke" and len(p) > 1 else (p, np.roll(p, -1, axis=0))
-        hit, edge = np.zeros((height, width), bool), np.zeros((height, width), bool)
-        for (x0, y0), (x1, y1) in zip(a, b, strict=True):
-            d = max((x1 - x0) ** 2 + (y1 - y0) ** 2, 1e-12)
-            t = np.clip(((cc - x0) * (x1 - x0) + (rr - y0) * (y1 - y0)) / d, 0, 1)
-            near = np.hypot(cc - x0 - t * (x1 - x0), rr - y0 - t * (y1 - y0)) <= (radius if shape == "stroke" else 1e-9)
-            if shape == "stroke":
-                hit |= near
-            else:
-                hit ^= ((y0 > rr) != (y1 > rr)) & (cc < (x1 - x0) * (rr - y0) / (y1 - y0 if y1 != y0 else 1e-12) + x0)
-                edge |= near
-        if shape == "polygon":
-            hit |= edge
-    return np.nonzero(hit)
-
-
-def rasterize(ops: DataFrame, height: int, width: int, key: str = KEY) -> DataFrame:
-    """ops (key, op_idx, mode, shape, radius, points array<struct<col, row>>) as cells: key, op_idx, mode, row, col."""
-    kind = ops.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for k, i, mode, shape, radius, points in part.itertuples(index=False):
-                r, c = _shape_cells(shape, points, radius or 0.0, height, width)
-                yield pd.DataFrame({key: k, "op_idx": i, "mode": mode, "row": r.astype(np.int32), "col": c.astype(np.int32)})
-
-    return ops.select(key, "op_idx", "mode", "shape", "radius", "points").mapInPandas(run, f"{key} {kind}, op_idx int, mode string, row int, col int")
-
-
-def apply_annotation_ops(cells: DataFrame, ops: DataFrame, height: int, width: int, key: str = KEY) -> DataFrame:
-    """cells (caution, blocked) with the caution mask after the ordered add/erase operations, and y_class.
-
-    Only the last operation over a cell matters, so it is a maximum by key; blocked cells stay clear.
-    """
-    last = rasterize(ops, height, width, key).groupBy(key, "row", "col").agg(F.max_by("mode", "op_idx").alias("mode"))
-    out = cells.join(last, [key, "row", "col"], "left")
-    caution = F.when(F.col("blocked") > 0, 0).when(F.col("mode") == "add", 1).when(F.col("mode") == "erase", 0).otherwise(F.col("caution"))
-    out = out.withColumn("caution", caution).drop("mode")
-    return out.withColumn("y_class", F.when(F.col("blocked") > 0, 2).when(F.col("caution") > 0, 1).otherwise(0))
-
-
-def import_label_shapes(mapping: DataFrame, shapes: DataFrame, height: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """Cells of each timestamp's shapes by way of the file mapping (file, timestamp), and one row of converted and missing counts."""
-    known = shapes.join(mapping, "file")
-    ops = known.select("timestamp", F.lit(0).alias("op_idx"), F.lit("add").alias("mode"), "shape", "radius", "points")
-    cells = rasterize(ops, height, width, "timestamp").select("timestamp", "row", "col").distinct()
-    counts = mapping.join(shapes.select("file").distinct().withColumn("x", F.lit(1)), "file", "left").agg(F.count("x").alias("converted"), (F.count(F.lit(1)) - F.count("x")).alias("missing"))
-    return cells, counts
-
-
-def regrid_linear(field: DataFrame, spacing: float, targets: DataFrame) -> DataFrame:
-    """targets (target_id, y, x) with value from field (row, col, value) on a regular grid of the given spacing, linear inside and beyond the edges.
+def regrid_linear(field: DataFrame, spacing: float, targets: DataFrame, key: str | None = None) -> DataFrame:
+    """targets (target_id, y, x) with value from field (row, col, value) on a regular grid of the given spacing, linear inside and beyond the edges; from the target's own map where key is given.
 
     The cell of a target beyond the edge is the last one, so its two nodes carry the line outwards.
     """
-    ends = field.agg(F.max("row").alias("mr"), F.max("col").alias("mc"))
-    t = targets.crossJoin(F.broadcast(ends))  # one row
+    keys = [key] if key else []
+    ends = field.groupBy(*keys).agg(F.max("row").alias("mr"), F.max("col").alias("mc"))
+    t = targets.join(ends, keys) if key else targets.crossJoin(F.broadcast(ends))  # one row
     base = lambda c, m: F.least(F.greatest(F.floor(F.col(c) / spacing), F.lit(0)), F.greatest(F.col(m) - 1, F.lit(0))).cast("int")
     t = t.withColumn("r", base("y", "mr")).withColumn("c", base("x", "mc")).withColumn("dy", F.col("y") / spacing - F.col("r")).withColumn("dx", F.col("x") / spacing - F.col("c"))
     side = lambda d, k: F.col(d) if k else 1 - F.col(d)
     corners = F.explode(F.array(*(F.struct((F.col("r") + a).alias("row"), (F.col("c") + b).alias("col"), (side("dy", a) * side("dx", b)).alias("w")) for a in (0, 1) for b in (0, 1))))
-    spread = t.select("target_id", corners.alias("k")).select("target_id", "k.*")
-    return spread.join(field, ["row", "col"]).groupBy("target_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    spread = t.select(*keys, "target_id", corners.alias("k")).select(*keys, "target_id", "k.*")
+    return spread.join(field, [*keys, "row", "col"]).groupBy(*keys, "target_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def regrid(field: DataFrame, axes: DataFrame, targets: DataFrame) -> DataFrame:
+def regrid(field: DataFrame, axes: DataFrame, targets: DataFrame, key: str | None = None) -> DataFrame:
     """targets (target_id, ts, lat, lon) with slice_ts and value: linear in both axes, beyond them too, from the time slice nearest to ts (the earlier of two).
 
     field has ts, row, col, value; axes has axis (`lat`, `lon`), idx, value, ascending, evenly spaced or not. The two axes
-    and the list of slices are dimensions of one map (arrays in a row); the field is met by key, four corners a target.
+    are dimensions of one map (arrays in a row); the field is met by key, four corners a target. With key, field and targets
+    belong to series of maps of that name, each with slices of its own.
     """
+    keys = [key] if key else []
     lists = axes.groupBy("axis").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("at"))
     one = lists.agg(*(F.max(F.when(F.col("axis") == a, F.col("at"))).alias(f"__{a}") for a in ("lat", "lon")))
-    near = nearest_timestamp(targets.select("ts").distinct(), field.select("ts").distinct()).withColumnRenamed("nearest", "slice_ts")
-    t = targets.join(near, "ts").crossJoin(F.broadcast(one))  # one row
+    near = nearest_timestamp(targets.select(*keys, "ts").distinct(), field.select(*keys, "ts").distinct(), key).withColumnRenamed("nearest", "slice_ts")
+    t = targets.join(near, [*keys, "ts"]).crossJoin(F.broadcast(one))  # one row
     for a in ("lat", "lon"):
         at, place = F.col(f"__{a}"), F.col(a)
         below = F.size(F.filter(at, lambda v: v <= place)) - 1  # noqa: B023
@@ -311,8 +229,8 @@ def regrid(field: DataFrame, axes: DataFrame, targets: DataFrame) -> DataFrame:
         t = t.withColumn(f"__w_{a}", F.coalesce((F.col(a) - low) / (high - low), F.lit(0.0)))
     side = lambda a, k: F.col(f"__w_{a}") if k else 1 - F.col(f"__w_{a}")
     corners = F.array(*(F.struct((F.col("__i_lat") + i).alias("row"), (F.col("__i_lon") + j).alias("col"), (side("lat", i) * side("lon", j)).alias("w")) for i in (0, 1) for j in (0, 1)))
-    spread = t.select("target_id", "slice_ts", F.explode(F.filter(corners, lambda c: c["w"] != 0)).alias("k")).select("target_id", "slice_ts", "k.*")
-    return spread.join(field.withColumnRenamed("ts", "slice_ts"), ["slice_ts", "row", "col"]).groupBy("target_id", "slice_ts").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    spread = t.select(*keys, "target_id", "slice_ts", F.explode(F.filter(corners, lambda c: c["w"] != 0)).alias("k")).select(*keys, "target_id", "slice_ts", "k.*")
+    return spread.join(field.withColumnRenamed("ts", "slice_ts"), [*keys, "slice_ts", "row", "col"]).groupBy(*keys, "target_id", "slice_ts").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
 def simplify_routes(route_cells: DataFrame, blocked: DataFrame, key: str = "ts", routes: int = 256) -> DataFrame:

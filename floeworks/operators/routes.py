@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.grid import Grid, haversine_km, latlon_to_rc, rc_to_latlon
 from .raster import OFFSETS
+from .selection import order_statistics
 
 
 def route_signature(points: DataFrame, digits: int = 5, n: int = 16, text: Column | None = None) -> DataFrame:
@@ -145,17 +147,21 @@ def ais_backtest(points: DataFrame, heat: DataFrame, grid: Grid) -> DataFrame:
 
 
 def risk_constraint(values: DataFrame, mode: str, budget: float, confidence: float) -> DataFrame:
-    """Per route (route_id, risk): metric, usage, satisfied, tail_count for `chance` (share above the confidence) or `cvar` (mean of the worst share)."""
+    """Per route (route_id, risk): metric, usage, satisfied, tail_count for `chance` (share above the confidence) or `cvar` (mean of the worst share).
+
+    The least value of the worst share is found by counts, so a route of very many values is sums only.
+    """
     v = F.least(F.greatest("risk", F.lit(0.0)), F.lit(1.0))
     conf = min(max(confidence, 0.5), 0.999)
     if mode == "chance":
         out = values.groupBy("route_id").agg(F.avg((v > conf).cast("double")).alias("metric"), F.count_if(v > conf).alias("tail_count"))
     elif mode == "cvar":
-        n = F.count(F.lit(1)).over(W.partitionBy("route_id"))
-        rank = F.row_number().over(W.partitionBy("route_id").orderBy(F.desc("v")))
-        tail = F.greatest(F.lit(1), F.ceil(F.col("n") * max(1e-6, 1 - conf) - 1e-9))
-        worst = values.select("route_id", v.alias("v")).withColumn("n", n).withColumn("rank", rank).where(F.col("rank") <= tail)
-        out = worst.groupBy("route_id").agg(F.avg("v").alias("metric"), F.count(F.lit(1)).alias("tail_count"))
+        tail = lambda n: F.greatest(F.lit(1), F.ceil(n * max(1e-6, 1 - conf) - 1e-9))
+        cut = order_statistics(values.withColumn("__v", v), ["route_id"], "__v", lambda n: F.array(n - tail(n)))
+        cut = cut.select(F.col("route_id").alias("__id"), tail(F.col("n")).alias("__tail"), F.col("found").alias("__cut"))
+        above = values.select("route_id", v.alias("v")).join(cut, F.col("route_id").eqNullSafe(F.col("__id")))
+        by = above.groupBy("route_id", "__tail", "__cut").agg(F.count_if(F.col("v") > F.col("__cut")).alias("k"), F.coalesce(F.sum(F.when(F.col("v") > F.col("__cut"), F.col("v"))), F.lit(0.0)).alias("s"))
+        out = by.select("route_id", ((F.col("s") + (F.col("__tail") - F.col("k")) * F.col("__cut")) / F.col("__tail")).alias("metric"), F.col("__tail").alias("tail_count"))
     elif mode == "none":
         out = values.groupBy("route_id").agg(F.lit(0.0).alias("metric"), F.lit(0).cast("long").alias("tail_count"))
         return out.withColumn("usage", F.lit(0.0)).withColumn("satisfied", F.lit(True))
@@ -181,42 +187,62 @@ def edge_costs(cells: DataFrame, grid: Grid, caution_penalty: float = 0.22, corr
     return both.select(*keys, "row", "col", "to_row", "to_col", (haversine_km(a[0], a[1], b[0], b[1]) * factor).alias("cost"))
 
 
-def nearest_free_cell(points: DataFrame, cells: DataFrame, ring: int = 3, key: str | None = None) -> DataFrame:
+def _lower_envelope(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """__key, row, asked, col, free_row, place, m in order -> the nearest free cell of every column asked for; the free rows of a row's columns come first.
+
+    Along a row a free cell costs m times its squared distance, and its place in the map, which is below m: of equally near cells the first
+    is cheapest. These are parabolas of one width; the stack has those that are cheapest somewhere, with the column where that begins.
+    """
+    now, stack, at = None, [], 0
+    for part in parts:
+        out = []
+        for key, row, asked, col, free, place, m in zip(*(part[c].tolist() for c in ("__key", "row", "asked", "col", "free_row", "place", "m")), strict=True):
+            if (key, row) != now:
+                now, stack, at = (key, row), [], 0
+            if asked:
+                while at + 1 < len(stack) and stack[at + 1][3] <= col:
+                    at += 1
+                if stack:
+                    out.append((key, row, col, stack[at][2], stack[at][0]))
+                continue
+            cost, begins = (free - row) ** 2 * m + place, None
+            while stack:
+                c, other, _, start = stack[-1]
+                begins = (cost + m * col * col - other - m * c * c) // (2 * m * (col - c)) + 1
+                if start is None or begins > start:
+                    break
+                stack.pop()
+            stack.append((col, cost, free, begins if stack else None))
+        yield pd.DataFrame(out, columns=["__key", "row", "col", "free_row", "free_col"])
+
+
+def nearest_free_cell(points: DataFrame, cells: DataFrame, key: str | None = None) -> DataFrame:
     """points (id, row, col) with free_row, free_col: the nearest cell that is not blocked, row-major on ties; of the point's map where key is given.
 
-    A place is looked up once, however many points stand on it. Cells are met by square tiles, the eight around included,
-    whose side starts at `ring` and doubles until every place has a cell within reach (or a tile covers the map);
-    so a place meets as many cells as its distance asks for, not all of them.
+    An exact distance transform in two passes: the nearest free cell along every column for the rows that hold points, then
+    the lower envelope along those rows. The cost is in proportion to cells and points, wherever they lie; a task holds one row
+    of one map. Points of a map without a free cell are left out.
     """
-    keys = [key] if key else []
-    free = cells.where("blocked = 0").select(*keys, F.col("row").alias("fr"), F.col("col").alias("fc"))
-    ends = cells.agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("col").alias("c"), F.max("col").alias("d")).first()
-    places = points.select(*keys, "row", "col").distinct()
-    span = 0
-    if ends["a"] is not None:
-        low = places.agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("col").alias("c"), F.max("col").alias("d")).first()
-        if low["a"] is not None:
-            span = max(max(ends["b"], low["b"]) - min(ends["a"], low["a"]), max(ends["d"], low["d"]) - min(ends["c"], low["c"])) + 1
-    d2 = F.pow(F.col("fr") - F.col("row"), 2) + F.pow(F.col("fc") - F.col("col"), 2)
-    found, side, rest = None, max(1, ring), places
-    while span:
-        tile = lambda r, c, s=side: (F.floor(F.col(r) / s).alias("ty"), F.floor(F.col(c) / s).alias("tx"))
-        around = rest.select(*keys, "row", "col", F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("o"), *tile("row", "col"))
-        around = around.select(*keys, "row", "col", (F.col("ty") + F.col("o.dy")).alias("ty"), (F.col("tx") + F.col("o.dx")).alias("tx"))
-        met = around.join(free.select(*keys, "fr", "fc", *tile("fr", "fc")), [*keys, "ty", "tx"])
-        if side < span:
-            met = met.where(d2 <= side * side)  # beyond, a cell outside the nine tiles may be nearer
-        best = met.groupBy(*keys, "row", "col").agg(F.min(F.struct(d2.alias("d"), "fr", "fc")).alias("b")).select(*keys, "row", "col", F.col("b.fr").alias("free_row"), F.col("b.fc").alias("free_col"))
-        found = best if found is None else found.unionByName(best)
-        if side >= span:
-            break
-        rest = places.join(found.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti")
-        if rest.isEmpty():
-            break
-        side *= 2
-    if found is None:
-        return points.withColumn("free_row", F.lit(None).cast("int")).withColumn("free_col", F.lit(None).cast("int")).limit(0)
-    return points.join(found, [*keys, "row", "col"]).select(*keys, "id", "row", "col", "free_row", "free_col")
+    k = F.col(key) if key else F.lit(0)
+    free = cells.where("blocked = 0").select(k.alias("__key"), "row", "col").distinct()
+    ends = free.groupBy("__key").agg(F.min("row").alias("r0"), F.min("col").alias("c0"), (F.max("row") - F.min("row") + 1).cast("long").alias("height"), (F.max("col") - F.min("col") + 1).cast("long").alias("width"))
+    places = points.select(k.alias("__key"), "row", "col").distinct()
+    lines = places.select("__key", "row").distinct().join(free.select("__key", "col").distinct(), "__key").select("__key", "row", "col")
+    both = free.select("__key", "row", "col", F.col("row").alias("at")).unionByName(lines.withColumn("at", F.lit(None).cast(free.schema["row"].dataType)))
+    w = W.partitionBy("__key", "col").orderBy("row")
+    up, down = F.last("at", True).over(w.rangeBetween(W.unboundedPreceding, 0)), F.first("at", True).over(w.rangeBetween(0, W.unboundedFollowing))
+    near = F.when(F.col("down").isNull() | (F.col("row") - F.col("up") <= F.col("down") - F.col("row")), F.coalesce("up", "down")).otherwise(F.col("down"))
+    columns = both.select("*", up.alias("up"), down.alias("down")).where("at IS NULL").select("__key", "row", "col", near.alias("free_row")).join(ends, "__key")
+    place = (F.col("free_row") - F.col("r0")) * F.col("width") + F.col("col") - F.col("c0")
+    columns = columns.select("__key", "row", F.lit(0).alias("asked"), "col", "free_row", place.alias("place"), (F.col("height") * F.col("width")).alias("m"))
+    asked = places.select("__key", "row", F.lit(1).alias("asked"), "col", F.lit(0).alias("free_row"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("m"))
+    kinds = {c: places.schema[c].dataType.simpleString() for c in ("__key", "row", "col")}
+    made = columns.unionByName(asked).repartition("__key", "row").sortWithinPartitions("__key", "row", "asked", "col")
+    found = made.mapInPandas(_lower_envelope, f"__key {kinds['__key']}, row {kinds['row']}, col {kinds['col']}, free_row {kinds['row']}, free_col {kinds['col']}")
+    found = found.withColumnsRenamed({"row": "__row", "col": "__col"})
+    out = points.withColumn("__of", k)
+    same = (out["__of"] == found["__key"]) & (out["row"] == found["__row"]) & (out["col"] == found["__col"])
+    return out.join(found, same).select(*([key] if key else []), "id", "row", "col", "free_row", "free_col")
 
 
 def diversity_penalty(route_cells: DataFrame, height: int, width: int, radius: int = 3, scale: float = 0.35, most: float = 1.2) -> DataFrame:

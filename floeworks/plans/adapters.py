@@ -28,6 +28,10 @@ SQL = {
         SELECT user_id AS run_id, ts, event_id,
                CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'restore' ELSE 'touch' END AS action
         FROM {events}""",
+    "run_actions": """
+        SELECT user_id AS run_id, ts, event_id,
+               CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'restore' WHEN 'purchase' THEN 'purge' ELSE 'touch' END AS action
+        FROM {events}""",
     "progress_events": """
         SELECT user_id AS progress_id, ts, event_id,
                CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status,

@@ -10,6 +10,7 @@ from ..operators import catalog as C
 from ..operators import labels as L
 from ..operators import raster as R
 from ..operators import reports as P
+from ..operators import shapes as S
 from ..functions.scalars import PRIME, uniform_sql
 from ..sources.files import flatten_report
 from .adapters import adapt, ctes
@@ -230,16 +231,16 @@ def ops(spark: SparkSession, d: str) -> DataFrame:
     at = lambda x, y: f"named_struct('col', {x}, 'row', {y})"
     box = f"array({at('x0', 'y0')}, {at('x1', 'y0')}, {at('x1', 'y1')}, {at('x0', 'y1')})"
     line = f"array({at('0D', 'line')}, {at('7D', 'line')})"
-    return ids.select("sample_id", F.expr(f"inline(array(named_struct('op_idx', 0, 'mode', 'add', 'shape', 'polygon', 'radius', 0.0D, 'points', {box}), named_struct('op_idx', 1, 'mode', 'erase', 'shape', 'stroke', 'radius', 0.5D, 'points', {line})))"))
+    return ids.select("sample_id", F.expr(f"inline(array(named_struct('op_idx', 0, 'mode', 'add', 'shape', 'polygon', 'radius', 0.0D, 'points', {box}), named_struct('op_idx', 1, 'mode', 'erase', 'shape', 'stroke', 'radius', 1.0D, 'points', {line})))"))
 
 
 @query(
     "apply_annotation_ops",
     CELLS
-    + f", o AS (SELECT *, CASE WHEN blocked = 1 THEN 0 WHEN row = {BOX['line']} THEN 0 WHEN row BETWEEN {BOX['y0']} AND {BOX['y1']} AND col BETWEEN {BOX['x0']} AND {BOX['x1']} THEN 1 ELSE caution END AS c FROM cells) SELECT sample_id, row, col, c AS caution, CASE WHEN blocked = 1 THEN 2 WHEN c = 1 THEN 1 ELSE 0 END AS y_class FROM o",
+    + f", o AS (SELECT *, CASE WHEN blocked = 1 THEN 0 WHEN abs(row - {BOX['line']}) <= 1 THEN 0 WHEN row BETWEEN {BOX['y0']} AND {BOX['y1']} AND col BETWEEN {BOX['x0']} AND {BOX['x1']} THEN 1 ELSE caution END AS c FROM cells) SELECT sample_id, row, col, c AS caution, CASE WHEN blocked = 1 THEN 2 WHEN c = 1 THEN 1 ELSE 0 END AS y_class FROM o",
 )
 def annotate(spark: SparkSession, d: str) -> DataFrame:
-    return P.apply_annotation_ops(cells_of(spark, d), ops(spark, d), 8, 8).select("sample_id", "row", "col", "caution", "y_class")
+    return S.apply_annotation_ops(cells_of(spark, d), ops(spark, d), 8, 8).select("sample_id", "row", "col", "caution", "y_class")
 
 
 @query(
@@ -250,16 +251,15 @@ def annotate(spark: SparkSession, d: str) -> DataFrame:
 def imported(spark: SparkSession, d: str) -> DataFrame:
     mapping = cells_of(spark, d).select("sample_id").distinct().select(F.concat(F.lit("f"), F.col("sample_id").cast("string")).alias("file"), F.concat(F.lit("t"), F.col("sample_id").cast("string")).alias("timestamp"))
     shapes = ops(spark, d).where("op_idx = 0 AND sample_id % 2 = 0").select(F.concat(F.lit("f"), F.col("sample_id").cast("string")).alias("file"), F.lit("rectangle").alias("shape"), "radius", "points")
-    return P.import_label_shapes(mapping, shapes, 8, 8)[0]
+    return S.import_label_shapes(mapping, shapes, 8, 8)[0]
 
 
-#: Two slices an hour after midnight and at noon of each day of events; uneven latitudes, even longitudes, values from the layers of a map.
+#: Four series of maps, a slice every seven hours; uneven latitudes, even longitudes.
 REGRID = (
     CELLS
-    + """, slices AS (SELECT DISTINCT date_trunc('day', ts) + INTERVAL 1 HOUR AS ts FROM events UNION SELECT DISTINCT date_trunc('day', ts) + INTERVAL 12 HOUR FROM events), b AS (SELECT min(ts) AS t0 FROM slices),
-    g AS (SELECT s.ts, c.row, c.col, c.ice_conc + hour(s.ts) + epoch(s.ts - t0) / 86400 AS value FROM slices s, b, (SELECT row, col, ice_conc FROM cells WHERE sample_id = 0) c),
-    t AS (SELECT event_id AS target_id, ts, 60e0 + user_id % 40 AS lat, -10e0 + value / 10 AS lon FROM events),
-    n AS (SELECT t.*, s.ts AS slice_ts, row_number() OVER (PARTITION BY target_id ORDER BY abs(epoch_us(s.ts) - epoch_us(t.ts)), s.ts) AS i FROM t JOIN slices s ON abs(epoch_us(s.ts) - epoch_us(t.ts)) <= 86400000000),
+    + """, g AS (SELECT sample_id % 4 AS series, TIMESTAMP '2024-01-01' + INTERVAL 7 HOUR * (sample_id // 4) AS ts, row, col, ice_conc AS value FROM cells), slices AS (SELECT DISTINCT series, ts FROM g),
+    t AS (SELECT event_id AS target_id, event_id % 4 AS series, ts, 60e0 + user_id % 40 AS lat, -10e0 + value / 10 AS lon FROM events),
+    n AS (SELECT t.*, s.ts AS slice_ts, row_number() OVER (PARTITION BY target_id ORDER BY abs(epoch_us(s.ts) - epoch_us(t.ts)), s.ts) AS i FROM t JOIN slices s USING (series)),
     r AS (SELECT *, CAST(least(greatest(floor(sqrt(greatest(lat - 62, 0e0))), 0), 6) AS INTEGER) AS y, CAST(least(greatest(floor(lon / 5), 0), 6) AS INTEGER) AS x FROM n WHERE i = 1),
     w AS (SELECT *, (lat - 62 - y * y) / (2 * y + 1) AS dy, lon / 5 - x AS dx FROM r)\n"""
 )
@@ -268,19 +268,16 @@ REGRID = (
 @query(
     "regrid",
     REGRID
-    + """SELECT target_id, slice_ts, round((1 - dy) * ((1 - dx) * a.value + dx * b.value) + dy * ((1 - dx) * c.value + dx * e.value), 4) AS value FROM w JOIN g a ON a.ts = slice_ts AND a.row = y AND a.col = x JOIN g b ON b.ts = slice_ts AND b.row = y AND b.col = x + 1
-    JOIN g c ON c.ts = slice_ts AND c.row = y + 1 AND c.col = x JOIN g e ON e.ts = slice_ts AND e.row = y + 1 AND e.col = x + 1""",
+    + "SELECT w.series, target_id, slice_ts, round((1 - dy) * ((1 - dx) * a.value + dx * b.value) + dy * ((1 - dx) * c.value + dx * e.value), 4) AS value FROM w "
+    + " ".join(f"JOIN g {k} ON {k}.series = w.series AND {k}.ts = slice_ts AND {k}.row = y + {i} AND {k}.col = x + {j}" for k, i, j in (("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("e", 1, 1))),
 )
 def regridded_slices(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
-    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
-    slices = e.select(F.explode(F.array(day + F.expr("INTERVAL 1 HOUR"), day + F.expr("INTERVAL 12 HOUR"))).alias("ts")).distinct()
-    first = slices.agg(F.min("ts").alias("t0"))
-    field = slices.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(cells_of(spark, d).where("sample_id = 0").select("row", "col", "ice_conc")))  # one row; one map
-    value = F.col("ice_conc") + F.hour("ts") + (F.unix_micros("ts") - F.unix_micros("t0")) / 86400e6
+    ts = F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=(7 * F.floor(F.col("sample_id") / 4)).cast("int"))
+    field = cells_of(spark, d).select((F.col("sample_id") % 4).alias("series"), ts.alias("ts"), "row", "col", F.col("ice_conc").alias("value"))
     axes = spark.range(8).select(F.explode(F.expr("array(struct('lat' AS axis, 62D + id * id AS value), struct('lon' AS axis, 5D * id AS value))")).alias("a"), F.col("id").cast("int").alias("idx")).select("a.axis", "idx", "a.value")
-    targets = e.select(F.col("event_id").alias("target_id"), F.col("ts").cast("timestamp").alias("ts"), (60.0 + F.col("user_id") % 40).alias("lat"), (-10 + F.col("value") / 10).alias("lon"))
-    return rounded(P.regrid(field.select("ts", "row", "col", value.alias("value")), axes, targets), "value", digits=4)
+    targets = e.select(F.col("event_id").alias("target_id"), (F.col("event_id") % 4).alias("series"), F.col("ts").cast("timestamp").alias("ts"), (60.0 + F.col("user_id") % 40).alias("lat"), (-10 + F.col("value") / 10).alias("lon"))
+    return rounded(P.regrid(field, axes, targets, "series"), "value", digits=4)
 
 
 @query("bbox_targets", "SELECT sample_id, i AS target_id, round(86 - (i // 4) * 26e0 / 2, 6) AS lat, round(-180 + (i % 4) * 360e0 / 3, 6) AS lon FROM (SELECT DISTINCT vec_id // 5 AS sample_id FROM embeddings), range(0, 12) r(i)")
@@ -331,14 +328,18 @@ def profiled(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "regrid_linear",
     CELLS
-    + """, g AS (SELECT row, col, ice_conc AS value FROM cells WHERE sample_id = 0), t AS (SELECT event_id AS target_id, user_id * 0.11e0 / 2 AS y, (value / 40 - 1) / 2 AS x FROM events),
+    + """, m AS (SELECT max(sample_id) + 1 AS maps FROM cells), g AS (SELECT sample_id, row, col, ice_conc AS value FROM cells), t AS (SELECT event_id % maps AS sample_id, event_id AS target_id, user_id * 0.11e0 / 2 AS y, (value / 40 - 1) / 2 AS x FROM events, m),
     r AS (SELECT *, CAST(least(greatest(floor(y), 0), 6) AS INTEGER) AS r, CAST(least(greatest(floor(x), 0), 6) AS INTEGER) AS c FROM t)
-    SELECT target_id, round((1 - y + r) * ((1 - x + c) * a.value + (x - c) * b.value) + (y - r) * ((1 - x + c) * e.value + (x - c) * f.value), 4) AS value FROM r JOIN g a ON a.row = r AND a.col = c JOIN g b ON b.row = r AND b.col = c + 1 JOIN g e ON e.row = r + 1 AND e.col = c JOIN g f ON f.row = r + 1 AND f.col = c + 1""",
+    SELECT r.sample_id, target_id, round((1 - y + r.r) * ((1 - x + r.c) * a.value + (x - r.c) * b.value) + (y - r.r) * ((1 - x + r.c) * e.value + (x - r.c) * f.value), 4) AS value FROM r """
+    + " ".join(f"JOIN g {k} ON {k}.sample_id = r.sample_id AND {k}.row = r.r + {i} AND {k}.col = r.c + {j}" for k, i, j in (("a", 0, 0), ("b", 0, 1), ("e", 1, 0), ("f", 1, 1))),
 )
 def regridded(spark: SparkSession, d: str) -> DataFrame:
-    grid = cells_of(spark, d).where("sample_id = 0").select("row", "col", F.col("ice_conc").alias("value"))
-    targets = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("target_id"), (F.col("user_id") * 0.11).alias("y"), (F.col("value") / 40 - 1).alias("x"))
-    return rounded(P.regrid_linear(grid, 2.0, targets), "value", digits=4)
+    """Targets are dealt to the maps by their number, so every map has its part."""
+    grid = cells_of(spark, d).select("sample_id", "row", "col", F.col("ice_conc").alias("value"))
+    maps = grid.agg((F.max("sample_id") + 1).alias("maps"))
+    targets = spark.read.parquet(f"{d}/events.parquet").crossJoin(F.broadcast(maps))  # one row
+    targets = targets.select((F.col("event_id") % F.col("maps")).alias("sample_id"), F.col("event_id").alias("target_id"), (F.col("user_id") * 0.11).alias("y"), (F.col("value") / 40 - 1).alias("x"))
+    return rounded(P.regrid_linear(grid, 2.0, targets, "sample_id"), "value", digits=4)
 
 
 @query("simplify_routes")

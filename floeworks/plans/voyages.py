@@ -363,20 +363,72 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out, "total_km", digits=3), "total_ms", digits=2)
 
 
+def modes_sql(interval: int, budget: str = "12e0") -> str:
+    """Recursive CTE `modes`: a sequence in order, with the mode in force and the step of its last switch."""
+    return (
+        ctes("steps").replace("WITH ", "WITH RECURSIVE ", 1)
+        + f""", u AS (SELECT *, greatest(0e0, coalesce(sum(risk_extra_km) OVER (PARTITION BY sequence_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) / {budget}) AS usage FROM steps),
+        v AS (SELECT *, CASE WHEN usage >= 1 THEN 'hard' WHEN usage >= 0.7e0 THEN 'warn' ELSE 'normal' END AS stage FROM u),
+        t AS (SELECT *, CASE stage WHEN 'hard' THEN 'aggressive' WHEN 'warn' THEN 'conservative' ELSE 'balanced' END AS wanted FROM v),
+        modes AS (SELECT sequence_id, step_index, usage, stage, 'balanced' AS previous_mode, wanted AS mode, wanted <> 'balanced' AS switched, CASE WHEN wanted <> 'balanced' THEN 0 ELSE -10000 END AS last FROM t WHERE step_index = 0
+          UNION ALL SELECT t.sequence_id, t.step_index, t.usage, t.stage, m.mode, CASE WHEN wanted <> m.mode AND t.step_index - last >= {interval} THEN wanted ELSE m.mode END, wanted <> m.mode AND t.step_index - last >= {interval},
+          CASE WHEN wanted <> m.mode AND t.step_index - last >= {interval} THEN t.step_index ELSE last END FROM modes m JOIN t ON t.sequence_id = m.sequence_id AND t.step_index = m.step_index + 1)\n"""
+    )
+
+
+#: Risk that is won back on every third step, so that stages change to and fro.
+WAVES = ("risk_extra_km", "CASE WHEN step_index % 3 = 2 THEN -0.8e0 ELSE 1e0 END * risk_extra_km")
+
+
+def waves(spark: SparkSession, d: str) -> DataFrame:
+    return adapt(spark, d, "steps").withColumn("risk_extra_km", F.expr(WAVES[1].replace("e0", "D")))
+
+
+def waved(sql: str) -> str:
+    return sql.replace("sum(risk_extra_km)", f"sum({WAVES[1]})")
+
+
+@query("risk_budget_modes_interval", waved(modes_sql(3, "1.2e0")) + "SELECT sequence_id, step_index, round(usage, 7) AS usage, stage, mode, previous_mode, switched FROM modes")
+def budget_interval(spark: SparkSession, d: str) -> DataFrame:
+    out = T.risk_budget_modes(waves(spark, d), 1.2, min_interval=3)
+    return rounded(out.select("sequence_id", "step_index", "usage", "stage", "mode", "previous_mode", "switched"), "usage", digits=7)
+
+
+@query("risk_switch_events", waved(modes_sql(2, "1.2e0")) + "SELECT sequence_id, step_index, previous_mode AS from_mode, mode AS to_mode, stage AS budget_stage, round(usage, 6) AS budget_usage, 2 AS cooldown_steps FROM modes WHERE switched")
+def switches(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(T.risk_switch_events(T.risk_budget_modes(waves(spark, d), 1.2, min_interval=2), 2), "budget_usage", digits=6)
+
+
+def trigger_sql(first: str, extra: str) -> str:
+    return (
+        f"""s AS (SELECT sequence_id, step_index, risk_extra_km / 8 - lag(risk_extra_km / 8) OVER (PARTITION BY sequence_id ORDER BY step_index) AS spike, moved_distance_km / 20000 AS blocked, 1 - moved_distance_km / 500 AS corridor, {extra} FROM {first}),
+    b AS (SELECT sequence_id, step_index, concat_ws(',', CASE WHEN step_index = 0 THEN 'initial_step' END, CASE WHEN step_index > 0 AND cached < 2 THEN 'no_cached_path' END, CASE WHEN step_index > 0 AND blocked >= 0.02e0 THEN 'blocked_change_ratio' END, CASE WHEN cached > 0 AND step_index % 11 = 5 THEN 'path_blocked' END,
+      CASE WHEN step_index > 0 AND cached > 0 AND corridor < 0.05e0 THEN 'corridor_mismatch' END, CASE WHEN step_index > 0 AND cached > 0 AND spike >= 0.05e0 THEN 'risk_spike' END) AS base,
+      concat_ws(',', CASE WHEN switched THEN 'risk_mode_switch' END, CASE WHEN stage = 'hard' THEN 'risk_budget_pressure' END) AS more FROM s),
+    f AS (SELECT sequence_id, step_index, base, more, false AS due, step_index AS last FROM b WHERE step_index = 0
+      UNION ALL SELECT b.sequence_id, b.step_index, b.base, b.more, b.step_index - f.last >= 3, CASE WHEN b.base <> '' OR b.more <> '' OR b.step_index - f.last >= 3 THEN b.step_index ELSE f.last END FROM f JOIN b ON b.sequence_id = f.sequence_id AND b.step_index = f.step_index + 1)
+    SELECT sequence_id, step_index, concat_ws(',', nullif(base, ''), CASE WHEN due THEN 'max_skip_steps' END, nullif(more, '')) AS reasons, base <> '' OR due OR more <> '' AS replan FROM f"""
+    )
+
+
+def trigger_steps(s: DataFrame) -> DataFrame:
+    return s.select("sequence_id", "step_index", (F.col("moved_distance_km") / 20000).alias("blocked_change"), (F.col("step_index") % 11 == 5).cast("int").alias("path_blocked"), (1 - F.col("moved_distance_km") / 500).alias("corridor"), (F.col("risk_extra_km") / 8).alias("risk"), *(c for c in ("cached_cells", "stage", "switched") if c in s.columns))
+
+
+@query("replan_triggers", ctes("steps").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + trigger_sql("steps", "2 AS cached, false AS switched, '' AS stage"))
+def triggers(spark: SparkSession, d: str) -> DataFrame:
+    return T.replan_triggers(trigger_steps(adapt(spark, d, "steps"))).select("sequence_id", "step_index", F.array_join("reasons", ",").alias("reasons"), "replan")
+
+
 @query(
-    "replan_triggers",
-    ctes("steps").replace("WITH ", "WITH RECURSIVE ", 1)
-    + """, s AS (SELECT sequence_id, step_index, risk_extra_km / 8 - lag(risk_extra_km / 8) OVER (PARTITION BY sequence_id ORDER BY step_index) AS spike, moved_distance_km / 20000 AS blocked, 1 - moved_distance_km / 500 AS corridor FROM steps),
-    b AS (SELECT sequence_id, step_index, concat_ws(',', CASE WHEN step_index = 0 THEN 'initial_step' END, CASE WHEN step_index > 0 AND blocked >= 0.02e0 THEN 'blocked_change_ratio' END, CASE WHEN step_index % 11 = 5 THEN 'path_blocked' END,
-      CASE WHEN step_index > 0 AND corridor < 0.05e0 THEN 'corridor_mismatch' END, CASE WHEN step_index > 0 AND spike >= 0.05e0 THEN 'risk_spike' END) AS base FROM s),
-    f AS (SELECT sequence_id, step_index, base, false AS due, step_index AS last FROM b WHERE step_index = 0
-      UNION ALL SELECT b.sequence_id, b.step_index, b.base, b.step_index - f.last >= 3, CASE WHEN b.base <> '' OR b.step_index - f.last >= 3 THEN b.step_index ELSE f.last END FROM f JOIN b ON b.sequence_id = f.sequence_id AND b.step_index = f.step_index + 1)
-    SELECT sequence_id, step_index, concat_ws(',', nullif(base, ''), CASE WHEN due THEN 'max_skip_steps' END) AS reasons, base <> '' OR due AS replan FROM f""",
+    "replan_triggers_budget",
+    waved(modes_sql(3, "1.2e0")) + ", " + trigger_sql("steps JOIN modes USING (sequence_id, step_index)", "step_index % 7 AS cached, switched, stage"),
 )
-def triggers(spark: SparkSession, d: str) -> DataFrame:
-    s = adapt(spark, d, "steps")
-    steps = s.select("sequence_id", "step_index", (F.col("moved_distance_km") / 20000).alias("blocked_change"), (F.col("step_index") % 11 == 5).cast("int").alias("path_blocked"), (1 - F.col("moved_distance_km") / 500).alias("corridor"), (F.col("risk_extra_km") / 8).alias("risk"))
-    return T.replan_triggers(steps).select("sequence_id", "step_index", F.array_join("reasons", ",").alias("reasons"), "replan")
+def budget_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """Modes with a minimum interval of three steps; every seventh step has no cached path, another one a path of one cell."""
+    modes = T.risk_budget_modes(waves(spark, d), 1.2, min_interval=3).select("sequence_id", "step_index", "stage", "switched")
+    steps = adapt(spark, d, "steps").join(modes, ["sequence_id", "step_index"]).withColumn("cached_cells", F.col("step_index") % 7)
+    return T.replan_triggers(trigger_steps(steps)).select("sequence_id", "step_index", F.array_join("reasons", ",").alias("reasons"), "replan")
 
 
 @query("replay_slice", ctes("steps") + "SELECT sequence_id, step_index, next_step FROM (SELECT *, lead(step_index) OVER (PARTITION BY sequence_id ORDER BY step_index) AS next_step FROM steps) WHERE step_index BETWEEN 10 AND 20")

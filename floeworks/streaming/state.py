@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
 
 from ..functions.grid import Grid, to_cell
+from ..operators.automaton import scan
 
 
 def source_health(events: DataFrame, now: Column, threshold: int = 3, cooldown_sec: int = 600) -> DataFrame:
@@ -91,6 +92,28 @@ def run_lifecycle(events: DataFrame) -> DataFrame:
     return by.select("run_id", F.when(gone, "recycled").otherwise("active").alias("state"), since.alias("since"))
 
 
+#: The states a run can be in, and what each action makes of them.
+RUN_STATES = (None, "active", "recycled", "purged")
+RUN_ACTIONS = {"create": (1, 1, 2, 1), "delete": (0, 2, 2, 3), "restore": (0, 1, 1, 3), "purge": (0, 3, 2, 3), None: (0, 1, 2, 3)}
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """run_id, state (active, recycled, purged), since of the runs that were ever created, by their events in order.
+
+    create makes a run active, delete recycles it, restore brings it back, purge (a hard delete, of an active run only) ends it until it
+    is created again. The events of a run pass a finite automaton by blocks, so a run of very many is no single fold.
+    """
+    w = W.partitionBy("run_id").orderBy("ts", "event_id")
+    rows = events.where("run_id IS NOT NULL").select("run_id", "ts", "action", (F.row_number().over(w) - 1).alias("i"))
+    names = [a for a in RUN_ACTIONS if a]
+    symbol = F.coalesce(*[F.when(F.col("action") == a, i) for i, a in enumerate(names)], F.lit(len(names)))
+    table = [list(RUN_ACTIONS[a]) for a in (*names, None)]
+    out = scan(rows, "run_id", "i", symbol, table, 0)
+    after = F.element_at(F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in table]), symbol + 1), F.col("state") + 1)
+    last = out.withColumn("after", after).where("after <> state").groupBy("run_id").agg(F.max_by(F.struct("after", "ts"), "i").alias("x"))
+    return last.select("run_id", F.element_at(F.array(*map(F.lit, RUN_STATES)), F.col("x.after") + 1).alias("state"), F.col("x.ts").alias("since"))
+
+
 def freshness(meta: DataFrame, now: Column, warn_hours: float = 24.0, hard_hours: float = 72.0) -> DataFrame:
     """meta (layer, ts) with age_hours, status (fresh, stale, outdated, unknown) and actions."""
     age = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9)
@@ -104,16 +127,35 @@ def worst_freshness(layers: DataFrame) -> DataFrame:
     return layers.agg(F.max(rank).alias("r")).select(F.element_at(F.array(*map(F.lit, ("fresh", "stale", "outdated", "unknown"))), F.coalesce("r", F.lit(3)) + 1).alias("overall"))
 
 
-def risk_budget_modes(steps: DataFrame, budget: float, warn_ratio: float = 0.7, hard_ratio: float = 1.0, modes: tuple[str, str, str] = ("balanced", "conservative", "aggressive")) -> DataFrame:
-    """steps with usage before the step, stage (normal, warn, hard), mode and switched."""
+def risk_budget_modes(steps: DataFrame, budget: float, warn_ratio: float = 0.7, hard_ratio: float = 1.0, modes: tuple[str, str, str] = ("balanced", "conservative", "aggressive"), min_interval: int = 1) -> DataFrame:
+    """steps (sequence_id, step_index from 0, risk_extra_km) with usage before the step, stage (normal, warn, hard), the mode in force, previous_mode and switched.
+
+    A sequence starts in the first mode and takes the mode of its stage, but not before min_interval steps after its last switch.
+    Mode and steps since then (up to the interval) are the states of an automaton, whose maps are composed by blocks.
+    """
     w = W.partitionBy("sequence_id").orderBy("step_index")
     used = F.coalesce(F.sum("risk_extra_km").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     usage = F.greatest(F.lit(0.0), used / budget) if budget > 1e-8 else F.lit(0.0)
-    out = steps.withColumn("usage", usage)
     stage = F.when(F.col("usage") >= hard_ratio, "hard").when(F.col("usage") >= warn_ratio, "warn").otherwise("normal")
-    mode = F.when(stage == "hard", modes[2]).when(stage == "warn", modes[1]).otherwise(modes[0])
-    out = out.withColumn("stage", stage).withColumn("mode", mode)
-    return out.withColumn("switched", F.coalesce(F.lag("mode").over(w) != F.col("mode"), F.lit(False)))
+    names, gap = list(dict.fromkeys(modes)), max(1, min_interval)
+    base, warn, hard = (names.index(m) for m in modes)
+    wanted = F.when(F.col("stage") == "hard", hard).when(F.col("stage") == "warn", warn).otherwise(base)
+
+    def after(state: int, target: int) -> int:
+        mode, steps_since = divmod(state, gap)
+        return target * gap if target != mode and steps_since == gap - 1 else mode * gap + min(steps_since + 1, gap - 1)
+
+    table = [[after(s, t) for s in range(len(names) * gap)] for t in range(len(names))]
+    out = scan(steps.withColumn("usage", usage).withColumn("stage", stage), "sequence_id", "step_index", wanted, table, base * gap + gap - 1)
+    before = F.floor(F.col("state") / gap)
+    switched = (wanted != before) & (F.col("state") % gap == gap - 1)
+    name = lambda i: F.element_at(F.array(*map(F.lit, names)), i.cast("int") + 1)
+    return out.withColumn("switched", switched).withColumn("previous_mode", name(before)).withColumn("mode", F.when(F.col("switched"), name(wanted)).otherwise(F.col("previous_mode"))).drop("state")
+
+
+def risk_switch_events(modes: DataFrame, min_interval: int = 1) -> DataFrame:
+    """The switches among what risk_budget_modes gives: from_mode, to_mode, budget_stage, budget_usage, cooldown_steps."""
+    return modes.where("switched").select("sequence_id", "step_index", F.col("previous_mode").alias("from_mode"), F.col("mode").alias("to_mode"), F.col("stage").alias("budget_stage"), F.round("usage", 6).alias("budget_usage"), F.lit(max(1, min_interval)).alias("cooldown_steps"))
 
 
 def sequence_steps(steps: DataFrame) -> DataFrame:
@@ -123,40 +165,32 @@ def sequence_steps(steps: DataFrame) -> DataFrame:
     return steps.withColumn("total_km", F.sum("moved_distance_km").over(run)).withColumn("total_ms", F.sum("runtime_ms").over(run)).withColumn("is_last", F.lead("step_index").over(w).isNull())
 
 
-def replan_triggers(steps: DataFrame, blocked_ratio: float = 0.02, corridor_min: float = 0.05, risk_spike: float = 0.05, max_skip: int = 3) -> DataFrame:
-    """steps (sequence_id, step_index, blocked_change, path_blocked, corridor, risk) with reasons and replan.
+def replan_triggers(steps: DataFrame, blocked_ratio: float = 0.02, corridor_min: float = 0.05, risk_spike: float = 0.05, max_skip: int = 3, always: bool = False) -> DataFrame:
+    """steps (sequence_id, step_index from 0, blocked_change, path_blocked, corridor, risk) with reasons and replan.
 
-    Whether a step is due because of the steps skipped before it depends on the decisions before, so each sequence is
-    folded in order; what is carried from step to step is one number.
+    Three more columns are read where they are there: cached_cells (below 2: no_cached_path, and 0: the path's own reasons don't hold),
+    switched (risk_mode_switch) and stage (hard: risk_budget_pressure), as risk_budget_modes gives them; these two count at the first
+    step too. With always every later step is due. Whether a step is due because of the steps skipped before it depends on the decisions before;
+    the steps since the last replanning, up to max_skip, are the states of an automaton, whose maps are composed by blocks.
     """
     w = W.partitionBy("sequence_id").orderBy("step_index")
-    base = F.array_compact(
-        F.array(
-            F.when(F.col("step_index") == 0, "initial_step"),
-            F.when((F.col("step_index") > 0) & (F.col("blocked_change") >= blocked_ratio), "blocked_change_ratio"),
-            F.when((F.col("step_index") > 0) & (F.col("path_blocked") > 0), "path_blocked"),
-            F.when((F.col("step_index") > 0) & (F.col("corridor") < corridor_min), "corridor_mismatch"),
-            F.when((F.col("step_index") > 0) & (F.col("risk") - F.lag("risk").over(w) >= risk_spike), "risk_spike"),
-        )
-    )
-    marked = steps.select("sequence_id", F.col("step_index").cast("int").alias("step_index"), base.alias("reasons"))
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = object(), -1
-        for part in parts:
-            due = []
-            for sequence, step, n in zip(part["sequence_id"], part["step_index"], part["reasons"].map(len), strict=True):
-                if sequence != now:
-                    now, last = sequence, -1
-                due.append(last >= 0 and step > 0 and step - last >= max_skip)
-                if n or due[-1]:
-                    last = step
-            yield part.assign(due=due)
-
-    kind = marked.schema["sequence_id"].dataType.simpleString()
-    folded = marked.repartition("sequence_id").sortWithinPartitions("sequence_id", "step_index").mapInPandas(fold, f"sequence_id {kind}, step_index int, reasons array<string>, due boolean")
-    reasons = F.when(F.col("due"), F.concat("reasons", F.array(F.lit("max_skip_steps")))).otherwise(F.col("reasons"))
-    return folded.select("sequence_id", "step_index", reasons.alias("reasons")).withColumn("replan", F.size("reasons") > 0)
+    has = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in steps.columns else F.lit(other)
+    later, path = F.col("step_index") > 0, has("cached_cells", 0 if "cached_cells" in steps.columns else 2)
+    of_path = {
+        "no_cached_path": path < 2,
+        "blocked_change_ratio": (F.col("blocked_change") > 0) & (F.col("blocked_change") >= blocked_ratio),
+        "path_blocked": (path > 0) & (F.col("path_blocked") > 0),
+        "corridor_mismatch": (path > 0) & (F.col("corridor") < corridor_min),
+        "risk_spike": (path > 0) & (F.col("risk") - F.lag("risk").over(w) >= risk_spike),
+    }
+    base = F.array(F.when(~later, "initial_step"), *([F.when(later, "always_mode")] if always else [F.when(later & x, n) for n, x in of_path.items()]))
+    more = F.array(F.when(has("switched", False), "risk_mode_switch"), F.when(has("stage", "") == "hard", "risk_budget_pressure"))
+    marked = steps.select("sequence_id", F.col("step_index").cast("int").alias("step_index"), F.array_compact(base).alias("base"), F.array_compact(more).alias("more"))
+    most = max(1, max_skip)
+    table = [[0, *range(2, most + 1), 1], [1] * (most + 1)]  # state 0: never yet
+    out = scan(marked, "sequence_id", "step_index", ((F.size("base") > 0) | (F.size("more") > 0)).cast("int"), table, 0)
+    due = F.when((F.col("state") == most) & later & F.lit(not always), F.array(F.lit("max_skip_steps"))).otherwise(F.array().cast("array<string>"))
+    return out.select("sequence_id", "step_index", F.concat("base", due, "more").alias("reasons")).withColumn("replan", F.size("reasons") > 0)
 
 
 def stream_heatmap(ais: DataFrame, grid: Grid, window_hours: int = 168, step_hours: int = 6, late_hours: int = 24) -> DataFrame:

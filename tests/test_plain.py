@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floeworks.functions.scalars import uniform
 from floeworks.operators import catalog as C
+from floeworks.operators import graph as G
 from floeworks.operators import reports as P
 from floeworks.operators import routes as R
 
@@ -85,20 +86,21 @@ def test_nearest_free_cell_far_away(spark):
     rng = random.Random(5)
     cells = [(m, r, c, int(rng.random() < (0.999, 0.7, 1.0)[m])) for m in range(3) for r in range(30) for c in range(30)]
     points = [(rng.randrange(3), i, rng.randrange(-5, 40), rng.randrange(30)) for i in range(80)]
-    got = {r["id"]: (r["free_row"], r["free_col"]) for r in R.nearest_free_cell(spark.createDataFrame(points, "m int, id int, row int, col int"), spark.createDataFrame(cells, "m int, row int, col int, blocked int"), 2, key="m").collect()}
+    got = {r["id"]: (r["free_row"], r["free_col"]) for r in R.nearest_free_cell(spark.createDataFrame(points, "m int, id int, row int, col int"), spark.createDataFrame(cells, "m int, row int, col int, blocked int"), key="m").collect()}
     for m, i, r, c in points:
         free = [(a, b) for k, a, b, x in cells if k == m and not x]
         want = min(free, key=lambda p: ((p[0] - r) ** 2 + (p[1] - c) ** 2, p), default=None)
         assert got.get(i) == want
 
 
-def test_components_of_long_shapes(spark):
+@pytest.mark.parametrize("tile", [4, 7, 256])
+def test_components_of_long_shapes(spark, tile):
     snake = {(r, c) for r in range(0, 20, 2) for c in range(20)} | {(r, 19 if r % 4 == 1 else 0) for r in range(1, 19, 2)}
     rng = random.Random(6)
     masks = [snake, {(rng.randrange(20), rng.randrange(20)) for _ in range(120)}, set()]
     cells = spark.createDataFrame([(m, r, c, int((r, c) in on)) for m, on in enumerate(masks) for r in range(20) for c in range(20)], "sample_id int, row int, col int, caution int")
     got = {}
-    for r in P.label_components(cells).collect():
+    for r in G.label_components(cells, tile=tile).collect():
         got.setdefault((r["sample_id"], r["component"]), set()).add((r["row"], r["col"]))
     want = []
     for m, on in enumerate(masks):
