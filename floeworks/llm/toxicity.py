@@ -23,7 +23,9 @@ coefficients. An empty table gives no rows. Other columns are kept; columns name
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,18 @@ SAMPLE, STEMS = 20_000, (4, 5, 6)
 
 #: General insults with their weights.
 BASE = {
-    "idiot": 6.0, "idiots": 6.0, "moron": 6.0, "morons": 6.0, "loser": 6.0, "losers": 6.0, "scum": 6.0, "stupid": 5.0, "dumb": 4.0,
-    "pathetic": 5.0, "worthless": 5.0, "disgusting": 5.0, "trash": 5.0, "clown": 5.0, "imbecile": 6.0, "bastard": 6.0, "filth": 5.0, "vermin": 5.0,
+    "idiot": 6.0, "idiots": 6.0, "idiotic": 5.0, "moron": 6.0, "morons": 6.0, "moronic": 5.0, "loser": 6.0, "losers": 6.0, "scum": 6.0, "scumbag": 6.0, "stupid": 5.0, "dumb": 4.0, "dumbass": 6.0,
+    "pathetic": 5.0, "worthless": 5.0, "disgusting": 5.0, "trash": 5.0, "clown": 5.0, "imbecile": 6.0, "imbeciles": 6.0, "bastard": 6.0, "bastards": 6.0, "filth": 5.0, "vermin": 5.0,
+    "asshole": 6.0, "assholes": 6.0, "bitch": 6.0, "bitches": 6.0, "cretin": 6.0, "dimwit": 6.0, "dipshit": 6.0, "douchebag": 6.0, "fuck": 5.0, "fucking": 5.0, "halfwit": 6.0, "jackass": 6.0, "jerk": 4.0, "lowlife": 6.0,
+    "nitwit": 6.0, "parasite": 4.0, "pig": 3.0, "prick": 5.0, "retard": 6.0, "retarded": 6.0, "shithead": 6.0, "slut": 6.0, "twat": 6.0, "wanker": 6.0, "whore": 6.0, "weasel": 3.0,
 }
 
 #: Phrases in which such words are harmless.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown car", "circus clown", "stupid simple", "dumb bell", "dumb waiter", "dumb terminal", "pathetic fallacy", "not stupid", "not an idiot", "sore loser board")
+EXCEPTIONS = (
+    "trash can", "trash cans", "trash bin", "trash bins", "trash bag", "trash bags", "trash talk", "clown fish", "clown car", "circus clown", "clown shoes", "stupid simple", "dumb bell", "dumb bells", "dumb waiter", "dumb terminal", "dumb luck",
+    "pathetic fallacy", "not stupid", "not an idiot", "not a moron", "sore loser board", "winner and loser", "winners and losers", "guinea pig", "guinea pigs", "pig iron", "pig farm", "pig farmer", "soda jerk", "jerk chicken", "jerk seasoning", "knee jerk",
+    "prick test", "pin prick", "fire retard", "flame retard", "weasel words", "least weasel", "host parasite", "malaria parasite", "parasite load", "vermin control", "pond scum", "soap scum", "line bastard file",
+)
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -112,8 +120,12 @@ class Matcher:
             weight = max(whole if closed else 0.0, stem)
             if weight > best.get(start, (0, 0.0))[1]:
                 best[start] = (after, weight)
-        total = sum(w for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in excused))
-        return total, len(t.split())
+        if excused:
+            excused.sort()
+            starts, reach = [a for a, _ in excused], list(accumulate((b for _, b in excused), max))
+            # how far the spans reach that begin no later than the hit
+            best = {s: x for s, x in best.items() if not (k := bisect_right(starts, s)) or reach[k - 1] < x[0]}
+        return sum(w for _, w in best.values()), len(t.split())
 
 
 _matchers: dict[int, Matcher] = {}
