@@ -59,7 +59,7 @@ def by_rules(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataF
     """pages with host, path, rule and rule_verdict (null where no rule fits)."""
     out = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, text in sorted(rules, key=lambda r: len(r[1])):
+    for v, text in sorted(reversed(rules), key=lambda r: len(r[1])):  # the last that fits stays
         host, path = text[: text.index("/")], text[text.index("/") :]
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
