@@ -7,12 +7,13 @@ as far as its rows go (each row three times); the costs are convex, so text that
 whichever source asks for it. A source takes at most three times its own rows of a pattern. Capacity is opened by
 rising cost and each time filled up by a maximal flow, which gives a cheapest flow because sets of supplies that
 quotas can take are a polymatroid. The flow is solved on the driver, over patterns and sources only: sources are a
-dimension (at most SOURCES, else an error), and texts of patterns beyond the PATTERNS largest are treated as if
-their source alone held them; quotas are met just the same.
+dimension (at most SOURCES, else an error). Of patterns beyond the PATTERNS largest no list is kept: each of their texts is given
+by one of its sources, drawn by hash, like that source's own; in the others its rows are one late pattern, which costs from the
+start what a second time costs. So fresh text goes first there too, and quotas are met just the same.
 
 Each source then takes whole passes over its rows of a pattern; one pattern of a source, its own texts where that is
 possible, also gives a part of a pass: rows in the order of a seeded hash of doc_id up to the rest of its tokens, and
-at last the one row that comes nearest to what is still missing. That part is found by summing 4096 slices of the
+then, from the largest down, rows that fit into what is still missing, so a source ends within its smallest row left. That part is found by summing 4096 slices of the
 hash and ordering only the slice in which it ends, so no source is ordered whole. Reruns agree.
 
 Null texts have size 0 and take no words; very long texts count like others. A null source is a source of its own,
@@ -25,8 +26,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from fractions import Fraction
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -35,6 +39,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 REPEAT_COSTS = (1, 2, 4, 8)
 MOST = 3
 SLICES = 4096
+FILLERS = 1024
+LATE = -1
 SOURCES, PATTERNS, SMALL = 100_000, 20_000, 100_000
 
 
@@ -114,10 +120,11 @@ class Flow:
                     break
 
 
-def route(units: Sequence[int], cells: Sequence[dict[int, int]], quotas: Sequence[int], costs: Sequence[int] = REPEAT_COSTS) -> list[dict[int, int]]:
+def route(units: Sequence[int], cells: Sequence[dict[int, int]], quotas: Sequence[int], costs: Sequence[int] = REPEAT_COSTS, late: range = range(0)) -> list[dict[int, int]]:
     """Tokens from each pattern to each of its sources: a cheapest flow among the largest ones.
 
-    units are the tokens of a pattern's different texts, cells the most that each of its sources may take.
+    units are the tokens of a pattern's different texts, cells the most that each of its sources may take. The patterns
+    in late hold texts that another pattern gives first: theirs cost as much as a second time.
     """
     p, s = len(units), len(quotas)
     root, sink = p + s, p + s + 1
@@ -130,25 +137,24 @@ def route(units: Sequence[int], cells: Sequence[dict[int, int]], quotas: Sequenc
     for turn, _ in enumerate(sorted(costs)):
         for i in range(p):
             rest = sum(cells[i].values()) - given[i]
-            more = rest if turn == len(costs) - 1 else min(units[i], rest)
+            more = rest if turn == len(costs) - 1 else 0 if turn == 0 and i in late else min(units[i], rest)
             flow.left[supply[i]] += more
             given[i] += more
         flow.fill(root, sink)
     return [{j: flow.left[k ^ 1] for j, k in row.items()} for row in to]
 
 
-def rounded(flow: Sequence[dict[int, int]], sizes: Sequence[dict[int, int]]) -> list[dict[int, int]]:
-    """The flow with whole passes over the rows that patterns of several sources have in a source, wherever the source's own texts make up for it."""
+def rounded(flow: Sequence[dict[int, int]], sizes: Sequence[dict[int, int]], own: int) -> list[dict[int, int]]:
+    """The flow with whole passes over the rows that the patterns from own on have in a source, wherever the source's own texts (its pattern before own) make up for it."""
     out = [dict(row) for row in flow]
-    alone = {next(iter(row)): i for i, row in enumerate(sizes) if len(row) == 1}
     for i, row in enumerate(sizes):
-        for j, size in row.items() if len(row) > 1 else ():
-            if not size or j not in alone:
+        for j, size in row.items() if i >= own else ():
+            if not size:
                 continue
             whole = min(MOST, (2 * out[i][j] + size) // (2 * size)) * size
-            own = out[alone[j]][j] + out[i][j] - whole
-            if 0 <= own <= MOST * sizes[alone[j]][j]:
-                out[i][j], out[alone[j]][j] = whole, own
+            rest = out[j][j] + out[i][j] - whole
+            if 0 <= rest <= MOST * sizes[j][j]:
+                out[i][j], out[j][j] = whole, rest
     return out
 
 
@@ -162,11 +168,11 @@ def sized(docs: DataFrame, source: str = "source", column: str = "text") -> Data
     return docs.select("doc_id", F.col(source).alias("source"), word_count(column).alias("size"), F.xxhash64(column).alias("key"))
 
 
-def plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 0) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 0) -> tuple[Decided, DataFrame | None, DataFrame]:
     """What each cell (the rows that a pattern has in a source) takes, the cells of texts held by several sources, and each source's size and target.
 
-    rows is sized(). The first table has source, pattern (null: texts of this source alone), passes and the bounds of
-    a part of a pass; the second key, size and pattern (None without such texts); the third source, source_size, target.
+    rows is sized(). The first has source, pattern (null: texts that this source gives, LATE: those that another gives first), passes and the bounds of
+    a part of a pass, and the rows that fill it up; the second key, size and pattern (None without such texts); the third source, source_size, target.
     """
     spark = rows.sparkSession
     by_text = rows.where("size > 0").groupBy("key", "size", "source").agg(F.count(F.lit(1)).alias("n"))
@@ -175,15 +181,16 @@ def plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 0) ->
     held = [(tuple(x["source"] for x in r["held"]), r["unit"]) for r in held.orderBy(F.desc("unit"), "held").limit(PATTERNS).collect()]
     number = {names: i for i, (names, _) in enumerate(held)}
     shared = None
-    if held:
+    if not texts.isEmpty():
         names = F.broadcast(spark.createDataFrame([([(x,) for x in k], i) for k, i in number.items()], "held array<struct<source:string>>, pattern int"))  # PATTERNS rows
-        shared = written(texts.join(names, "held").select("key", "size", "pattern"))
+        owner = F.get("held", F.pmod(F.xxhash64("key", F.lit(seed)), F.size("held")).cast("int"))
+        shared = written(texts.join(names, "held", "left").select("key", "size", "pattern", F.when(F.col("pattern").isNull(), owner).alias("owner")))
     placed = with_pattern(rows, shared)
     sums = placed.groupBy("source", "pattern").agg(F.sum("size").alias("size"))
-    found = sums.limit(SOURCES + 10 * PATTERNS + 1).collect()
+    found = sums.limit(2 * SOURCES + 10 * PATTERNS + 1).collect()
     by = {(r["source"], r["pattern"]): r["size"] for r in found}
     names = sorted({s for s, _ in by}, key=lambda x: (x is None, x or ""))
-    if len(found) > SOURCES + 10 * PATTERNS or len(names) > SOURCES:
+    if len(found) > 2 * SOURCES + 10 * PATTERNS or len(names) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     index = {x: i for i, x in enumerate(names)}
     sizes = [by.get((x, None), 0) for x in names]
@@ -191,36 +198,95 @@ def plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 0) ->
         if p is not None:
             sizes[index[x]] += size
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
-    cells = [{index[x]: by.get((x, None), 0)} for x in names] + [{index[x]: by[x, i] for x in k if (x, i) in by} for k, i in number.items()]
-    units = [next(iter(c.values())) for c in cells[: len(names)]] + [u for _, u in held]
-    flow = rounded(route(units, [{j: MOST * n for j, n in c.items()} for c in cells], [round(g) for g in goal]), cells)
-    takes = []
-    for i, (row, cell) in enumerate(zip(flow, cells, strict=True)):
-        for j, x in row.items():
-            whole, rest = divmod(x, cell[j]) if cell[j] else (0, 0)
-            takes.append((names[j], None if i < len(names) else i - len(names), whole, rest))
-    takes = spark.createDataFrame(takes, "source string, pattern int, passes long, rest long")
-    parts = placed.withColumn("h", _hash(seed)).join(F.broadcast(takes.where("rest > 0").select(*_as("t"), "rest")), _same("t"))  # a row for each cell
-    width = 2**32 // SLICES
+    late = [x for x in names if (x, LATE) in by]
+    labels = [None] * len(names) + [LATE] * len(late) + list(range(len(held)))
+    cells = [{index[x]: by.get((x, None), 0)} for x in names] + [{index[x]: by[x, LATE]} for x in late] + [{index[x]: by[x, i] for x in k if (x, i) in by} for k, i in number.items()]
+    units = [next(iter(c.values())) for c in cells[: len(names) + len(late)]] + [u for _, u in held]
+    flow = route(units, [{j: MOST * n for j, n in c.items()} for c in cells], [round(g) for g in goal], late=range(len(names), len(names) + len(late)))
+    flow = rounded(flow, cells, len(names))
+    takes = {(names[j], p): (x, cell[j]) for p, row, cell in zip(labels, flow, cells, strict=True) for j, x in row.items()}
+    placed = placed.withColumn("h", _hash(seed))
+    # what a pattern of several sources can't give exactly is carried to the source's own texts
+    lines, extras = {}, []
+    several = {k: divmod(x, size) for k, (x, size) in takes.items() if k[1] is not None and size and x % size}
+    if several:
+        lines, extra, given = _parts(placed, several)
+        extras.append(extra)
+        for (name, p), (_, rest) in several.items():
+            if takes[name, None][1]:
+                x, size = takes[name, None]
+                takes[name, None] = max(0, min(MOST * size, x + rest - given.get((name, p), 0))), size
+    own = {k: divmod(x, size) for k, (x, size) in takes.items() if k[1] is None and size and x % size}
+    more, extra, _ = _parts(placed, own)
+    lines, extras = lines | more, [*extras, extra]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    decided = [(*k, x // size if size else 0, *lines.get(k, (None,) * 4)) for k, (x, size) in takes.items()]
+    decided = spark.createDataFrame(decided, f"source string, pattern int, passes long, from_h long, cut_h long, cut_id {kind}, cut_size long")
+    return Decided(decided, reduce(DataFrame.unionByName, extras)), shared, spark.createDataFrame(list(zip(names, sizes, goal, strict=True)), "source string, source_size long, target double")
+
+
+Cell = tuple[str | None, int | None]
+
+
+def _parts(placed: DataFrame, shares: dict[Cell, tuple[int, int]]) -> tuple[dict[Cell, tuple], DataFrame, dict[Cell, int]]:
+    """For cells that take whole passes and a part of one (in words): the bounds of the rows taken in order of h, the rows that fill up, and the words both give."""
+    spark, kind, width = placed.sparkSession, placed.schema["doc_id"].dataType.simpleString(), 2**32 // SLICES
+    asked = spark.createDataFrame([(*k, r) for k, (_, r) in shares.items()], "t_source string, t_pattern int, rest long")
+    parts = placed.join(F.broadcast(asked), _same("t"))  # a row for each cell
     slices = parts.groupBy("source", "pattern", "rest", F.floor(F.col("h") / width).cast("long").alias("slice")).agg(F.sum("size").alias("size"))
     slices = slices.selectExpr("source", "pattern", "rest", "slice", "sum(size) OVER (PARTITION BY source, pattern ORDER BY slice) AS upto", "size")
     ends = slices.where("upto > rest").groupBy("source", "pattern").agg(F.min(F.struct("slice", F.expr("rest - (upto - size) AS inside"))).alias("e"))
     ends = [(r["source"], r["pattern"], r["e"]["slice"] * width, r["e"]["inside"]) for r in ends.collect()]
     bounds = F.broadcast(spark.createDataFrame(ends, "t_source string, t_pattern int, from_h long, inside long"))
-    last = placed.withColumn("h", _hash(seed)).join(bounds, _same("t")).where(f"h >= from_h AND h < from_h + {width}")
+    last = placed.join(bounds, _same("t")).where(f"h >= from_h AND h < from_h + {width}")
     last = last.selectExpr("source", "pattern", "inside", "struct(h, doc_id, size) AS place", "sum(size) OVER (PARTITION BY source, pattern ORDER BY h, doc_id, size) AS upto")
     cut = last.where("upto <= inside").groupBy("source", "pattern").agg(F.max("place").alias("cut"), F.max("upto").alias("filled"))
     cut = {(r["source"], r["pattern"]): (r["cut"], r["filled"]) for r in cut.collect()}
-    lines = [(x, p, f, *(tuple(cut[x, p][0]) if (x, p) in cut else (-1, None, None)), i - (cut[x, p][1] if (x, p) in cut else 0)) for x, p, f, i in ends]
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    part = F.broadcast(spark.createDataFrame(lines, f"t_source string, t_pattern int, from_h long, cut_h long, cut_id {kind}, cut_size long, missing long"))
-    spare = placed.withColumn("h", _hash(seed)).join(part, _same("t")).where(~_before()).where("abs(size - missing) < missing")
-    top = spare.groupBy("source", "pattern").agg(F.min(F.expr("struct(abs(size - missing) AS off, h, doc_id, size)")).alias("top"))
-    top = {(r["source"], r["pattern"]): r["top"] for r in top.collect()}
-    line = {x[:2]: x[2:6] for x in lines}
-    decided = [(r["source"], r["pattern"], r["passes"], *line.get((r["source"], r["pattern"]), (None,) * 4), *((t["h"], t["doc_id"], t["size"]) if (t := top.get((r["source"], r["pattern"]))) else (None,) * 3)) for r in takes.collect()]
-    decided = spark.createDataFrame(decided, f"source string, pattern int, passes long, from_h long, cut_h long, cut_id {kind}, cut_size long, top_h long, top_id {kind}, top_size long")
-    return decided, shared, spark.createDataFrame(list(zip(names, sizes, goal, strict=True)), "source string, source_size long, target double")
+    lines = {(x, p): (f, *(tuple(cut[x, p][0]) if (x, p) in cut else (-1, None, None))) for x, p, f, _ in ends}
+    missing = {(x, p): i - (cut[x, p][1] if (x, p) in cut else 0) for x, p, _, i in ends}
+    bounds = F.broadcast(spark.createDataFrame([(*k, *line, missing[k], MOST - shares[k][0]) for k, line in lines.items()], f"t_source string, t_pattern int, from_h long, cut_h long, cut_id {kind}, cut_size long, missing long, most int"))
+    extra = written(_fillers(placed.join(bounds, _same("t")).withColumn("fresh", (~_before()).cast("int"))))
+    filled = {(r["source"], r["pattern"]): r["weight"] for r in extra.groupBy("source", "pattern").agg(F.sum("weight").alias("weight")).collect()}
+    given = {k: shares[k][1] - missing[k] + filled.get(k, 0) for k in lines}
+    return lines, extra.drop("weight"), given
+
+
+class Decided(NamedTuple):
+    """What the mix takes: a row for each cell (passes, and the bounds of a part of a pass), and the rows that fill it up."""
+
+    cells: DataFrame
+    extra: DataFrame
+
+
+def _fillers(rows: DataFrame) -> DataFrame:
+    """Rows of cells with missing -> source, pattern, h, doc_id, size, copies and weight (of all copies, equal rows together) of those that fill up what is missing.
+
+    Rows that the part of a pass has not reached (fresh) go first, once each, then any as often as rows may still be taken; both
+    from the largest size down, as long as they fit, and at last one more of the smallest if that comes nearer. A cell offers at most FILLERS
+    rows of each power of two of sizes, fresh or not, the first by hash.
+    """
+    rows = rows.where("size > 0").groupBy("source", "pattern", "missing", "most", "fresh", "h", "doc_id", "size").agg(F.sum("size").alias("weight")).where("weight < 2 * missing")
+    place = F.row_number().over(Window.partitionBy("source", "pattern", "fresh", F.floor(F.log2("weight"))).orderBy("h", "doc_id", "size"))
+    some = rows.withColumn("place", place).where(F.col("place") <= FILLERS)
+    schema = rows.select("source", "pattern", "h", "doc_id", "size", F.lit(0).cast("long").alias("copies"), "weight").schema
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["weight", "h", "doc_id", "size"], ascending=[False, True, True, True])
+        missing, most = int(pdf["missing"].iloc[0]), int(pdf["most"].iloc[0])
+        weight, fresh, copies = pdf["weight"].tolist(), pdf["fresh"].tolist(), [0] * len(pdf)
+        for turn in (0, 1):
+            for i, w in enumerate(weight):
+                left = most - (1 - fresh[i]) - copies[i] if turn else fresh[i]
+                n = min(left, missing // w)
+                copies[i] += n
+                missing -= n * w
+        near = min((w - missing, i) for i, w in enumerate([*weight, 2 * missing]) if i == len(weight) or copies[i] < most - (1 - fresh[i]))
+        if near[0] < missing:
+            copies[near[1]] += 1
+        out = pdf.assign(copies=copies)
+        return out.assign(weight=out["copies"] * out["weight"])[out["copies"] > 0][schema.names]
+
+    return some.groupBy("source", "pattern").applyInPandas(fill, schema)
 
 
 def _as(side: str) -> list[Column]:
@@ -232,23 +298,29 @@ def _same(side: str) -> Column:
 
 
 def with_pattern(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
-    """rows (key, size and any more) with the pattern of their text, null where one source holds it."""
+    """rows (key, size, source and any more) with the pattern of their text, null where this source is the one that gives it."""
     if shared is None:
         return rows.withColumn("pattern", F.lit(None).cast("int"))
     small = shared.limit(SMALL + 1).count() <= SMALL
-    return rows.join(F.broadcast(shared) if small else shared, ["key", "size"], "left")
+    other = F.col("owner").isNotNull() & ~F.col("owner.source").eqNullSafe(F.col("source"))
+    out = rows.join(F.broadcast(shared) if small else shared, ["key", "size"], "left")
+    return out.withColumn("pattern", F.when(other, LATE).otherwise(F.col("pattern"))).drop("owner")
 
 
 def _before() -> Column:
     return F.expr("h < from_h OR coalesce(struct(h, doc_id, size) <= struct(cut_h, cut_id, cut_size), false)")
 
 
-def take(rows: DataFrame, decided: DataFrame, shared: DataFrame | None, seed: int = 0) -> DataFrame:
+def take(rows: DataFrame, decided: Decided, shared: DataFrame | None, seed: int = 0) -> DataFrame:
     """rows (sized() and any more columns) with times: how often the mix takes each one."""
-    cells = decided.withColumnsRenamed({"source": "t_source", "pattern": "t_pattern"})
+    cells = decided.cells.withColumnsRenamed({"source": "t_source", "pattern": "t_pattern"})
     made = with_pattern(rows, shared).withColumn("h", _hash(seed)).join(F.broadcast(cells), _same("t"), "left")  # a row for each cell
-    chosen = F.coalesce(_before(), F.lit(False)) | F.coalesce(F.expr("top_h IS NOT NULL AND h = top_h AND doc_id <=> top_id AND size = top_size"), F.lit(False))
-    return made.withColumn("times", F.when(F.col("size") > 0, F.col("passes") + chosen.cast("long")).otherwise(0)).select(*rows.columns, "times")
+    extra = decided.extra.select(*_as("e"), F.col("h").alias("e_h"), F.col("doc_id").alias("e_id"), F.col("size").alias("e_size"), "copies")
+    small = extra.limit(SMALL + 1).count() <= SMALL
+    same = (F.col("h") == F.col("e_h")) & (F.col("size") == F.col("e_size")) & F.col("doc_id").eqNullSafe(F.col("e_id")) & _same("e")
+    made = made.join(F.broadcast(extra) if small else extra, same, "left")
+    more = F.coalesce(_before(), F.lit(False)).cast("long") + F.coalesce("copies", F.lit(0).cast("long"))
+    return made.withColumn("times", F.when(F.col("size") > 0, F.col("passes") + more).otherwise(0)).select(*rows.columns, "times")
 
 
 def mixed(docs: DataFrame, source: str = "source", column: str = "text", weights: Sequence[int] = (5, 2, 1), seed: int = 0) -> tuple[DataFrame, DataFrame]:
