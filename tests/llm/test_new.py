@@ -45,9 +45,7 @@ ITEMS = [
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("new"))
     docs = [*documents(), (None, "alpha bravo without an id", "en", None, 1, 0.5, "clash", -1)]
-    write(spark, path, (docs, [], [], []))
-    spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string, depth string").write.parquet(f"{path}/conversations.parquet")
-    spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id long, text string, score int").write.parquet(f"{path}/benchmark.parquet")
+    write(spark, path, (docs, [], [], []), conversations(), [(i, t, 1) for i, t in ITEMS])
     return path
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -98,7 +99,7 @@ def test_large_leaves_keep_their_templates(spark, monkeypatch):
     assert all("written by" not in text for _, text, _ in got[0])
 
 
-def test_stretches_find_all_templates():
+def test_probes_find_all_templates():
     def greedy(some, agree):
         made, out = [], []
         for i, line in enumerate(some):
@@ -116,8 +117,41 @@ def test_stretches_find_all_templates():
     for size in range(1, 24):
         for head in (["a", "b", "c"], ["a", lines.VARIABLE, "c"], [lines.VARIABLE] * 3):
             some = [(head + [rng.choice(["x", "x", "x", "y", "z", lines.VARIABLE]) for _ in range(size)])[:size] for _ in range(60)]
-            made = lines.Templates(0.7)
-            assert [made.of(i, x) for i, x in enumerate(some)] == greedy(some, 0.7) == lines.templates(some, 0.7)
+            assert lines.templates(some, 0.7, lines.LEADING) == greedy(some, 0.7) == lines.templates(some, 0.7)
+
+
+def unlike(rng, n):
+    """Lines of 20 words with one opening of five and else unlike, some of them of a common form."""
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    out = [" ".join(["one", "of", "the", "most", "common", *(rng.choice(words) for _ in range(15))]) for _ in range(n)]
+    form = [rng.choice(words) for _ in range(13)]
+    return out + [" ".join(["one", "of", "the", "most", "common", rng.choice(words), *form, rng.choice(words)]) for _ in range(n // 100)]
+
+
+def test_unlike_lines_with_one_opening_in_one_leaf():
+    rng = random.Random(3)
+    some = [x.split() for x in unlike(rng, 20_000)]
+    began = time.time()
+    made = lines.templates(some, 0.7, lines.LEADING)
+    assert time.time() - began < 20
+    assert len(set(made[:20_000])) == 20_000 and len(set(made[20_000:])) == 1
+
+
+def test_unlike_lines_are_many_tasks(spark):
+    rng = random.Random(4)
+    docs = [(i, x) for i, x in enumerate(unlike(rng, 30_000))]
+    cut = []
+    real = lines._cut
+    began = time.time()
+    try:
+        lines._cut = lambda fetched: cut.append(real(fetched)) or cut[-1]
+        got = lines.without_recurring(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()
+    finally:
+        lines._cut = real
+    assert time.time() - began < 90
+    assert {r["doc_id"] for r in got if r["n_dropped"]} == set(range(30_000, 30_300))
+    sizes = [r["count"] for r in cut[0].groupBy("leaf").count().collect()]
+    assert len(sizes) > 1000 or max(sizes) < sum(sizes)
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, `__at` string"

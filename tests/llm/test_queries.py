@@ -46,8 +46,10 @@ def documents():
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, n_words int"
 
 
-def write(spark, folder, rows):
+def write(spark, folder, rows, conversations=(), items=()):
     docs, pages, labels, vectors = rows
+    spark.createDataFrame(list(conversations), "conv_id long, turn long, role string, text string, depth string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string, score int").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(docs, DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string, rule string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
