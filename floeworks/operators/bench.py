@@ -133,6 +133,24 @@ def casebook_counts(cases: DataFrame) -> DataFrame:
     return rows.groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def casebook_index(cases: DataFrame) -> DataFrame:
+    """kind (tag, planner), value, position (from 1), case_id: the cases of each tag and planner in order; as rows, since a tag may have a third of all cases.
+
+    cases come from numbered_cases(); positions are counts of ranges of run_id and places within a range.
+    """
+    rows = cases.select("case_id", "run_id", F.when(F.col("case_type") == "failed", 0).otherwise(1).alias("k"), F.explode(F.concat(F.transform("tags", lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("value"))), F.array(F.struct(F.lit("planner").alias("kind"), F.col("planner").alias("value"))))).alias("x")).select("case_id", "run_id", "k", "x.*")
+    part = rows.withColumn("bucket", F.floor(F.col("run_id") / 4096))
+    sums = part.groupBy("kind", "value", "k", "bucket").agg(F.count(F.lit(1)).alias("n")).selectExpr("kind", "value", "k", "bucket", "sum(n) OVER (PARTITION BY kind, value ORDER BY k, bucket) - n AS before")
+    ranked = part.join(sums, ["kind", "value", "k", "bucket"]).selectExpr("*", "before + row_number() OVER (PARTITION BY kind, value, k, bucket ORDER BY run_id) AS position")
+    return ranked.select("kind", "value", "position", "case_id")
+
+
+def failure_index(banded: DataFrame) -> DataFrame:
+    """The runs that are not ok with their stratum: strata_key, the three bands, run_id, planner, mode, status."""
+    key = F.concat_ws("|", "volatility_band", "risk_band", "distance_band")
+    return banded.where(~_ok() | F.col("status").isNull()).select(key.alias("strata_key"), "volatility_band", "risk_band", "distance_band", "run_id", "planner", "mode", "status")
+
+
 def union_bench(static: DataFrame, dynamic: DataFrame) -> DataFrame:
     return static.unionByName(dynamic, allowMissingColumns=True)
 
@@ -186,4 +204,5 @@ def effect_sizes(moments_: DataFrame) -> DataFrame:
     b = moments_.select(*(F.col(c).alias(f"{c}_b") for c in moments_.columns))
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("variance_a") + (F.col("n_b") - 1) * F.col("variance_b")) / F.greatest(F.col("n_a") + F.col("n_b") - 2, F.lit(1)))
     diff = F.col("mean_a") - F.col("mean_b")
-    return a.join(b, F.col("planner_a") < F.col("planner_b")).select("planner_a", "planner_b", diff.alias("difference"), F.when(pooled > 1e-12, diff / pooled).otherwise(0.0).alias("effect_size"))
+    one = lambda df: df.withColumn("__one", F.lit(1))  # noqa: E731  a dimension of planners meets itself
+    return one(a).join(F.broadcast(one(b)), "__one").where("planner_a < planner_b").select("planner_a", "planner_b", diff.alias("difference"), F.when(pooled > 1e-12, diff / pooled).otherwise(0.0).alias("effect_size"))

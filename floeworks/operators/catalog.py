@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import month_key, stamp
+from .selection import quantiles
 
 
 def expected_axis(ts: DataFrame, step_hours: int = 1) -> DataFrame:
@@ -203,8 +204,8 @@ def quality_gate(checks: DataFrame) -> DataFrame:
     return out.select(status.alias("status"), (F.col("blockers") > 0).alias("block_release"), F.col("blockers").cast("long").alias("blockers"), F.col("warnings").cast("long").alias("warnings"), F.col("fails").cast("long").alias("fails"))
 
 
-def data_quality_checks(samples: DataFrame, layers: DataFrame, times: DataFrame) -> DataFrame:
-    """name, score, raw_status, severity, status of four checks over samples, layer files and the timeline."""
+def data_quality_checks(samples: DataFrame, layers: DataFrame, times: DataFrame, numeric: DataFrame | None = None) -> DataFrame:
+    """name, score, raw_status, severity, status of the checks over samples, layer files and the timeline, and with numeric (numeric_quality()) over values."""
     n = samples.agg(F.count(F.lit(1)).alias("n"))
     have = layers.groupBy("layer").agg(F.count_distinct("sample_id").alias("present"))
     wide = have.agg(*(F.coalesce(F.max(F.when(F.col("layer") == x, F.col("present"))), F.lit(0)).alias(x) for x in LAYERS)).crossJoin(n)
@@ -217,11 +218,33 @@ def data_quality_checks(samples: DataFrame, layers: DataFrame, times: DataFrame)
     gaps = timeline_gaps(times).agg(F.count(F.lit(1)).alias("g")).crossJoin(deltas)
     timeline = gaps.select(F.lit("timeline_continuity").alias("name"), (1 - F.col("g") / F.greatest(F.col("d"), F.lit(1))).alias("score"), F.lit(0).alias("lazy"))
     all_ = required.unionByName(shape).unionByName(auxiliary).unionByName(timeline)
+    if numeric is not None:
+        all_ = all_.unionByName(numeric.select(F.lit("numeric_quality_sampled").alias("name"), "score", F.lit(0).alias("lazy")))
     raw = score_status(F.col("score"))
     all_ = all_.select("name", F.round("score", 6).alias("score"), F.when((raw == "pass") & (F.col("lazy") == 1), "warn").otherwise(raw).alias("raw_status"))
     return with_policy(all_)
 
 
+def numeric_quality(cells: DataFrame, channels: list[str], key: str = "sample_id") -> DataFrame:
+    """One row over all maps: maps, mean and p95 of their shares of values that are no finite number, over all cells, sea and land, blocked_mean, channel_counts and score.
+
+    A map's channels are those with a value anywhere. Quantiles are exact and found by counts.
+    """
+    bad = [(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).cast("int") for c in channels]
+    rows = cells.select(key, (F.col("blocked") > 0).alias("land"), sum(bad[1:], bad[0]).alias("bad"), *(F.col(c).isNotNull().cast("int").alias(f"__{c}") for c in channels))
+    share = lambda where: F.sum(F.when(where, F.col("bad"))) / (F.count(F.when(where, 1)) * len(channels))
+    by = rows.groupBy(key).agg(share(F.lit(True)).alias("all"), share(~F.col("land")).alias("sea"), share(F.col("land")).alias("on_land"), F.avg(F.col("land").cast("double")).alias("blocked"), sum((F.max(f"__{c}") for c in channels[1:]), F.max(f"__{channels[0]}")).alias("channels"))
+    long = by.unpivot([key], ["all", "sea", "on_land"], "metric", "value")
+    tops = quantiles(long, ["metric"], "value", {"p95": 0.95})
+    tops = tops.agg(*(F.max(F.when(F.col("metric") == m, F.col("p95"))).alias(f"{m}_p95") for m in ("all", "sea", "on_land")))
+    out = by.agg(F.count(F.lit(1)).alias("maps"), *(F.avg(m).alias(f"{m}_mean") for m in ("all", "sea", "on_land")), F.coalesce(F.avg("blocked"), F.lit(0.0)).alias("blocked_mean"), F.count_distinct("channels").alias("channel_counts")).crossJoin(tops)  # one row each
+    p95 = F.col("all_p95")
+    score = F.when(p95.isNull(), 0.0).when(p95 > 0.6, 0.5).when(p95 > 0.4, 0.75).when(p95 > 0.3, 0.9).otherwise(1.0)
+    score = score * F.when(F.col("sea_p95") > 0.65, 0.8).otherwise(1.0) * F.when(F.col("channel_counts") > 1, 0.7).otherwise(1.0)
+    names = {"all": "nan_ratio", "sea": "sea_nan_ratio", "on_land": "land_nan_ratio"}
+    return out.select("maps", *(F.round(f"{m}_{x}", 6).alias(f"{n}_{x}") for m, n in names.items() for x in ("mean", "p95")), F.round("blocked_mean", 6).alias("blocked_ratio_mean"), "channel_counts", F.round(score, 6).alias("score"))
+
+
 def numbered(df: DataFrame, *order: str, into: str = "i", ranges: int = 256) -> DataFrame:
     """df with the place of each row (from 0) in the order of columns; equal rows in any order.
 
@@ -316,3 +339,69 @@ def month_audit(times: DataFrame, per_day: int = 4) -> DataFrame:
     return by.select(F.date_format("month", "yyyy-MM").alias("month"), "actual", expected.cast("long").alias("expected"), (F.col("actual") >= expected).alias("complete"))
 
 
+#: Names of timestamp folders and of prediction files.
+TIMESTAMP_NAME = r"^\d{4}-\d{2}-\d{2}_\d{2}$"
+PREDICTION_NAME = r"^\d{4}-\d{2}-\d{2}_\d{2}(_uncertainty)?\.npy$"
+
+
+def naming_check(names: DataFrame, pattern: str, check: str) -> DataFrame:
+    """One row of a check over names (name): check, status (warn if a name doesn't fit the pattern), total, invalid."""
+    out = names.agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.coalesce(F.col("name").rlike(pattern), F.lit(False))).alias("invalid"))
+    return out.select(F.lit(check).alias("check"), F.when(F.col("invalid") > 0, "warn").otherwise("pass").alias("status"), "total", "invalid")
+
+
+def array_failures(samples: DataFrame, arrays: DataFrame, stack: str = "x_stack", mask: str = "blocked_mask") -> DataFrame:
+    """sample_id, reason of samples whose arrays (sample_id, layer, dims array<int>, dtype) break the contract.
+
+    missing_required, x_stack_not_3d, blocked_not_2d, shape_mismatch (rows and columns of both differ); a sample with missing arrays has that reason only.
+    """
+    of = lambda layer: F.max(F.when(F.col("layer") == layer, F.col("dims")))
+    by = samples.select("sample_id").distinct().join(arrays.groupBy("sample_id").agg(of(stack).alias("x"), of(mask).alias("b")), "sample_id", "left")
+    missing, flat, deep = F.col("x").isNull() | F.col("b").isNull(), F.size("x") != 3, F.size("b") != 2
+    reasons = F.array(F.when(missing, "missing_required"), F.when(~missing & flat, "x_stack_not_3d"), F.when(~missing & deep, "blocked_not_2d"), F.when(~missing & ~flat & ~deep & (F.slice("x", 2, 2) != F.col("b")), "shape_mismatch"))
+    return by.select("sample_id", F.explode(F.array_compact(reasons)).alias("reason"))
+
+
+def array_check(samples: DataFrame, arrays: DataFrame, stack: str = "x_stack", mask: str = "blocked_mask") -> DataFrame:
+    """One row: the consistency check over all samples (fail with any failure, warn if types, channel counts or shapes differ) with its counts of kinds."""
+    failures = array_failures(samples, arrays, stack, mask).agg(F.count(F.lit(1)).alias("failures"))
+    whole = arrays.groupBy("sample_id").agg(F.count_if(F.col("layer") == stack).alias("s"), F.count_if(F.col("layer") == mask).alias("m")).where("s > 0 AND m > 0")
+    full = arrays.where(F.col("layer").isin(stack, mask)).join(whole.select("sample_id"), "sample_id", "left_semi")
+    is_stack = F.col("layer") == stack
+    shape = F.when(is_stack & (F.size("dims") == 3), F.slice("dims", 2, 2)).when(~is_stack & (F.size("dims") == 2), F.col("dims"))
+    kinds = full.agg(
+        F.count_distinct(F.when(is_stack, F.col("dtype"))).alias("stack_types"), F.count_distinct(F.when(~is_stack, F.col("dtype"))).alias("mask_types"),
+        F.count_distinct(F.when(is_stack & (F.size("dims") == 3), F.get("dims", F.lit(0)))).alias("channel_counts"), F.count_distinct(shape).alias("shapes"),
+    )
+    out = kinds.crossJoin(failures).crossJoin(samples.agg(F.count_distinct("sample_id").alias("total")))  # one row each
+    differ = F.greatest("stack_types", "mask_types", "channel_counts", "shapes") > 1
+    return out.select(F.lit("sample_shape_dtype_consistency").alias("check"), F.when(F.col("failures") > 0, "fail").when(differ, "warn").otherwise("pass").alias("status"), "total", "failures", "stack_types", "mask_types", "channel_counts", "shapes")
+
+
+def contract_report(folders: DataFrame, predictions: DataFrame, heatmaps: DataFrame, samples: DataFrame, arrays: DataFrame) -> DataFrame:
+    """check, status, total, invalid of the naming checks (folders, prediction files, heat maps without their ending; all by name) and of the arrays."""
+    names = naming_check(folders, TIMESTAMP_NAME, "timestamp_dir_naming").unionByName(naming_check(predictions, PREDICTION_NAME, "pred_file_naming"))
+    names = names.unionByName(naming_check(heatmaps, TIMESTAMP_NAME, "ais_heatmap_file_naming"))
+    return names.unionByName(array_check(samples, arrays).select("check", "status", "total", F.col("failures").alias("invalid")))
+
+
+def sample_audit(samples: DataFrame, files: DataFrame, required: tuple[str, ...], shape_of: str, per_day: int = 4) -> DataFrame:
+    """month, expected, actual, complete, shapes, ok of samples (sample_id, ts) and their files (sample_id, layer, h, w).
+
+    complete counts samples with all required files, shapes the different shapes of the layer shape_of among them; a month is ok with at least per_day
+    samples a day, all complete, of one shape.
+    """
+    have = files.groupBy("sample_id").agg(F.count_distinct(F.when(F.col("layer").isin(*required), F.col("layer"))).alias("n"), F.max(F.when(F.col("layer") == shape_of, F.struct("h", "w"))).alias("shape"))
+    full = F.coalesce(F.col("n") == len(required), F.lit(False))
+    by = samples.join(have, "sample_id", "left").groupBy(F.trunc("ts", "month").alias("month")).agg(F.count(F.lit(1)).alias("actual"), F.count_if(full).alias("complete"), F.count_distinct(F.when(full, F.col("shape"))).alias("shapes"))
+    expected = (F.day(F.last_day("month")) * per_day).cast("long")
+    ok = (F.col("actual") >= expected) & (F.col("complete") == F.col("actual")) & (F.col("shapes") == 1)
+    return by.select(F.date_format("month", "yyyy-MM").alias("month"), expected.alias("expected"), "actual", "complete", "shapes", ok.alias("ok"))
+
+
+def map_audit(cells: DataFrame) -> DataFrame:
+    """tag, maps, months, low, high, has_nan, shapes, ok of stored maps (tag, ts, row, col, value): ok with one shape and no NaN. low and high leave NaN out."""
+    v = F.when(~F.isnan("value"), F.col("value"))
+    maps = cells.groupBy("tag", "ts").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.max(F.isnan("value").cast("int")).alias("nan"), F.struct(F.max("row").alias("h"), F.max("col").alias("w")).alias("shape"))
+    by = maps.groupBy("tag").agg(F.count(F.lit(1)).alias("maps"), F.count_distinct(F.trunc("ts", "month")).alias("months"), F.min("low").alias("low"), F.max("high").alias("high"), (F.max("nan") == 1).alias("has_nan"), F.count_distinct("shape").alias("shapes"))
+    return by.withColumn("ok", ~F.col("has_nan") & (F.col("shapes") == 1))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from .catalog import numbered
 from .raster import KEY, class_edges, grown, quantile_normalize, quantiles_normalize
+from .tiles import smooth_mask
 
 
 def sample_quality(cells: DataFrame, channels: Sequence[str], label: str = "y", min_foreground: float = 1e-4, max_nan: float = 0.2, key: str = KEY) -> DataFrame:
@@ -158,11 +159,19 @@ def uncertainty_penalty(c: Column, tau: float, scale: float) -> Column:
     return F.when(c > tau, scale * (c - tau) / max(1e-6, 1 - tau)).otherwise(0.0)
 
 
-def suggest_mask(cells: DataFrame, threshold: float, max_ratio: float, score: str = "unc", key: str = KEY) -> DataFrame:
-    """key, row, col, mask: sea cells at or over the threshold, raised so that at most max_ratio of the sea is marked."""
+def suggest_mask(cells: DataFrame, threshold: float, max_ratio: float, score: str = "unc", key: str = KEY, least: int = 0, rounds: int = 1) -> DataFrame:
+    """key, row, col, mask: sea cells at or over the threshold, raised so that at most max_ratio of the sea is marked.
+
+    With least, the mask is smoothed `rounds` times: cells with that many marked ones in their 3x3 neighbourhood (themselves
+    included) are marked, the others not; and then cut to the sea again.
+    """
     sea = F.col("blocked") == 0
     cut = cells.where(sea).groupBy(key).agg(F.greatest(F.percentile(score, F.lit(1 - max_ratio)), F.lit(threshold)).alias("cut"))
-    return cells.join(cut, key, "left").select(key, "row", "col", F.when(sea & (F.col(score) >= F.col("cut")), 1).otherwise(0).alias("mask"))
+    out = cells.join(cut, key, "left").select(key, "row", "col", F.when(sea & (F.col(score) >= F.col("cut")), 1).otherwise(0).alias("mask"), sea.alias("sea"))
+    if least > 0 and rounds > 0:
+        smooth = smooth_mask(out, "mask", least, rounds, key)
+        out = out.drop("mask").join(smooth, [key, "row", "col"]).withColumn("mask", F.when(F.col("sea"), F.col("smooth")).otherwise(0))
+    return out.select(key, "row", "col", "mask")
 
 
 #: Weights of the active-learning score, of its raw uncertainty and of its raw route impact, and the width of class balance.

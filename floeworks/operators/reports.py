@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+import itertools
+import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import PRIME, route_safety, uniform
@@ -25,16 +29,23 @@ def normalize_versions(df: DataFrame, keys: dict[str, str], snapshot: str = "ver
     return out
 
 
+#: The fields of a report's constraint block, and what stands where the run explains nothing.
+CONSTRAINT = {"risk_constraint_mode": "none", "risk_constraint_metric_name": "none", "risk_constraint_metric": 0.0, "risk_budget": 0.0, "risk_budget_usage": 0.0, "risk_constraint_satisfied": True, "risk_confidence_level": 0.0}
+
+
 def risk_reports(runs: DataFrame) -> DataFrame:
     """Per run (id, distance_km, caution_len_km, candidates array<struct<id, status, distance_km, risk_exposure>>): caution ratio, and what the selected candidate gains over the riskiest one.
 
-    The selected one is `requested`, else the first that is ok. All of it stays in the row.
+    The selected one is `requested`, else the first that is ok. constraint is a struct of mode, metric_name, metric, budget, usage, satisfied and
+    confidence_level from the columns named in CONSTRAINT, as far as runs has them. All of it stays in the row.
     """
     ok = F.filter("candidates", lambda c: c.status == "ok")
     asked = F.filter(ok, lambda c: c.id == "requested")
     out = runs.withColumn("__ok", ok).withColumn("selected", F.coalesce(F.get(asked, F.lit(0)), F.get(ok, F.lit(0))))
     worst = F.aggregate("__ok", F.get("__ok", F.lit(0)), lambda a, c: F.when(c.risk_exposure > a.risk_exposure, c).otherwise(a))
     out = out.withColumn("worst", worst)
+    field = lambda c, v: F.coalesce(F.col(c), F.lit(v)) if c in runs.columns else F.lit(v)
+    block = [(F.round(field(c, v).cast("double"), 6) if isinstance(v, float) else field(c, v)).alias(c.removeprefix("risk_constraint_").removeprefix("risk_").removeprefix("budget_")) for c, v in CONSTRAINT.items()]
     return out.select(
         "id",
         F.when(F.col("distance_km") > 1e-9, F.col("caution_len_km") / F.col("distance_km")).otherwise(0.0).alias("caution_ratio"),
@@ -44,15 +55,33 @@ def risk_reports(runs: DataFrame) -> DataFrame:
         F.col("worst.id").alias("worst_id"),
         F.coalesce(F.col("worst.risk_exposure") - F.col("selected.risk_exposure"), F.lit(0.0)).alias("risk_reduction"),
         F.coalesce(F.col("selected.distance_km") - F.col("worst.distance_km"), F.lit(0.0)).alias("distance_tradeoff_km"),
+        F.struct(*block).alias("constraint"),
     )
 
 
+#: The figures that explain a run.
+EXPLAINED = ("distance_km", "caution_len_km", "risk_exposure", "route_cost_effective_km", "corridor_alignment")
+
+
+def _explained(bench: DataFrame) -> Column:
+    """Is every figure there, and a finite number."""
+    out = F.lit(all(c in bench.columns for c in EXPLAINED))
+    for c in EXPLAINED:
+        if c in bench.columns:
+            v = F.col(c).cast("double")
+            out = out & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return out
+
+
 def derived_metrics(bench: DataFrame) -> DataFrame:
-    """Per planner: success_rate, violation_rate (the constraint flag wins over the budget usage), volatility gain of dynamic over static runs."""
+    """Per planner: success_rate, violation_rate (the constraint flag wins over the budget usage), volatility gain of dynamic over static runs, explain_consistency.
+
+    explain_consistency is the share of the ok runs whose explained figures (EXPLAINED) are all finite numbers.
+    """
     violated = F.when(F.col("risk_constraint_satisfied").isNotNull(), ~F.col("risk_constraint_satisfied")).otherwise(F.coalesce(F.col("risk_budget_usage") > 1, F.lit(False)))
     ok = F.col("status") == "ok"
     cost = lambda m: F.avg(F.when(ok & (F.col("mode") == m), F.col("route_cost_effective_km")))
-    out = bench.groupBy("planner").agg(F.avg(ok.cast("double")).alias("success_rate"), F.avg(F.when(ok, violated.cast("double"))).alias("violation_rate"), cost("static").alias("static_cost"), cost("dynamic").alias("dynamic_cost"))
+    out = bench.groupBy("planner").agg(F.avg(ok.cast("double")).alias("success_rate"), F.avg(F.when(ok, violated.cast("double"))).alias("violation_rate"), cost("static").alias("static_cost"), cost("dynamic").alias("dynamic_cost"), F.coalesce(F.avg(F.when(ok, _explained(bench).cast("double"))), F.lit(0.0)).alias("explain_consistency"))
     return out.withColumn("dynamic_gain", F.when(F.col("static_cost") > 1e-9, (F.col("static_cost") - F.col("dynamic_cost")) / F.col("static_cost")).otherwise(0.0))
 
 
@@ -145,20 +174,29 @@ def significance(samples: DataFrame, rounds: int = 1000, alpha: float = 0.05, se
     return out.select("metric", "planner_a", "planner_b", F.col("diff").alias("mean_diff"), "p_value", "effect_size", winner.alias("winner"), confidence.alias("confidence"), "n_a", "n_b")
 
 
+SLICES = 4096
+
+
 def weighted_draws(weights: DataFrame, n: int, seed: int = 0, key: str = KEY) -> DataFrame:
     """draw, key: n draws with replacement by weight; key is a whole number.
 
-    Weights become intervals of a running sum (slices of keys by a number made from them are summed first, so only 4096 sums
-    are ordered whole); each draw's number finds its slice, then its key within the slice.
+    Weights become intervals of a running sum (slices of keys by a number made from them are summed first, so only SLICES sums
+    are ordered whole). Draws find their interval by bucketed search, first among slices, then among the keys of a slice: the line
+    is cut into as many equal cells as there are intervals, each interval is listed under the cells it touches (twice their number
+    at most), and a draw meets those of its own cell by an equi-join.
     """
-    parts = weights.select(key, "weight", F.floor(uniform(F.col(key)) * 4096).alias("slice"))
-    sums = parts.groupBy("slice").agg(F.sum("weight").alias("w")).selectExpr("slice", "w", "sum(w) OVER (ORDER BY slice) AS high", "sum(w) OVER () AS total")
+    parts = weights.where("weight > 0").select(key, "weight", F.floor(uniform(F.col(key)) * SLICES).alias("slice"))
+    sums = parts.groupBy("slice").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("keys")).selectExpr("slice", "w", "keys", "sum(w) OVER (ORDER BY slice) AS high", "sum(w) OVER () AS total")
+    cell = lambda x, size, cells: F.least(F.greatest(F.floor(x / size * cells), F.lit(0)), cells - 1).cast("long")
+    touched = lambda low, high, size, cells: F.explode(F.sequence(cell(low, size, cells), cell(high, size, cells)))
+    index = sums.withColumn("cell", touched(F.col("high") - F.col("w"), F.col("high"), F.col("total"), F.lit(SLICES)))
     u = uniform(F.col("id"), seed=seed) + uniform(F.col("id"), seed=seed + 1) / float(PRIME)
-    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), u.alias("u"))
-    placed = draws.join(F.broadcast(sums), (F.col("u") * F.col("total") >= F.col("high") - F.col("w")) & (F.col("u") * F.col("total") < F.col("high")))  # 4096 slices
-    placed = placed.select("draw", "slice", (F.col("u") * F.col("total") - F.col("high") + F.col("w")).alias("x"))
-    inner = parts.selectExpr(key, "slice", "weight", f"sum(weight) OVER (PARTITION BY slice ORDER BY {key}) AS upto")
-    return placed.join(inner, "slice").where("x >= upto - weight AND x < upto").select("draw", key)
+    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), u.alias("u")).withColumn("cell", cell(F.col("u"), F.lit(1.0), F.lit(SLICES)))
+    placed = draws.join(F.broadcast(index), "cell").where("u * total >= high - w AND u * total < high")  # 2 * SLICES rows at most
+    placed = placed.select("draw", "slice", (F.col("u") * F.col("total") - F.col("high") + F.col("w")).alias("x"), cell(F.col("u") * F.col("total") - F.col("high") + F.col("w"), F.col("w"), F.col("keys")).alias("cell"))
+    inner = parts.selectExpr(key, "slice", "weight", f"sum(weight) OVER (PARTITION BY slice ORDER BY {key}) AS upto").join(F.broadcast(sums.select("slice", "w", "keys")), "slice")  # SLICES rows
+    inner = inner.withColumn("cell", touched(F.col("upto") - F.col("weight"), F.col("upto"), F.col("w"), F.col("keys")))
+    return placed.join(inner.select("slice", "cell", key, "weight", "upto"), ["slice", "cell"]).where("x >= upto - weight AND x < upto").select("draw", key)
 
 
 def derive_layers(cells: DataFrame, key: str = KEY) -> DataFrame:
@@ -233,34 +271,70 @@ def regrid(field: DataFrame, axes: DataFrame, targets: DataFrame, key: str | Non
     return spread.join(field.withColumnRenamed("ts", "slice_ts"), [*keys, "slice_ts", "row", "col"]).groupBy(*keys, "target_id", "slice_ts").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def simplify_routes(route_cells: DataFrame, blocked: DataFrame, key: str = "ts", routes: int = 256) -> DataFrame:
-    """route_cells (key, route_id, seq, row, col) without the points that a straight line over free cells can skip, greedily from the start.
+class Sight:
+    """Lines of sight over a map: free if no cell that the line touches is blocked (corners count)."""
 
-    About `routes` routes and the blocked cells of their map meet in one group: a map with many routes is many groups, and
-    its blocked cells (a map fits a worker) go to each of them.
-    """
-    schema = route_cells.select(key, "route_id", "seq", "row", "col").schema
+    def __init__(self, rows: Sequence[int], cols: Sequence[int]):
+        self.rows: dict[int, list[int]] = {}
+        for r, c in sorted(zip(rows, cols, strict=True)):
+            self.rows.setdefault(r, []).append(c)
 
-    def clear(bad: set, a: tuple, b: tuple) -> bool:
+    def clear(self, a: tuple[int, int], b: tuple[int, int]) -> bool:
+        """A line touches the cells of a row between two columns; the first blocked one from there on decides."""
         dr, dc = b[0] - a[0], b[1] - a[1]
-        n = 4 * max(abs(dr), abs(dc), 1)
-        t = np.arange(n + 1) / n
-        return bad.isdisjoint(zip(np.rint(a[0] + dr * t).astype(int).tolist(), np.rint(a[1] + dc * t).astype(int).tolist(), strict=True))
+        reach = abs(dr) + abs(dc)
+        for r in range(min(a[0], b[0]), max(a[0], b[0]) + 1):
+            blocked = self.rows.get(r)
+            if not blocked:
+                continue
+            low, high = min(a[1], b[1]), max(a[1], b[1])
+            if dr:  # |2 (dc (r - r0) - dr (c - c0))| <= |dr| + |dc|
+                at, step = 2 * dc * (r - a[0]), 2 * dr
+                ends = sorted(((at - reach) / step, (at + reach) / step))
+                low, high = max(low, a[1] + math.ceil(ends[0] - 1e-12)), min(high, a[1] + math.floor(ends[1] + 1e-12))
+            k = bisect.bisect_left(blocked, low)
+            if k < len(blocked) and blocked[k] <= high:
+                return False
+        return True
+
+
+def turn_degrees(a: tuple[int, int], b: tuple[int, int], c: tuple[int, int]) -> float:
+    """The change of course at b; 0 where two points are one."""
+    v, w = (b[0] - a[0], b[1] - a[1]), (c[0] - b[0], c[1] - b[1])
+    size = math.hypot(*v) * math.hypot(*w)
+    return math.degrees(math.acos(max(-1.0, min(1.0, (v[0] * w[0] + v[1] * w[1]) / size)))) if size > 1e-12 else 0.0
+
+
+def simplified(points: list[tuple[int, int]], sight: Sight, max_turn: float | None = None) -> tuple[list[int], bool]:
+    """The places of the points that stay, and whether all do because the shorter line would cross a blocked cell."""
+    keep, i = [0], 0
+    while i < len(points) - 1:
+        bent = lambda j: max_turn is not None and len(keep) > 1 and turn_degrees(points[keep[-2]], points[i], points[j]) > max_turn  # noqa: B023, E731
+        i = next((j for j in range(len(points) - 1, i + 1, -1) if sight.clear(points[i], points[j]) and not bent(j)), i + 1)
+        keep.append(i)
+    if all(sight.clear(points[a], points[b]) for a, b in itertools.pairwise(keep)):
+        return keep, False
+    return list(range(len(points))), True
+
+
+def simplify_routes(route_cells: DataFrame, blocked: DataFrame, key: str = "ts", routes: int = 256, max_turn: float | None = None) -> DataFrame:
+    """route_cells (key, route_id, seq, row, col) without the points that a straight line over free cells can skip, greedily from the start, and fallback.
+
+    With max_turn a point is not skipped where the course would change by more degrees. A route whose shorter line crosses a blocked cell (two
+    neighbouring points may not see each other) keeps all its points and is marked as fallback. About `routes` routes and the
+    blocked cells of their map meet in one group: a map with many routes is many groups, and its blocked cells (a map fits a
+    worker) go to each of them.
+    """
+    schema = T.StructType([*route_cells.select(key, "route_id", "seq", "row", "col").schema.fields, T.StructField("fallback", T.BooleanType())])
 
     def simplify(routes: pd.DataFrame, mask: pd.DataFrame) -> pd.DataFrame:
-        bad = set(zip(mask["row"], mask["col"], strict=True))
-        out = []
+        sight, out = Sight(mask["row"].tolist(), mask["col"].tolist()), []
         for _, r in routes.sort_values("seq").groupby("route_id", sort=True):
-            p = list(zip(r["row"], r["col"], strict=True))
-            keep, i = [0], 0
-            while i < len(p) - 1:
-                j = next((j for j in range(len(p) - 1, i + 1, -1) if clear(bad, p[i], p[j])), i + 1)
-                keep.append(j)
-                i = j
-            out.append(r.iloc[keep])
-        return (pd.concat(out) if out else routes)[schema.names]
+            keep, fallback = simplified(list(zip(r["row"].tolist(), r["col"].tolist(), strict=True)), sight, max_turn)
+            out.append(r.iloc[keep].assign(fallback=fallback))
+        return (pd.concat(out) if out else routes.assign(fallback=False))[schema.names]
 
     parts = route_cells.select(key, "route_id").distinct().groupBy(key).agg(F.ceil(F.count(F.lit(1)) / routes).cast("int").alias("__parts"))
-    dealt = route_cells.select(*schema.names).join(parts, key).withColumn("__part", F.pmod(F.xxhash64("route_id"), F.col("__parts")).cast("int")).drop("__parts")
+    dealt = route_cells.select(*schema.names[:-1]).join(parts, key).withColumn("__part", F.pmod(F.xxhash64("route_id"), F.col("__parts")).cast("int")).drop("__parts")
     masks = blocked.select(key, "row", "col").join(parts, key).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
     return dealt.groupBy(key, "__part").cogroup(masks.groupBy(key, "__part")).applyInPandas(simplify, schema)

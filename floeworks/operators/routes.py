@@ -270,24 +270,28 @@ def pareto_frontier(candidates: DataFrame, group: str) -> DataFrame:
 def pareto_rank(candidates: DataFrame, group: str) -> DataFrame:
     """candidates with pareto_rank (layer), pareto_score and pareto_order per group; a group is one request's candidates.
 
-    Layers depend on the different points (distance, risk) of a group only, which are taken by distance, then risk; each goes
-    to the first layer whose least risk so far is not better (bisection). Scores and the order are built in.
+    Layers depend on the different points (distance, risk) of a group only, which pass by distance, then risk, as a sorted stream; each goes
+    to the first layer whose least risk so far is not better (bisection). What is held is one number a layer, so a
+    group may have any number of candidates. Scores and the order are built in.
     """
     points = candidates.select(group, "distance_km", "risk_exposure").distinct()
     schema = T.StructType([*points.schema.fields, T.StructField("pareto_rank", T.IntegerType())])
 
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.sort_values(["distance_km", "risk_exposure"], kind="stable").reset_index(drop=True)
+    def rank(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: object = parts  # no group yet
         layers: list[float] = []  # the last risk of each layer; it does not fall from layer to layer
-        ranks = []
-        for r in out["risk_exposure"]:
-            k = bisect.bisect_right(layers, r)
-            layers[k : k + 1] = [r]
-            ranks.append(k + 1)
-        out["pareto_rank"] = ranks
-        return out
-
-    ranked = candidates.join(points.groupBy(group).applyInPandas(rank, schema), [group, "distance_km", "risk_exposure"])
+        for part in parts:
+            ranks = []
+            for g, r in zip(part[group].tolist(), part["risk_exposure"].tolist(), strict=True):
+                if g != now:
+                    now, layers = g, []
+                k = bisect.bisect_right(layers, r)
+                layers[k : k + 1] = [r]
+                ranks.append(k + 1)
+            yield part.assign(pareto_rank=ranks)
+
+    line = points.repartition(group).sortWithinPartitions(group, "distance_km", "risk_exposure")
+    ranked = candidates.join(line.mapInPandas(rank, schema), [group, "distance_km", "risk_exposure"])
     weights = {"distance_km": 1.0, "risk_exposure": 1.0, "caution_len_km": 0.25, "corridor_score": -0.15}
     ends = candidates.groupBy(group).agg(*(f(c).alias(f"__{n}_{c}") for c in weights for n, f in (("a", F.min), ("b", F.max))))
     score = F.lit(0.0)
@@ -321,8 +325,15 @@ def similar_routes(route_cells: DataFrame, group: str, limit: float = 0.82) -> D
     return both.withColumn("ratio", F.col("shared") / F.col("n_a")).where(F.col("ratio") >= limit).select(group, "route_a", "route_b", "ratio")
 
 
-def route_overlap(route_cells: DataFrame, group: str, limit: float = 0.82) -> DataFrame:
-    """group, route_a, route_b, ratio, similar: shared cells over the smaller route's cells, for routes of one group that share any."""
+def route_overlap(route_cells: DataFrame, group: str, limit: float = 0.82, least: float = 0.0) -> DataFrame:
+    """group, route_a, route_b, ratio, similar: shared cells over the smaller route's cells, for routes of one group that share any.
+
+    With least above 0 only pairs of at least that ratio are given, and only they are looked up (similar_routes), so
+    cells that all routes pass make no pairs.
+    """
+    if least > 0:
+        near = similar_routes(route_cells, group, least)
+        return near.select(group, F.least("route_a", "route_b").alias("route_a"), F.greatest("route_a", "route_b").alias("route_b"), "ratio", (F.col("ratio") >= limit).alias("similar"))
     cells = route_cells.select(group, "route_id", "row", "col").distinct()
     sizes = cells.groupBy(group, "route_id").agg(F.count(F.lit(1)).alias("n"))
     a, b = cells.withColumnRenamed("route_id", "route_a"), cells.withColumnRenamed("route_id", "route_b")

@@ -21,7 +21,7 @@ SQL = {
                60e0 + 2.5e0 * (user_id % 10) + value / 200e0 AS lat
         FROM {events}""",
     "hours": """
-        SELECT DISTINCT date_trunc('hour', ts) AS ts FROM {events} WHERE event_type = 'error' AND user_id % 3 = 0""",
+        SELECT date_trunc('hour', ts) AS ts FROM {events} GROUP BY 1 HAVING 6 * sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= count(*)""",
     "source_events": """
         SELECT concat('src', CAST(user_id % 10 AS VARCHAR(8))) AS source, ts, event_id, event_type <> 'error' AS ok FROM {events}""",
     "run_events": """

@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..functions.grid import Grid, axis_index, bbox_filter, haversine_km, latlon_to_rc, rc_to_latlon, to_cell, wrap_longitude
 from ..operators import catalog as C
 from ..operators import heatmap as H
-from .adapters import adapt, ctes
+from .adapters import SQL, adapt, ctes
 from .registry import query
 
 GRID = Grid()
@@ -274,7 +274,8 @@ def majority(spark: SparkSession, d: str) -> DataFrame:
 
 CHECKS = (
     LAYERS
-    + """, hours AS (SELECT DISTINCT date_trunc('hour', ts) AS ts FROM events WHERE event_type = 'error' AND user_id % 3 = 0),
+    + f""", hours AS ({SQL['hours'].format(events='events')}),"""
+    + """
     n AS (SELECT count(*) AS n FROM samples), p AS (SELECT layer, count(DISTINCT sample_id) / (SELECT n FROM n) AS cover FROM layer_files GROUP BY 1),
     c AS (SELECT layer, count(*) AS k FROM layer_files WHERE layer IN ('x_stack', 'blocked_mask') GROUP BY layer, w), t AS (SELECT max(k) / sum(k) AS s FROM c GROUP BY layer),
     d AS (SELECT date_diff('second', lag(ts) OVER (ORDER BY ts), ts) / 3600e0 AS h FROM hours), g AS (SELECT 1e0 - count(*) FILTER (WHERE h > (SELECT median(h) FROM d) * 1.5 + 1e-6) / greatest(count(h), 1) AS s FROM d),

@@ -38,37 +38,41 @@ def versions(spark: SparkSession, d: str) -> DataFrame:
     w AS (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY k) AS i FROM c WHERE status = 'ok'),
     s AS (SELECT cust, arg_min(k, i) AS sk, arg_min(km, i) AS skm, arg_min(risk, i) AS sr FROM w GROUP BY 1), x AS (SELECT cust, k AS wk, km AS wkm, risk AS wr FROM (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY risk DESC, k) AS j FROM w) WHERE j = 1),
     t AS (SELECT cust, count(*) AS n, sum(km) AS d, count(*) FILTER (WHERE status = 'ok') AS n_ok FROM c GROUP BY 1)
-    SELECT cust AS id, 0.25e0 AS caution_ratio, CAST(n AS INTEGER) AS n_candidates, CAST(n_ok AS INTEGER) AS n_ok, CAST(sk AS VARCHAR) AS selected_id, CAST(wk AS VARCHAR) AS worst_id, round(coalesce(wr - sr, 0e0), 5) AS risk_reduction, round(coalesce(skm - wkm, 0e0), 3) AS distance_tradeoff_km
+    SELECT cust AS id, 0.25e0 AS caution_ratio, CAST(n AS INTEGER) AS n_candidates, CAST(n_ok AS INTEGER) AS n_ok, CAST(sk AS VARCHAR) AS selected_id, CAST(wk AS VARCHAR) AS worst_id, round(coalesce(wr - sr, 0e0), 5) AS risk_reduction, round(coalesce(skm - wkm, 0e0), 3) AS distance_tradeoff_km,
+    CASE WHEN cust % 3 = 0 THEN 'cvar' ELSE 'none' END AS mode, 'none' AS metric_name, 0e0 AS metric, 0.5e0 AS budget, round(cust % 7 / 5e0, 6) AS usage, cust % 7 <= 5 AS satisfied, 0e0 AS confidence_level
     FROM t LEFT JOIN s USING (cust) LEFT JOIN x USING (cust)""",
 )
 def risk(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     one = F.struct(F.col("o_orderkey").alias("k"), F.struct(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "fail").otherwise("ok").alias("status"), F.col("o_totalprice").alias("distance_km"), (F.col("o_orderkey") % 17 / 10).alias("risk_exposure")).alias("c"))
     runs = o.groupBy(F.col("o_custkey").alias("id")).agg(F.sum("o_totalprice").alias("distance_km"), (F.sum("o_totalprice") / 4).alias("caution_len_km"), F.array_sort(F.collect_list(one)).alias("a"))
-    runs = runs.select("id", "distance_km", "caution_len_km", F.transform("a", lambda x: x.c).alias("candidates"))
-    return rounded(rounded(P.risk_reports(runs), "risk_reduction", "caution_ratio"), "distance_tradeoff_km", digits=3)
+    runs = runs.select("id", "distance_km", "caution_len_km", F.transform("a", lambda x: x.c).alias("candidates"), F.when(F.col("id") % 3 == 0, "cvar").alias("risk_constraint_mode"), F.lit(0.5).alias("risk_budget"), (F.col("id") % 7 / 5).alias("risk_budget_usage"), (F.col("id") % 7 <= 5).alias("risk_constraint_satisfied"))
+    reports = P.risk_reports(runs).select("*", "constraint.*").drop("constraint")
+    return rounded(rounded(reports, "risk_reduction", "caution_ratio"), "distance_tradeoff_km", digits=3)
 
 
 DERIVED = (
     BENCH
     + """, v AS (SELECT *, CASE WHEN run_id % 4 = 0 THEN run_id % 8 = 0 ELSE risk_exposure / 3 > 1 END AS bad FROM bench),
-    m AS (SELECT planner, avg(CAST(status = 'ok' AS INT)) AS success_rate, avg(CAST(bad AS INT)) FILTER (WHERE status = 'ok') AS violation_rate, avg(route_cost_effective_km) FILTER (WHERE status = 'ok' AND mode = 'static') AS static_cost, avg(route_cost_effective_km) FILTER (WHERE status = 'ok' AND mode = 'dynamic') AS dynamic_cost FROM v GROUP BY 1)\n"""
+    m AS (SELECT planner, avg(CAST(status = 'ok' AS INT)) AS success_rate, avg(CAST(bad AS INT)) FILTER (WHERE status = 'ok') AS violation_rate, avg(route_cost_effective_km) FILTER (WHERE status = 'ok' AND mode = 'static') AS static_cost, avg(route_cost_effective_km) FILTER (WHERE status = 'ok' AND mode = 'dynamic') AS dynamic_cost,
+    avg(CASE WHEN run_id % 10 = 0 OR run_id % 10 = 1 THEN 0 ELSE 1 END) FILTER (WHERE status = 'ok') AS explain_consistency FROM v GROUP BY 1)\n"""
 )
 
 
 def derived_of(spark: SparkSession, d: str) -> DataFrame:
     b = adapt(spark, d, "bench").withColumn("risk_constraint_satisfied", F.when(F.col("run_id") % 4 == 0, F.col("run_id") % 8 != 0)).withColumn("risk_budget_usage", F.col("risk_exposure") / 3)
-    return P.derived_metrics(b)
+    alignment = F.when(F.col("run_id") % 10 == 1, float("nan")).when(F.col("run_id") % 10 != 0, 0.5)  # some are missing, some no numbers
+    return P.derived_metrics(b.withColumn("corridor_alignment", alignment))
 
 
-@query("derived_metrics", DERIVED + "SELECT planner, round(success_rate, 5) AS success_rate, round(violation_rate, 5) AS violation_rate, round(static_cost, 4) AS static_cost, round(dynamic_cost, 4) AS dynamic_cost, round((static_cost - dynamic_cost) / static_cost, 5) AS dynamic_gain FROM m")
+@query("derived_metrics", DERIVED + "SELECT planner, round(success_rate, 5) AS success_rate, round(violation_rate, 5) AS violation_rate, round(static_cost, 4) AS static_cost, round(dynamic_cost, 4) AS dynamic_cost, round((static_cost - dynamic_cost) / static_cost, 5) AS dynamic_gain, round(explain_consistency, 5) AS explain_consistency FROM m")
 def derived(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rounded(derived_of(spark, d), "success_rate", "violation_rate", "dynamic_gain"), "static_cost", "dynamic_cost", digits=4)
+    return rounded(rounded(derived_of(spark, d), "success_rate", "violation_rate", "dynamic_gain", "explain_consistency"), "static_cost", "dynamic_cost", digits=4)
 
 
-@query("metric_validation", DERIVED + " UNION ALL ".join(f"SELECT planner, '{m}' AS metric, {m} IS NOT NULL AS present, {m} BETWEEN 0 AND 1 AS in_range FROM m" for m in ("success_rate", "violation_rate", "static_cost")))
+@query("metric_validation", DERIVED + " UNION ALL ".join(f"SELECT planner, '{m}' AS metric, {m} IS NOT NULL AS present, {m} BETWEEN 0 AND 1 AS in_range FROM m" for m in ("success_rate", "violation_rate", "static_cost", "explain_consistency")))
 def validated(spark: SparkSession, d: str) -> DataFrame:
-    return P.metric_validation(derived_of(spark, d), ["success_rate", "violation_rate", "static_cost"])
+    return P.metric_validation(derived_of(spark, d), ["success_rate", "violation_rate", "static_cost", "explain_consistency"])
 
 
 @query(
@@ -342,12 +346,39 @@ def regridded(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.regrid_linear(grid, 2.0, targets, "sample_id"), "value", digits=4)
 
 
-@query("simplify_routes")
-def simplified(spark: SparkSession, d: str) -> DataFrame:
-    cells = cells_of(spark, d)
+def simplified_sql(max_turn: float | None) -> str:
+    """Greedy simplification by a recursive CTE: all pairs of points that see each other, then for each step (the point before, the point now) the last one that may follow."""
+    angle = "0e0" if max_turn is None else "CASE WHEN (a.row = b.row AND a.col = b.col) OR (b.row = c.row AND b.col = c.col) THEN 0e0 ELSE degrees(acos(greatest(-1e0, least(1e0, ((b.row - a.row) * (c.row - b.row) + (b.col - a.col) * (c.col - b.col)) / (sqrt(pow(b.row - a.row, 2) + pow(b.col - a.col, 2)) * sqrt(pow(c.row - b.row, 2) + pow(c.col - b.col, 2))))))) END"
+    return (
+        CELLS.replace("WITH ", "WITH RECURSIVE ", 1)
+        + f""", r AS (SELECT user_id % 50 AS ts, user_id AS route_id, event_id AS seq, CAST(event_id % 8 AS INTEGER) AS row, CAST(floor(value) AS INTEGER) % 8 AS col, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+        blocked_ AS (SELECT sample_id AS ts, row, col FROM cells WHERE blocked = 1),
+        hit AS (SELECT DISTINCT a.route_id, a.i, c.i AS j FROM r a JOIN r c ON a.route_id = c.route_id AND c.i > a.i JOIN blocked_ b ON b.ts = a.ts AND b.row BETWEEN least(a.row, c.row) AND greatest(a.row, c.row) AND b.col BETWEEN least(a.col, c.col) AND greatest(a.col, c.col)
+          AND 2 * abs((c.col - a.col) * (b.row - a.row) - (c.row - a.row) * (b.col - a.col)) <= abs(c.col - a.col) + abs(c.row - a.row)),
+        pairs AS (SELECT a.route_id, a.i, c.i AS j, hit.i IS NULL AS clear FROM r a JOIN r c ON a.route_id = c.route_id AND c.i > a.i LEFT JOIN hit ON hit.route_id = a.route_id AND hit.i = a.i AND hit.j = c.i),
+        turns AS (SELECT b.route_id, a.i AS before, b.i, c.i AS j FROM r b JOIN pairs p ON p.route_id = b.route_id AND p.i = b.i AND p.clear JOIN r c ON c.route_id = b.route_id AND c.i = p.j JOIN r a ON a.route_id = b.route_id AND a.i < b.i WHERE {angle} <= {max_turn or 360}
+          UNION ALL SELECT route_id, 0, i, j FROM pairs WHERE i = 1 AND clear),
+        next_ AS (SELECT route_id, before, i, max(j) AS j FROM turns GROUP BY 1, 2, 3),
+        walk AS (SELECT route_id, n, CAST(0 AS BIGINT) AS before, CAST(1 AS BIGINT) AS i FROM r WHERE i = 1 UNION ALL SELECT w.route_id, w.n, w.i, greatest(coalesce(x.j, 0), w.i + 1) FROM walk w LEFT JOIN next_ x ON x.route_id = w.route_id AND x.before = w.before AND x.i = w.i WHERE w.i < w.n),
+        bad AS (SELECT DISTINCT w.route_id FROM walk w JOIN pairs p ON p.route_id = w.route_id AND p.i = w.before AND p.j = w.i AND NOT p.clear)
+        SELECT ts, r.route_id, seq, row, col, bad.route_id IS NOT NULL AS fallback FROM r LEFT JOIN bad ON bad.route_id = r.route_id WHERE bad.route_id IS NOT NULL OR EXISTS (SELECT 1 FROM walk w WHERE w.route_id = r.route_id AND w.i = r.i)"""
+    )
+
+
+def simplified_of(spark: SparkSession, d: str, max_turn: float | None) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     routes = e.select((F.col("user_id") % 50).alias("ts"), F.col("user_id").alias("route_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 8).cast("int").alias("row"), (F.floor("value") % 8).cast("int").alias("col"))
-    return P.simplify_routes(routes, cells.where("blocked = 1").select(F.col("sample_id").alias("ts"), "row", "col"))
+    return P.simplify_routes(routes, cells_of(spark, d).where("blocked = 1").select(F.col("sample_id").alias("ts"), "row", "col"), max_turn=max_turn)
+
+
+@query("simplify_routes", simplified_sql(None))
+def simplified(spark: SparkSession, d: str) -> DataFrame:
+    return simplified_of(spark, d, None)
+
+
+@query("simplify_routes_turn", simplified_sql(110.0))
+def simplified_by_turn(spark: SparkSession, d: str) -> DataFrame:
+    return simplified_of(spark, d, 110.0)
 
 
 @query("flatten_report", BENCH + " UNION ALL ".join(f"SELECT run_id, 'metrics' AS section, '{f}' AS field, CAST(CAST({c} AS BIGINT) AS VARCHAR) AS value FROM bench" for f, c in (("time.ms", "floor(runtime_ms)"), ("count", "replan_count"))) + " UNION ALL SELECT run_id, 'tags', '[0]', mode FROM bench UNION ALL SELECT run_id, 'tags', '[1]', planner FROM bench")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from floeworks.functions.grid import Grid, to_cell, wrap_longitude
 from floeworks.functions.scalars import normalize_timestamp, root_cause_tags
 from floeworks.operators import bench, catalog, heatmap, labels, raster, routes
-from floeworks.sources import files
+from floeworks.sources import files, rasters
 from floeworks.streaming import state
 
 
@@ -184,7 +184,7 @@ def test_files(spark, tmp_path):
     pack.mkdir(parents=True)
     np.save(pack / "x_stack.npy", np.arange(8, dtype=np.float32).reshape(2, 2, 2))
     (pack / "meta.json").write_text(json.dumps({"channel_names": ["ice_conc"]}))
-    cells = files.name_channels(files.read_rasters(spark, str(tmp_path / "packs")), files.read_meta(spark, str(tmp_path / "packs")))
+    cells = files.name_channels(rasters.read_rasters(spark, str(tmp_path / "packs")), files.read_meta(spark, str(tmp_path / "packs")))
     got = {(r["channel"], r["row"], r["col"]): r["value"] for r in cells.collect()}
     assert got["ice_conc", 1, 1] == 3.0 and got["env_1", 0, 0] == 4.0 and len(got) == 8
     (tmp_path / "m.jsonl").write_text('{"path": "a\\\\b", "size": 1}\n\n{"size": 2}\n{"path": "a/b", "size": 3}\n')
