@@ -75,7 +75,9 @@ class RasterReader(DataSourceReader):
             out += [Rows(info.path, stamp, k, i, min(i + step, h), (c, h, w), dtype.str, offset) for k in range(c) for i in range(0, h, step)]
         return out
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Rows | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file at all
+            return
         p = partition
         _, h, w = p.shape
         dtype = np.dtype(p.dtype)
