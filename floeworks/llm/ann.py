@@ -8,9 +8,10 @@ neighbours by the classifier's own estimate (two at least), and candidates there
 double precision. So a query inside a clear cluster probes few parts, one between clusters many.
 
 There is a part for every ROWS_PER_PART vectors, PARTS[0] at least and PARTS[1] at most. Equal vectors are one vector
-with its smallest ids, as many as a result can hold, so a vector that fills a third of the table is one row. Parts
-are searched in blocks of BLOCK vectors by BLOCK queries, so the largest part is many tasks. Only the sample (at most
-`sample` vectors) and the model reach the driver.
+with its smallest ids, as many as a result can hold, so a vector that fills a third of the table is one row. A part is
+searched in blocks of BLOCK vectors, which a task holds while the part's queries pass by, so the largest part is many
+tasks; a vector moves once (once more for every QUERIES queries of its part), a query once for each block of its parts. Only the
+sample (at most `sample` vectors) and the model reach the driver.
 
 Vectors that are null, empty, zero, of another length than most, or that hold null or non-finite components
 take no part; nor do rows without id. Vectors are scaled by powers of two before squaring, so huge and tiny ones
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import groups, written
+from .shared import runs, written
 
-SAMPLE, PARTS, ROWS_PER_PART, MASS, BLOCK = 4096, (16, 256), 800, 0.95, 2048
+SAMPLE, PARTS, ROWS_PER_PART, MASS = 4096, (16, 256), 800, 0.95
+#: Vectors that a task holds, and queries that pass by in one task.
+BLOCK, QUERIES = 8192, 1 << 18
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -226,20 +228,30 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 5, mass: float = MAS
     index = written(pooled.mapInArrow(assign, "part int, v array<double>, ids array<long>"))
     asked = written(rows.where("q").select("id", "v").mapInArrow(route, "part int, id long, v array<double>"))
     blocks = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nv"))
-    blocks = blocks.join(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nq")), "part")
+    blocks = blocks.join(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("nq")), "part")
     blocks = F.broadcast(spark.createDataFrame(blocks.collect(), "part int, nv int, nq int"))  # a row for each part of the model
+    # a vector is copied for each block of QUERIES queries of its part, which is one as a rule; a query goes to the blocks of its parts
     vs = index.join(blocks, "part").withColumn("bv", F.pmod(F.xxhash64("v"), F.col("nv")).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     qs = asked.join(blocks, "part").withColumn("bq", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int")).withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
-    both = vs.select("part", "bv", "bq", F.lit(None).cast("long").alias("id"), "v", "ids").unionByName(qs.select("part", "bv", "bq", "id", "v", F.lit(None).cast("array<long>").alias("ids")))
+    both = vs.select("part", "bv", "bq", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("id"), "v", "ids").unionByName(qs.select("part", "bv", "bq", F.lit(1).alias("asks"), "id", "v", F.lit(None).cast("array<long>").alias("ids")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ("part", "bv", "bq")):
-            asks = t.column("ids").is_null()
-            q, v = t.filter(asks), t.filter(pc.invert(asks))
-            if q.num_rows and v.num_rows:
-                yield _ranked(q, v, k)
-
-    found = both.repartition("part", "bv", "bq").sortWithinPartitions("part", "bv", "bq").mapInArrow(search, "query_id long, vec_id long, score double")
+        """A block's vectors come first and are held; its queries pass by."""
+        block: Block | None = None
+        now, held = None, []
+        for t in runs(batches, ("part", "bv", "bq", "asks")):
+            key = tuple(t.column(c)[0].as_py() for c in ("part", "bv", "bq"))
+            if key != now:
+                now, held, block = key, [], None
+            if not t.column("asks")[0].as_py():
+                held.append(t)
+                continue
+            if block is None and held:
+                block, held = Block(held), []
+            for i in range(0, t.num_rows if block else 0, 256):
+                yield block.nearest(t.slice(i, 256), k)
+
+    found = both.repartition("part", "bv", "bq").sortWithinPartitions("part", "bv", "bq", "asks").mapInArrow(search, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # once, whatever rows an id has
     ranked = found.selectExpr("query_id", "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank", "vec_id", "score")
     return ranked.where(F.col("rank") <= k)
@@ -251,18 +263,26 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
 
 
-def _ranked(queries: pa.RecordBatch, vectors: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    q, v = matrix(queries.column("v")), matrix(vectors.column("v"))
-    ids, asked = vectors.column("ids").to_pylist(), queries.column("id").to_pylist()
-    s = unit(q) @ unit(v).T
-    out: tuple[list, list, list] = ([], [], [])
-    m = min(len(v), 2 * k + 8)
-    for i, own in enumerate(asked):
-        at = np.argpartition(-s[i], m - 1)[:m]
-        at = np.flatnonzero(s[i] >= s[i][at].min() - 1e-12)  # ties at the edge stay in
-        exact = cosine(q[i][None, :], v[at])
-        some = sorted((-e, x) for e, j in zip(exact.tolist(), at.tolist(), strict=True) for x in ids[j] if x != own)[:k]
-        out[0].extend([own] * len(some))
-        out[1].extend(x for _, x in some)
-        out[2].extend(-e for e, _ in some)
-    return pa.RecordBatch.from_pydict({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+class Block:
+    """Vectors of a part with their ids, held for the queries that pass by."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        self.v = np.concatenate([matrix(b.column("v")) for b in batches])
+        self.units = unit(self.v).T.copy()
+        self.ids = [x for b in batches for x in b.column("ids").to_pylist()]
+
+    def nearest(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """query_id, vec_id, score of the k nearest of each query, ties at the edge looked at exactly."""
+        q, asked = matrix(queries.column("v")), queries.column("id").to_pylist()
+        s = unit(q) @ self.units
+        out: tuple[list, list, list] = ([], [], [])
+        m = min(len(self.v), 2 * k + 8)
+        edge = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+        for i, own in enumerate(asked):
+            at = np.flatnonzero(s[i] >= edge[i] - 1e-12)
+            exact = cosine(q[i][None, :], self.v[at])
+            some = sorted((-e, x) for e, j in zip(exact.tolist(), at.tolist(), strict=True) for x in self.ids[j] if x != own)[:k]
+            out[0].extend([own] * len(some))
+            out[1].extend(x for _, x in some)
+            out[2].extend(-e for e, _ in some)
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})

@@ -40,11 +40,15 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing will read again."""
-    spark = df.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    delete(df.sparkSession, df._written_to)
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
@@ -68,6 +72,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut where a key changes, so that each piece is of one group; a group may be many pieces."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows - 1, bool)
+        for k in keys:
+            v = b.column(k).to_numpy()
+            new |= v[1:] != v[:-1]
+        ends = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        for start, end in zip(ends, ends[1:]):
+            yield b.slice(start, end - start)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Sorted batches as one batch for each run of equal keys (numbers); a run may span batches."""
     held: list[pa.RecordBatch] = []
