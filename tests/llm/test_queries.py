@@ -331,3 +331,14 @@ def test_op2_one_crowded_bucket(spark, monkeypatch):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     kept = neardup.one_of_each(df, width=2)
     assert kept.columns == df.columns and kept.count() == sum(r["kept"] for r in got)
+
+
+@pytest.mark.parametrize(("block", "queries"), [(1, 1), (16, 3), (8192, 2)])
+def test_op5_blocks(spark, folder, monkeypatch, block, queries):
+    """Parts in blocks of any size, with queries that pass in one or many, give the same neighbours."""
+    from floeworks.llm import ann
+
+    plain = sorted(map(str, rows(spark, folder, "op5_nearest_neighbours")))
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "QUERIES", queries)
+    assert sorted(map(str, rows(spark, folder, "op5_nearest_neighbours"))) == plain
