@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from floeworks.llm import bpe, lines, mixing, neardup, quality
 from floeworks.llm.queries import tokenizer_path
-from floeworks.llm.shared import shared_folder, table
+from floeworks.llm.shared import delete, shared_folder, table
 from floeworks.session import prepare
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -87,10 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents; what each returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over sf_dir's documents; what each returns is written to the shared folder, read again, and deleted once the next stage is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
