@@ -249,16 +249,19 @@ def numbered(df: DataFrame, *order: str, into: str = "i", ranges: int = 256) ->
     """df with the place of each row (from 0) in the order of columns; equal rows in any order.
 
     Fewer than `ranges` keys, drawn by hash, cut the order into ranges; a row's place is the count of the ranges before
-    its own and its place inside, so no task holds more than a range.
+    its own and its place inside, so no task holds more than a range. A hash of the whole row is the last key, so rows that
+    are equal in the order's columns only are cut too.
     """
-    keys = df.select(*order).distinct()
-    cuts = sorted(keys.orderBy(F.xxhash64(*order), *order).limit(ranges - 1).collect(), key=lambda r: [(v is not None, v) for v in r])
-    types = dict(df.select(*order).dtypes)
-    place = F.struct(*(F.col(c) for c in order))
-    bounds = [F.struct(*(F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, r, strict=True))) for r in cuts]
-    part = df.withColumn("__range", F.size(F.filter(F.array(*bounds), lambda x: x <= place)) if bounds else F.lit(0))
+    whole = df.withColumn("__tie", F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]))
+    places = [*order, "__tie"]
+    keys = whole.select(*places).distinct()
+    cuts = sorted(keys.orderBy(F.xxhash64(*places), *places).limit(ranges - 1).collect(), key=lambda r: [(v is not None, v) for v in r])
+    types = dict(whole.select(*places).dtypes)
+    place = F.struct(*(F.col(c) for c in places))
+    bounds = [F.struct(*(F.lit(v).cast(types[c]).alias(c) for c, v in zip(places, r, strict=True))) for r in cuts]
+    part = whole.withColumn("__range", F.size(F.filter(F.array(*bounds), lambda x: x <= place)) if bounds else F.lit(0))
     sums = part.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).selectExpr("__range", "sum(n) OVER (ORDER BY __range) - n AS __before")  # a row for each range
-    inside = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(*places)) - 1
     return part.join(F.broadcast(sums), "__range").withColumn(into, F.col("__before") + inside).select(*df.columns, into)
 
 
