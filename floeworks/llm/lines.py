@@ -63,8 +63,8 @@ def keys(parts: list[str]) -> list[int]:
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text_id, text -> a row for each different line of a text, with its places."""
     for b in batches:
-        for i in range(0, b.num_rows, 1000):
-            part = b.slice(i, 1000)
+        for i in range(0, b.num_rows, 100):
+            part = b.slice(i, 100)
             row, made, places = [], [], []
             for k, text in enumerate(part.column(2).to_pylist()):
                 at: dict[str, list[int]] = {}
