@@ -7,11 +7,16 @@ part the classifier finds likeliest, every query to as many of its likeliest par
 neighbours by the classifier's own estimate (two at least), and candidates there are ranked by their exact cosine in
 double precision. So a query inside a clear cluster probes few parts, one between clusters many.
 
-There is a part for every ROWS_PER_PART vectors, PARTS[0] at least and PARTS[1] at most. Equal vectors are one vector
+There is a part for every ROWS_PER_PART vectors, PARTS[0] at least; a model tells at most PARTS[1] of them apart. A part
+that then holds more than `most` vectors is divided again in the same way by a model of its own, which a task fits on
+about PART_SAMPLE of the part's vectors, and so on (LEVELS times, which are more parts than any table needs), so parts stay
+small however long the table. A query is routed level by level, with a share of `mass` for each that leaves `mass` in all.
+Equal vectors are one vector
 with its smallest ids, as many as a result can hold, so a vector that fills a third of the table is one row. A part is
-searched in blocks of BLOCK vectors, which a task holds while the part's queries pass by, so the largest part is many
-tasks; a vector moves once (once more for every QUERIES queries of its part), a query once for each block of its parts. Only the
-sample (at most `sample` vectors) and the model reach the driver.
+searched in blocks of BLOCK vectors, which a task holds while the part's queries pass by, so a part that no model can
+divide is many tasks; a vector moves once for each level (once more for every QUERIES queries of its part), a query once for
+each block of its parts. Only the sample (at most `sample` vectors) and the first model reach the driver; models of
+parts travel with the rows of their parts.
 
 Vectors that are null, empty, zero, of another length than most, or that hold null or non-finite components
 take no part; nor do rows without id. Vectors are scaled by powers of two before squaring, so huge and tiny ones
@@ -22,9 +27,11 @@ without usable vectors or queries gives no rows. Other columns are not read, wha
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +41,10 @@ from .shared import runs, written
 SAMPLE, PARTS, ROWS_PER_PART, MASS = 4096, (16, 256), 800, 0.95
 #: Vectors that a task holds, and queries that pass by in one task.
 BLOCK, QUERIES = 8192, 1 << 18
+#: Vectors of a part from which its own model is fitted, vectors beyond which a part is divided, and levels of models.
+PART_SAMPLE, MOST, LEVELS = 2048, 8 * ROWS_PER_PART, 5
+#: Parts up to which their sizes are broadcast.
+SMALL = 100_000
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -167,12 +178,62 @@ def learned(vectors: DataFrame, parts: int, sample: int = SAMPLE, seed: int = 0)
     rows = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("v").collect()
     if len(rows) < 2:
         return None
-    x = unit(np.array([r["v"] for r in rows], float))
+    return fitted(np.array([r["v"] for r in rows], float), parts, seed)
+
+
+def fitted(vectors: np.ndarray, parts: int, seed: int = 0) -> Router:
+    """The router of a sample: its graph of neighbours, cut into parts (one for every eight vectors at most)."""
+    x = unit(vectors)
     near = neighbour_graph(x)
     parts = max(1, min(parts, len(x) // 8))
     return fit_router(x, near, balanced_parts(near, parts, seed), parts, seed=seed)
 
 
+def divided(index: DataFrame, asked: DataFrame, counts: DataFrame, mass: float, most: int, rows_per_part: int, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """index (part, v, ids) and asked (part, id, v) with the parts of more than `most` vectors divided, and the sizes of the new parts.
+
+    counts has part and n. A new part's number is (part + 1) * PARTS[1] plus its place in the old one, which no other part has.
+    """
+    top = PARTS[1]
+    big = written(counts.where(F.col("n") > most).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")))
+    small = big.limit(SMALL + 1).count() <= SMALL
+    large = F.broadcast(big) if small else big
+    inside = index.join(large, "part")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        router = fitted(np.stack(pdf["v"].to_numpy()).astype(float), min(top, max(2, int(pdf["n"].iloc[0]) // rows_per_part)), seed)
+        return pdf[["part", "nb"]].head(1).assign(model=pickle.dumps(router.w))
+
+    models = inside.where(F.pmod(F.xxhash64("v", F.lit(seed)), F.col("n")) < PART_SAMPLE).select("part", "n", "nb", "v")
+    models = models.groupBy("part").applyInPandas(fit, "part long, nb int, model binary")
+    columns = {"kind": "int", "id": "long", "v": "array<double>", "ids": "array<long>", "model": "binary"}
+
+    def row(df: DataFrame, kind: int, block: Column) -> DataFrame:
+        own = [F.lit(kind).alias(c) if c == "kind" else F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+        return df.select("part", block.alias("b"), *own)
+
+    both = row(models, 0, F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    both = both.unionByName(row(inside, 1, F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))).unionByName(row(asked.join(large, "part"), 2, F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part's model comes first and is held; its vectors and queries pass by."""
+        router: Router | None = None
+        for t in runs(batches, ("part", "b", "kind")):
+            kind = t.column("kind")[0].as_py()
+            if kind == 0:
+                router = Router(*pickle.loads(t.column("model")[0].as_py()))
+                continue
+            z = router.logits(unit(matrix(t.column("v"))).astype(np.float32))
+            at, place = (np.arange(t.num_rows), np.argmax(z, axis=1)) if kind == 1 else likeliest(z, mass)
+            rows = t.select(["kind", "id", "v", "ids"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array((t.column("part")[0].as_py() + 1) * top + place.astype(np.int64)), *rows.columns], ["part", *rows.schema.names])
+
+    new = written(both.repartition("part", "b").sortWithinPartitions("part", "b", "kind").mapInArrow(send, "part long, kind int, id long, v array<double>, ids array<long>"))
+    index = index.join(large, "part", "left_anti").select("part", "v", "ids").unionByName(new.where("kind = 1").select("part", "v", "ids"))
+    asked = asked.join(large, "part", "left_anti").select("part", "id", "v").unionByName(new.where("kind = 2").select("part", "id", "v"))
+    return index, asked, new.where("kind = 1").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _pool(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """id, v -> v and its smallest ids within the partition so far: a map-side combine."""
     seen: dict[bytes, list[int]] = {}
@@ -197,7 +258,7 @@ def _pool(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         yield flush()
 
 
-def neighbours(table: DataFrame, is_query: Column, k: int = 5, mass: float = MASS, parts: int | None = None, sample: int = SAMPLE, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def neighbours(table: DataFrame, is_query: Column, k: int = 5, mass: float = MASS, rows_per_part: int = ROWS_PER_PART, most: int = MOST, sample: int = SAMPLE, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query row, without itself."""
     spark = table.sparkSession
     sizes = table.where(usable(vector)).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -205,7 +266,7 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 5, mass: float = MAS
     if not sizes:
         return spark.createDataFrame([], schema)
     rows = table.where(usable(vector, sizes[0]["n"])).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL")
-    router = learned(rows.select("id", "v"), parts or max(PARTS[0], min(PARTS[1], sizes[0]["count"] // ROWS_PER_PART)), sample)
+    router = learned(rows.select("id", "v"), max(PARTS[0], min(PARTS[1], sizes[0]["count"] // rows_per_part)), sample)
     if router is None:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(router)
@@ -217,19 +278,28 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 5, mass: float = MAS
         for b in batches:
             x = matrix(b.column(0))
             z = shared.value.logits(unit(x).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.argmax(z, axis=1).astype(np.int32)), b.column(0), b.column(1)], ["part", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.argmax(z, axis=1).astype(np.int64)), b.column(0), b.column(1)], ["part", "v", "ids"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = shared.value.logits(unit(matrix(b.column(1))).astype(np.float32))
-            at, part = likeliest(z, mass)
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["part", "id", "v"])
-
-    index = written(pooled.mapInArrow(assign, "part int, v array<double>, ids array<long>"))
-    asked = written(rows.where("q").select("id", "v").mapInArrow(route, "part int, id long, v array<double>"))
+            at, part = likeliest(z, first)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["part", "id", "v"])
+
+    index = written(pooled.mapInArrow(assign, "part long, v array<double>, ids array<long>"))
+    counts = index.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    many = not counts.where(F.col("n") > most).isEmpty()
+    first = mass**0.5 if many else mass
+    asked = written(rows.where("q").select("id", "v").mapInArrow(route, "part long, id long, v array<double>"))
+    for level in range(2, LEVELS + 1):
+        if not many:
+            break
+        index, asked, counts = divided(index, asked, counts, mass ** (0.5**level), most, rows_per_part)
+        many = not counts.where(F.col("n") > most).isEmpty()
     blocks = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nv"))
     blocks = blocks.join(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("nq")), "part")
-    blocks = F.broadcast(spark.createDataFrame(blocks.collect(), "part int, nv int, nq int"))  # a row for each part of the model
+    blocks = written(blocks)
+    blocks = F.broadcast(blocks) if blocks.limit(SMALL + 1).count() <= SMALL else blocks  # a row for each part
     # a vector is copied for each block of QUERIES queries of its part, which is one as a rule; a query goes to the blocks of its parts
     vs = index.join(blocks, "part").withColumn("bv", F.pmod(F.xxhash64("v"), F.col("nv")).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     qs = asked.join(blocks, "part").withColumn("bq", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int")).withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))

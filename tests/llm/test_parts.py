@@ -228,3 +228,39 @@ def test_sketches_lose_no_more_than_banding():
     n, q = neardup.BINS, 0.8
     lost = sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(neardup._least(80)))
     assert lost <= (1 - q**neardup.ROWS) ** neardup.BANDS
+
+
+def test_large_parts_are_divided_again(spark, monkeypatch):
+    """Three levels of models: every vector is kept once, all of them are found at a mass of one, and nearly all neighbours at the usual one."""
+    rng = np.random.default_rng(5)
+    centres = 3 * rng.standard_normal((40, 12))
+    x = centres[rng.integers(0, 40, 3000)] + rng.standard_normal((3000, 12))
+    x[500:1500] = x[7]  # a third of all rows are one vector
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(5)
+    asks = (x[::50] / np.linalg.norm(x[::50], axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    want = {}
+    for q, row in zip(range(0, 3000, 50), asks, strict=True):
+        row[q] = -2
+        want[q] = [int(i) for i in np.lexsort((np.arange(3000), -np.round(row, 12)))[:5]]
+    monkeypatch.setattr(ann, "PARTS", (2, 3))
+    monkeypatch.setattr(ann, "PART_SAMPLE", 300)
+    sizes, divided = [], ann.divided
+
+    def watched(index, asked, counts, *a):
+        out = divided(index, asked, counts, *a)
+        rows = out[0].select("part", "ids").collect()
+        ids = [i for r in rows for i in r["ids"]]
+        assert len(ids) == len(set(ids)) == 1999 + 6  # of the one vector that 1,001 rows have, six ids stay
+        assert {r["part"]: r["n"] for r in out[2].collect()}.items() <= {p: sum(r["part"] == p for r in rows) for p in {r["part"] for r in rows}}.items()
+        sizes.append(len({r["part"] for r in rows}))
+        return out
+
+    monkeypatch.setattr(ann, "divided", watched)
+    for mass, least in ((1.0, 1.0), (0.95, 0.9)):
+        sizes.clear()
+        got = {}
+        for r in ann.neighbours(df, ann.F.col("vec_id") % 50 == 0, mass=mass, rows_per_part=60, most=200).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert len(sizes) >= 2 and sizes == sorted(set(sizes)) and sizes[-1] >= 9
+        hits = sum(len(set(got[q]) & set(w)) for q, w in want.items()) / (5 * len(want))
+        assert hits >= least and (mass < 1 or got == want)
