@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.scratch import kept
 from .catalog import numbered
 from .raster import KEY, class_edges, grown, quantile_normalize, quantiles_normalize
+from .selection import quantiles
 from .tiles import smooth_mask
 
 
@@ -45,8 +47,9 @@ def hard_sample_scores(cells: DataFrame, label: str = "y", key: str = KEY) -> Da
 
 def hard_sample_weights(scores: DataFrame, quantile: float = 0.8, boost: float = 2.0, target: float = 0.0, cap: float = 0.8, key: str = KEY) -> DataFrame:
     """key, hard, weight: samples at or over the score quantile get more weight, to a target share and under a cap; weights sum to 1."""
-    cut = scores.agg(F.percentile("score", F.lit(quantile)).alias("cut"))
-    marked = scores.crossJoin(F.broadcast(cut)).withColumn("hard", F.col("score") >= F.col("cut")).drop("cut")  # one row
+    scores = kept(scores.select(key, "score"))
+    cut = quantiles(scores, [], "score", {"cut": quantile})
+    marked = scores.join(F.broadcast(cut), F.lit(True), "left").withColumn("hard", F.col("score") >= F.col("cut")).drop("cut")  # one row
     sums = marked.agg(F.count_if("hard").alias("nh"), F.count_if(~F.col("hard")).alias("ne"))
     out = marked.crossJoin(F.broadcast(sums))  # one row
     boost = max(1.0, boost)
@@ -217,8 +220,10 @@ def active_learning_scores(cells: DataFrame, probabilities: Sequence[str] = ("p0
     for name, weights in (("uncertainty", RAW_UNCERTAINTY), ("route_impact", RAW_IMPACT)):
         first, *rest = (F.col(c) * w for c, w in weights.items())
         out = out.withColumn(name, sum(rest, first))
-    ends = [f.alias(f"__{n}_{c}") for c in ("uncertainty", "route_impact") for n, f in (("lo", F.percentile(c, F.lit(0.05))), ("hi", F.percentile(c, F.lit(0.95))), ("a", F.min(c)), ("b", F.max(c)))]
-    one = out.agg(*ends)
+    out = kept(out)
+    one = out.agg(*(f(c).alias(f"__{n}_{c}") for c in ("uncertainty", "route_impact") for n, f in (("a", F.min), ("b", F.max))))
+    for c in ("uncertainty", "route_impact"):
+        one = one.join(quantiles(out, [], c, {f"__lo_{c}": 0.05, f"__hi_{c}": 0.95}), F.lit(True), "left")  # one row each
     aim = labelled_ratio(cells, key) if target is None else one.select(F.lit(float(target)).alias("target"))
     out = out.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(aim))  # one row each
 

@@ -93,7 +93,8 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, qs: dict[str, fl
 
     def made(q: float) -> Column:
         at = (F.col("n") - 1) * F.lit(q)
-        weight = F.when(F.floor(at) == F.ceil(at), 1.0).when(F.col("rank") == F.floor(at), F.ceil(at) - at).otherwise(at - F.floor(at))
-        return F.sum(F.when((F.col("rank") == F.floor(at)) | (F.col("rank") == F.ceil(at)), weight * F.col("found")))
+        low, high = (F.max(F.when(F.col("rank") == f(at), F.col("found"))) for f in (F.floor, F.ceil))
+        at = F.max(at)
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)  # equal neighbours exactly
 
     return found.groupBy(*keys).agg(*(made(q).alias(n) for n, q in qs.items())).where(F.coalesce(*qs).isNotNull())

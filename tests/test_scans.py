@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from floeworks.operators import automaton, catalog, selection, shapes
+from floeworks.operators import automaton, catalog, labels, selection, shapes
 from floeworks.streaming import state
 
 
@@ -142,3 +142,17 @@ def test_rasterize(spark):
         assert got.get(i, set()) == plain_cells(shape, points, radius, 40, 60), (i, shape, points, radius)
     plan = shapes.rasterize(df, 40, 60)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_scores_equal_to_the_cut_are_hard(spark):
+    """A quantile between equal neighbours is their value, so that ties at the cut stay on its upper side."""
+    for v in (0.1, 0.3, 0.7, 1 / 3):
+        values = [0.01 * i for i in range(3)] + [v] * 8 + [0.9]
+        scores = spark.createDataFrame(list(enumerate(values)), "sample_id long, score double")
+        for q in (0.35, 0.8, 0.77):
+            assert selection.quantiles(scores, [], "score", {"cut": q}).first()["cut"] == v
+            out = {r["sample_id"]: r for r in labels.hard_sample_weights(scores, q).collect()}
+            assert [i for i in out if not out[i]["hard"]] == [i for i in out if values[i] < v]
+            assert abs(sum(r["weight"] for r in out.values()) - 1) < 1e-9
+    nothing = spark.createDataFrame([], "sample_id long, score double")
+    assert labels.hard_sample_weights(nothing).collect() == []
