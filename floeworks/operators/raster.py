@@ -27,7 +27,8 @@ def pack_raster(cells: DataFrame, keys: list[str], value: str = "value") -> Data
 
 
 def blocked_from_bathy(c: Column, threshold: float = 0.0) -> Column:
-    return F.when(F.isnan(c) | (c >= threshold), 1).otherwise(0)
+    """1 on land and where the depth is not known (null or NaN)."""
+    return F.when(c.isNull() | F.isnan(c) | (c >= threshold), 1).otherwise(0)
 
 
 def merge_labels(blocked: Column, caution: Column) -> Column:

@@ -31,8 +31,7 @@ def packed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("merge_labels", CELLS + "SELECT sample_id, row, col, blocked, CASE WHEN blocked = 1 THEN 2 WHEN caution = 1 THEN 1 ELSE 0 END AS y FROM cells")
 def merged(spark: SparkSession, d: str) -> DataFrame:
-    blocked = R.blocked_from_bathy(F.col("bathy"), 0.0)
-    return cells_of(spark, d).select("sample_id", "row", "col", blocked.alias("blocked"), R.merge_labels(blocked, F.col("caution")).alias("y"))
+    return cells_of(spark, d).select("sample_id", "row", "col", "blocked", R.merge_labels(F.col("blocked"), F.col("caution")).alias("y"))
 
 
 @query(

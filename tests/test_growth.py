@@ -2,7 +2,9 @@
 
 import random
 
-from floeworks.operators import routes
+from pyspark.sql import functions as F
+
+from floeworks.operators import raster, routes
 
 
 def test_equal_routes_are_one_class(spark, monkeypatch):
@@ -26,3 +28,8 @@ def test_equal_routes_are_one_class(spark, monkeypatch):
                     s, t = sets[g, a], sets[g, b]
                     want = len(s & t) / min(len(s), len(t))
                     assert found == (want if want > 0 and want >= least else None)
+
+
+def test_unknown_depth_is_blocked(spark):
+    rows = spark.createDataFrame([(0, None), (1, float("nan")), (2, 0.0), (3, -1.0)], "i int, bathy double")
+    assert [r[1] for r in rows.select("i", raster.blocked_from_bathy(F.col("bathy"))).orderBy("i").collect()] == [1, 1, 1, 0]
