@@ -247,10 +247,10 @@ HINT = {"ice_conc": 0.42, "wave_hs": 0.28, "wind_speed": 0.20, "ais_heatmap": 0.
 
 
 def risk_hint(cells: DataFrame, key: str = KEY) -> DataFrame:
-    """cells with hint: a weighted sum of layers scaled by their 2nd and 98th percentiles; 0 on blocked cells."""
+    """cells with hint: a weighted sum of layers scaled by their 2nd and 98th percentiles; 0 on blocked cells. A layer without a value adds nothing."""
     out = cells.withColumn("wind_speed", F.hypot("wind_u10", "wind_v10"))
     out = quantiles_normalize(out, {c: f"__{c}" for c in HINT}, 0.02, 0.98, flat=0.5, key=key)
-    hint = sum((F.col(f"__{c}") * w for c, w in HINT.items()), F.lit(0.0))
+    hint = sum((F.when(F.col(c).isNull(), 0.0).otherwise(F.col(f"__{c}") * w) for c, w in HINT.items()), F.lit(0.0))
     return out.withColumn("hint", F.when(F.col("blocked") == 1, 0.0).otherwise(hint)).drop(*(f"__{c}" for c in HINT), "wind_speed")
 
 

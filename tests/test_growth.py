@@ -11,7 +11,7 @@ from floeworks.plans.all import ORACLES, QUERIES
 
 from .test_oracles import duck, plain  # noqa: F401
 
-LAST_MAP = ["blocked_from_bathy", "merge_labels", "numeric_quality", "sample_quality", "reason_counts"]
+LAST_MAP = ["blocked_from_bathy", "merge_labels", "numeric_quality", "sample_quality", "reason_counts", "risk_hint"]
 
 
 def test_equal_routes_are_one_class(spark, monkeypatch):
