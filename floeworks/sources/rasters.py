@@ -1,7 +1,7 @@
 """Array files as a Spark data source: `spark.read.format("rasters")`, and a writer of the same layout.
 
-A root has a folder for each timestamp with arrays (channel, row, col) or (row, col) in NumPy's format. Reading lists the files and their headers, then
-makes a partition of each run of rows of a channel; a task reads just its bytes. Writing takes rows in order of timestamp, channel,
+A root has a folder for each timestamp with arrays (channel, row, col) or (row, col) in NumPy's format. Reading lists the files; a partition is a piece of a large
+file or a run of small ones, and its task reads the headers and the rows that begin in its pieces, some at a time. Writing takes rows in order of timestamp, channel,
 row and column, and puts one map after the other into its file; a map is complete within one task.
 
 Paths are opened with pyarrow's file systems, so they may be local (shared by all machines) or of any store that those know.
@@ -24,8 +24,10 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "timestamp string, channel_no int, row int, col int, value double"
 ARROW = pa.schema([("timestamp", pa.string()), ("channel_no", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.float64())])
-#: Bytes of one partition, as far as whole rows allow.
+#: Bytes that are read at a time, as far as whole rows allow.
 PART = 32 << 20
+#: Bytes of one partition, and what opening a file counts as.
+TASK, OPEN = 32 << 20, 64 << 10
 
 
 def _at(path: str) -> tuple[pf.FileSystem, str]:
@@ -34,17 +36,10 @@ def _at(path: str) -> tuple[pf.FileSystem, str]:
 
 
 @dataclass
-class Rows(InputPartition):
-    """Rows first to last of a channel of a file."""
+class Pieces(InputPartition):
+    """Files, each with the bytes first to last of it."""
 
-    path: str
-    timestamp: str
-    channel: int
-    first: int
-    last: int
-    shape: tuple[int, int, int]
-    dtype: str
-    offset: int
+    pieces: list[tuple[str, int, int]]
 
 
 def _header(data: bytes) -> tuple[tuple[int, ...], bool, np.dtype, int]:
@@ -59,40 +54,46 @@ class RasterReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.name, self.part = options["path"], options.get("name", "x_stack.npy"), int(options.get("partbytes", PART))
 
-    def partitions(self) -> list[Rows]:
+    def partitions(self) -> list[Pieces]:
         fs, root = _at(self.root)
-        out = []
+        out, held, size = [], [], 0
         for info in fs.get_file_info(pf.FileSelector(root, recursive=True, allow_not_found=True)):
             if info.type != pf.FileType.File or info.base_name != self.name:
                 continue
-            with fs.open_input_file(info.path) as f:
-                shape, fortran, dtype, offset = _header(f.read_at(min(info.size, 4096), 0))
-            if len(shape) not in (2, 3) or fortran or dtype.hasobject:
-                raise ValueError(f"{info.path}: rows of plain numbers in two or three dimensions are asked for")
-            c, h, w = shape if len(shape) == 3 else (1, *shape)
-            step = max(1, self.part // max(1, w * dtype.itemsize))
-            stamp = info.path.rsplit("/", 2)[-2]
-            out += [Rows(info.path, stamp, k, i, min(i + step, h), (c, h, w), dtype.str, offset) for k in range(c) for i in range(0, h, step)]
-        return out
-
-    def read(self, partition: Rows | None) -> Iterator[pa.RecordBatch]:
+            for first in range(0, max(1, info.size), TASK):
+                last = min(first + TASK, info.size)
+                if held and size + last - first + OPEN > TASK:
+                    out.append(Pieces(held))
+                    held, size = [], 0
+                held.append((info.path, first, last))
+                size += last - first + OPEN
+        return [*out, Pieces(held)] if held else out
+
+    def read(self, partition: Pieces | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no file at all
             return
-        p = partition
-        _, h, w = p.shape
-        dtype = np.dtype(p.dtype)
         fs, _ = _at(self.root)
-        with fs.open_input_file(p.path) as f:
-            data = f.read_at((p.last - p.first) * w * dtype.itemsize, p.offset + (p.channel * h + p.first) * w * dtype.itemsize)
-        values = np.frombuffer(data, dtype).reshape(-1, w)
-        rows = max(1, (1 << 16) // max(1, w))
-        for i in range(0, len(values), rows):
-            a = values[i : i + rows]
-            row, col = np.indices(a.shape)
-            n = a.size
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p.timestamp] * n), pa.array(np.full(n, p.channel, np.int32)), pa.array((row.ravel() + p.first + i).astype(np.int32)), pa.array(col.ravel().astype(np.int32)), pa.array(a.ravel().astype(np.float64))], schema=ARROW
-            )
+        for path, first, last in partition.pieces:
+            with fs.open_input_file(path) as f:
+                yield from self._rows(f, path, first, last)
+
+    def _rows(self, f: pa.NativeFile, path: str, first: int, last: int) -> Iterator[pa.RecordBatch]:
+        """The rows of all channels that begin from first on and before last."""
+        shape, fortran, dtype, offset = _header(f.read_at(min(f.size(), 4096), 0))
+        if len(shape) not in (2, 3) or fortran or dtype.hasobject:
+            raise ValueError(f"{path}: rows of plain numbers in two or three dimensions are asked for")
+        c, h, w = shape if len(shape) == 3 else (1, *shape)
+        stamp, line = path.rsplit("/", 2)[-2], w * dtype.itemsize
+        if not line:
+            return
+        begin, end = (min(max(0, -((offset - at) // line)), c * h) for at in (first, last))  # the first row that begins at a place or behind it
+        step = max(1, min(self.part // line, (1 << 16) // w))
+        for i in range(begin, end, step):
+            e = min(i + step, end)
+            values = np.frombuffer(f.read_at((e - i) * line, offset + i * line), dtype)
+            channel, row = np.divmod(np.arange(i, e), h)
+            columns = (np.repeat(channel, w), np.repeat(row, w), np.tile(np.arange(w), e - i))
+            yield pa.RecordBatch.from_arrays([pa.array([stamp] * len(values)), *(pa.array(x.astype(np.int32)) for x in columns), pa.array(values.astype(np.float64))], schema=ARROW)
 
 
 @dataclass

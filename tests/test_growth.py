@@ -3,11 +3,13 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from floeworks.operators import raster, routes
 from floeworks.plans.all import ORACLES, QUERIES
+from floeworks.sources import rasters
 
 from .test_oracles import duck, plain  # noqa: F401
 
@@ -71,3 +73,20 @@ def test_tags_at_the_limit(spark, tmp_path):
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = QUERIES["root_cause_tags"](spark, str(tmp_path)).select("event_id", "tags").collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(ORACLES["root_cause_tags"]).fetchall())
+
+
+@pytest.mark.parametrize("task", [32 << 20, 200, 64])
+def test_small_files_share_a_partition(tmp_path, monkeypatch, task):
+    """Files are packed into partitions, large ones cut, and each row is read once."""
+    monkeypatch.setattr(rasters, "TASK", task)
+    want = {}
+    for i in range(40):
+        (tmp_path / f"m{i}").mkdir()
+        a = np.random.default_rng(i).standard_normal((2, 3, 4))
+        np.save(tmp_path / f"m{i}" / "x_stack.npy", a)
+        want.update({(f"m{i}", *at): v for at, v in np.ndenumerate(a)})
+    reader = rasters.RasterReader({"path": str(tmp_path), "partbytes": "64"})
+    parts = reader.partitions()
+    assert len(parts) == 1 if task > 1000 else len(parts) >= 40
+    got = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert len(got) == len(want) and {r[:4]: r[4] for r in got} == want
