@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from floeworks.operators import raster, routes
+from floeworks.operators import raster, routes, tiles
 from floeworks.plans.all import ORACLES, QUERIES
 from floeworks.sources import rasters
 
@@ -90,3 +90,24 @@ def test_small_files_share_a_partition(tmp_path, monkeypatch, task):
     assert len(parts) == 1 if task > 1000 else len(parts) >= 40
     got = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert len(got) == len(want) and {r[:4]: r[4] for r in got} == want
+
+
+def test_tiles_are_streamed(spark):
+    """Many small maps pass a few rows at a time, and one call of Python has many tiles."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cells = spark.range(40 * 36).selectExpr("nullif(id div 36, 7) AS sample_id", "CAST(id % 36 div 6 AS int) AS row", "CAST(id % 6 AS int) AS col", "CAST(id * 7 % 11 AS double) AS v")
+    want = {}
+    for r in cells.collect():
+        want.setdefault(r["sample_id"], np.zeros((6, 6)))[r["row"], r["col"]] = r["v"]
+    try:
+        for rows in (1, 5, 7, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            out = tiles.box_blur(cells, "v", 1, tile=4)
+            assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+            got = out.collect()
+            assert len(got) == 40 * 36
+            for r in got:
+                p = np.pad(want[r["sample_id"]], 1, mode="edge")
+                assert abs(r["blurred"] - p[r["row"] : r["row"] + 3, r["col"] : r["col"] + 3].mean()) < 1e-9
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
