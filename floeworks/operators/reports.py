@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import PRIME, route_safety, uniform
+from ..sources.scratch import kept
 from .catalog import nearest_timestamp
 from .graph import component_sizes
 from .raster import KEY, quantile_normalize, quantiles_normalize
@@ -103,17 +104,66 @@ def closed_loop_delta(train: DataFrame, before: DataFrame, after: DataFrame) ->
 POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720)]).tolist()
 
 
+#: Samples whose numbers are made at a time, and keys whose sums a task holds.
+AT_ONCE, KEYS_HELD = 2048, 1024
+
+
+def _numbers(ids: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """uniform(id, replicate) for all replicates of each id."""
+    x = (seed % PRIME * 48271 + ids % PRIME) % PRIME
+    x = x * (x + 69621) % PRIME
+    x = (x[:, None] * 48271 + np.arange(rounds)) % PRIME
+    x = x * (x + 69621) % PRIME
+    return x * (x + 48271) % PRIME / float(PRIME)
+
+
+def _replicated(samples: DataFrame, keys: Sequence[str], rounds: int, seed: int, sums: Callable[[tuple, np.ndarray, np.ndarray], Iterator[tuple[tuple, np.ndarray]]], schema: T.StructType) -> DataFrame:
+    """Sums by replicate: `sums` makes from a key, its samples' values and numbers (a row a sample) output keys with columns (a row a replicate), which are summed.
+
+    samples are keys, id, value; values are not null. A task gives partial sums of its keys, so the rows that move are keys times replicates.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def given() -> Iterator[pd.DataFrame]:
+            for key, a in held.items():
+                yield pd.DataFrame({f.name: [v] * rounds for f, v in zip(schema.fields, key)} | {"replicate": range(rounds)} | {f.name: a[:, i] for i, f in enumerate(schema.fields[len(key) + 1 :])})
+            held.clear()
+
+        for whole in parts:
+            for i in range(0, len(whole), AT_ONCE):
+                part = whole.iloc[i : i + AT_ONCE]
+                ids, place = np.unique(part["id"].to_numpy(np.int64), return_inverse=True)
+                numbers, values = _numbers(ids, rounds, seed), part["value"].to_numpy(float)
+                for key, rows in part.groupby(list(keys), dropna=False).indices.items():
+                    for out, a in sums(key if isinstance(key, tuple) else (key,), values[rows], numbers[place[rows]]):
+                        held[out] = held[out] + a if out in held else a
+                if len(held) > KEYS_HELD:
+                    yield from given()
+        yield from given()
+
+    names = [f.name for f in schema.fields]
+    at = names.index("replicate") + 1
+    found = samples.select(*keys, F.col("id").cast("long").alias("id"), F.col("value").cast("double").alias("value")).mapInPandas(run, schema)
+    return found.groupBy(*names[:at]).agg(*(F.sum(n).alias(n) for n in names[at:]))
+
+
 def bootstrap_ci(samples: DataFrame, rounds: int = 500, alpha: float = 0.05, seed: int = 0, keys: tuple[str, ...] = ("key",)) -> DataFrame:
     """Per keys: mean, n and the percentile interval of resampled means.
 
     Each sample's weight in a replicate is a Poisson(1) number made from its id (a whole number) and the replicate, so a
     replicate is a weighted sum by key: nothing is gathered, and any number of samples is spread over tasks.
     """
-    u = F.col("u")
-    weight = sum(((u > c).cast("int") for c in POISSON[1:]), (u > POISSON[0]).cast("int"))
-    spread = samples.select(*keys, "id", "value", F.explode(F.sequence(F.lit(0), F.lit(max(200, rounds) - 1))).alias("replicate"))
-    spread = spread.withColumn("u", uniform(F.col("id"), F.col("replicate"), seed=seed)).withColumn("w", weight)
-    means = spread.groupBy(*keys, "replicate").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    rounds = max(200, rounds)
+
+    def sums(key: tuple, values: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[tuple, np.ndarray]]:
+        weights = sum((numbers > c).astype(float) for c in POISSON)
+        yield key, np.stack([values @ weights, weights.sum(0)], axis=1)
+
+    fields = [*(samples.schema[k] for k in keys), T.StructField("replicate", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("s", "w"))]
+    known = samples.withColumn("value", F.coalesce("value", F.lit(0.0)))  # an unknown value adds its weight only
+    means = _replicated(known, keys, rounds, seed, sums, T.StructType(fields)).withColumn("m", F.col("s") / F.nullif("w", F.lit(0.0)))
     ci = means.groupBy(*keys).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
     return samples.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")).join(ci, list(keys))
 
@@ -150,18 +200,30 @@ def metric_samples(bench: DataFrame, mode: str = "dynamic") -> DataFrame:
 def significance(samples: DataFrame, rounds: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Per metric and pair of planners a < b: mean_diff, p_value, effect_size, winner, confidence, n_a, n_b.
 
-    A sample is dealt in each replicate to one side of each pair that its planner is in; the sums of a replicate are
-    those of a key, so samples are never gathered. Planners are a small dimension; pairs are made from their sums.
+    A sample is dealt in each replicate to one side of each pair that its planner is in. A task sums its own samples by pair and
+    replicate in arrays, so samples are never gathered or repeated. Planners are a small dimension; pairs are made from their sums.
     """
+    samples = kept(samples.select("metric", "planner", "id", "value"), "samples")
     by = samples.groupBy("metric", "planner").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance"))
     side = lambda x: by.select("metric", *(F.col(c).alias(f"{c}_{x}") for c in ("planner", "n", "mean", "variance")))
     pairs = side("a").join(side("b"), "metric").where("planner_a < planner_b").withColumn("diff", F.col("mean_a") - F.col("mean_b"))
     pooled = F.sqrt(F.greatest(F.lit(1e-12), ((F.col("n_a") - 1) * F.col("variance_a") + (F.col("n_b") - 1) * F.col("variance_b")) / F.greatest(F.lit(1), F.col("n_a") + F.col("n_b") - 2)))
     pairs = pairs.withColumn("effect_size", F.col("diff") / pooled)
     mine = pairs.select("metric", "planner_a", "planner_b", (F.col("n_a") / (F.col("n_a") + F.col("n_b"))).alias("share"), F.explode(F.array("planner_a", "planner_b")).alias("planner"))
-    spread = samples.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(max(200, rounds) - 1)))).withColumn("u", uniform(F.col("id"), F.col("replicate"), seed=seed)).join(F.broadcast(mine), ["metric", "planner"])  # planners squared
-    left = F.col("u") < F.col("share")
-    dealt = spread.groupBy("metric", "planner_a", "planner_b", "replicate").agg((F.avg(F.when(left, F.col("value"))) - F.avg(F.when(~left, F.col("value")))).alias("d"))
+    shares: dict[tuple, list[tuple]] = {}
+    for r in mine.collect():  # planners squared
+        shares.setdefault((r["metric"], r["planner"]), []).append((r["planner_a"], r["planner_b"], r["share"]))
+
+    def sums(key: tuple, values: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[tuple, np.ndarray]]:
+        for a, b, share in shares.get(key, ()):
+            left = (numbers < share).astype(float)
+            n, s = left.sum(0), values @ left
+            yield (key[0], a, b), np.stack([n, s, len(values) - n, values @ (1 - left)], axis=1)
+
+    fields = [samples.schema["metric"], *(T.StructField(c, samples.schema["planner"].dataType) for c in ("planner_a", "planner_b")), T.StructField("replicate", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("left_n", "left_s", "right_n", "right_s"))]
+    dealt = _replicated(samples.where("value IS NOT NULL"), ("metric", "planner"), max(200, rounds), seed, sums, T.StructType(fields))
+    side_mean = lambda x: F.col(f"{x}_s") / F.nullif(f"{x}_n", F.lit(0.0))
+    dealt = dealt.withColumn("d", side_mean("left") - side_mean("right"))
     extreme = dealt.join(pairs.select("metric", "planner_a", "planner_b", "diff"), ["metric", "planner_a", "planner_b"]).groupBy("metric", "planner_a", "planner_b").agg(((F.count_if(F.abs("d") >= F.abs("diff")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
     ci = bootstrap_ci(samples, rounds, alpha, seed, ("metric", "planner"))
     ends = lambda x: ci.select("metric", F.col("planner").alias(f"planner_{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))

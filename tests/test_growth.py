@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from floeworks.operators import raster, routes, tiles
+from floeworks.functions.scalars import uniform
+from floeworks.operators import raster, reports, routes, tiles
 from floeworks.plans.all import ORACLES, QUERIES
 from floeworks.sources import rasters
 
@@ -111,3 +112,19 @@ def test_tiles_are_streamed(spark):
                 assert abs(r["blurred"] - p[r["row"] : r["row"] + 3, r["col"] : r["col"] + 3].mean()) < 1e-9
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_replicates_are_summed_in_tasks(spark, monkeypatch):
+    """Numbers agree with uniform(), samples are not repeated for each replicate, and sums that are given early add up."""
+    ids = [0, 1, 77, 2**40 + 3, -5]
+    rows = spark.createDataFrame([(i, k) for i in ids for k in range(50)], "id long, k int")
+    want = {(r[0], r[1]): r[2] for r in rows.select("id", "k", uniform(F.col("id"), F.col("k"), seed=9)).collect()}
+    made = reports._numbers(np.array(ids), 50, 9)
+    assert all(made[n, k] == want[i, k] for n, i in enumerate(ids) for k in range(50))
+    samples = spark.range(600).selectExpr("id", "CAST(id % 7 AS string) AS key", "CAST(id % 11 AS double) AS value")
+    assert "explode" not in reports.bootstrap_ci(samples)._jdf.queryExecution().toString()
+    whole = sorted(map(tuple, reports.bootstrap_ci(samples, 200).collect()))
+    monkeypatch.setattr(reports, "AT_ONCE", 13)
+    monkeypatch.setattr(reports, "KEYS_HELD", 2)
+    for a, b in zip(whole, sorted(map(tuple, reports.bootstrap_ci(samples, 200).collect())), strict=True):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
