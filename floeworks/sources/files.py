@@ -85,8 +85,7 @@ def flatten_report(df: DataFrame, sections: Sequence[str], keys: Sequence[str])
         return [F.array(F.struct(path.alias("field"), c.cast("string").alias("value")))]
 
     ROOT = F.lit("")
-    out = None
-    for s in sections:
-        rows = df.select(*keys, F.lit(s).alias("section"), F.explode(F.concat(*leaves(F.col(s), df.schema[s].dataType, ROOT))).alias("x")).select(*keys, "section", "x.field", "x.value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    kind = "array<struct<section:string,field:string,value:string>>"
+    named = lambda s: F.transform(F.concat(*leaves(F.col(s), df.schema[s].dataType, ROOT)), lambda x: F.struct(F.lit(s).alias("section"), x["field"].alias("field"), x["value"].alias("value")))
+    found = F.concat(*(F.coalesce(named(s), F.array().cast(kind)) for s in sections))  # one pass over df for all sections
+    return df.select(*keys, F.explode(found).alias("x")).select(*keys, "x.section", "x.field", "x.value")
