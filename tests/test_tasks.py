@@ -1,5 +1,6 @@
 """What one task holds or does stays bounded on larger tables."""
 
+from floeworks.plans import adapters
 from floeworks.sources import files
 
 
@@ -13,3 +14,12 @@ def test_sections_are_flattened_in_one_pass(spark):
     assert "Union" not in plan(out)
     want = [(1, "m", "n", "2"), (1, "m", "t.ms", "5"), (1, "tags", "[0]", "a"), (1, "tags", "[1]", "b"), (2, "m", "n", None), (2, "m", "t.ms", "6"), (2, "tags", "", "[]"), (3, "m", "n", None), (3, "m", "t.ms", None)]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_orders_are_dealt_by_lines(spark, sf_dir, monkeypatch):
+    whole = sorted(map(tuple, adapters.adapt(spark, sf_dir, "bench").select("run_id", "mode", "replan_count").collect()))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    monkeypatch.setattr(adapters, "LINES", 1000)
+    out = adapters.adapt(spark, sf_dir, "bench").select("run_id", "mode", "replan_count")
+    assert out.rdd.getNumPartitions() == -(-lines // 1000)
+    assert sorted(map(tuple, out.collect())) == whole
