@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from .rasters import _at
+
 #: Columns of a position file; only time and place must hold a value.
 AIS_COLUMNS = ("mmsi", "postime", "lon", "lat", "status", "eta", "dest", "draught", "cog", "hdg", "sog", "rot")
 DEFAULT_CHANNELS = ("ice_conc", "ice_thick", "wave_hs", "wind_u10", "wind_v10", "bathy", "ais_heatmap")
@@ -65,6 +68,24 @@ def read_run_records(spark: SparkSession, path: str, schema: str | T.StructType,
     return raw.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
+def write_texts(df: DataFrame, root: str, tasks: int = 64) -> None:
+    """df (name, value) as a file root/name for each row; rows are dealt to a fixed number of tasks, since small texts would else share one.
+
+    A text is written beside its place and moved there, so an attempt that ends early leaves no part of it.
+    """
+
+    def store(rows: Iterator[Row]) -> None:
+        fs, at = _at(root)
+        fs.create_dir(at)
+        for r in rows:
+            part = f"{at}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(part, compression=None) as f:
+                f.write(r["value"].encode())
+            fs.move(part, f"{at}/{r['name']}")
+
+    df.select("name", "value").repartition(tasks, "name").foreachPartition(store)
+
+
 def write_heatmaps(df: DataFrame, path: str, tag: str) -> None:
     """Maps (center, row, col, heat) under tag and month; readers prune by both."""
     df.withColumn("tag", F.lit(tag)).withColumn("month", F.date_format("center", "yyyy-MM")).repartition("month").write.mode("append").partitionBy("tag", "month").parquet(path)

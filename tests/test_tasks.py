@@ -1,6 +1,7 @@
 """What one task holds or does stays bounded on larger tables."""
 
 from floeworks.plans import adapters
+from floeworks.plans import files as plans
 from floeworks.sources import files
 
 
@@ -23,3 +24,13 @@ def test_orders_are_dealt_by_lines(spark, sf_dir, monkeypatch):
     out = adapters.adapt(spark, sf_dir, "bench").select("run_id", "mode", "replan_count")
     assert out.rdd.getNumPartitions() == -(-lines // 1000)
     assert sorted(map(tuple, out.collect())) == whole
+
+
+def test_a_file_for_each_run(spark, sf_dir, tmp_path, monkeypatch):
+    """Files lie in one folder, a text each, and more than one task has written them."""
+    monkeypatch.setattr(plans, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    got = plans.records(spark, sf_dir).collect()
+    names = [p.name for p in (tmp_path / "runs").iterdir()]
+    assert len(names) > len(got) > 100 and sum(int(n.removesuffix(".txt")) % 10 != 0 for n in names) == len(got)
+    broken = (tmp_path / "runs" / "10.txt").read_text()
+    assert len(broken) == 12
