@@ -42,8 +42,8 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
     rows = adapt(spark, d, "bench").select("run_id", "mode", "planner", "status", "runtime_ms", "replan_count")
     packed = rows.groupBy(F.floor(F.col("run_id") / 1000).alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct(*rows.columns)).alias("rows"))).alias("value"))
     path = scratch(spark, "bench")
-    packed.repartition("part").write.partitionBy("part").text(path)
-    return rounded(S.read_bench(spark, path).select(*rows.columns), "runtime_ms", digits=4)
+    S.write_texts(packed.select(F.concat("part", F.lit(".json")).alias("name"), "value"), path)
+    return rounded(S.read_bench(spark, path, rows.schema).select(*rows.columns), "runtime_ms", digits=4)
 
 
 @query("read_run_records", ctes("run_events") + "SELECT run_id, count(*) AS events, max(event_id) AS last FROM run_events WHERE run_id % 10 <> 0 GROUP BY 1")

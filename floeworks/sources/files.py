@@ -53,11 +53,15 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.select("path", "size", "mtime_ns", "hash", "timestamp", "source").write.mode("overwrite").json(path)
 
 
-def read_bench(spark: SparkSession, path: str) -> DataFrame:
-    """Runs from payload files that hold them under `rows`, or from CSV."""
+def read_bench(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Runs from payload files that hold them under `rows`, or from CSV. Without the schema of a run the files are read twice, to find it first."""
     if path.endswith(".csv"):
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return spark.read.option("multiLine", True).json(path).selectExpr("inline(rows)")
+        read = spark.read.option("header", True)
+        return (read.schema(schema) if schema else read.option("inferSchema", True)).csv(path)
+    read = spark.read.option("multiLine", True)
+    if schema:
+        read = read.schema(T.StructType([T.StructField("rows", T.ArrayType(schema))]))
+    return read.json(path).selectExpr("inline(rows)")
 
 
 def read_run_records(spark: SparkSession, path: str, schema: str | T.StructType, pattern: str = "*.json") -> DataFrame:

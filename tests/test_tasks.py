@@ -1,5 +1,7 @@
 """What one task holds or does stays bounded on larger tables."""
 
+from pyspark.sql import types as T
+
 from floeworks.plans import adapters
 from floeworks.plans import files as plans
 from floeworks.sources import files
@@ -34,3 +36,12 @@ def test_a_file_for_each_run(spark, sf_dir, tmp_path, monkeypatch):
     assert len(names) > len(got) > 100 and sum(int(n.removesuffix(".txt")) % 10 != 0 for n in names) == len(got)
     broken = (tmp_path / "runs" / "10.txt").read_text()
     assert len(broken) == 12
+
+
+def test_runs_are_read_once_with_a_schema(spark, tmp_path):
+    texts = spark.createDataFrame([(f"{i}.json", f'{{"rows": [{{"run_id": {i}, "runtime_ms": {i}}}]}}') for i in range(20)], "name string, value string")
+    files.write_texts(texts, f"file://{tmp_path}/b", 4)
+    kind = T._parse_datatype_string("run_id long, runtime_ms double")
+    out = files.read_bench(spark, f"file://{tmp_path}/b", kind)
+    assert out.schema == kind
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, files.read_bench(spark, f"file://{tmp_path}/b").collect())) == [(i, float(i)) for i in range(20)]
