@@ -10,9 +10,11 @@ a query starts. Time to live of state variables counts the machine's time and is
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +22,31 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of a key that are Python objects at a time.
+AT_ONCE = 10_000
+
+
+def ordered(rows: Iterator[Row]) -> Iterator[Row]:
+    """rows by us and event_id (null first). A batch may hold millions of one key, so they wait as numbers: times, ids and which of the other columns' few values."""
+    us, ids, kind, kinds, made = array("q"), array("q"), array("q"), {}, None
+    for r in rows:
+        if made is None:
+            rest = [c for c in r.__fields__ if c not in ("ts", "us", "event_id")]
+            made = Row("us", "event_id", *rest)
+        no_id = r["event_id"] is None
+        us.append(r["us"])
+        ids.append(-(2**63) if no_id else r["event_id"])
+        kind.append(kinds.setdefault((no_id, *(r[c] for c in rest)), len(kinds)))
+    values = list(kinds)
+    us, ids, kind = (np.frombuffer(a, np.int64) if a else np.array([], np.int64) for a in (us, ids, kind))
+    order = np.lexsort((ids, us))
+    for i in range(0, len(order), AT_ONCE):
+        at = order[i : i + AT_ONCE]
+        for t, n, k in zip(us[at].tolist(), ids[at].tolist(), kind[at].tolist(), strict=True):
+            no_id, *others = values[k]
+            yield made(t, None if no_id else n, *others)
+
+
 class Keyed(StatefulProcessor):
     """Folds the events of a key in order of us (microseconds) and event_id; the state is one row of values with at most one timer."""
 
@@ -32,7 +59,7 @@ class Keyed(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         state = tuple(self.held.get()) if self.held.exists() else None
         before = self.due(state)
-        for r in sorted(rows, key=lambda r: (r["us"], r["event_id"])):
+        for r in ordered(rows):
             state, out = self.step(key[0], state, r)
             yield from out
         yield from self.kept(key[0], state)

@@ -1,10 +1,15 @@
 """What one task holds or does stays bounded on larger tables."""
 
+import random
+import tracemalloc
+
+from pyspark.sql import Row
 from pyspark.sql import types as T
 
 from floeworks.plans import adapters
 from floeworks.plans import files as plans
 from floeworks.sources import files
+from floeworks.streaming import timers
 
 
 def plan(df):
@@ -45,3 +50,18 @@ def test_runs_are_read_once_with_a_schema(spark, tmp_path):
     out = files.read_bench(spark, f"file://{tmp_path}/b", kind)
     assert out.schema == kind
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, files.read_bench(spark, f"file://{tmp_path}/b").collect())) == [(i, float(i)) for i in range(20)]
+
+
+def test_rows_of_a_key_wait_as_numbers():
+    """Order is that of sorted(), over several portions, and memory a fraction of that of the rows."""
+    rng = random.Random(3)
+    data = [Row(source="s", ts=None, us=rng.randrange(5_000), event_id=None if i == 7 else rng.randrange(10**6), ok=rng.random() < 0.5, status=rng.choice(["a", None])) for i in range(40_000)]
+    want = sorted(((r.us, -1 if r.event_id is None else r.event_id, r.ok, r.status, r.source) for r in data), key=lambda r: r[:2])
+    got = [(r["us"], -1 if r["event_id"] is None else r["event_id"], r["ok"], r["status"], r["source"]) for r in timers.ordered(iter(data))]
+    assert got == want and list(timers.ordered(iter([]))) == []
+    tracemalloc.start()
+    for _ in timers.ordered(Row(us=i, event_id=i, ok=True) for i in range(40_000)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000 * 150
