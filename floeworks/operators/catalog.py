@@ -96,8 +96,9 @@ def nearest_timestamp(wanted: DataFrame, available: DataFrame, by: str | None =
     order = W.partitionBy("__key").orderBy("__range")  # over a row for each range
     ends = both.groupBy("__key", "__range").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     ends = ends.select(F.col("__key").alias("__key2"), F.col("__range").alias("__range2"), F.last("last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("after"))
-    line = W.partitionBy("__key", "__range").orderBy("v")
-    a, b = F.last("at", True).over(line.rangeBetween(W.unboundedPreceding, 0)), F.first("at", True).over(line.rangeBetween(0, W.unboundedFollowing))
+    line = W.partitionBy("__key", "__range")
+    # both frames begin at an end of the range: one that ends there is read again for every row
+    a, b = (F.last("at", True).over(line.orderBy(o).rangeBetween(W.unboundedPreceding, 0)) for o in (F.asc("v"), F.desc("v")))
     near = both.select("*", a.alias("a"), b.alias("b")).where("at IS NULL").join(ends, F.col("__key").eqNullSafe(F.col("__key2")) & (F.col("__range") == F.col("__range2")))
     a, b = F.coalesce("a", "before"), F.coalesce("b", "after")
     nearest = F.when(b.isNull() | (F.col("v") - a <= b - F.col("v")), F.coalesce(a, b)).otherwise(b)

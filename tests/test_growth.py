@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floeworks.functions.scalars import uniform
-from floeworks.operators import raster, reports, routes, tiles
+from floeworks.operators import catalog, raster, reports, routes, tiles
 from floeworks.plans.all import ORACLES, QUERIES
 from floeworks.sources import rasters
 
@@ -128,3 +128,19 @@ def test_replicates_are_summed_in_tasks(spark, monkeypatch):
     monkeypatch.setattr(reports, "KEYS_HELD", 2)
     for a, b in zip(whole, sorted(map(tuple, reports.bootstrap_ci(samples, 200).collect())), strict=True):
         assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
+
+
+def test_nearest_in_a_crowded_range(spark):
+    """No frame over the rows of a range or column ends at its far end, which would be read again for every row."""
+    have = np.unique(np.random.default_rng(1).integers(0, 10**9, 2_000)) * 1_000
+    asked = np.unique(np.random.default_rng(2).integers(-(10**8), 11 * 10**8, 20_000)) * 1_000
+    frame = lambda at: spark.createDataFrame([(int(v),) for v in at], "v long").select(F.timestamp_micros("v").alias("ts"))
+    out = catalog.nearest_timestamp(frame(asked), frame(have), None, 1)
+    right = np.searchsorted(have, asked)
+    a, b = have[np.maximum(right - 1, 0)], have[np.minimum(right, len(have) - 1)]
+    want = np.where(np.abs(asked - a) <= np.abs(b - asked), a, b)
+    got = dict(map(tuple, out.select(F.unix_micros("ts"), F.unix_micros("nearest")).collect()))
+    assert got == dict(zip(asked.tolist(), want.tolist(), strict=True))
+    points, cells = spark.createDataFrame([(0, 5, 5)], "id int, row int, col int"), spark.createDataFrame([(9, 9, 0)], "row int, col int, blocked int")
+    for df in (out, routes.nearest_free_cell(points, cells)):
+        assert "RangeFrame, currentrow$(), unboundedfollowing$()" not in df._jdf.queryExecution().toString()
