@@ -210,14 +210,14 @@ def overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "similar_routes",
-    CLASSES
-    + """, p AS (SELECT a.request, a.route_id AS route_a, b.route_id AS route_b, count(*) AS shared FROM f a JOIN f b ON a.request = b.request AND a.row = b.row AND a.col = b.col AND a.route_id <> b.route_id GROUP BY 1, 2, 3)
-    SELECT p.request, route_a, route_b, round(shared / x.n, 5) AS ratio, false AS copy FROM p JOIN s x ON x.route_id = route_a JOIN s y ON y.route_id = route_b WHERE (x.n < y.n OR x.n = y.n AND route_a < route_b) AND shared / x.n >= 0.3e0
-    UNION ALL SELECT *, true FROM copies""",
+    SEGMENTS
+    + """, c AS (SELECT DISTINCT route_id % 10 AS request, route_id, row, col FROM traced), s AS (SELECT request, route_id, count(*) AS n FROM c GROUP BY 1, 2),
+    p AS (SELECT a.request, a.route_id AS route_a, b.route_id AS route_b, count(*) AS shared FROM c a JOIN c b ON a.request = b.request AND a.row = b.row AND a.col = b.col AND a.route_id <> b.route_id GROUP BY 1, 2, 3)
+    SELECT p.request, route_a, route_b, round(shared / x.n, 5) AS ratio FROM p JOIN s x ON x.route_id = route_a JOIN s y ON y.route_id = route_b WHERE (x.n < y.n OR x.n = y.n AND route_a < route_b) AND shared / x.n >= 0.3e0""",
 )
 def similar(spark: SparkSession, d: str) -> DataFrame:
     cells = R.trace_cells(R.route_segments(adapt(spark, d, "route_points"), GRID)).select((F.col("route_id") % 10).alias("request"), "route_id", "row", "col")
-    return rounded(R.similar_routes(cells, "request", 0.3), "ratio")
+    return rounded(R.similar_routes(cells, "request", 0.3, each=True), "ratio")
 
 
 @query(
