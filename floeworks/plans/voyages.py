@@ -188,14 +188,6 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     return R.pareto_rank(candidates(spark, d), "request").select("request", "id", "pareto_rank", "pareto_score", "pareto_order")
 
 
-CLASSES = (
-    SEGMENTS
-    + """, c AS (SELECT DISTINCT route_id % 10 AS request, route_id, row, col FROM traced), k AS (SELECT request, route_id, count(*) AS n, string_agg(concat(row, '/', col), ',' ORDER BY row, col) AS cells FROM c GROUP BY 1, 2),
-    m AS (SELECT request, route_id, n, min(route_id) OVER (PARTITION BY request, cells) AS class_id FROM k), s AS (SELECT * FROM m WHERE route_id = class_id), f AS (SELECT c.* FROM c JOIN s USING (request, route_id)),
-    copies AS (SELECT request, class_id AS route_a, route_id AS route_b, 1e0 AS ratio FROM m WHERE route_id <> class_id)\n"""
-)
-
-
 @query(
     "route_overlap",
     SEGMENTS

@@ -41,7 +41,7 @@ def test_equal_routes_are_one_class(spark, monkeypatch):
                     assert found == (want if want > 0 and want >= least else None)
 
 
-@pytest.mark.parametrize("name, least", [("route_overlap", 0.0), ("similar_routes", 0.3)])
+@pytest.mark.parametrize("name, least", [("route_overlap", 0.0), ("similar_routes", 0.3), ("route_overlap_limit", 0.3)])
 def test_all_pairs_of_copies(spark, duck, tmp_path, name, least):
     """A query of pairs gives each pair of routes, also where routes have the same cells."""
     some = "SELECT * REPLACE (event_id + k * 10000000 AS event_id, user_id + k * 1000 AS user_id) FROM events, range(3) t(k) WHERE user_id < 30"
